@@ -19,11 +19,17 @@ def cut(df: DataFrame, parts: int | None = None) -> DataFrame:
     which lets AQE split a hot key.
     """
     spark = df.sparkSession
+    shared_dir(spark)
+    return df.repartition(parts or shuffle_parts(spark)).checkpoint()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which driver and executors share."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(named or "/tmp/checkpoints")
-    return df.repartition(parts or shuffle_parts(spark)).checkpoint()
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
 def shuffle_parts(spark: SparkSession) -> int:

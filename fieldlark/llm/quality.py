@@ -28,7 +28,10 @@ from fieldlark.llm.words import FOLDED, PLAIN, Words, mix, owner, windows
 
 #: Bounds of the samples: labelled documents for the word lists, documents for the scorer.
 LABELLED_SAMPLE, TRAINING_SAMPLE = 16_000, 16_000
-BITS = 20
+BITS = 22
+#: A word feature's value is its occurrences per hundred words, with so many words added to
+#: every text, so that one chance hit in a short text weighs little, and a bound.
+SMOOTH, MOST = 60, 2.0
 ABSTAIN, BAD, GOOD = 0, 1, 2
 _CHUNK = 2 << 20
 
@@ -45,7 +48,9 @@ RATIOS = {
     "bytes per word": (9.0, 7.5),
 }
 INSULTS = "idiot moron stupid loser pathetic scum trash clown worthless disgusting dumb imbecile filth vermin retard bastard".split()
-TOXIC_VOTERS = ("insult list", "learnt words", "learnt 6-byte stems", "learnt 4-byte stems", "share of learnt words")
+#: Occurrences per hundred words, as above: bad at or above, good at or below.
+TOXIC_RATES = (0.7, 0.35)
+TOXIC_VOTERS = ("insult list", "learnt words", "learnt 6-byte stems", "learnt 4-byte stems", "any learnt word or stem")
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#$%&*@^~=+<>{}[]\\_|"]] = True
@@ -122,24 +127,27 @@ class Features:
             out[:, k] = (3 << BITS) + k * 8 + np.searchsorted(edges, self.ratios[:, k], "right")
         return out
 
-    def known(self, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct (text, feature) pairs of word features in ``table`` (flags by bucket)."""
+    def known(self, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct (text, feature) pairs of word features in ``table`` (flags by bucket), and their values."""
         docs, feats = [], []
         for b in self.buckets:
             at = np.flatnonzero(table[b])
             docs.append(self.doc[at])
             feats.append(b[at])
-        pair = np.unique(np.concatenate(docs).astype(np.int64) << 32 | np.concatenate(feats))
-        return pair >> 32, (pair & 0xFFFFFFFF).astype(np.int32)
+        pair, n = np.unique(np.concatenate(docs).astype(np.int64) << 32 | np.concatenate(feats), return_counts=True)
+        d = pair >> 32
+        return d, (pair & 0xFFFFFFFF).astype(np.int32), np.minimum(n * 100.0 / (self.n_words[d] + SMOOTH), MOST)
 
-    def all(self) -> list[np.ndarray]:
-        """Distinct features of each text."""
+    def all(self) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Distinct features of each text, and their values."""
         levels = self.ratio_levels()
-        out = []
+        ids, values = [], []
         for i in range(self.n_texts):
             a, b = self.words.first[i], self.words.first[i + 1]
-            out.append(np.unique(np.concatenate([levels[i], *(x[a:b] for x in self.buckets)])))
-        return out
+            f, n = np.unique(np.concatenate([x[a:b] for x in self.buckets]), return_counts=True)
+            ids.append(np.concatenate((f, levels[i])))
+            values.append(np.concatenate((np.minimum(n * 100.0 / (b - a + SMOOTH), MOST), np.ones(levels.shape[1]))).astype(np.float32))
+        return ids, values
 
     def sketches(self) -> list[list[int]]:
         """Three min-hashes of each text's 5-word sequences, to know copies by."""
@@ -182,14 +190,16 @@ class Voters:
         return votes
 
     def toxic(self, f: Features) -> np.ndarray:
-        def hits(flags: np.ndarray, b: int) -> np.ndarray:
-            return _per_text(flags[f.buckets[b]], f.words.first)
-
-        counts = [hits(self.insults, 0), hits(self.learnt[0], 0), hits(self.learnt[1], 2), hits(self.learnt[2], 1)]
-        votes = [np.where(counts[0] > 0, BAD, GOOD)]
-        votes += [np.where(c > 0, BAD, GOOD if has else ABSTAIN) for c, has in zip(counts[1:], self.has)]
-        share = np.maximum(np.maximum(counts[1], counts[2]), counts[3]) / np.maximum(f.n_words, 1)
-        votes.append(np.where(share >= 0.008, BAD, np.where(share == 0, GOOD, ABSTAIN)) if any(self.has) else np.zeros(f.n_texts, int))
+        def rate(flags: np.ndarray, b: int) -> np.ndarray:
+            return _per_text(flags[f.buckets[b]], f.words.first) * 100.0 / (f.n_words + SMOOTH)
+
+        def vote(x: np.ndarray) -> np.ndarray:
+            return np.where(x >= TOXIC_RATES[0], BAD, np.where(x <= TOXIC_RATES[1], GOOD, ABSTAIN))
+
+        rates = [rate(self.insults, 0), rate(self.learnt[0], 0), rate(self.learnt[1], 2), rate(self.learnt[2], 1)]
+        votes = [vote(rates[0])]
+        votes += [vote(r) if has else np.zeros(f.n_texts, int) for r, has in zip(rates[1:], self.has)]
+        votes.append(vote(np.max(rates, axis=0)))
         return np.stack(votes, axis=1)
 
 
@@ -243,48 +253,62 @@ class Scorer(NamedTuple):
         out = np.full(f.n_texts, self.bias)
         if len(self.features):
             flags = _flags(self.features)
-            d, feats = f.known(flags)
-            np.add.at(out, d, self.weights[np.searchsorted(self.features, feats)])
+            d, feats, x = f.known(flags)
+            np.add.at(out, d, self.weights[np.searchsorted(self.features, feats)] * x)
             levels = f.ratio_levels()
             at = np.minimum(np.searchsorted(self.features, levels), len(self.features) - 1)
             out += np.where(self.features[at] == levels, self.weights[at], 0.0).sum(axis=1)
         return out
 
 
-def _log_odds(feats: np.ndarray, rows: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Per feature: its number, weight under bad and good, log odds ratio and z-score."""
+def _contrast(feats: np.ndarray, rows: np.ndarray, x: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Per feature: its number, mean value under bad and good, z-score of their difference,
+    and the number of bad texts that have it."""
     ids, inv = np.unique(feats, return_inverse=True)
-    bad, good = np.bincount(inv, weights=p[rows], minlength=len(ids)), np.bincount(inv, weights=1 - p[rows], minlength=len(ids))
-    nb, ng = p.sum(), (1 - p).sum()
-    ratio = np.log((bad + 0.5) / (nb - bad + 0.5)) - np.log((good + 0.5) / (ng - good + 0.5))
-    return ids, bad, good, ratio, ratio / np.sqrt(1 / (bad + 0.5) + 1 / (good + 0.5) + 1 / (nb - bad + 0.5) + 1 / (ng - good + 0.5))
-
-
-def train(features: list[np.ndarray], p: np.ndarray, z_least: float = 5.0, most: int = 4000, rounds: int = 400) -> Scorer:
-    """Logistic regression on soft labels over the features whose log odds stand out."""
+    nb, ng = max(p.sum(), 1e-9), max((1 - p).sum(), 1e-9)
+    mean, square = [], []
+    for w, n in ((p, nb), (1 - p, ng)):
+        mean.append(np.bincount(inv, weights=w[rows] * x, minlength=len(ids)) / n)
+        square.append(np.bincount(inv, weights=w[rows] * x * x, minlength=len(ids)) / n)
+    # one more text of the mean kind on either side, lest a feature without spread stand out
+    spread = (square[0] - mean[0] ** 2 + 0.3 / nb) / nb + (square[1] - mean[1] ** 2 + 0.3 / ng) / ng
+    return ids, mean[0], mean[1], (mean[0] - mean[1]) / np.sqrt(spread), np.bincount(inv, weights=p[rows], minlength=len(ids))
+
+
+def train(features: list[np.ndarray], values: list[np.ndarray], p: np.ndarray, z_least: float = 6.0, ratio: float = 4.0, most: int = 4000, rounds: int = 600) -> Scorer:
+    """Logistic regression on soft labels over the features that stand out in one class."""
     if not len(features) or p.max() < 0.5 or p.min() > 0.5:
         return Scorer(np.zeros(0, np.int32), np.zeros(0), 1.0 if len(p) and p.min() > 0.5 else -1.0)
-    rows, feats = np.repeat(np.arange(len(features)), [len(x) for x in features]), np.concatenate(features)
-    ids, _, _, _, z = _log_odds(feats, rows, p)
+    rows, feats, x = np.repeat(np.arange(len(features)), [len(f) for f in features]), np.concatenate(features), np.concatenate(values).astype(float)
+    ids, bad, good, z, _ = _contrast(feats, rows, x, p)
+    z = np.where(np.maximum(bad, good) >= ratio * np.minimum(bad, good), z, 0.0)
     strong = np.argsort(-np.abs(z), kind="stable")[:most]
     chosen = np.sort(ids[strong[np.abs(z[strong]) >= z_least]])
     at = np.minimum(np.searchsorted(chosen, feats), max(len(chosen) - 1, 0))
     use = chosen[at] == feats if len(chosen) else np.zeros(len(feats), bool)
-    rows, at = rows[use], at[use]
+    rows, at, x = rows[use], at[use], x[use]
     w, bias = np.zeros(len(chosen)), float(np.log(p.mean() / (1 - p.mean())))
-    balance = np.where(p > 0.5, (1 - p.mean()), p.mean())
-    balance /= balance.sum()
+    balance = np.full(len(p), 1 / len(p))
     square, square_bias = np.full(len(w), 1e-8), 1e-8
     for _ in range(rounds):
-        q = 1 / (1 + np.exp(-np.clip(bias + np.bincount(rows, weights=w[at], minlength=len(p)), -60, 60)))
+        q = 1 / (1 + np.exp(-np.clip(bias + np.bincount(rows, weights=w[at] * x, minlength=len(p)), -60, 60)))
         gap = (q - p) * balance
-        g, gb = np.bincount(at, weights=gap[rows], minlength=len(w)) + 1e-5 * w, gap.sum()
+        g, gb = np.bincount(at, weights=gap[rows] * x, minlength=len(w)) + 1e-6 * w, gap.sum()
         square, square_bias = square + g * g, square_bias + gb * gb
         w -= 0.5 * g / np.sqrt(square)
         bias -= 0.5 * gb / np.sqrt(square_bias)
     return Scorer(chosen.astype(np.int32), w, float(bias))
 
 
+def choose_words(features: list[np.ndarray], values: list[np.ndarray], p: np.ndarray) -> WordLists:
+    """Words and stems that are frequent in toxic texts and rare in others."""
+    rows, feats, x = np.repeat(np.arange(len(features)), [len(f) for f in features]), np.concatenate(features), np.concatenate(values).astype(float)
+    ids, bad, good, z, n = _contrast(feats, rows, x, p)
+    ids = ids[(bad >= 5 * good) & (z >= 3.8) & (n >= 6)]
+    kind = ids >> BITS
+    return WordLists(ids[kind == 0], ids[kind == 2], ids[kind == 1])
+
+
 class Model(NamedTuple):
     lists: WordLists
     label_models: dict[str, LabelModel]
@@ -304,7 +328,10 @@ def _slices(batches: Iterator[pa.RecordBatch], text: int = 1) -> Iterator[pa.Rec
 def _collect_features(batches):
     for b in _slices(batches):
         f = Features(b.column(1))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(f.all(), pa.list_(pa.int32())), pa.array(f.sketches(), pa.list_(pa.int64()))], names=["id", "features", "sketch"])
+        ids, values = f.all()
+        yield pa.RecordBatch.from_arrays(
+            [b.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32())), pa.array(f.sketches(), pa.list_(pa.int64()))], names=["id", "features", "vals", "sketch"]
+        )
 
 
 def _encode(votes: np.ndarray) -> np.ndarray:
@@ -335,21 +362,20 @@ def learn_words(docs: DataFrame, labels: DataFrame, sample: int = LABELLED_SAMPL
     a document count once, or all words of a much-copied one would stand out."""
     marked = _smallest(labels.where("id is not null and toxic is not null").groupBy("id").agg(F.max("toxic").alias("toxic")), sample)
     rows = docs.join(F.broadcast(marked), "id").select("id", "text", "toxic")
-    got = rows.select("id", "text").mapInArrow(_collect_features, "id bigint, features array<int>, sketch array<bigint>").toArrow()
+    got = rows.select("id", "text").mapInArrow(_collect_features, "id bigint, features array<int>, vals array<float>, sketch array<bigint>").toArrow()
     toxic = {r.id: r.toxic for r in marked.collect()}
     got = got.sort_by("id")
     nothing = np.zeros(0, np.int32)
     if not got.num_rows:
         return WordLists(nothing, nothing, nothing)
     keep = np.flatnonzero(_once(got.column("sketch").to_pylist()))
-    feats = got.column("features").combine_chunks()
-    features = [feats[int(i)].values.to_numpy() for i in keep]
     p = np.array([float(toxic[x] > 0) for x in got.column("id").to_pylist()])[keep]
-    rows_, all_ = np.repeat(np.arange(len(features)), [len(x) for x in features]), np.concatenate(features)
-    ids, bad, good, ratio, z = _log_odds(all_, rows_, p)
-    ids = ids[(bad >= 4) & (good <= 0.02 * bad) & (z >= 2.5)]
-    kind = ids >> BITS
-    return WordLists(ids[kind == 0], ids[kind == 2], ids[kind == 1])
+    return choose_words(_lists(got, "features", keep), _lists(got, "vals", keep), p)
+
+
+def _lists(got: pa.Table, name: str, keep: np.ndarray) -> list[np.ndarray]:
+    column = got.column(name).combine_chunks()
+    return [column[int(i)].values.to_numpy() for i in keep]
 
 
 def fit(docs: DataFrame, labels: DataFrame, labelled_sample: int = LABELLED_SAMPLE, training_sample: int = TRAINING_SAMPLE) -> Model:
@@ -384,19 +410,19 @@ def fit(docs: DataFrame, labels: DataFrame, labelled_sample: int = LABELLED_SAMP
         voters = Voters(shared.value)
         for b in _slices(batches):
             f = Features(b.column(1))
+            ids, values = f.all()
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(f.all(), pa.list_(pa.int32())), pa.array(f.sketches(), pa.list_(pa.int64())), pa.array(_encode(voters.junk(f)), pa.int64()), pa.array(_encode(voters.toxic(f)), pa.int64())],
-                names=["id", "features", "sketch", "junk", "toxic"],
+                [b.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32())), pa.array(f.sketches(), pa.list_(pa.int64())), pa.array(_encode(voters.junk(f)), pa.int64()), pa.array(_encode(voters.toxic(f)), pa.int64())],
+                names=["id", "features", "vals", "sketch", "junk", "toxic"],
             )
 
-    got = docs.join(F.broadcast(chosen), "id", "left_semi").select("id", "text").mapInArrow(sample, "id bigint, features array<int>, sketch array<bigint>, junk bigint, toxic bigint").toArrow().sort_by("id")
+    got = docs.join(F.broadcast(chosen), "id", "left_semi").select("id", "text").mapInArrow(sample, "id bigint, features array<int>, vals array<float>, sketch array<bigint>, junk bigint, toxic bigint").toArrow().sort_by("id")
     scorers = {}
     keep = np.flatnonzero(_once(got.column("sketch").to_pylist()))
-    feats = got.column("features").combine_chunks()
-    features = [feats[int(i)].values.to_numpy() for i in keep]
+    features, values = _lists(got, "features", keep), _lists(got, "vals", keep)
     for task in sizes:
         codes = np.array(got.column(task).to_pylist(), dtype=np.int64)[keep]
-        scorers[task] = train(features, models[task].posterior(_decode(codes, sizes[task])))
+        scorers[task] = train(features, values, models[task].posterior(_decode(codes, sizes[task])))
     return Model(lists, models, scorers)
 
 
