@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from fieldlark.llm.words import FOLDED, PLAIN, Words, mix, owner, windows
 
 #: Bounds of the samples: labelled documents for the word lists, documents for the scorer.
-LABELLED_SAMPLE, TRAINING_SAMPLE = 16_000, 16_000
+LABELLED_SAMPLE, TRAINING_SAMPLE = 5_000, 5_000
 BITS = 22
 #: A word feature's value is its occurrences per hundred words, with so many words added to
 #: every text, so that one chance hit in a short text weighs little, and a bound.
