@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from fieldlark.plans import frame_queries, room_queries
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = frame_queries.QUERIES | room_queries.QUERIES
+ORACLE_SQL = frame_queries.ORACLE_SQL | room_queries.ORACLE_SQL
