@@ -29,9 +29,8 @@ from fieldlark.llm.words import FOLDED, PLAIN, Words, mix, owner, windows
 #: Bounds of the samples: labelled documents for the word lists, documents for the scorer.
 LABELLED_SAMPLE, TRAINING_SAMPLE = 5_000, 5_000
 BITS = 22
-#: A word feature's value is its occurrences per hundred words, with so many words added to
-#: every text, so that one chance hit in a short text weighs little, and a bound.
-SMOOTH, MOST = 60, 2.0
+#: Words added to the length of a text when occurrences are weighed, and the largest weight.
+SMOOTH, MOST = 60, 3.0
 ABSTAIN, BAD, GOOD = 0, 1, 2
 _CHUNK = 2 << 20
 
@@ -48,8 +47,8 @@ RATIOS = {
     "bytes per word": (9.0, 7.5),
 }
 INSULTS = "idiot moron stupid loser pathetic scum trash clown worthless disgusting dumb imbecile filth vermin retard bastard".split()
-#: Occurrences per hundred words, as above: bad at or above, good at or below.
-TOXIC_RATES = (0.7, 0.35)
+#: Value of the occurrences less half a one: bad at or above, good at or below.
+TOXIC_RATES = (0.7, 0.5)
 TOXIC_VOTERS = ("insult list", "learnt words", "learnt 6-byte stems", "learnt 4-byte stems", "any learnt word or stem")
 
 _SYMBOL = np.zeros(256, bool)
@@ -61,6 +60,12 @@ _LETTER[97:123] = True
 _SOLID = np.array([c >= 128 or chr(c).isalnum() for c in range(256)])
 
 
+def _value(n, length):
+    """Weight of n occurrences in a text: against the spread of chance hits, which grows with the
+    root of its length."""
+    return np.minimum(10.0 * n / np.sqrt(length + SMOOTH), MOST)
+
+
 def _per_text(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Sums of ``values`` between consecutive bounds."""
     sums = np.concatenate(([0], np.cumsum(values, dtype=np.int64)))
@@ -136,7 +141,7 @@ class Features:
             feats.append(b[at])
         pair, n = np.unique(np.concatenate(docs).astype(np.int64) << 32 | np.concatenate(feats), return_counts=True)
         d = pair >> 32
-        return d, (pair & 0xFFFFFFFF).astype(np.int32), np.minimum(n * 100.0 / (self.n_words[d] + SMOOTH), MOST)
+        return d, (pair & 0xFFFFFFFF).astype(np.int32), _value(n, self.n_words[d])
 
     def all(self) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Distinct features of each text, and their values."""
@@ -146,7 +151,7 @@ class Features:
             a, b = self.words.first[i], self.words.first[i + 1]
             f, n = np.unique(np.concatenate([x[a:b] for x in self.buckets]), return_counts=True)
             ids.append(np.concatenate((f, levels[i])))
-            values.append(np.concatenate((np.minimum(n * 100.0 / (b - a + SMOOTH), MOST), np.ones(levels.shape[1]))).astype(np.float32))
+            values.append(np.concatenate((_value(n, b - a), np.ones(levels.shape[1]))).astype(np.float32))
         return ids, values
 
     def sketches(self) -> list[list[int]]:
@@ -191,7 +196,7 @@ class Voters:
 
     def toxic(self, f: Features) -> np.ndarray:
         def rate(flags: np.ndarray, b: int) -> np.ndarray:
-            return _per_text(flags[f.buckets[b]], f.words.first) * 100.0 / (f.n_words + SMOOTH)
+            return _value(np.maximum(_per_text(flags[f.buckets[b]], f.words.first) - 0.5, 0), f.n_words)
 
         def vote(x: np.ndarray) -> np.ndarray:
             return np.where(x >= TOXIC_RATES[0], BAD, np.where(x <= TOXIC_RATES[1], GOOD, ABSTAIN))
@@ -275,7 +280,7 @@ def _contrast(feats: np.ndarray, rows: np.ndarray, x: np.ndarray, p: np.ndarray)
     return ids, mean[0], mean[1], (mean[0] - mean[1]) / np.sqrt(spread), np.bincount(inv, weights=p[rows], minlength=len(ids))
 
 
-def train(features: list[np.ndarray], values: list[np.ndarray], p: np.ndarray, z_least: float = 6.0, ratio: float = 4.0, most: int = 4000, rounds: int = 600) -> Scorer:
+def train(features: list[np.ndarray], values: list[np.ndarray], p: np.ndarray, z_least: float = 4.5, ratio: float = 4.0, most: int = 4000, rounds: int = 600) -> Scorer:
     """Logistic regression on soft labels over the features that stand out in one class."""
     if not len(features) or p.max() < 0.5 or p.min() > 0.5:
         return Scorer(np.zeros(0, np.int32), np.zeros(0), 1.0 if len(p) and p.min() > 0.5 else -1.0)
