@@ -14,13 +14,13 @@ def cut(df: DataFrame, parts: int | None = None) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back.
 
     The folder is the one the cluster names in ``spark.checkpoint.dir``; a local
-    one is set only where that is unset (tests).  The rows are dealt out anew, so
-    the result carries no partitioning: a later join shuffles it by its own key,
-    which lets AQE split a hot key.
+    one is set only where that is unset (tests).  Partitions are put together, without
+    a shuffle, so the result carries no partitioning: a later join shuffles it by its
+    own key, which lets AQE split a hot key.
     """
     spark = df.sparkSession
     shared_dir(spark)
-    return df.repartition(parts or shuffle_parts(spark)).checkpoint()
+    return df.coalesce(parts or shuffle_parts(spark)).checkpoint()
 
 
 def shared_dir(spark: SparkSession) -> str:

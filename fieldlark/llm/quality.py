@@ -438,7 +438,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         for b in _slices(batches):
             f = Features(b.column(1))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(shared.value[t].score(f), pa.float64()) for t in ("junk", "toxic"))], names=["id", "junk_score", "toxic_score"])
+            junk = np.where(f.empty, np.maximum(shared.value["junk"].score(f), 1.0), shared.value["junk"].score(f))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(junk, pa.float64()), pa.array(shared.value["toxic"].score(f), pa.float64())], names=["id", "junk_score", "toxic_score"])
 
     return docs.mapInArrow(run, "id bigint, junk_score double, toxic_score double")
 
@@ -446,7 +447,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", toxic_col: str = "toxic") -> DataFrame:
     """(id, ``junk_score``, ``toxic_score``, ``keep``) of every row.
 
-    Edge cases: null and empty texts get bad votes from all labellers of junk; without
+    Edge cases: texts without words (null, empty, blank) are junk; without
     labels the learnt word lists are empty and their labellers abstain; null labels are
     left out, and of repeated labels the worse counts; rows with equal ids are scored each;
     texts of any length are scored whole; an empty table gives an empty table; other
