@@ -28,11 +28,9 @@ def system_health(health: DataFrame, ticks: DataFrame) -> DataFrame:
     return ticks.join(h, "ts", "left").select("ts", F.coalesce(health_status(F.col("h")), F.lit("DISCONNECTED")).alias("csi_health"))
 
 
-def frame_rate(ticks: DataFrame, wall: str = "wall") -> DataFrame:
-    """Ticks in the second up to each tick, by its wall clock in seconds.
-
-    A window over single seconds per room keeps the sort parallel; ``room`` is the key."""
-    w = Window.partitionBy("room").orderBy(F.col(wall)).rangeBetween(-1.0, 0.0)
+def frame_rate(ticks: DataFrame, wall_us: str = "wall_us", span_us: int = 1_000_000) -> DataFrame:
+    """Ticks in the second up to each tick, by its wall clock in microseconds; rooms in parallel."""
+    w = Window.partitionBy("room").orderBy(F.col(wall_us)).rangeBetween(-span_us, 0)
     return ticks.withColumn("fps", F.count(F.lit(1)).over(w).cast("double"))
 
 

@@ -267,15 +267,15 @@ k2 AS (SELECT *, tx + least(greatest(pr, 0), len) * (rx - tx) / len AS px, ty +
 greatest(0, sqrt((x - tx) * (x - tx) + (y - ty) * (y - ty)) + sqrt((x - rx) * (x - rx) + (y - ry) * (y - ry)) - len) AS ex, greatest(0.1875, 0.05 * len) AS sp, greatest(0.25, 0.08 * len) AS so FROM k1),
 k3 AS (SELECT link_id, i, j, exp(-0.5 * ((x - px) * (x - px) + (y - py) * (y - py)) / (sp * sp)) * exp(-0.5 * power(o / so, 2)) * exp(-0.5 * power(ex / sp, 2)) AS k FROM k2),
 kern AS MATERIALIZED (SELECT link_id, i, j, k / max(k) OVER (PARTITION BY link_id) AS k FROM k3)"""
-_EVID = "ev AS MATERIALIZED (SELECT CAST(event_id // 150 AS DOUBLE) AS ts, 'link_' || CAST(user_id % 3 AS VARCHAR) AS link_id, tanh(avg(value) / 40) AS activity, count(*) / (count(*) + 20.0::DOUBLE) AS health_score, least(1.0, stddev_pop(value) / 40) AS confidence FROM events WHERE event_id < 3000 AND (event_id // 150 + user_id) % 5 <> 0 GROUP BY ALL)"
+_EVID = "ev AS MATERIALIZED (SELECT CAST(event_id // 500 AS DOUBLE) AS ts, 'link_' || CAST(user_id % 3 AS VARCHAR) AS link_id, tanh(avg(value) / 40) AS activity, count(*) / (count(*) + 200.0::DOUBLE) AS health_score, least(1.0, stddev_pop(value) / 40) AS confidence FROM events GROUP BY ALL)"
 
 
 def evidence(spark, sf) -> DataFrame:
-    """Events as evidence of three links over twenty ticks."""
-    e = tables.read(spark, sf, "events").where(F.expr("event_id < 3000 and (event_id div 150 + user_id) % 5 <> 0"))
-    g = e.groupBy(F.expr("cast(event_id div 150 as double)").alias("ts"), F.concat(F.lit("link_"), (F.col("user_id") % 3).cast("string")).alias("link_id"))
+    """All events as evidence of three links, a tick every 500 events."""
+    e = tables.read(spark, sf, "events")
+    g = e.groupBy(F.expr("cast(event_id div 500 as double)").alias("ts"), F.concat(F.lit("link_"), (F.col("user_id") % 3).cast("string")).alias("link_id"))
     n = F.count(F.lit(1))
-    return g.agg(F.tanh(F.avg("value") / 40).alias("activity"), (n / (n + 20.0)).alias("health_score"), F.least(F.lit(1.0), F.stddev_pop("value") / 40).alias("confidence"))
+    return g.agg(F.tanh(F.avg("value") / 40).alias("activity"), (n / (n + 200.0)).alias("health_score"), F.least(F.lit(1.0), F.stddev_pop("value") / 40).alias("confidence"))
 
 
 @query(f"WITH {_KERNEL} SELECT link_id, i, j, {r('k')} AS k FROM kern")
@@ -404,8 +404,8 @@ def exponential_average(spark, sf):
 )
 def frame_rate(spark, sf):
     """Events of the last hour, by the operator for ticks of the last second."""
-    e = tables.series(spark, sf).select("link_id", "seq", (F.unix_micros("at") / 1e6 / 3600).alias("wall"))
-    return message.frame_rate(e.withColumnRenamed("link_id", "room")).select(F.col("room").alias("link_id"), "seq", "fps")
+    e = tables.series(spark, sf).select("link_id", "seq", F.unix_micros(F.col("at").cast("timestamp")).alias("wall_us"))
+    return message.frame_rate(e.withColumnRenamed("link_id", "room"), span_us=3_600_000_000).select(F.col("room").alias("link_id"), "seq", "fps")
 
 
 @query("SELECT CAST(user_id AS VARCHAR) AS link_id, max(value) AS peak, arg_max(event_id, value * 1e6 - event_id * 1e-3) AS at FROM events GROUP BY user_id")
