@@ -24,6 +24,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldlark.llm.common import give_back
 from fieldlark.llm.words import FOLDED, PLAIN, Words, mix, owner, windows
 
 #: Bounds of the samples: labelled documents for the word lists, documents for the scorer.
@@ -428,6 +429,8 @@ def fit(docs: DataFrame, labels: DataFrame, labelled_sample: int = LABELLED_SAMP
     for task in sizes:
         codes = np.array(got.column(task).to_pylist(), dtype=np.int64)[keep]
         scorers[task] = train(features, values, models[task].posterior(_decode(codes, sizes[task])))
+    del got, features, values
+    give_back()
     return Model(lists, models, scorers)
 
 
