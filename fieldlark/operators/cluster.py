@@ -7,17 +7,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldlark.operators.fold import fold_sorted
+from fieldlark.operators.lineage import Rounds
 
 NEIGHBOURS = {4: ((0, 1), (1, 0), (0, -1), (-1, 0)), 8: ((0, 1), (1, 0), (0, -1), (-1, 0), (1, 1), (1, -1), (-1, 1), (-1, -1))}
 
 
-def _checkpoint(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints")
-    return df.checkpoint()
-
-
 def label_regions(field: DataFrame, threshold: float = 0.0, connectivity: int = 4, keys: tuple[str, ...] = ()) -> DataFrame:
     """(keys, i, j, value, label): cells above the threshold with the least row-major cell of their region.
 
@@ -27,17 +21,18 @@ def label_regions(field: DataFrame, threshold: float = 0.0, connectivity: int =
     """
     if connectivity not in NEIGHBOURS:
         raise ValueError("connectivity must be 4 or 8")
-    cells = _checkpoint(field.where(F.col("value") > threshold).select(*keys, F.struct("i", "j").alias("c"), "value"))
+    rounds = Rounds(field.sparkSession)
+    cells = rounds.cut(field.where(F.col("value") > threshold).select(*keys, F.struct("i", "j").alias("c"), "value"))
     steps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in NEIGHBOURS[connectivity]])
     near = cells.select(*keys, "c", F.explode(steps).alias("s"))
     near = near.select(*keys, F.col("c").alias("to"), F.struct((F.col("c.i") + F.col("s.a")).alias("i"), (F.col("c.j") + F.col("s.b")).alias("j")).alias("c"))
-    edges = _checkpoint(near.join(cells.select(*keys, "c"), [*keys, "c"], "left_semi"))
+    edges = rounds.cut(near.join(cells.select(*keys, "c"), [*keys, "c"], "left_semi"))
     labels = cells.select(*keys, "c", F.col("c").alias("label"))
     while True:
         met = edges.join(labels, [*keys, "c"]).groupBy(*keys, F.col("to").alias("c")).agg(F.min("label").alias("m"))
         low = labels.join(met, [*keys, "c"], "left").select(*keys, "c", "label", F.least("label", F.coalesce("m", "label")).alias("new"))
         jump = low.select(*keys, F.col("c").alias("new"), F.col("new").alias("root"))
-        moved = _checkpoint(low.join(jump, [*keys, "new"], "left").select(*keys, "c", "label", F.least("new", F.coalesce("root", "new")).alias("new")))
+        moved = rounds.cut(low.join(jump, [*keys, "new"], "left").select(*keys, "c", "label", F.least("new", F.coalesce("root", "new")).alias("new")))
         changed = moved.where(F.col("new") != F.col("label")).limit(1).count()
         labels = moved.select(*keys, "c", F.col("new").alias("label"))
         if not changed:

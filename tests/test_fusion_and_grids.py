@@ -112,8 +112,8 @@ def test_noise_has_its_moments(spark):
 @pytest.mark.parametrize("connectivity", [4, 8])
 def test_region_ways_agree(spark, connectivity):
     rng = np.random.default_rng(connectivity)
-    a = rng.random((30, 30)) * (rng.random((30, 30)) < 0.5)
-    rows = [(1.0, i, j, float(a[i, j])) for i in range(30) for j in range(30)]
+    a = rng.random((12, 12)) * (rng.random((12, 12)) < 0.5)
+    rows = [(1.0, i, j, float(a[i, j])) for i in range(12) for j in range(12)]
     f = spark.createDataFrame(rows, "ts double, i int, j int, value double")
     big = cluster.find_regions(f, 0.1, 2, connectivity, ("ts",)).orderBy("rank").collect()
     small = cluster.find_regions_per_tick(f, 0.1, 2, connectivity).orderBy("rank").collect()

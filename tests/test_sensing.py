@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from fieldlark.config import ServerConfig
 from fieldlark.operators import sensing
 from fieldlark.operators.fold import fold_sorted
-from fieldlark.plans.pipeline import room_frames, room_messages
+from fieldlark.plans.pipeline import room_messages
 
 
 def run(frames):
@@ -55,15 +55,22 @@ def test_measurement_window_is_bounded():
 
 
 def test_moving_scene_is_more_active_than_a_still_one(spark):
-    moving = sensing.sense_links(room_frames(spark, 80, seed=7)).where("link_id = 'link_1' and ts >= 1.0").agg(F.avg("value")).first()[0]
-    from fieldlark.operators import synthetic
+    from fieldlark import config as C
+    from fieldlark.operators import synthetic, world
     from fieldlark.sources import tables
 
-    links = tables.default_links(spark)
-    still = spark.range(1, 81).select(F.col("id").cast("int").alias("tick")).crossJoin(links.select("link_id")).withColumn("disturbance", F.lit(0.0))
-    rows = tables.pack(synthetic.generate(links, still, 0.05, sigma_amp=0.00001, sigma_phase=0.01), "amp", "phase").select("link_id", "ts", F.col("amp").alias("amplitude"), "phase")
-    static = sensing.sense_links(rows).where("link_id = 'link_1' and ts >= 1.0").agg(F.avg("value")).first()[0]
-    assert static < 0.03 and moving > static + 0.003 and moving > 3 * static
+    link = spark.createDataFrame([("a", (-4.5, 0.0, 1.5), (4.5, 0.0, 1.5), 5.8e9)], C.LINK_GEOMETRY)
+    walker = spark.createDataFrame([("w", "moving", 0.0, -3.0, 1.5, 0.0, 1.4, 1.1, 1.5, 0.0, 0.0, -4.0, 4.0, -3.5, 3.5)], C.DISTURBANCE)
+    motion = world.path_disturbance(link, world.at_ticks(walker, 80, 0.05))
+    still = motion.withColumn("disturbance", F.lit(0.0))
+
+    def activity(path):
+        rows = tables.pack(synthetic.generate(link, path, 0.05, sigma_amp=0.003, sigma_phase=0.015, seed=7), "amp", "phase")
+        frames = rows.select("link_id", "ts", F.col("amp").alias("amplitude"), "phase")
+        return sensing.sense_links(frames).where("ts > 1.0").agg(F.avg("value")).first()[0]
+
+    quiet, busy = activity(still), activity(motion)
+    assert quiet < 0.03 and busy > quiet + 0.003 and busy > 3 * quiet
 
 
 def test_fold_keeps_order_and_keys_apart(spark):
