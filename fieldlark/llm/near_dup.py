@@ -16,13 +16,15 @@ from fieldlark.llm.common import cut, give_back
 from fieldlark.llm.components import components
 from fieldlark.llm.words import FOLDED, Words, mix, owner, windows, within
 
-#: Buckets of up to so many different texts are compared in all pairs, larger ones through a leader.
+#: Buckets of up to so many different texts are compared pair by pair, texts of larger ones with all candidates.
 PAIRWISE = 16
-#: Leaders of a large bucket.
+#: Leaders of a large bucket, which join most of its texts to classes beforehand.
 LEADERS = 3
-#: n-grams of texts that one pass over the candidates is held against.
+#: n-grams of large buckets' texts that one pass over the candidates is held against.
 BLOCK_GRAMS = 2_000_000
 _CHUNK = 2 << 20
+#: Links that a task lists before it passes them on.
+_ROWS = 1 << 18
 
 
 def plan_bands(threshold: float, recall: float, max_hashes: int = 128) -> tuple[int, int]:
@@ -119,49 +121,121 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", (F.col("i") / (F.col("na") + F.col("nb") - F.col("i"))).alias("j"))
 
 
-def _against_all(left: DataFrame, sets: DataFrame, roots: DataFrame, threshold: float) -> DataFrame | None:
-    """Links of the texts ``left`` to all texts of ``sets``: their n-grams go out as an index, in
-    blocks of BLOCK_GRAMS, and every text is counted against it.  Per block, batch and
-    class of the text met one link is enough."""
-    total = left.agg(F.sum("n")).first()[0] or 0
-    if not total:
-        return None
-    blocks = int(-(-total // BLOCK_GRAMS))
-    classed = sets.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("id", "grams", F.coalesce("root", "id").alias("root"))
-    out = None
+def _index(classed: DataFrame, total: int) -> list:
+    """The large texts of ``classed`` as inverted indexes of about BLOCK_GRAMS n-grams each, broadcast."""
+    blocks, out = int(-(-total // BLOCK_GRAMS)), []
     for k in range(blocks):
-        asked = sets.join(left.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k).select("id"), "id", "left_semi").toArrow().combine_chunks()
-        ids, lists = asked.column("id").to_numpy(), asked.column("grams").combine_chunks()
+        asked = classed.where("large").where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k).select("id", "root", "grams").toArrow().combine_chunks()
+        if not asked.num_rows:
+            continue
+        ids, roots, lists = asked.column("id").to_numpy(), asked.column("root").to_numpy(), asked.column("grams").combine_chunks()
         n = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-        grams, own = lists.flatten().to_numpy(), np.repeat(np.arange(len(ids)), n)
+        grams, own = lists.flatten().to_numpy(), np.repeat(np.arange(len(ids), dtype=np.int32), n)
         order = np.argsort(grams, kind="stable")
-        shared = sets.sparkSession.sparkContext.broadcast((ids, n, grams[order], own[order].astype(np.int32)))
-
-        def run(batches, shared=shared):
-            ids, n, grams, own = shared.value
-            for b in batches:
-                met: dict[tuple[int, int], tuple[int, int, float]] = {}
-                for i, mine, root in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
-                    x = mine.values.to_numpy()
-                    lo, hi = np.searchsorted(grams, x, "left"), np.searchsorted(grams, x, "right")
-                    some = hi > lo
-                    if not some.any():
-                        continue
-                    lo, size = lo[some], (hi - lo)[some]
-                    at = np.repeat(lo - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
-                    common = np.bincount(own[at], minlength=len(ids))
-                    j = common / (n + len(x) - common)
-                    for k in np.flatnonzero(j >= threshold):
-                        other = int(ids[k])
-                        if other != i:
-                            met.setdefault((other, root), (min(i, other), max(i, other), float(j[k])))
-                rows = list(met.values())
-                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["a", "b", "j"])
-
+        out.append(classed.sparkSession.sparkContext.broadcast((ids, roots, n, grams[order], own[order])))
         del asked, lists, grams, own, order
         give_back()
-        part = classed.mapInArrow(run, "a bigint, b bigint, j double")
-        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _partners(index: tuple, i: int, x: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places in the index of the other texts that reach ``threshold`` with the n-grams ``x`` of text ``i``, and their similarity."""
+    ids, _, n, grams, own = index
+    lo, hi = np.searchsorted(grams, x, "left"), np.searchsorted(grams, x, "right")
+    some = hi > lo
+    lo, size = lo[some], (hi - lo)[some]
+    at = np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(size.sum())
+    if 8 * len(at) < len(ids):
+        who, common = np.unique(own[at], return_counts=True)
+    else:
+        common = np.bincount(own[at], minlength=len(ids))
+        who = np.flatnonzero(common)
+        common = common[who]
+    j = common / (n[who] + len(x) - common)
+    ok = (j >= threshold) & (ids[who] != i)
+    return who[ok], j[ok]
+
+
+def _count(classed: DataFrame, indexes: list, threshold: float) -> DataFrame:
+    """(a, b, n): text a has n more links (b is null), or the classes a and b are joined (n is null).
+
+    All texts of ``classed`` are held against the large ones.  A large text is told of its links
+    to other large texts as it passes, and of those to the rest once per task.  Of the
+    links between classes a task gives those that join what it has not yet joined."""
+
+    def over(shared):
+        def run(batches):
+            index = shared.value
+            ids, roots = index[:2]
+            back, up = np.zeros(len(ids), dtype=np.int64), {}
+
+            def find(r: int) -> int:
+                while (p := up.get(r, r)) != r:
+                    up[r] = r = up.get(p, p)
+                return r
+
+            def batch(a, b, n):
+                return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64())], names=["a", "b", "n"])
+
+            for part in batches:
+                rows = []
+                for i, mine, root, large in zip(part.column(0).to_pylist(), part.column(1), part.column(2).to_pylist(), part.column(3).to_pylist()):
+                    who, _ = _partners(index, i, mine.values.to_numpy(), threshold)
+                    if not len(who):
+                        continue
+                    rows.append((i, None, len(who)))
+                    if not large:
+                        back[who] += 1
+                    for r in np.unique(roots[who]).tolist():
+                        p, q = find(root), find(r)
+                        if p != q:
+                            up[p] = q
+                            rows.append((root, r, None))
+                yield batch(*([r[c] for r in rows] for c in range(3)))
+            some = np.flatnonzero(back)
+            yield batch(ids[some], [None] * len(some), back[some])
+
+        return classed.select("id", "grams", "root", "large").mapInArrow(run, "a bigint, b bigint, n bigint")
+
+    return _union([over(shared) for shared in indexes])
+
+
+def _list(classed: DataFrame, indexes: list, threshold: float) -> DataFrame:
+    """(a, b, j): all links that a large text of ``classed`` has, each once; as many rows as links."""
+
+    def over(shared):
+        def run(batches):
+            index = shared.value
+            ids, held, size = index[0], [], 0
+
+            def batch():
+                cols = [np.concatenate(c) for c in zip(*held)]
+                return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["a", "b", "j"])
+
+            for part in batches:
+                for i, mine, large in zip(part.column(0).to_pylist(), part.column(1), part.column(2).to_pylist()):
+                    who, j = _partners(index, i, mine.values.to_numpy(), threshold)
+                    other = ids[who]
+                    if large:  # the other large text meets this one too
+                        other, j = other[other > i], j[other > i]
+                    if len(other):
+                        held.append((np.minimum(other, i), np.maximum(other, i), j))
+                        size += len(other)
+                    if size > _ROWS:
+                        yield batch()
+                        held, size = [], 0
+            if held:
+                yield batch()
+
+        return classed.select("id", "grams", "large").mapInArrow(run, "a bigint, b bigint, j double")
+
+    return _union([over(shared) for shared in indexes])
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
     return out
 
 
@@ -174,17 +248,19 @@ def near_duplicates(
 
     * one row per document: id, ``copy_id`` (the least id with the same n-gram set),
       ``class_id`` (the least id of its connected component of links), ``n_links`` (links
-      of its text to other texts that were verified);
-    * the verified links (a, b, j) between the ``copy_id`` of different texts.
+      of its text to other texts);
+    * the links (a, b, j) between the ``copy_id`` of different texts, all that ``n_links``
+      counts.  Those of large buckets are found when the table is read, for a group of n
+      texts has up to n * (n - 1) / 2.
 
     Banding: bands and rows are chosen so that a pair at the threshold shares a bucket
     with probability ``recall``.  Exact copies fall together first, so a bucket holds
-    different texts.  In a bucket of up to ``pairwise`` texts all pairs are verified.  In a
-    larger one every text is verified against LEADERS leaders, drawn by hash.  Texts that are
-    then not in the class of each of their leaders, by links of all buckets, are held against
-    all candidate texts: their n-grams go out as an inverted index in blocks of
-    BLOCK_GRAMS.  So no class is lost to the size of a bucket; only links inside a large
-    group whose members are joined already are not listed one by one.
+    different texts.  In a bucket of up to ``pairwise`` texts all pairs are verified.  The
+    texts of larger ones are held against all candidate texts: their n-grams go out as an
+    inverted index in blocks of BLOCK_GRAMS, and every candidate counts its links to each
+    block on the full sets.  So no link is lost to the size of a bucket, and ``n_links``
+    is made without a row per link.  LEADERS leaders of a large bucket, drawn by hash, are
+    verified before, so that few classes are left for this pass to join.
 
     Edge cases: texts without words (null, empty, blank) are no copies of each other and
     have no links; a text of fewer words than ``size`` has one n-gram; rows with equal ids
@@ -208,24 +284,34 @@ def near_duplicates(
     one, two = small.select("bucket", F.col("rep").alias("a"), F.col("n").alias("an")), small.select("bucket", F.col("rep").alias("b"), F.col("n").alias("bn"))
     near = one.join(two, "bucket").where("a < b").where(alike(F.col("an"), F.col("bn"))).select("a", "b")
     heads = groups.where(F.col("m") > pairwise).select("bucket", F.array(*[f"lead{s}" for s in range(LEADERS)]).alias("leads"))
-    large = exploded.join(heads, "bucket").select("rep", "n", F.explode("leads").alias("l")).select("rep", "n", "l.leader", "l.ln").where("rep != leader")
-    large = cut(large.distinct())
-    star = large.where(alike(F.col("n"), F.col("ln"))).select(F.least("leader", "rep").alias("a"), F.greatest("leader", "rep").alias("b"))
+    told = cut(exploded.join(heads, "bucket").select("rep", "n", F.explode("leads").alias("l")).select("rep", "n", "l.leader", "l.ln").distinct())
+    star = told.where("rep != leader").where(alike(F.col("n"), F.col("ln"))).select(F.least("leader", "rep").alias("a"), F.greatest("leader", "rep").alias("b"))
     pairs = cut(near.unionByName(star).distinct())
-    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(large.select(F.col("rep").alias("id"))).distinct()
+    members = cut(told.select("rep", F.col("n").cast("bigint").alias("n")).distinct())
+    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(members.select(F.col("rep").alias("id"))).distinct()
     sets = cut(d.join(wanted, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets(size), "id bigint, grams array<bigint>"))
     links = cut(_verify(pairs, sets).where(F.col("j") >= threshold))
     roots = cut(components(links.select("a", "b")))
-    # members of large buckets that are not in the class of a leader by now, on whatever way
-    judged = large.join(roots.select(F.col("node").alias("rep"), F.col("root").alias("own")), "rep", "left")
-    judged = judged.join(roots.select(F.col("node").alias("leader"), F.col("root").alias("theirs")), "leader", "left")
-    left = cut(judged.where(F.coalesce("own", "rep") != F.coalesce("theirs", "leader")).select(F.col("rep").alias("id"), F.col("n").cast("bigint").alias("n")).distinct())
-    more = _against_all(left, sets, roots, threshold)
-    if more is not None:
-        links = cut(links.unionByName(more).dropDuplicates(["a", "b"]))
-        roots = cut(components(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(links.select("a", "b"))))
-
-    ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+    total = members.agg(F.sum("n")).first()[0] or 0
+    counted = []
+    if total:
+        # links of large buckets' texts are all found by the pass; of the verified ones those of other texts count
+        for end in ("a", "b"):
+            links = links.join(members.select(F.col("rep").alias(end)), end, "left_anti")
+        links = cut(links.select("a", "b", "j"))
+        classed = sets.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").join(members.select(F.col("rep").alias("id"), F.lit(True).alias("large")), "id", "left")
+        classed = cut(classed.select("id", "grams", F.coalesce("root", "id").alias("root"), F.coalesce("large", F.lit(False)).alias("large")))
+        indexes = _index(classed, total)
+        found = cut(_count(classed, indexes, threshold))
+        counted = [found.where("b is null").select(F.col("a").alias("node"), "n")]
+        joins = found.where("b is not null").select("a", "b").distinct()
+        if not joins.isEmpty():
+            roots = cut(components(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(joins)))
+
+    once = [links.select(F.col(end).alias("node"), F.lit(1).cast("bigint").alias("n")) for end in ("a", "b")]
+    ends = _union(once + counted).groupBy("node").agg(F.sum("n").alias("n_links"))
+    if total:
+        links = links.unionByName(_list(classed, indexes, threshold))
     known = reps.select("sig", F.col("rep").alias("node")).join(roots, "node", "left").join(ends, "node", "left")
     known = cut(known.select("sig", F.col("node").alias("copy_id"), F.coalesce("root", "node").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
     out = signed.select("id", "sig").join(known, "sig", "left")

@@ -259,6 +259,30 @@ def test_links_of_small_groups_are_counted(spark):
     assert got == {0: (0, 0, 3), 1: (1, 0, 3), 2: (2, 0, 3), 3: (3, 0, 3), 10: (0, 0, 3)}
 
 
+@pytest.mark.parametrize("block_grams", [None, 3000])
+def test_links_of_large_groups_are_counted(spark, monkeypatch, block_grams):
+    if block_grams:
+        monkeypatch.setattr(near_dup, "BLOCK_GRAMS", block_grams)
+    rng, rows = random.Random(8), []
+    for group, n, edits in ((0, 90, 2), (1, 60, 7), (2, 3, 1)):  # two groups above PAIRWISE, one of them on the threshold, and a small one
+        base = [f"g{group}w{k}" for k in range(150)]
+        for i in range(n):
+            w = list(base)
+            for _ in range(rng.randint(0, edits)):
+                w[rng.randrange(150)] = f"x{rng.randint(0, 10**6)}"
+            rows.append((1000 * group + i, " ".join(w)))
+    rows += [(5000, rows[7][1]), (5001, rows[100][1]), (5002, None), (5003, "nothing like it")]
+    want, sets = classes_expected(rows, 0.8)
+    copy = {i: min(k for k in sets if sets[k] == sets[i]) if sets[i] else i for i in sets}
+    texts = sorted(i for i in sets if sets[i] and copy[i] == i)
+    near = {(a, b) for a in texts for b in texts if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    links_of = Counter(i for pair in near for i in pair)
+    got, links = near_dup.near_duplicates(docs_of(spark, rows))
+    assert {r.doc_id: (r.class_id, r.n_links) for r in got.collect()} == {i: (copy[want[copy[i]]], links_of[copy[i]]) for i in sets}
+    listed = [(r.a, r.b) for r in links.collect()]
+    assert len(listed) == len(set(listed)) and set(listed) == near
+
+
 def test_band_plan():
     bands, rows = near_dup.plan_bands(0.8, 0.9995)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.9995 and bands * rows <= 128
