@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Lines in a block of the distribution; text a block needs for a surge where no element marks the article.
+#: Lines in a block of the distribution; text a block needs for a surge.
 WINDOW, SURGE = 3, 80
 
 _TOKEN = re.compile(
@@ -153,9 +153,21 @@ def main_text(page: str | None, window: int = WINDOW, surge: float = SURGE) -> s
     lines = lines_of(page) if page else []
     if not lines:
         return ""
-    rank = max((r for _, _, apart, r in lines if not apart), default=0)
-    weights = np.array([0 if apart or r < rank else max(0, len(t) - (0 if rank else links)) for t, links, apart, r in lines])
-    need = 1 if rank or weights.sum() < surge else surge
+    size = np.array([len(t) for t, _, _, _ in lines])
+    rank = np.array([0 if apart else r for _, _, apart, r in lines])
+    weights = np.array([0 if apart else max(0, len(t) - links) for t, links, apart, _ in lines])
+    need, top = 1 if weights.sum() < surge else surge, int(rank.max())
+    found = np.zeros(len(lines), dtype=bool)
+    for a, b in surges(weights, window, need):
+        found[a:b] = True
+    for mark in range(top, 0, -1):
+        inside = rank >= mark
+        if size[inside].sum() >= weights[found & ~inside].sum():
+            weights, need = np.where(inside, size, 0), 1
+            break
+    else:
+        if top:
+            weights = np.where(rank == top, size + surge, weights)
     return "\n".join(lines[i][0] for a, b in surges(weights, window, need) for i in range(a, b) if weights[i] > 0)
 
 
@@ -163,11 +175,13 @@ def extract_text(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...]
     """Main text of every page: the columns ``keep``, ``text``, ``n_chars``.
 
     Markup is stripped to lines, a line per block element.  Lines in menus, headers,
-    footers, sidebars, notices, adverts, forms and reader comments weigh nothing, nor do
-    lines outside the article where an element marks it; other lines weigh their length.
-    Weights are summed over sliding windows of lines, surge and dive points located, and
-    the text between them kept.  Where nothing marks the article, characters in links
-    do not count and a surge needs SURGE characters.
+    footers, sidebars, notices, adverts, forms and reader comments weigh nothing, others
+    their characters outside links.  Weights are summed over sliding windows of lines,
+    surge and dive points located, and the text between them kept; a surge needs SURGE
+    characters.  An element that marks the article bounds it instead, and all its lines are
+    kept, unless the surges outside it hold more text than it does: then the next surest
+    kind of mark is tried.  Where none holds, surges decide, and each line of the surest
+    mark is one.
 
     Edge cases: null, empty and textless pages give an empty text; unclosed elements end
     with their parents; pages of any length are read whole; repeated pages are extracted

@@ -31,6 +31,17 @@ def test_html_without_marks_needs_a_surge():
     assert html_extract.main_text(page) == f"{text}\n{text}\nshort end"
 
 
+def test_html_surges_outweigh_a_mark():
+    text = "A paragraph that is certainly long enough to count as the text of a page, with more than eighty characters."
+    links = "<p><a href=x>more</a></p>" * 4
+    page = f"<body><article><p>Teaser</p></article>{links}<div><p>{text}</p><p>{text}</p></div>{links}<p>alone</p></body>"
+    assert html_extract.main_text(page) == f"Teaser\n{text}\n{text}"
+    # the next kind of mark holds the text
+    assert html_extract.main_text(f"<body><main><article><p>Teaser</p></article><p>{text}</p>{'<hr>' * 4}<p>end</p></main><p>alone</p></body>") == f"Teaser\n{text}\nend"
+    # less text outside than in the mark
+    assert html_extract.main_text(f"<body><article><p>{text}</p><p>{text}</p></article><div><p>{text}</p></div></body>") == f"{text}\n{text}"
+
+
 def test_surges():
     assert html_extract.surges(np.array([0, 0, 50, 60, 0, 10, 0, 0, 0, 90]), 3, 80) == [(2, 6), (9, 10)]
     assert html_extract.surges(np.array([]), 3, 1) == []
