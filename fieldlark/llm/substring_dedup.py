@@ -27,6 +27,7 @@ from fieldlark.llm.words import PLAIN, Words, owner, windows, within
 #: Bytes of text in a group (held by one task at a time) and of text whose block fingerprints share a partition.
 GROUP_BYTES, MAX_GROUP_BYTES, PART_BYTES = 2 << 20, 32 << 20, 16 << 20
 PACKED = "part int, kind int, grp bigint, body binary, extra binary"
+KEPT = "id bigint, n_words bigint, n_removed bigint, spans array<struct<start:int,end:int>>, text string"
 BLOCKS, PROBES, FULL, STATE, HITS, LATER = range(6)
 _MASK = np.uint64((1 << 40) - 1)
 
@@ -270,19 +271,31 @@ def _remove(parts: int, window: int):
                 counts.append(int(b - a))
                 removed.append(lost)
                 texts.append(b" ".join(words).decode())
-        return pa.table(
-            {
-                "id": docs.column("id"),
-                "n_words": pa.array(counts, pa.int64()),
-                "n_removed": pa.array(removed, pa.int64()),
-                "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
-                "text": pa.array(texts, pa.string()),
-            }
-        )
+        return _kept(docs.column("id"), counts, removed, spans, texts)
 
     return run
 
 
+def _kept(ids: pa.ChunkedArray | pa.Array, counts: list[int], removed: list[int], spans: list[list[dict]], texts: list[str]) -> pa.Table:
+    return pa.table(
+        {
+            "id": ids,
+            "n_words": pa.array(counts, pa.int64()),
+            "n_removed": pa.array(removed, pa.int64()),
+            "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
+            "text": pa.array(texts, pa.string()),
+        }
+    )
+
+
+def _keep_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, text) that keep all their words."""
+    for b in batches:
+        found = Words(b.column(1), PLAIN)
+        words = [found.bytes_of(i).split() for i in range(b.num_rows)]
+        yield from _kept(b.column(0), [len(w) for w in words], [0] * len(words), [[]] * len(words), [b" ".join(w).decode() for w in words]).to_batches()
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50) -> DataFrame:
     """Remove each word covered by a window whose words also start in a document of smaller id.
 
@@ -293,11 +306,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Edge cases: null, empty and blank texts have no words; texts shorter than a window keep
     all; a repeat inside one document stays; rows with equal ids do not remove each other;
-    rows with a null id are left out of the result, for they have no order; an empty table
-    gives an empty table; other columns are ignored.  Windows are compared by 64-bit hash.
+    rows with a null id keep all their words and remove none of others, for they have no
+    order; an empty table gives an empty table; other columns are ignored.  Windows are
+    compared by 64-bit hash.
 
     Plan: the texts are shuffled once, by group, and this exchange is used by all three
-    passes; one task holds one group or the block fingerprints of one part at a time.
+    passes; one task holds one group or the block fingerprints of one part at a time.  Rows
+    with a null id are not shuffled.
     """
     assert window >= 2 and window % 2 == 0
     spark = docs.sparkSession
@@ -311,7 +326,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     hits = sent.repartition(tasks, "part").sortWithinPartitions("part", "kind").mapInArrow(_probe, PACKED)
     near = d.groupBy("grp").cogroup(hits.groupBy("grp")).applyInArrow(_extend(parts, window), PACKED)
     later = near.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(_compare, PACKED)
-    out = d.groupBy("grp").cogroup(later.groupBy("grp")).applyInArrow(
-        _remove(parts, window), "id bigint, n_words bigint, n_removed bigint, spans array<struct<start:int,end:int>>, text string"
-    )
-    return out.withColumnRenamed("id", id_col)
+    out = d.groupBy("grp").cogroup(later.groupBy("grp")).applyInArrow(_remove(parts, window), KEPT)
+    nameless = docs.where(F.col(id_col).isNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    return out.unionByName(nameless.mapInArrow(_keep_all, KEPT)).withColumnRenamed("id", id_col)

@@ -206,6 +206,17 @@ def test_substring_dedup(spark, window):
     assert all(sum(s.end - s.start for s in r.spans) == r.n_removed for r in got)
 
 
+def test_substring_dedup_keeps_rows_without_id(spark):
+    passage = " ".join(f"p{k}" for k in range(60))
+    rows = [(1, f"a {passage}"), (2, f"{passage} b"), (None, f" c\t{passage}  é"), (None, passage), (None, passage), (None, None), (None, " \n")]
+    got = substring_dedup.remove_repeats(docs_of(spark, rows)).collect()
+    want = [(1, 61, 0, f"a {passage}"), (2, 61, 60, "b"), (None, 62, 0, f"c {passage} é"), (None, 60, 0, passage), (None, 60, 0, passage), (None, 0, 0, ""), (None, 0, 0, "")]
+    assert sorted([(r.doc_id, r.n_words, r.n_removed, r.text) for r in got], key=str) == sorted(want, key=str)
+    assert all(r.spans == [] for r in got if r.doc_id is None)
+    # a table without any ids
+    assert substring_dedup.remove_repeats(docs_of(spark, rows[2:])).count() == 5
+
+
 # near duplicates
 
 
