@@ -1,4 +1,7 @@
-"""From raw documents to a training mix: each stage applies one operator to all that the one before kept."""
+"""From raw documents to a training mix: each stage applies one operator to all that the one before kept.
+
+Every row has its own decision: columns come along through the operators, or rows are joined
+by a number written at the start of a stage, never by doc_id, which may be null or repeated."""
 
 from __future__ import annotations
 
@@ -14,48 +17,57 @@ from fieldlark.llm.line_dedup import drop_common_lines
 from fieldlark.llm.mixing import mix_sources
 from fieldlark.llm.near_dup import near_duplicates
 from fieldlark.llm.quality import classify
+from fieldlark.operators.lineage import Rounds
+
+
+def _whole(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, _row): every row with all its columns in one, to come along through an operator."""
+    return docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row"))
 
 
-def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is in ``kept``; no other column of it comes along."""
-    ids = kept.select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number of its own for every row, written once so that it stays."""
+    return Rounds(docs.sparkSession).cut(docs.withColumn("_row", F.monotonically_increasing_id()))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects as junk or toxic go."""
-    scored = classify(docs, table(spark, sf_dir, "labels"))
-    return _only(docs, scored.where("keep"))
+    scored = classify(_whole(docs), table(spark, sf_dir, "labels"), row_col="_row")
+    return scored.where("keep").select("_row.*")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines found in ten or more documents go; so do documents of which nothing but blanks is left."""
-    kept = drop_common_lines(docs)
-    new = kept.where(F.col("n_dropped") > 0).groupBy(F.col("doc_id").alias("_line_id")).agg(F.first("text").alias("_line_text"))
-    joined = docs.join(new, F.col("doc_id").eqNullSafe(F.col("_line_id")), "left")
-    changed = F.col("_line_text").isNotNull()
-    out = joined.withColumn("text", F.coalesce("_line_text", "text")).where(~changed | (F.btrim(F.col("text"), F.lit(" \t\n\x0b\x0c\r")) != ""))
-    return out.withColumn("n_chars", F.when(changed, F.char_length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    others = [c for c in docs.columns if c != "text"]
+    kept = drop_common_lines(docs.select("doc_id", "text", F.struct(*others, F.col("text").isNull().alias("_no_text")).alias("_row")), row_col="_row")
+    changed = F.col("n_dropped") > 0
+    out = kept.where(~changed | (F.btrim(F.col("text"), F.lit(" \t\n\x0b\x0c\r")) != ""))
+    new = {"text": F.when(~F.col("_row._no_text"), F.col("text")), "n_chars": F.when(changed, F.char_length("text").cast("bigint")).otherwise(F.col("_row.n_chars"))}
+    return out.select(*[new.get(c, F.col(f"_row.{c}")).alias(c) for c in docs.columns])
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the least id stays."""
-    classes, _ = near_duplicates(docs)
-    return _only(docs, classes.where("doc_id = class_id or doc_id is null"))
+    """Of each group of near-duplicates the document with the least id stays, one without an id only where none has one."""
+    keyed = _keyed(docs)
+    classes, _ = near_duplicates(keyed, id_col="_row")
+    # classes of one row need no judging but are judged alike
+    named = classes.select("_row", "class_id").join(keyed.select("_row", "doc_id"), "_row")
+    first = named.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row")).alias("least"))
+    return keyed.join(first.select("least._row"), "_row", "left_semi").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents contaminated with benchmark passages go."""
-    found = find_contamination(docs, table(spark, sf_dir, "benchmark"))
-    return _only(docs, found.where(~contaminated()))
+    found = find_contamination(_whole(docs), table(spark, sf_dir, "benchmark"), id_col="_row")
+    return found.where(~contaminated()).select("_row.*")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per document that the mix takes, with its copies."""
-    mixed = mix_sources(docs).where("copies > 0").select(F.col("doc_id").alias("_mix_id"), "size", "source_size", "target", "copies", "taken")
+    keyed = _keyed(docs)
     extra = ["size", "source_size", "target", "copies", "taken"]
-    kept = docs.select(*[c for c in docs.columns if c not in extra])
-    return kept.join(mixed, F.col("doc_id").eqNullSafe(F.col("_mix_id")), "inner").drop("_mix_id")
+    mixed = mix_sources(keyed, row_col="_row").where("copies > 0").select("_row", *extra)
+    return keyed.select("_row", *[c for c in docs.columns if c not in extra]).join(mixed, "_row").drop("_row")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -21,12 +21,13 @@ def _keys(text: Column, min_chars: int) -> Column:
     return F.transform(F.split(F.translate(text, UPPER, LOWER), "\n"), key)
 
 
-def drop_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1) -> DataFrame:
+def drop_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1, row_col: str | None = None) -> DataFrame:
     """Drop every line whose key is found in at least ``min_docs`` documents.
 
     A text is split at each newline; a key is the line with blanks stripped at both
     ends and A-Z lower-cased.  Returns one row per input row: ``id_col``, ``text``
-    (kept lines joined by a newline), ``n_lines`` (before dropping), ``n_dropped``.
+    (kept lines joined by a newline), ``n_lines`` (before dropping), ``n_dropped``, and
+    ``row_col`` of the row, if given.
 
     Edge cases: a null or empty text is one empty line; an empty key is never
     dropped (``min_chars`` >= 1); a line repeated inside a document counts that
@@ -39,12 +40,12 @@ def drop_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     document gets its own short list of common hashes by one join on its id.
     Keys are compared by xxhash64.
     """
-    base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *([F.col(row_col).alias("row")] if row_col else []))
     keyed = base.select("id", F.explode(F.array_compact(F.array_distinct(_keys(F.col("text"), max(1, min_chars))))).alias("h"))
     marked = keyed.select("h", F.coalesce(F.col("id").cast("string"), F.lit("null")).alias("doc"))
     common = cut(marked.groupBy("h").agg(F.count_distinct("doc").alias("n")).where(F.col("n") >= min_docs).select("h"))
     per_doc = keyed.join(common, "h", "left_semi").groupBy(F.col("id").alias("bad_id")).agg(F.collect_set("h").alias("bad"))
-    found = base.join(per_doc, F.col("id").eqNullSafe(F.col("bad_id")), "left").select("id", "text", "bad")
+    found = base.join(per_doc, F.col("id").eqNullSafe(F.col("bad_id")), "left").drop("bad_id")
     lines = F.split("text", "\n")
     flags = F.transform(_keys(F.col("text"), max(1, min_chars)), lambda h: F.coalesce(F.array_contains(F.col("bad"), h), F.lit(False)))
     flagged = found.withColumn("flags", F.when(F.col("bad").isNotNull(), flags))
@@ -54,4 +55,5 @@ def drop_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         F.when(F.col("flags").isNull(), F.col("text")).otherwise(kept).alias("text"),
         F.size(lines).cast("bigint").alias("n_lines"),
         F.when(F.col("flags").isNull(), F.lit(0)).otherwise(F.size(F.filter("flags", lambda x: x))).cast("bigint").alias("n_dropped"),
+        *([F.col("row").alias(row_col)] if row_col else []),
     )

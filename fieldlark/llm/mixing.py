@@ -55,6 +55,7 @@ def mix_sources(
     cap: float = 3.0,
     seed: int = 7,
     size_power: float = 0.5,
+    row_col: str | None = None,
 ) -> DataFrame:
     """How many whole copies of each document the mix takes.
 
@@ -68,7 +69,7 @@ def mix_sources(
     (``cap`` whole).
 
     Returns one row per input row: id, source, ``size``, ``source_size``, ``target``,
-    ``copies``, ``taken``.  Random numbers depend on id, size and seed only, so reruns
+    ``copies``, ``taken``, and ``row_col`` of the row, if given.  Random numbers depend on id, size and seed only, so reruns
     agree.
 
     Edge cases: null text has size 0 and takes 0; a null source is a source of its
@@ -81,7 +82,7 @@ def mix_sources(
     the end of the sample.  Only documents of the one bucket where a source's sample
     ends are sorted, so a source that holds a third of all rows is never in one task.
     """
-    sized = cut(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")))
+    sized = cut(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), *([F.col(row_col).alias("row")] if row_col else [])))
     by_size = cut(sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")))
     targets = source_targets(by_size.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size")), weights, cap)
     # c: in falling order of size the capped documents come first
@@ -125,4 +126,4 @@ def mix_sources(
     tail = tail.withColumn("extra", (F.col("run") - F.col("size") / 2.0 <= F.col("end.room")).cast("int"))
     out = clear.where(~F.coalesce(last, F.lit(False))).unionByName(tail.drop("run"))
     copies = (F.col("whole") + F.col("extra")).cast("bigint")
-    return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", F.col("target"), copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", F.col("target"), copies.alias("copies"), (copies * F.col("size")).alias("taken"), *([F.col("row").alias(row_col)] if row_col else []))

@@ -435,7 +435,7 @@ def fit(docs: DataFrame, labels: DataFrame, labelled_sample: int = LABELLED_SAMP
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """(id, text) -> (id, junk_score, toxic_score); a score above 0 rejects."""
+    """(id, text) -> (id, junk_score, toxic_score); a score above 0 rejects.  ``id`` may be of any type."""
     shared = docs.sparkSession.sparkContext.broadcast(model.scorers)
 
     def run(batches):
@@ -444,11 +444,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             junk = np.where(f.empty, np.maximum(shared.value["junk"].score(f), 1.0), shared.value["junk"].score(f))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(junk, pa.float64()), pa.array(shared.value["toxic"].score(f), pa.float64())], names=["id", "junk_score", "toxic_score"])
 
-    return docs.mapInArrow(run, "id bigint, junk_score double, toxic_score double")
+    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, junk_score double, toxic_score double")
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", toxic_col: str = "toxic") -> DataFrame:
-    """(id, ``junk_score``, ``toxic_score``, ``keep``) of every row.
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", toxic_col: str = "toxic", row_col: str | None = None) -> DataFrame:
+    """(id, ``junk_score``, ``toxic_score``, ``keep``) of every row; with ``row_col``, that column of the row in place of the id.
 
     Edge cases: texts without words (null, empty, blank) are junk; without
     labels the learnt word lists are empty and their labellers abstain; null labels are
@@ -458,5 +458,5 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """
     d = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     marks = labels.select(F.col(label_id).cast("bigint").alias("id"), F.col(toxic_col).alias("toxic"))
-    scored = score(d, fit(d, marks))
-    return scored.select(F.col("id").alias(id_col), "junk_score", "toxic_score", ((F.col("junk_score") <= 0) & (F.col("toxic_score") <= 0)).alias("keep"))
+    scored = score(docs.select(F.col(row_col).alias("id"), F.col(text_col).alias("text")) if row_col else d, fit(d, marks))
+    return scored.select(F.col("id").alias(row_col or id_col), "junk_score", "toxic_score", ((F.col("junk_score") <= 0) & (F.col("toxic_score") <= 0)).alias("keep"))

@@ -230,3 +230,39 @@ def test_pipeline_stages(spark, tmp_path):
     assert 1000 not in left[2] and good[0] in left[2]
     assert set(left[2]) - set(left[3]) == {1001}
     assert set(left[4]) <= set(left[3]) and all(r.taken == r.copies * r.size for r in left[4].values())
+
+
+def test_pipeline_rows_that_share_an_id(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    stage = {f.__name__: f for _, f in corpus_pipeline.STAGES}
+    ids = [None, None, None, 7, 7, 7]
+
+    def after(name, texts, ids=ids):
+        rows = [(i, t, "en", "s", len(t or "")) for i, t in zip(ids, texts)]
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(2)
+        return docs, stage[name](spark, docs, str(tmp_path)).collect()
+
+    def kept(name, texts, ids=ids):
+        return sorted(((r.doc_id, r.text) for r in after(name, texts, ids)[1]), key=str)
+
+    words = [" ".join(f"{name}{k}" for k in range(40)) for name in "abcdef"]
+    # lines: each row loses its own common lines, and keeps its own text or the lack of one
+    ten = [(i, f"common\n{i}") for i in range(100, 110)]
+    got = after("lines", [f"common\n{w}" if k % 3 else w for k, w in enumerate(words)] + [None] + [t for _, t in ten], [*ids, None] + [i for i, _ in ten])[1]
+    assert sorted([(r.doc_id, r.text, r.n_chars) for r in got if (r.doc_id or 0) < 100], key=str) == sorted([(i, w, len(w)) for i, w in zip(ids, words)] + [(None, None, 0)], key=str)
+    # near copies: one of each group, one with an id before one without
+    assert kept("near_copies", [words[0], words[0], words[1], words[1], words[2], words[2]]) == sorted([(None, words[0]), (7, words[1]), (7, words[2])], key=str)
+    # decontamination
+    spark.createDataFrame([(1, words[0]), (2, words[3])], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert kept("decontamination", words) == sorted([(i, w) for k, (i, w) in enumerate(zip(ids, words)) if k not in (0, 3)], key=str)
+    # mixing: each row once, with its own size
+    docs, got = after("mixing", [" ".join(w.split()[: 10 + 3 * k]) for k, w in enumerate(words)])
+    assert sorted(r.size for r in got) == sorted(len(r.text.split()) for r in got) and len({r.text for r in got}) == len(got) > 0
+    # quality
+    rows, marks = made_documents(400)
+    spark.createDataFrame(marks, "doc_id bigint, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    extra = [rows[3][1], rows[0][1], rows[8][1], rows[4][1], rows[1][1], rows[9][1]]
+    separate = dict(kept("quality", [t for _, t in rows] + extra, [i for i, _ in rows] + list(range(1000, 1006))))
+    shared = kept("quality", [t for _, t in rows] + extra, [i for i, _ in rows] + [None] * 6)
+    assert sorted(t for i, t in shared if i is None) == sorted(t for i, t in separate.items() if i >= 1000)
+    assert 0 < sum(i is None for i, _ in shared) < 6
