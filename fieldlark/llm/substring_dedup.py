@@ -22,14 +22,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldlark.llm.common import shuffle_parts, text_bytes
-from fieldlark.llm.words import PLAIN, Words, owner, windows, within
+from fieldlark.llm.words import PLAIN, Words, mix, owner, windows, within
 
-#: Bytes of text in a group (held by one task at a time) and of text whose block fingerprints share a partition.
-GROUP_BYTES, MAX_GROUP_BYTES, PART_BYTES = 2 << 20, 32 << 20, 16 << 20
+#: Bytes of text in a group (held by one task at a time) and of text whose fingerprints share a
+#: part.  Both grow with the input up to their bounds, for there is a message per group and part.
+GROUP_BYTES, MAX_GROUP_BYTES, PART_BYTES, MAX_PART_BYTES = 2 << 20, 32 << 20, 16 << 20, 128 << 20
 PACKED = "part int, kind int, grp bigint, body binary, extra binary"
 KEPT = "id bigint, n_words bigint, n_removed bigint, spans array<struct<start:int,end:int>>, text string"
 BLOCKS, PROBES, FULL, STATE, HITS, LATER = range(6)
 _MASK = np.uint64((1 << 40) - 1)
+_SECOND = np.uint64(0xA0761D6478BD642F)
 
 
 def _batch(rows: list[tuple]) -> pa.Table:
@@ -54,18 +56,35 @@ def _parts(h: np.ndarray, parts: int) -> np.ndarray:
     return ((h >> np.uint64(40)) * np.uint64(parts)) >> np.uint64(24)
 
 
+def _in_order(table: pa.Table) -> pa.Table:
+    """The rows of a group by id, those of one id by text.
+
+    Rows come in the order in which shuffle blocks arrive, another one in each pass and each
+    retry.  Word positions are passed on between the passes, so these must not depend on it;
+    rows that tie in both are alike, and any order of them gives the same positions.
+    """
+    table = pa.table({"id": table.column("id"), "text": table.column("text").cast(pa.large_string())}).combine_chunks()
+    table = table.take(pa.array(np.argsort(table.column("id").to_numpy(), kind="stable")))
+    order = np.arange(table.num_rows)
+    bounds = np.concatenate(([0], np.flatnonzero(np.diff(table.column("id").to_numpy())) + 1, [table.num_rows]))
+    for k in np.flatnonzero(np.diff(bounds) > 1):
+        a, b = bounds[k], bounds[k + 1]
+        texts = table.column("text").slice(a, b - a).to_pylist()
+        order[a:b] = sorted(range(a, b), key=lambda i: (texts[i - a] is not None, texts[i - a] or ""))
+    return table.take(pa.array(order)).combine_chunks()
+
+
 class _Group:
     """The documents of a group with what all passes derive from them in the same way."""
 
     def __init__(self, table: pa.Table, window: int, parts: int):
+        table = _in_order(table)
         self.ids = table.column("id")
         self.words = Words(table.column("text"), PLAIN)
         self.h, self.first = self.words.hashes(), self.words.first
         self.doc = owner(self.first)
         self.window, self.half, self.parts = window, window // 2, parts
-        # order of documents by id; rows with equal ids share a rank, null comes last
-        ids = self.ids.combine_chunks() if isinstance(self.ids, pa.ChunkedArray) else self.ids
-        self.rank_of = ids.to_numpy(zero_copy_only=False)
+        self.rank_of = self.ids.to_numpy()  # documents are ordered by id; rows with equal ids share a rank
 
     def probes(self) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all rolling half windows, and which of them stay in one text."""
@@ -101,16 +120,31 @@ class _Group:
         return np.flatnonzero(any_hit & within(self.first, self.window))
 
     def full(self, cand: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct full-window hashes of ``cand``, the smallest id of each in the group,
-        and per candidate the index of its hash and whether its own id is larger."""
-        x = windows(self.h, self.window)[cand] if len(cand) else np.zeros(0, np.uint64)
+        """Distinct 128-bit hashes (a row each) of the full windows of ``cand``, the smallest id of
+        each in the group, and per candidate the index of its hash and whether its own id is larger."""
+        x = np.stack([windows(h, self.window)[cand] for h in (self.h, mix(self.h ^ _SECOND))], axis=1) if len(cand) else np.zeros((0, 2), np.uint64)
         ids = self.rank_of[self.doc[cand]].astype(np.int64)
-        u, inv = np.unique(x, return_inverse=True)
-        least = np.full(len(u), np.iinfo(np.int64).max)
-        np.minimum.at(least, inv, ids)
+        u, inv = _distinct(x)
+        least = _least(ids, inv, len(u))
         return u, least, inv, ids > least[inv]
 
 
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows of two columns, sorted, and for each row the index of its own."""
+    order = np.lexsort((x[:, 1], x[:, 0]))
+    x, inv = x[order], np.empty(len(order), dtype=np.int64)
+    new = np.ones(len(x), dtype=bool)
+    new[1:] = (x[1:] != x[:-1]).any(axis=1)
+    inv[order] = np.cumsum(new) - 1
+    return x[new], inv
+
+
+def _least(ids: np.ndarray, inv: np.ndarray, n: int) -> np.ndarray:
+    least = np.full(n, np.iinfo(np.int64).max)
+    np.minimum.at(least, inv, ids)
+    return least
+
+
 def _split(h: np.ndarray, parts: int) -> list[tuple[int, int, int]]:
     """(partition, lo, hi) slices of sorted hashes."""
     p = _parts(h, parts)
@@ -197,7 +231,7 @@ def _extend(parts: int, window: int):
             return _batch([])
         u, least, _, _ = g.full(cand)
         grp = key[0].as_py()
-        rows = [(p, FULL, grp, u[lo:hi].tobytes(), least[lo:hi].tobytes()) for p, lo, hi in _split(u, parts)]
+        rows = [(p, FULL, grp, u[lo:hi].tobytes(), least[lo:hi].tobytes()) for p, lo, hi in _split(u[:, 0], parts)]
         flags = np.zeros(g.words.n, dtype=bool)
         flags[cand] = True
         # the candidates come back with the answers: dealt to any part, passed on as they are
@@ -213,12 +247,9 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part, held = None, []
 
     def answers():
-        h = np.concatenate([a for _, a, _ in held])
         ids = np.concatenate([b for _, _, b in held])
-        u, inv = np.unique(h, return_inverse=True)
-        least = np.full(len(u), np.iinfo(np.int64).max)
-        np.minimum.at(least, inv, ids)
-        later, at, rows = ids > least[inv], 0, []
+        u, inv = _distinct(np.concatenate([a for _, a, _ in held]))
+        later, at, rows = ids > _least(ids, inv, len(u))[inv], 0, []
         for grp, a, _ in held:
             rows.append((part, LATER, grp, np.packbits(later[at : at + len(a)]).tobytes(), None))
             at += len(a)
@@ -232,7 +263,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if kind == STATE:
             yield from _batch([(p, STATE, grp, body, None)]).to_batches()
         else:
-            held.append((grp, np.frombuffer(body, np.uint64), np.frombuffer(extra, np.int64)))
+            held.append((grp, np.frombuffer(body, np.uint64).reshape(-1, 2), np.frombuffer(extra, np.int64)))
     if held:
         yield from answers()
 
@@ -240,7 +271,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _remove(parts: int, window: int):
     def run(key: tuple[pa.Scalar, ...], docs: pa.Table, told: pa.Table) -> pa.Table:
         g = _Group(docs, window, parts) if docs.num_rows else None
-        ids, counts, removed, texts, spans = [], [], [], [], []
+        ids, counts, removed, texts, spans = pa.array([], pa.int64()), [], [], [], []
         if g is not None:
             gone = np.zeros(g.words.n, dtype=bool)
             state = next(iter(_bits(told, STATE).values()), None)
@@ -248,7 +279,7 @@ def _remove(parts: int, window: int):
                 cand = np.flatnonzero(np.unpackbits(np.frombuffer(state, np.uint8), count=g.words.n))
                 u, _, inv, own = g.full(cand)
                 bits, later = _bits(told, LATER), np.zeros(len(u), dtype=bool)
-                for p, lo, hi in _split(u, parts):
+                for p, lo, hi in _split(u[:, 0], parts):
                     if p in bits:
                         later[lo:hi] = np.unpackbits(np.frombuffer(bits[p], np.uint8), count=hi - lo)
                 start = cand[later[inv] | own]
@@ -257,6 +288,7 @@ def _remove(parts: int, window: int):
                 np.add.at(marks, start + window, -1)
                 gone = np.cumsum(marks[:-1]) > 0
             sums = np.concatenate(([0], np.cumsum(gone)))
+            ids = g.ids
             for i in range(docs.num_rows):
                 a, b = g.first[i], g.first[i + 1]
                 lost = int(sums[b] - sums[a])
@@ -271,7 +303,7 @@ def _remove(parts: int, window: int):
                 counts.append(int(b - a))
                 removed.append(lost)
                 texts.append(b" ".join(words).decode())
-        return _kept(docs.column("id"), counts, removed, spans, texts)
+        return _kept(ids, counts, removed, spans, texts)
 
     return run
 
@@ -307,8 +339,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Edge cases: null, empty and blank texts have no words; texts shorter than a window keep
     all; a repeat inside one document stays; rows with equal ids do not remove each other;
     rows with a null id keep all their words and remove none of others, for they have no
-    order; an empty table gives an empty table; other columns are ignored.  Windows are
-    compared by 64-bit hash.
+    order; an empty table gives an empty table; other columns are ignored; an id that is
+    no whole number is refused by the cast to bigint.  Windows are compared by 128-bit hash.
 
     Plan: the texts are shuffled once, by group, and this exchange is used by all three
     passes; one task holds one group or the block fingerprints of one part at a time.  Rows
@@ -319,7 +351,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     total = text_bytes(docs, text_col)
     size = min(MAX_GROUP_BYTES, max(GROUP_BYTES, total // 4096))
     groups = int(max(64, -(-total // size)))
-    parts = int(max(16, -(-total // PART_BYTES)))
+    part = min(MAX_PART_BYTES, max(PART_BYTES, total // 4096))
+    parts = int(max(16, -(-total // part)))
     d = docs.where(F.col(id_col).isNotNull()).select(F.pmod(F.xxhash64(id_col), F.lit(groups)).alias("grp"), F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     tasks = max(parts, shuffle_parts(spark))
     sent = d.groupBy("grp").applyInArrow(_send(parts, window), PACKED)

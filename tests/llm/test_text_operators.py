@@ -5,6 +5,8 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from fieldlark.llm import decontaminate, line_dedup, mixing, near_dup, substring_dedup
@@ -206,6 +208,33 @@ def test_substring_dedup(spark, window):
     assert all(sum(s.end - s.start for s in r.spans) == r.n_removed for r in got)
 
 
+def test_substring_dedup_in_any_row_order():
+    """The passes of a group agree although its rows come in another order each time, as from several executors."""
+    rng, window, parts = random.Random(12), 10, 5
+    texts = some_texts(3, 80, words=90, vocab=300)
+    rows = [(i, t) for i, t in enumerate(texts)] + [(7, texts[3]), (7, None), (7, texts[60]), (90, None), (91, "")]
+    groups = {g: [r for r in rows if r[0] % 3 == g] for g in range(3)}
+
+    def table(g):
+        mine = rng.sample(groups[g], len(groups[g]))
+        return pa.table({"grp": pa.array([g] * len(mine)), "id": pa.array([i for i, _ in mine], pa.int64()), "text": pa.array([t for _, t in mine], pa.string())})
+
+    def exchanged(tables, step):
+        sent = pa.concat_tables(tables)
+        sent = sent.take(pa.array(rng.sample(range(sent.num_rows), sent.num_rows))).sort_by([("part", "ascending"), ("kind", "ascending")])
+        return pa.Table.from_batches(list(step(iter(sent.to_batches()))))
+
+    def to(told, g):
+        return told.filter(pc.equal(told.column("grp"), g))
+
+    key = lambda g: (pa.scalar(g),)
+    hits = exchanged([substring_dedup._send(parts, window)(key(g), table(g)) for g in groups], substring_dedup._probe)
+    later = exchanged([substring_dedup._extend(parts, window)(key(g), table(g), to(hits, g)) for g in groups], substring_dedup._compare)
+    got = pa.concat_tables([substring_dedup._remove(parts, window)(key(g), table(g), to(later, g)) for g in groups]).to_pylist()
+    want = repeats_expected(rows, window)
+    assert sorted([(r["id"], r["n_words"], r["n_removed"], r["text"]) for r in got], key=str) == want and sum(w[2] for w in want) > 500
+
+
 def test_substring_dedup_keeps_rows_without_id(spark):
     passage = " ".join(f"p{k}" for k in range(60))
     rows = [(1, f"a {passage}"), (2, f"{passage} b"), (None, f" c\t{passage}  é"), (None, passage), (None, passage), (None, None), (None, " \n")]
