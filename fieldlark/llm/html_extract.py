@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Lines in a block of the distribution; text a block needs for a surge.
-WINDOW, SURGE = 3, 80
+#: Lines in a block of the distribution; the largest block of a page over the least one that is a surge.
+WINDOW, CONTRAST = 3, 16
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S
@@ -126,20 +126,54 @@ def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
     return out
 
 
-def surges(weights: np.ndarray, window: int, surge: float) -> list[tuple[int, int]]:
+def line_weights(lines: list[tuple[str, int, bool, int]], window: int = WINDOW, contrast: float = CONTRAST) -> tuple[np.ndarray, np.ndarray, float]:
+    """Per line its weight and the side of the article's border it lies on, and the surge that text needs.
+
+    A line weighs its characters outside links, one set apart as many below zero.  The surest
+    mark that holds at least as much text as the lines outside it is the article's: its lines
+    weigh all their characters, others less, by the share of text outside.  A surge is the
+    largest block over ``contrast``.  Lines of the article's mark, or of the surest one if
+    none is trusted, weigh a surge more, lest a short one be lost.
+    """
+    size = np.array([len(t) for t, _, _, _ in lines], dtype=float)
+    apart = np.array([x for _, _, x, _ in lines])
+    rank = np.array([0 if x else r for _, _, x, r in lines])
+    weights = np.where(apart, -size, np.maximum(size - [n for _, n, _, _ in lines], 0))
+    side, sure = np.where(apart, -1, 0), (rank == rank.max()) & (rank > 0)
+    for mark in range(int(rank.max()), 0, -1):
+        inside = rank >= mark
+        own, others = size[inside].sum(), weights[~inside & ~apart].sum()
+        if own >= others:
+            weights = np.where(inside, size, np.where(apart, weights, weights * others / own / contrast))
+            side, sure = np.where(inside, mark, side), inside
+            break
+    surge = max(blocks(weights, side, window).max(), 0.0) / contrast
+    return weights + np.where(sure, surge, 0.0), side, surge
+
+
+def blocks(weights: np.ndarray, side: np.ndarray, window: int) -> np.ndarray:
+    """Per line the sum of weights over ``window`` lines from it on, up to the next change of side."""
+    out, same = weights.astype(float), np.ones(len(weights), dtype=bool)
+    for k in range(1, min(window, len(weights))):
+        same = same[:-1] & (side[k:] == side[: len(side) - k])
+        out[: len(out) - k] += np.where(same, weights[k:], 0.0)
+    return out
+
+
+def surges(weights: np.ndarray, window: int, surge: float, side: np.ndarray | None = None) -> list[tuple[int, int]]:
     """[start, end) of the lines between each surge and the dive after it.
 
-    A block is the sum over ``window`` lines from a line on.  A surge is a line with text
-    whose block reaches ``surge``; the dive is the first line after it whose block is empty.
+    A surge is a line with text whose block reaches ``surge``; the dive is the first line
+    after it whose block is empty, or where the side changes.
     """
     n = len(weights)
-    sums = np.concatenate((np.cumsum(weights), np.full(window, weights.sum()))).astype(float)
-    blocks = sums[window - 1 : window - 1 + n] - np.concatenate(([0.0], sums[: n - 1])) if n else np.zeros(0)
+    side = np.zeros(n, dtype=int) if side is None else side
+    sums = blocks(weights, side, window)
     found, i = [], 0
     while i < n:
-        if weights[i] > 0 and blocks[i] >= surge:
+        if weights[i] > 0 and sums[i] >= surge:
             j = i + 1
-            while j < n and blocks[j] > 0:
+            while j < n and sums[j] > 0 and side[j] == side[i]:
                 j += 1
             found.append((i, j))
             i = j
@@ -148,40 +182,26 @@ def surges(weights: np.ndarray, window: int, surge: float) -> list[tuple[int, in
     return found
 
 
-def main_text(page: str | None, window: int = WINDOW, surge: float = SURGE) -> str:
-    """The article's blocks, one a line."""
+def main_text(page: str | None, window: int = WINDOW, contrast: float = CONTRAST) -> str:
+    """The article's blocks, one a line: all lines between surges and dives, and no others."""
     lines = lines_of(page) if page else []
     if not lines:
         return ""
-    size = np.array([len(t) for t, _, _, _ in lines])
-    rank = np.array([0 if apart else r for _, _, apart, r in lines])
-    weights = np.array([0 if apart else max(0, len(t) - links) for t, links, apart, _ in lines])
-    need, top = 1 if weights.sum() < surge else surge, int(rank.max())
-    found = np.zeros(len(lines), dtype=bool)
-    for a, b in surges(weights, window, need):
-        found[a:b] = True
-    for mark in range(top, 0, -1):
-        inside = rank >= mark
-        if size[inside].sum() >= weights[found & ~inside].sum():
-            weights, need = np.where(inside, size, 0), 1
-            break
-    else:
-        if top:
-            weights = np.where(rank == top, size + surge, weights)
-    return "\n".join(lines[i][0] for a, b in surges(weights, window, need) for i in range(a, b) if weights[i] > 0)
+    weights, side, surge = line_weights(lines, window, contrast)
+    return "\n".join(t for a, b in surges(weights, window, surge, side) for t, _, _, _ in lines[a:b])
 
 
 def extract_text(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """Main text of every page: the columns ``keep``, ``text``, ``n_chars``.
 
-    Markup is stripped to lines, a line per block element.  Lines in menus, headers,
-    footers, sidebars, notices, adverts, forms and reader comments weigh nothing, others
-    their characters outside links.  Weights are summed over sliding windows of lines,
-    surge and dive points located, and the text between them kept; a surge needs SURGE
-    characters.  An element that marks the article bounds it instead, and all its lines are
-    kept, unless the surges outside it hold more text than it does: then the next surest
-    kind of mark is tried.  Where none holds, surges decide, and each line of the surest
-    mark is one.
+    Markup is stripped to lines, a line per block element.  A line weighs its characters
+    outside links; one in a menu, header, footer, sidebar, notice, advert, form or reader
+    comment weighs as much below zero.  Weights are summed over sliding windows of lines,
+    surge and dive points located, and all lines between them kept: markup decides no line
+    by itself.  A surge is relative to the page's largest block, so short pages keep their
+    text.  An element that marks the article and holds at least as much text as the rest
+    makes its lines weigh more and the others less, and no block crosses its border; text
+    outside it is then kept only where it is as dense.
 
     Edge cases: null, empty and textless pages give an empty text; unclosed elements end
     with their parents; pages of any length are read whole; repeated pages are extracted

@@ -42,6 +42,66 @@ def test_html_surges_outweigh_a_mark():
     assert html_extract.main_text(f"<body><article><p>{text}</p><p>{text}</p></article><div><p>{text}</p></div></body>") == f"{text}\n{text}"
 
 
+BLURB = "Words that fill a paragraph of the article, and go on for a while, as paragraphs do, until they end."
+
+
+def made_page(rng):
+    """A page put together from known parts, and the text of its article."""
+    junk = ["<nav><ul>" + "".join(f"<li><a href='/{k}'>Item {k}</a></li>" for k in range(rng.randint(1, 9))) + "</ul></nav>", "<div class='ad'>Buy this, buy that, buy it all, and buy it now!</div>", "<div id=cookie-notice><p>We use cookies.</p><p>You agree.</p></div>", "<aside><p>Something else to read on this site.</p></aside>", "<form><label>Mail</label><input></form>", "<script>var a='<p>no</p>'</script>", "<!-- <p>nor this</p> -->", "<div class='comments'><p>First! I was here before all others.</p></div>", ""]
+    texts, inner = [], []
+    for _ in range(rng.randint(1, 30)):
+        t = rng.choice(["Yes.", "A short one", BLURB, BLURB[: rng.randint(10, 90)].strip(), f"{BLURB} {BLURB}"])
+        texts.append(t)
+        inner.append(rng.choice(["<p>{}</p>", "<h2>{}</h2>", "<ul><li>{}</ul>", "<p><a href=x>{}</a></p>", "<div><p>{}</div>"]).format(t.replace(" ", rng.choice([" ", "  ", "\n"]), 1)))
+        if rng.random() < 0.2:
+            inner.append(rng.choice(junk[1:]))
+    tag = rng.choice(["<article>{}</article>", "<main>{}</main>", "<div class='entry-content'>{}</div>"])
+    return "<html><head><title>T</title></head><body>" + "".join(rng.sample(junk, 4)) + tag.format("".join(inner)) + "".join(rng.sample(junk, 3)) + "<footer>All rights are reserved by those who have them.</footer></body></html>", "\n".join(texts)
+
+
+def test_html_of_made_pages(monkeypatch):
+    rng = random.Random(21)
+    pages = [made_page(rng) for _ in range(300)]
+    assert [html_extract.main_text(p) for p, _ in pages] == [t for _, t in pages]
+    # the surge and dive points are what bounds the text: without them no page comes out right
+    monkeypatch.setattr(html_extract, "surges", lambda weights, *_: [(0, len(weights))])
+    assert not any(html_extract.main_text(p) == t for p, t in pages)
+
+
+def test_html_lines_are_kept_by_blocks_alone():
+    """Brute force: a line is kept if it lies in a stretch that begins with a surge, window by window."""
+    rng = random.Random(4)
+    for _ in range(300):
+        n = rng.randint(1, 25)
+        lines = [("x" * rng.choice([1, 5, 30, 300]), rng.choice([0, 0, 300]), rng.random() < 0.2, rng.choice([0, 0, 2, 3])) for _ in range(n)]
+        w, side, surge = html_extract.line_weights(lines)
+
+        def block(i):
+            total = 0.0
+            for k in range(i, min(n, i + html_extract.WINDOW)):
+                if side[k] != side[i]:
+                    break
+                total += w[k]
+            return total
+
+        kept, on = [], None
+        for i in range(n):
+            if on is not None and not (side[i] == on and block(i) > 1e-9):
+                on = None
+            if on is None and w[i] > 0 and block(i) >= surge:
+                on = side[i]
+            if on is not None:
+                kept.append(i)
+        assert kept == [i for a, b in html_extract.surges(w, html_extract.WINDOW, surge, side) for i in range(a, b)]
+        assert not any(lines[i][2] for i in kept)
+
+
+def test_html_short_pages_keep_their_text():
+    assert html_extract.main_text("<body><p>Hello.</p></body>") == "Hello."
+    assert html_extract.main_text("<body><nav><a href=x>Home</a></nav><div><p>Hello.</p><p>Bye.</p></div><footer>Foot</footer></body>") == "Hello.\nBye."
+    assert html_extract.main_text("<body><nav><a href=x>Home</a></nav><footer>Foot</footer></body>") == ""
+
+
 def test_surges():
     assert html_extract.surges(np.array([0, 0, 50, 60, 0, 10, 0, 0, 0, 90]), 3, 80) == [(2, 6), (9, 10)]
     assert html_extract.surges(np.array([]), 3, 1) == []
