@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldlark.operators.lineage import shared_folder
+from fieldlark.operators.lineage import Rounds, shared_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,16 +17,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cut(df: DataFrame, parts: int | None = None) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back.
-
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; a local
-    one is set only where that is unset (tests).  Partitions are put together, without
-    a shuffle, so the result carries no partitioning: a later join shuffles it by its
-    own key, which lets AQE split a hot key.
-    """
-    spark = df.sparkSession
-    shared_dir(spark)
-    return df.coalesce(parts or shuffle_parts(spark)).checkpoint()
+    """``df`` written to the folder of ``spark.checkpoint.dir`` and read back: lineage and partitioning end here."""
+    return Rounds(df.sparkSession).cut(df, parts)
 
 
 def shared_dir(spark: SparkSession) -> str:

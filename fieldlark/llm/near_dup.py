@@ -12,16 +12,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldlark.llm.common import cut, give_back
 from fieldlark.llm.components import components
 from fieldlark.llm.words import FOLDED, Words, mix, owner, windows, within
+from fieldlark.operators.lineage import Rounds
 
-#: Buckets of up to so many different texts are compared pair by pair, texts of larger ones with all candidates.
+#: Buckets of up to so many different texts are compared pair by pair, larger ones block by block.
 PAIRWISE = 16
-#: Leaders of a large bucket, which join most of its texts to classes beforehand.
-LEADERS = 3
-#: n-grams of large buckets' texts that one pass over the candidates is held against.
-BLOCK_GRAMS = 2_000_000
+#: n-grams in a block: an eighth of its hub's within these bounds.  A task holds two blocks.
+LEAST_GRAMS, MOST_GRAMS = 64_000, 2_000_000
 _CHUNK = 2 << 20
 #: Links that a task lists before it passes them on.
 _ROWS = 1 << 18
@@ -70,20 +68,20 @@ def _band_hashes(x: np.ndarray, starts: np.ndarray, bands: int, rows: int, level
     return out
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
     for batch in batches:
-        ids, texts = batch.column(0), batch.column(1)
+        texts = batch.column(1)
         size = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_numpy(zero_copy_only=False))
         lo = 0
-        while lo < len(ids):
+        while lo < len(texts):
             hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + _CHUNK, "right")))
-            yield ids.slice(lo, hi - lo), texts.slice(lo, hi - lo)
+            yield [c.slice(lo, hi - lo) for c in batch.columns]
             lo = hi
 
 
 def _sign(size: int, bands: int, rows: int):
     def run(batches):
-        for ids, texts in _slices(batches):
+        for ids, texts, prints in _slices(batches):
             x, n = _grams(texts, size)
             ends = np.cumsum(n)
             sets = [np.unique(x[e - k : e]) if k else None for e, k in zip(ends, n)]
@@ -95,7 +93,7 @@ def _sign(size: int, bands: int, rows: int):
                 for i, row in zip(some, hashes):
                     found[i] = row
             yield pa.RecordBatch.from_arrays(
-                [ids.cast(pa.int64()), pa.array([0 if s is None else len(s) for s in sets], pa.int32()), pa.array(sig, pa.binary()), pa.array(found, pa.list_(pa.int64()))], names=["id", "n", "sig", "bands"]
+                [ids, prints, pa.array([0 if s is None else len(s) for s in sets], pa.int32()), pa.array(sig, pa.binary()), pa.array(found, pa.list_(pa.int64()))], names=["id", "print", "n", "sig", "bands"]
             )
 
     return run
@@ -103,140 +101,99 @@ def _sign(size: int, bands: int, rows: int):
 
 def _sets(size: int):
     def run(batches):
-        for ids, texts in _slices(batches):
+        for nodes, texts, _ in _slices(batches):
             x, n = _grams(texts, size)
             ends = np.cumsum(n)
             sets = [np.unique(x[e - k : e]).view(np.int64) for e, k in zip(ends, n)]
-            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["id", "grams"])
+            yield pa.RecordBatch.from_arrays([nodes, pa.array(sets, pa.list_(pa.int64()))], names=["node", "grams"])
 
     return run
 
 
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b) -> (a, b, j) with the Jaccard similarity of their full n-gram sets."""
-    right = sets.select(F.col("id").alias("b"), F.col("grams").alias("gb"))
-    left = sets.select(F.col("id").alias("a"), F.col("grams").alias("ga"))
+    right = sets.select(F.col("node").alias("b"), F.col("grams").alias("gb"))
+    left = sets.select(F.col("node").alias("a"), F.col("grams").alias("ga"))
     both = pairs.join(right, "b").join(left, "a")
     both = both.select("a", "b", F.size("ga").alias("na"), F.size("gb").alias("nb"), F.size(F.array_intersect("ga", "gb")).alias("i"))
     return both.select("a", "b", (F.col("i") / (F.col("na") + F.col("nb") - F.col("i"))).alias("j"))
 
 
-def _index(classed: DataFrame, total: int) -> list:
-    """The large texts of ``classed`` as inverted indexes of about BLOCK_GRAMS n-grams each, broadcast."""
-    blocks, out = int(-(-total // BLOCK_GRAMS)), []
-    for k in range(blocks):
-        asked = classed.where("large").where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k).select("id", "root", "grams").toArrow().combine_chunks()
-        if not asked.num_rows:
-            continue
-        ids, roots, lists = asked.column("id").to_numpy(), asked.column("root").to_numpy(), asked.column("grams").combine_chunks()
-        n = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-        grams, own = lists.flatten().to_numpy(), np.repeat(np.arange(len(ids), dtype=np.int32), n)
-        order = np.argsort(grams, kind="stable")
-        out.append(classed.sparkSession.sparkContext.broadcast((ids, roots, n, grams[order], own[order])))
-        del asked, lists, grams, own, order
-        give_back()
-    return out
-
-
-def _partners(index: tuple, i: int, x: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Places in the index of the other texts that reach ``threshold`` with the n-grams ``x`` of text ``i``, and their similarity."""
-    ids, _, n, grams, own = index
-    lo, hi = np.searchsorted(grams, x, "left"), np.searchsorted(grams, x, "right")
-    some = hi > lo
-    lo, size = lo[some], (hi - lo)[some]
-    at = np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(size.sum())
-    if 8 * len(at) < len(ids):
-        who, common = np.unique(own[at], return_counts=True)
-    else:
-        common = np.bincount(own[at], minlength=len(ids))
-        who = np.flatnonzero(common)
-        common = common[who]
-    j = common / (n[who] + len(x) - common)
-    ok = (j >= threshold) & (ids[who] != i)
-    return who[ok], j[ok]
-
-
-def _count(classed: DataFrame, indexes: list, threshold: float) -> DataFrame:
-    """(a, b, n): text a has n more links (b is null), or the classes a and b are joined (n is null).
-
-    All texts of ``classed`` are held against the large ones.  A large text is told of its links
-    to other large texts as it passes, and of those to the rest once per task.  Of the
-    links between classes a task gives those that join what it has not yet joined."""
-
-    def over(shared):
-        def run(batches):
-            index = shared.value
-            ids, roots = index[:2]
-            back, up = np.zeros(len(ids), dtype=np.int64), {}
-
-            def find(r: int) -> int:
-                while (p := up.get(r, r)) != r:
-                    up[r] = r = up.get(p, p)
-                return r
-
-            def batch(a, b, n):
-                return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64())], names=["a", "b", "n"])
-
-            for part in batches:
-                rows = []
-                for i, mine, root, large in zip(part.column(0).to_pylist(), part.column(1), part.column(2).to_pylist(), part.column(3).to_pylist()):
-                    who, _ = _partners(index, i, mine.values.to_numpy(), threshold)
-                    if not len(who):
-                        continue
-                    rows.append((i, None, len(who)))
-                    if not large:
-                        back[who] += 1
-                    for r in np.unique(roots[who]).tolist():
-                        p, q = find(root), find(r)
-                        if p != q:
-                            up[p] = q
-                            rows.append((root, r, None))
-                yield batch(*([r[c] for r in rows] for c in range(3)))
-            some = np.flatnonzero(back)
-            yield batch(ids[some], [None] * len(some), back[some])
-
-        return classed.select("id", "grams", "root", "large").mapInArrow(run, "a bigint, b bigint, n bigint")
-
-    return _union([over(shared) for shared in indexes])
-
-
-def _list(classed: DataFrame, indexes: list, threshold: float) -> DataFrame:
-    """(a, b, j): all links that a large text of ``classed`` has, each once; as many rows as links."""
-
-    def over(shared):
-        def run(batches):
-            index = shared.value
-            ids, held, size = index[0], [], 0
-
-            def batch():
-                cols = [np.concatenate(c) for c in zip(*held)]
-                return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["a", "b", "j"])
-
-            for part in batches:
-                for i, mine, large in zip(part.column(0).to_pylist(), part.column(1), part.column(2).to_pylist()):
-                    who, j = _partners(index, i, mine.values.to_numpy(), threshold)
-                    other = ids[who]
-                    if large:  # the other large text meets this one too
-                        other, j = other[other > i], j[other > i]
-                    if len(other):
-                        held.append((np.minimum(other, i), np.maximum(other, i), j))
-                        size += len(other)
-                    if size > _ROWS:
-                        yield batch()
-                        held, size = [], 0
-            if held:
-                yield batch()
-
-        return classed.select("id", "grams", "large").mapInArrow(run, "a bigint, b bigint, j double")
-
-    return _union([over(shared) for shared in indexes])
-
-
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+class _Blocks:
+    """Two blocks of a hub (or one, twice): the first asks, the second is indexed by n-gram."""
+
+    def __init__(self, key: tuple[pa.Scalar, ...], table: pa.Table, threshold: float):
+        lo, hi = key[1].as_py(), key[2].as_py()
+        order = np.argsort(table.column("node").to_numpy(), kind="stable")
+        table = table.take(pa.array(order)).combine_chunks()
+        self.ids, block, self.alone = table.column("node").to_numpy(), table.column("block").to_numpy(), lo == hi
+        lists = table.column("grams").combine_chunks()
+        self.starts, flat = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy()
+        self.n, self.flat, self.threshold = np.diff(self.starts), flat, threshold
+        self.asking, self.held = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+        own = np.repeat(np.arange(len(self.ids)), self.n)
+        at = np.flatnonzero((block == hi)[own])
+        grams = flat[self.starts[0] : self.starts[-1]][at]
+        by = np.argsort(grams, kind="stable")
+        self.grams, self.own = grams[by], own[at][by].astype(np.int32)
+
+    def partners(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """Indexed texts that reach the threshold with text ``i``, and their similarity."""
+        x = self.flat[self.starts[i] : self.starts[i + 1]]
+        lo, hi = np.searchsorted(self.grams, x, "left"), np.searchsorted(self.grams, x, "right")
+        some = hi > lo
+        lo, size = lo[some], (hi - lo)[some]
+        at = np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        who, common = np.unique(self.own[at], return_counts=True) if 8 * len(at) < len(self.ids) else (None, np.bincount(self.own[at], minlength=len(self.ids)))
+        if who is None:
+            who = np.flatnonzero(common)
+            common = common[who]
+        j = common / (self.n[who] + len(x) - common)
+        ok = (j >= self.threshold) & (who != i)
+        return who[ok], j[ok]
+
+    def count(self) -> pa.Table:
+        """(a, b, n): text a has n links more (b is null), or a and b are in one class (n is null)."""
+        links, up, edges = np.zeros(len(self.ids), dtype=np.int64), np.arange(len(self.ids)), []
+
+        def find(r: int) -> int:
+            while up[r] != r:
+                up[r] = up[up[r]]
+                r = int(up[r])
+            return r
+
+        for i in self.asking.tolist():
+            who, _ = self.partners(i)
+            if not len(who):
+                continue
+            links[i] += len(who)
+            if not self.alone:
+                links[who] += 1
+            root = find(i)
+            for r in {find(x) for x in np.unique(up[who]).tolist()} - {root}:
+                up[r] = root
+                edges.append((self.ids[i], self.ids[r]))
+            up[who] = root
+        some = np.flatnonzero(links)
+        a, b = np.concatenate((self.ids[some], [e[0] for e in edges])), [None] * len(some) + [e[1] for e in edges]
+        return pa.table([pa.array(a.astype(np.int64)), pa.array(b, pa.int64()), pa.array([*links[some].tolist(), *[None] * len(edges)], pa.int64())], names=["a", "b", "n"])
+
+    def list(self) -> pa.Table:
+        """(a, b, j): every link once."""
+        held = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for i in self.asking.tolist():
+            who, j = self.partners(i)
+            if self.alone:
+                who, j = who[who > i], j[who > i]
+            held.append((np.minimum(self.ids[who], self.ids[i]), np.maximum(self.ids[who], self.ids[i]), j))
+        return pa.table([pa.array(np.concatenate(c)) for c in zip(*held)], names=["a", "b", "j"])
+
+
+def _held(sets: DataFrame, placed: DataFrame) -> DataFrame:
+    """(hub, lo, hi, block, node, grams): every text once for each pair of blocks its own is in."""
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    each = sets.join(placed, "node").select("hub", "block", "node", "grams", other.alias("other"))
+    return each.select("hub", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "grams")
 
 
 def near_duplicates(
@@ -255,65 +212,83 @@ def near_duplicates(
 
     Banding: bands and rows are chosen so that a pair at the threshold shares a bucket
     with probability ``recall``.  Exact copies fall together first, so a bucket holds
-    different texts.  In a bucket of up to ``pairwise`` texts all pairs are verified.  The
-    texts of larger ones are held against all candidate texts: their n-grams go out as an
-    inverted index in blocks of BLOCK_GRAMS, and every candidate counts its links to each
-    block on the full sets.  So no link is lost to the size of a bucket, and ``n_links``
-    is made without a row per link.  LEADERS leaders of a large bucket, drawn by hash, are
-    verified before, so that few classes are left for this pass to join.
+    different texts, numbered in a written table.  In a bucket of up to ``pairwise`` texts
+    all pairs are verified.  Larger buckets that share texts make a hub; its texts are dealt
+    into blocks by hash, and every two blocks meet in one task, which counts the links
+    between them on the full sets through an inverted index and gives, of the classes,
+    the edges that join what it has not yet joined.  So no link is lost to the size of a
+    bucket, none is counted twice, and ``n_links`` is made without a row per link.
 
     Edge cases: texts without words (null, empty, blank) are no copies of each other and
     have no links; a text of fewer words than ``size`` has one n-gram; rows with equal ids
-    are one document; a null id gets the class of its copies, if any; an empty table gives
-    an empty table; other columns are ignored.  n-grams are compared by 64-bit hash.
+    and different texts are judged each by its own text; a null id gets the class of its
+    copies, if any; an empty table gives an empty table; other columns are ignored; an id
+    that is no whole number is refused by the cast to bigint.  n-grams are compared by
+    64-bit hash, whole sets by 128 bits.
 
     Plan: signatures are narrow and written to the shared folder; the texts are shuffled
-    once more for the sets of candidates only.  Hot keys: copies and buckets are counted
-    with map-side aggregation and joined back from rewritten tables, where AQE can split.
+    once more for the sets of candidates only.  Nothing is broadcast or sent to the driver.
+    A hub of g n-grams is shuffled max(8, g / MOST_GRAMS) times, and comparing its texts
+    costs the square of their number; hubs do not meet each other.  Hot keys: copies and
+    buckets are counted with map-side aggregation and joined back from rewritten tables,
+    where AQE can split.
     """
     bands, rows = plan_bands(threshold, recall)
-    d = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    signed = cut(d.mapInArrow(_sign(size, bands, rows), "id bigint, n int, sig binary, bands array<bigint>"))
-    reps = cut(signed.where("sig is not null and id is not null").groupBy("sig").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")))
-    exploded = reps.select("rep", "n", F.posexplode("bands").alias("k", "v")).select(F.xxhash64("k", "v").alias("bucket"), "rep", "n")
-    # leaders are the least by a few hashes of the text's id, so buckets that overlap share them
-    leads = [F.min(F.struct(F.xxhash64(F.lit(s), F.col("rep")).alias("h"), F.col("rep").alias("leader"), F.col("n").alias("ln"))).alias(f"lead{s}") for s in range(LEADERS)]
-    groups = cut(exploded.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), *leads).where("m > 1"))
-    alike = lambda x, y: F.least(x, y) >= F.greatest(x, y) * F.lit(threshold)
-    small = cut(exploded.join(groups.where(F.col("m") <= pairwise).select("bucket"), "bucket"))
-    one, two = small.select("bucket", F.col("rep").alias("a"), F.col("n").alias("an")), small.select("bucket", F.col("rep").alias("b"), F.col("n").alias("bn"))
-    near = one.join(two, "bucket").where("a < b").where(alike(F.col("an"), F.col("bn"))).select("a", "b")
-    heads = groups.where(F.col("m") > pairwise).select("bucket", F.array(*[f"lead{s}" for s in range(LEADERS)]).alias("leads"))
-    told = cut(exploded.join(heads, "bucket").select("rep", "n", F.explode("leads").alias("l")).select("rep", "n", "l.leader", "l.ln").distinct())
-    star = told.where("rep != leader").where(alike(F.col("n"), F.col("ln"))).select(F.least("leader", "rep").alias("a"), F.greatest("leader", "rep").alias("b"))
-    pairs = cut(near.unionByName(star).distinct())
-    members = cut(told.select("rep", F.col("n").cast("bigint").alias("n")).distinct())
-    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(members.select(F.col("rep").alias("id"))).distinct()
-    sets = cut(d.join(wanted, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets(size), "id bigint, grams array<bigint>"))
-    links = cut(_verify(pairs, sets).where(F.col("j") >= threshold))
-    roots = cut(components(links.select("a", "b")))
-    total = members.agg(F.sum("n")).first()[0] or 0
-    counted = []
-    if total:
-        # links of large buckets' texts are all found by the pass; of the verified ones those of other texts count
+    tables = Rounds(docs.sparkSession)
+    cut = tables.cut
+    # rows that share an id are told apart by the print of their text
+    d = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("print"))
+    signed = cut(d.mapInArrow(_sign(size, bands, rows), "id bigint, print bigint, n int, sig binary, bands array<bigint>"))
+    # a number for each different set, written once so that it stays
+    reps = signed.where("sig is not null and id is not null").groupBy("sig").agg(F.min(F.struct("id", "print")).alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    reps = cut(reps.select("sig", F.col("rep.id").alias("rep"), F.col("rep.print").alias("print"), "n", "bands", F.monotonically_increasing_id().alias("node")))
+    spread = reps.select("node", "n", F.posexplode("bands").alias("k", "v")).select(F.xxhash64("k", "v").alias("bucket"), "node", "n")
+    # a bucket's leader is the least by hash, so buckets that overlap share it
+    leader = F.min(F.struct(F.xxhash64("node").alias("h"), "node"))["node"]
+    groups = cut(spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), leader.alias("leader")).where("m > 1"))
+    small = cut(spread.join(groups.where(F.col("m") <= pairwise).select("bucket"), "bucket"))
+    one, two = small.select("bucket", F.col("node").alias("a"), F.col("n").alias("an")), small.select("bucket", F.col("node").alias("b"), F.col("n").alias("bn"))
+    pairs = one.join(two, "bucket").where("a < b").where(F.least("an", "bn") >= F.greatest("an", "bn") * F.lit(threshold)).select("a", "b").distinct()
+    told = cut(spread.join(groups.where(F.col("m") > pairwise).select("bucket", "leader"), "bucket").select("node", "leader").distinct())
+    placed = None
+    if not told.isEmpty():
+        hubs = components(told.select(F.col("node").alias("a"), F.col("leader").alias("b")), tables).withColumnRenamed("root", "hub")
+        grams = hubs.join(reps.select("node", "n"), "node").groupBy("hub").agg(F.sum("n").alias("grams"))
+        block = F.greatest(F.lit(LEAST_GRAMS), F.least(F.lit(MOST_GRAMS), F.col("grams") / 8))
+        placed = hubs.join(grams.select("hub", F.ceil(F.col("grams") / block).cast("int").alias("blocks")), "hub")
+        placed = cut(placed.select("node", "hub", "blocks", F.pmod(F.xxhash64(F.lit(5), "node"), F.col("blocks")).cast("int").alias("block")))
         for end in ("a", "b"):
-            links = links.join(members.select(F.col("rep").alias(end)), end, "left_anti")
-        links = cut(links.select("a", "b", "j"))
-        classed = sets.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").join(members.select(F.col("rep").alias("id"), F.lit(True).alias("large")), "id", "left")
-        classed = cut(classed.select("id", "grams", F.coalesce("root", "id").alias("root"), F.coalesce("large", F.lit(False)).alias("large")))
-        indexes = _index(classed, total)
-        found = cut(_count(classed, indexes, threshold))
-        counted = [found.where("b is null").select(F.col("a").alias("node"), "n")]
-        joins = found.where("b is not null").select("a", "b").distinct()
-        if not joins.isEmpty():
-            roots = cut(components(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(joins)))
-
-    once = [links.select(F.col(end).alias("node"), F.lit(1).cast("bigint").alias("n")) for end in ("a", "b")]
-    ends = _union(once + counted).groupBy("node").agg(F.sum("n").alias("n_links"))
-    if total:
-        links = links.unionByName(_list(classed, indexes, threshold))
-    known = reps.select("sig", F.col("rep").alias("node")).join(roots, "node", "left").join(ends, "node", "left")
-    known = cut(known.select("sig", F.col("node").alias("copy_id"), F.coalesce("root", "node").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
+            pairs = pairs.join(placed.select(F.col("node").alias(end), F.col("hub").alias(f"hub_{end}")), end, "left")
+        # texts of one hub meet in its blocks
+        pairs = pairs.where("hub_a is null or hub_b is null or hub_a != hub_b").select("a", "b")
+    pairs = cut(pairs)
+    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
+    wanted = (wanted.unionByName(placed.select("node")) if placed else wanted).distinct()
+    wanted = cut(reps.join(wanted, "node").select(F.col("rep").alias("id"), "print", "node"))
+    sets = d.join(wanted, ["id", "print"]).dropDuplicates(["id", "print"]).select("node", "text", "print")
+    sets = cut(sets.mapInArrow(_sets(size), "node bigint, grams array<bigint>"))
+    links = cut(_verify(pairs, sets).where(F.col("j") >= threshold))
+    counted = [links.select(F.col(end).alias("node"), F.lit(1).cast("bigint").alias("n")) for end in ("a", "b")]
+    edges = links.select("a", "b")
+    if placed:
+        blocks = _held(sets, placed).groupBy("hub", "lo", "hi")
+        found = cut(blocks.applyInArrow(lambda key, table: _Blocks(key, table, threshold).count(), "a bigint, b bigint, n bigint"))
+        counted.append(found.where("b is null").select(F.col("a").alias("node"), "n"))
+        edges = edges.unionByName(found.where("b is not null").select("a", "b"))
+        links = links.unionByName(blocks.applyInArrow(lambda key, table: _Blocks(key, table, threshold).list(), "a bigint, b bigint, j double"))
+    roots = components(edges, tables)
+    ends = counted[0]
+    for more in counted[1:]:
+        ends = ends.unionByName(more)
+    ends = ends.groupBy("node").agg(F.sum("n").alias("n_links"))
+    names = reps.select("node", "rep")
+    least = cut(roots.join(names, "node").groupBy("root").agg(F.min("rep").alias("class_id")))
+    known = reps.select("sig", "rep", "node").join(roots, "node", "left").join(least, "root", "left").join(ends, "node", "left")
+    known = cut(known.select("sig", F.col("rep").alias("copy_id"), F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
     out = signed.select("id", "sig").join(known, "sig", "left")
     out = out.select(F.col("id").alias(id_col), F.coalesce("copy_id", "id").alias("copy_id"), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+    for end in ("a", "b"):
+        links = links.join(names.select(F.col("node").alias(end), F.col("rep").alias(f"id_{end}")), end)
+    links = links.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), "j")
+    tables.drop(groups, small, told, wanted, pairs)
     return out, links

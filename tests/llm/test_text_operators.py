@@ -8,6 +8,7 @@ from collections import Counter
 import pyarrow as pa
 import pyarrow.compute as pc
 import pytest
+from pyspark.sql import functions as F
 
 from fieldlark.llm import decontaminate, line_dedup, mixing, near_dup, substring_dedup
 
@@ -299,10 +300,11 @@ def test_links_of_small_groups_are_counted(spark):
     assert got == {0: (0, 0, 3), 1: (1, 0, 3), 2: (2, 0, 3), 3: (3, 0, 3), 10: (0, 0, 3)}
 
 
-@pytest.mark.parametrize("block_grams", [None, 3000])
-def test_links_of_large_groups_are_counted(spark, monkeypatch, block_grams):
+@pytest.mark.parametrize("pairwise, block_grams", [(16, None), (16, 3000), (2, 900)])
+def test_links_of_large_groups_are_counted(spark, monkeypatch, pairwise, block_grams):
     if block_grams:
-        monkeypatch.setattr(near_dup, "BLOCK_GRAMS", block_grams)
+        monkeypatch.setattr(near_dup, "LEAST_GRAMS", block_grams)
+        monkeypatch.setattr(near_dup, "MOST_GRAMS", block_grams)
     rng, rows = random.Random(8), []
     for group, n, edits in ((0, 90, 2), (1, 60, 7), (2, 3, 1)):  # two groups above PAIRWISE, one of them on the threshold, and a small one
         base = [f"g{group}w{k}" for k in range(150)]
@@ -317,12 +319,29 @@ def test_links_of_large_groups_are_counted(spark, monkeypatch, block_grams):
     texts = sorted(i for i in sets if sets[i] and copy[i] == i)
     near = {(a, b) for a in texts for b in texts if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
     links_of = Counter(i for pair in near for i in pair)
-    got, links = near_dup.near_duplicates(docs_of(spark, rows))
+    got, links = near_dup.near_duplicates(docs_of(spark, rows), pairwise=pairwise)
     assert {r.doc_id: (r.class_id, r.n_links) for r in got.collect()} == {i: (copy[want[copy[i]]], links_of[copy[i]]) for i in sets}
     listed = [(r.a, r.b) for r in links.collect()]
     assert len(listed) == len(set(listed)) and set(listed) == near
 
 
+def test_near_duplicates_that_share_an_id(spark):
+    """Every row is judged by its own text."""
+    one, two, other = (" ".join(f"{c}{k}" for k in range(60)) for c in "xyz")
+    rows = [(1, one), (1, two), (1, two), (2, one + " more"), (3, two + " more"), (4, other), (None, two), (None, other + " more"), (0, one.upper())]
+    got = near_dup.near_duplicates(docs_of(spark, rows))[0].collect()
+    want = [(1, 0, 1), (1, 1, 1), (1, 1, 1), (2, 0, 1), (3, 1, 1), (4, 4, 0), (None, 1, 1), (None, None, 0), (0, 0, 1)]
+    assert sorted([(r.doc_id, r.class_id, r.n_links) for r in got], key=str) == sorted(want, key=str)
+
+
+def test_ids_that_are_no_numbers_are_refused(spark):
+    named = spark.createDataFrame([("a1", "some text")], "doc_id string, text string")
+    for run in (lambda: near_dup.near_duplicates(named)[0], lambda: substring_dedup.remove_repeats(named)):
+        with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+            run().collect()
+    assert line_dedup.drop_common_lines(named).first().doc_id == mixing.mix_sources(named.withColumn("source", F.lit("s"))).first().doc_id == "a1"
+
+
 def test_band_plan():
     bands, rows = near_dup.plan_bands(0.8, 0.9995)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.9995 and bands * rows <= 128
