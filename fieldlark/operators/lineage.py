@@ -62,6 +62,15 @@ class Rounds:
         self.live.append((path, self.spark.read.schema(df.schema).parquet(path)))
         return self.live[-1][1]
 
+    def add(self, name: str, df: DataFrame) -> None:
+        """Append ``df`` to the table of that name, which ``read`` gives."""
+        path = f"{self.home}/{name}"
+        df.write.mode("append").parquet(path)
+        self.live = [x for x in self.live if x[0] != path] + [(path, self.spark.read.schema(df.schema).parquet(path))]
+
+    def read(self, name: str) -> DataFrame:
+        return next(t for path, t in self.live if path == f"{self.home}/{name}")
+
     def forget(self, keep: int) -> None:
         """Delete all tables but the last ``keep`` ones."""
         self.drop(*(t for _, t in self.live[: len(self.live) - keep]))
