@@ -7,9 +7,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldlark.operators.lineage import Rounds
+
 #: Queries that one pass over the candidates answers, and candidates whose lists one task sorts at a time.
 QUERY_BLOCK, SHARD = 4096, 1 << 15
 FIRST_DEPTH = 16
@@ -114,30 +117,37 @@ def top_k(vectors: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: s
 
     Edge cases: vectors that are null or hold null or non-finite components take no
     part, nor do rows with a null id; a query meets only vectors of its own length; rows
-    that share the query's id are its own; fewer candidates give fewer rows; an empty
-    table gives an empty table; other columns are ignored.
-
-    Plan: queries go out in blocks of QUERY_BLOCK (their size is the bound of what is
-    broadcast), a pass over the candidates each.  A task sorts the lists of up to SHARD
-    candidates and sends k rows per query, which are merged by query.
+    that share the query's id are its own, and the least of their vectors asks; fewer
+    candidates give fewer rows; an empty table gives an empty table; other columns are
+    ignored; an id that is no whole number is refused by the cast to bigint.
+
+    Plan: queries go out in blocks of about QUERY_BLOCK, a pass over the candidates each.
+    The driver holds one block at a time, for with more than one each pass writes its
+    result to the shared folder before the next begins.  A task sorts the lists of up to
+    SHARD candidates and sends k rows per query, which are merged by query.
     """
     spark = vectors.sparkSession
     rows = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), scaled(vector_col).alias("v")).where("v is not null")
-    asked = rows.where(F.col("id") % every == 0)
-    n = asked.count()
-    out = None
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    for b in range(blocks):
-        by_dim: dict[int, dict[int, list]] = {}
-        for r in asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).collect() if n else []:
-            by_dim.setdefault(len(r.v), {}).setdefault(r.id, r.v)
-        packed = {dim: (np.array(sorted(d), dtype=np.int64), np.array([d[i] for i in sorted(d)], dtype=np.int64).reshape(len(d), dim)) for dim, d in by_dim.items()}
-        shared = spark.sparkContext.broadcast(packed)
-
-        def run(batches, shared=shared):
-            yield from _search(shared.value, k)(batches)
-
-        part = rows.mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")
-        out = part if out is None else out.unionByName(part)
+    tables = Rounds(spark)
+    asked = tables.cut(rows.where(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v")))
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
-    return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def answers(b: int) -> tuple[DataFrame, Broadcast]:
+        got = (asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b) if blocks > 1 else asked).orderBy("id").toArrow().combine_chunks()
+        sizes = pa.compute.list_value_length(got.column("v")).to_numpy()
+        by_dim = {}
+        for dim in np.unique(sizes).tolist():
+            part = got.filter(pa.array(sizes == dim)).combine_chunks()
+            by_dim[dim] = part.column("id").to_numpy(), part.column("v").combine_chunks().flatten().to_numpy().reshape(len(part), dim)
+        shared = spark.sparkContext.broadcast(by_dim)
+        found = rows.mapInArrow(lambda batches: _search(shared.value, k)(batches), "query_id bigint, vec_id bigint, score bigint")
+        return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), shared
+
+    if blocks == 1:
+        return answers(0)[0]
+    for b in range(blocks):
+        found, shared = answers(b)
+        tables.add("found", found)
+        shared.destroy()
+    return tables.read("found")

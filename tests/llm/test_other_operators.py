@@ -163,11 +163,11 @@ def test_chat_rows_that_tie(spark):
 
 def brute_top(rows, k, every):
     out = []
-    sound = {i: [math.floor(1024 * x) for x in v] for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
-    for q in sound:
-        if q % every == 0:
-            ranked = sorted((-sum(a * b for a, b in zip(sound[q], v)), i) for i, v in sound.items() if i != q and len(v) == len(sound[q]))[:k]
-            out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(ranked)]
+    sound = [(i, [math.floor(1024 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    asks = {q: min(v for i, v in sound if i == q) for q, _ in sound if q % every == 0}
+    for q, own in asks.items():
+        ranked = sorted((-sum(a * b for a, b in zip(own, v)), i) for i, v in sound if i != q and len(v) == len(own))[:k]
+        out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(ranked)]
     return sorted(out)
 
 
@@ -177,8 +177,8 @@ def test_top_k(spark, monkeypatch, block):
     monkeypatch.setattr(topk_search, "SHARD", 50)
     rng = random.Random(8)
     rows = [(i, [rng.choice([-0.5, 0.0, 0.25, rng.gauss(0, 1)]) for _ in range(6)]) for i in range(300)]
-    rows += [(1000, None), (1010, [0.0] * 6), (1020, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (1030, [float("nan")] * 6), (1040, [1.0, 2.0]), (1041, [2.0, 1.0]), (None, [1.0] * 6), (1050, [1e12] * 6)]
-    rows += [(2000 + i, [0.25] * 6) for i in range(40)]
+    rows += [(1000, None), (1010, [0.0] * 6), (1020, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (1030, [float("nan")] * 6), (1040, [1.0, 2.0]), (1041, [2.0, 1.0]), (None, [1.0] * 6), (1050, [1e12] * 6), (1060, []), (1061, [])]
+    rows += [(2000 + i, [0.25] * 6) for i in range(40)] + [(1070, [9.0] * 6), (1070, [-9.0] * 6)]
     df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id bigint, embedding array<double>, score int").repartition(3)
     got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk_search.top_k(df, 10, every=10).collect())
     assert got == brute_top(rows, 10, 10)

@@ -107,7 +107,7 @@ def hits_expected(rows, items, size=13):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("limit", [None, 200])
+@pytest.mark.parametrize("limit", [None, 40])
 def test_decontamination(spark, monkeypatch, limit):
     rng = random.Random(4)
     words = lambda n: [f"v{rng.randint(0, 30)}" for _ in range(n)]
@@ -120,7 +120,8 @@ def test_decontamination(spark, monkeypatch, limit):
         rows.append((i, " ".join(w).upper() if i % 5 == 0 else ", ".join(w)))
     rows += [(90, None), (91, ""), (92, "one, two... three"), (93, "solo"), (94, "solo " * 3000 + "nameless item here"), (3, rows[3][1]), (95, "one two two three")]
     if limit:
-        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", limit)
+        monkeypatch.setattr(decontaminate, "BLOCK_WINDOWS", limit)
+        monkeypatch.setattr(decontaminate, "PIECE", 5)
     bench = spark.createDataFrame(items, "item_id bigint, text string")
     got = decontaminate.find_contamination(docs_of(spark, rows), bench).collect()
     assert sorted([(r.doc_id, r.n_words, r.n_hit, list(r.item_ids)) for r in got], key=str) == hits_expected(rows, items)
