@@ -44,16 +44,21 @@ def threshold_top_k(lists: np.ndarray, vectors: np.ndarray, ids: np.ndarray, que
         new = np.flatnonzero(seen & ~before)
         new = new[ids[new] != own]
         top_ids = np.concatenate((top_ids, ids[new]))
-        top_scores = np.concatenate((top_scores, vectors[new] @ query))
+        top_scores = np.concatenate((top_scores, _long(vectors[new] @ query)))
         order = np.lexsort((top_ids, -top_scores))[:k]
         top_ids, top_scores = top_ids[order], top_scores[order]
-        frontier = (vectors[block[-1], used] * q).sum()
+        frontier = _long((vectors[block[-1], used] * q).sum())
         depth, step = upto, step * 2
         if len(top_ids) == k and frontier < top_scores[-1]:
             break
     return top_ids, top_scores
 
 
+def _long(x):
+    """Sums beyond a long count as its bounds; only those of ``object`` kind can be."""
+    return x if np.asarray(x).dtype == np.float64 else np.clip(x, -(2**63), 2**63 - 1)
+
+
 def _numbers(column: pa.Array) -> np.ndarray:
     """Rows of equally long lists as a matrix; exact in doubles where products stay below 2**53."""
     flat = column.flatten().to_numpy(zero_copy_only=False)
@@ -119,7 +124,8 @@ def top_k(vectors: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: s
     part, nor do rows with a null id; a query meets only vectors of its own length; rows
     that share the query's id are its own, and the least of their vectors asks; fewer
     candidates give fewer rows; an empty table gives an empty table; other columns are
-    ignored; an id that is no whole number is refused by the cast to bigint.
+    ignored; components and scores beyond a long count as its bounds; an id that is no
+    whole number is refused by the cast to bigint.
 
     Plan: queries go out in blocks of about QUERY_BLOCK, a pass over the candidates each.
     The driver holds one block at a time, for with more than one each pass writes its

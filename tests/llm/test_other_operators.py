@@ -166,7 +166,7 @@ def brute_top(rows, k, every):
     sound = [(i, [math.floor(1024 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     asks = {q: min(v for i, v in sound if i == q) for q, _ in sound if q % every == 0}
     for q, own in asks.items():
-        ranked = sorted((-sum(a * b for a, b in zip(own, v)), i) for i, v in sound if i != q and len(v) == len(own))[:k]
+        ranked = sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(own, v)))), i) for i, v in sound if i != q and len(v) == len(own))[:k]
         out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(ranked)]
     return sorted(out)
 
