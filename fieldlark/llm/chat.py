@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
 TRAINED_ROLE = "assistant"
+#: Kinds after which nothing of the text before is left.
+RESETS = ("message", "edit", "regenerate")
+STREAMED = 4
 
 
 def escape(text: str) -> str:
@@ -56,67 +60,95 @@ def parse(text: str) -> list[tuple[str, str]]:
     return turns
 
 
-def final_messages(events: DataFrame) -> DataFrame:
-    """(conv, seq, turn, kind, role, text) -> (conv, turn, role, text) as they stand at the end.
+class _Message:
+    __slots__ = ("turn", "role", "parts")
 
-    Kinds: ``message`` gives a turn its whole text, ``delta`` appends a streamed piece,
-    ``edit`` replaces the text so far, ``regenerate`` empties it for the deltas that
-    follow.  Only what comes after the last such reset of a turn counts.  An edit of a
-    turn also takes back every later turn that was last touched before it.  The fold of
-    a turn runs where the events of that turn meet, so the pieces of a very long
-    conversation are gathered turn by turn and only its final messages together.
+    def __init__(self, turn: tuple):
+        self.turn, self.role, self.parts = turn, None, []
+
+
+def fold(events: list[dict]) -> list[tuple[str, str]]:
+    """Events of one conversation, in order -> its final turns (role, text).
+
+    ``message`` gives a message its whole text, ``delta`` appends a streamed piece, ``edit``
+    replaces the text so far and takes back all messages of later turns, ``regenerate``
+    empties the text for the deltas that follow.  The first role given to a message stays.
+    Turns are in order of their number; messages that tie in it in order of role and text.
     """
-    reset = F.col("kind").isin("message", "edit", "regenerate")
-    order = F.struct("seq", "text", reset.alias("reset"), "kind", "role")
-    turns = events.groupBy("conv", "turn").agg(F.array_sort(F.collect_list(order)).alias("e"), F.max(F.when(reset, F.col("seq"))).alias("base"), F.max("seq").alias("touched"))
-    live = F.filter("e", lambda x: (F.col("base").isNull() | (x["seq"] >= F.col("base"))) & (x["kind"] != "regenerate"))
-    text = F.array_join(F.transform(live, lambda x: F.coalesce(x["text"], F.lit(""))), "")
-    role = F.get(F.filter(F.transform("e", lambda x: x["role"]), lambda r: r.isNotNull()), F.lit(0))
-    edited = F.array_max(F.transform(F.filter("e", lambda x: x["kind"] == "edit"), lambda x: x["seq"]))
-    return turns.select("conv", "turn", role.alias("role"), text.alias("text"), edited.alias("edited"), "touched")
+    live: dict = {}
+    order: list[tuple] = []  # (turn, message) of the live messages, sorted by turn
+    for e in events:
+        turn = (e["turn"] is not None, e["turn"] or 0)
+        m = live.get(e["message"])
+        if m is None:
+            m = live[e["message"]] = _Message(turn)
+            bisect.insort(order, (turn, e["message"]), key=lambda x: x[0])
+        if m.role is None:
+            m.role = e["role"]
+        if e["kind"] in RESETS:
+            m.parts.clear()
+        if e["kind"] != "regenerate" and e["text"]:
+            m.parts.append(e["text"])
+        if e["kind"] == "edit":
+            while order[-1][0] > m.turn:
+                del live[order.pop()[1]]
+    done = sorted((m.turn, m.role or "", "".join(m.parts)) for m in live.values())
+    return [(role, text) for _, role, text in done]
 
 
 def _render_batches(batches):
     for b in batches:
-        convs, turns, texts, losses = b.column(0), [], [], []
-        for messages in b.column(1).to_pylist():
-            kept, newest = [], None
-            for m in messages:
-                if newest is None or m["touched"] >= newest:
-                    kept.append((m["role"] or "", m["text"]))
-                if m["edited"] is not None:
-                    newest = m["edited"] if newest is None else max(newest, m["edited"])
-            chat = render(kept)
-            turns.append(len(kept))
+        turns, texts, losses = [], [], []
+        for k in range(b.num_rows):
+            final = fold(b.column(1)[k].as_py())
+            chat = render(final)
+            turns.append(len(final))
             texts.append(chat.text)
             losses.append([{"start": a, "end": z} for a, z in chat.loss])
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        yield pa.RecordBatch.from_arrays([convs, pa.array(turns, pa.int64()), pa.array(texts, pa.string()), pa.array(losses, span)], names=["conv", "n_turns", "formatted", "loss"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(turns, pa.int64()), pa.array(texts, pa.string()), pa.array(losses, span)], names=["conv", "n_turns", "formatted", "loss"])
 
 
 def format_chats(events: DataFrame) -> DataFrame:
     """Fold an event log into conversations and render each one.
 
-    Columns: conv, seq, turn (any ordered type), kind, role, text.  Returns (conv,
-    ``n_turns``, ``formatted``, ``loss``: code point spans of assistant texts).
+    Columns: conv, seq (any ordered type), turn (a whole number), kind, role, text and, where
+    a turn can have several messages, message (its name within the conversation).
+    Returns (conv, ``n_turns``, ``formatted``, ``loss``: code point spans of assistant texts).
+
+    Plan: one shuffle, by conversation; the log of a conversation is gathered with map-side
+    aggregation, sorted by sequence and folded where it is, for its result is one row too.
 
     Edge cases: a null text is empty, a null role is the empty role, a null
     conversation is a conversation of its own, a null turn comes first; events that tie in
-    ``seq`` are ordered by text; control marks, newlines in roles and texts of any
-    length round-trip; an empty log gives an empty table; other columns are ignored.
+    ``seq`` are ordered by turn, message, text, kind and role; control marks, newlines in
+    roles and texts of any length round-trip; unknown kinds append like a delta; an empty
+    log gives an empty table; other columns are ignored.
     """
-    final = final_messages(events.select("conv", "seq", "turn", "kind", "role", "text"))
-    row = F.struct("turn", "role", "text", "edited", "touched")
-    gathered = final.groupBy("conv").agg(F.array_sort(F.collect_list(row)).alias("messages"))
+    message = "message" if "message" in events.columns else "turn"
+    row = F.struct("seq", F.col("turn").cast("bigint").alias("turn"), F.col(message).alias("message"), "text", "kind", "role")
+    gathered = events.groupBy("conv").agg(F.array_sort(F.collect_list(row)).alias("log"))
+    log = F.transform("log", lambda e: F.struct(e["turn"].alias("turn"), e["message"].alias("message"), e["text"].alias("text"), e["kind"].alias("kind"), e["role"].alias("role")))
+    gathered = gathered.select("conv", log.alias("log"))
     kind = gathered.schema["conv"].dataType.simpleString()
     return gathered.mapInArrow(_render_batches, f"conv {kind}, n_turns bigint, formatted string, loss array<struct<start:bigint,end:bigint>>")
 
 
 def rows_as_events(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """A table of finished turns as a log of ``message`` events.  Rows that tie in their turn
-    are turns of their own, in order of role and text."""
-    r = rows.select(F.col(conv).alias("conv"), F.col(turn).cast("bigint").alias("t"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
-    counted = r.groupBy("conv", "t", "role", "text").agg(F.count(F.lit(1)).alias("n"))
-    each = counted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
-    key: Column = F.struct(F.col("t"), F.col("role"), F.col("text"), F.col("copy"))
-    return each.select("conv", F.lit(0).cast("bigint").alias("seq"), key.alias("turn"), F.lit("message").alias("kind"), "role", "text")
+    """A table of finished turns as the log of a session that ends with them.
+
+    An assistant's text is begun, regenerated and streamed in up to STREAMED deltas; any other
+    is sent as a draft and edited.  Rows that tie in their turn are messages of their own.
+    """
+    r = rows.select(
+        F.col(conv).alias("conv"), F.col(turn).cast("bigint").alias("turn"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"), F.monotonically_increasing_id().alias("message")
+    )
+    event = lambda kind, said: F.struct(F.lit(kind).alias("kind"), said.alias("text"))
+    length = F.greatest(F.char_length("text"), F.lit(1))
+    piece = F.ceil(length / STREAMED).cast("int")
+    pieces = F.transform(F.sequence(F.lit(1), length, piece), lambda at: event("delta", F.substring("text", at, piece)))
+    draft = F.substring("text", 1, 16)
+    streamed = F.concat(F.array(event("delta", draft), event("regenerate", F.lit(None).cast("string"))), pieces)
+    log = F.when(F.col("role") == TRAINED_ROLE, streamed).otherwise(F.array(event("message", draft), event("edit", F.col("text"))))
+    each = r.select("conv", "turn", "message", "role", F.posexplode(log).alias("k", "e"))
+    return each.select("conv", F.struct("turn", "k").alias("seq"), "turn", "message", "e.kind", "role", "e.text")

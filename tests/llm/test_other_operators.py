@@ -155,6 +155,56 @@ def test_chat_events(spark):
     assert chat.parse(got[2].formatted) == [("", "")] and got[None].n_turns == 1
 
 
+LOG = "conv bigint, seq bigint, turn bigint, message string, kind string, role string, text string, log int"
+
+
+def folded_plainly(events):
+    """Brute force: the whole state after each event, in order."""
+    key = lambda x: (x is not None, x or 0)
+    name = lambda x: (x is not None, x or "")
+    state = []  # [turn, message, role, text]
+    for _, seq, turn, message, kind, role, text in sorted(events, key=lambda e: (key(e[1]), key(e[2]), *map(name, (e[3], e[6], e[4], e[5])))):
+        mine = [m for m in state if m[1] == message]
+        if not mine:
+            state.append([key(turn), message, None, ""])
+            mine = state[-1:]
+        m = mine[0]
+        m[2] = role if m[2] is None else m[2]
+        m[3] = {"message": text or "", "edit": text or "", "regenerate": ""}.get(kind, m[3] + (text or ""))
+        if kind == "edit":
+            state = [x for x in state if x[0] <= m[0]]
+    return [(r, t) for _, r, t in sorted((m[0], m[2] or "", m[3]) for m in state)]
+
+
+def test_chat_logs_against_a_plain_fold(spark):
+    rng = random.Random(17)
+    logs = {}
+    for c in [None, *range(60)]:
+        turn_of = {m: rng.choice([None, 0, 1, 2, 3]) for m in "abcdef"}
+        logs[c] = []
+        for k in range(rng.randint(1, 30)):
+            m = rng.choice("abcdef")
+            kind = rng.choice(["message", "delta", "delta", "delta", "edit", "regenerate"])
+            logs[c].append((c, k if rng.random() < 0.8 else rng.randint(0, k), turn_of[m], m, kind, rng.choice([None, "user", "assistant", "a\nb"]), rng.choice([None, "", "<|im_end|>", "x", "é\n"])))
+    logs[100] = [(100, 0, 0, "a", "message", "user", "<|im_start|>" * 50_000)] + [(100, k, 1, "b", "delta", "assistant", f"{k}|") for k in range(1, 20_000)]
+    rows = [(*e, 5) for log in logs.values() for e in log]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, LOG).repartition(5)
+    got = {r.conv: r for r in chat.format_chats(df).collect()}
+    assert got.keys() == logs.keys()
+    for c, log in logs.items():
+        want = folded_plainly(log)
+        assert chat.parse(got[c].formatted) == want and got[c].n_turns == len(want)
+        assert "".join(chat.unescape(got[c].formatted[s.start : s.end]) for s in got[c].loss) == "".join(t for r, t in want if r == "assistant")
+    assert chat.format_chats(df.limit(0)).count() == 0
+    # finished turns go through the log and come back
+    table = spark.createDataFrame([(1, 0, "user", "q" * 40), (1, 1, "assistant", "streamed text, é, in pieces"), (1, 2, "user", None), (1, 3, "assistant", ""), (1, 4, "assistant", "abc")], "conv_id bigint, turn bigint, role string, text string")
+    events = chat.rows_as_events(table)
+    assert {r.kind for r in events.collect()} == {"message", "edit", "delta", "regenerate"}
+    assert chat.parse(chat.format_chats(events).first().formatted) == [("user", "q" * 40), ("assistant", "streamed text, é, in pieces"), ("user", ""), ("assistant", ""), ("assistant", "abc")]
+    assert chat.rows_as_events(table.limit(0)).count() == 0
+
+
 def test_chat_rows_that_tie(spark):
     rows = spark.createDataFrame([(1, 0, "user", "b"), (1, 0, "user", "b"), (1, 0, "assistant", "a"), (1, None, "user", None)], "conv_id bigint, turn bigint, role string, text string")
     r = chat.format_chats(chat.rows_as_events(rows)).first()
