@@ -9,8 +9,9 @@ loops) and ``toxic`` (insults).  Per task
 3. the posteriors of a bounded sample of documents train a linear scorer on hashed
    features, which judges every document.
 
-Labellers of the second task that know words take them from a bounded sample of labelled
-documents.  Both samples are the rows with the smallest hash of their id.
+Labellers that know words take them from a bounded sample of labelled documents: of low
+quality for the first task, toxic for the second.  Both samples are the rows with the
+smallest hash of their id.
 """
 
 from __future__ import annotations
@@ -49,8 +50,9 @@ RATIOS = {
 }
 INSULTS = "idiot moron stupid loser pathetic scum trash clown worthless disgusting dumb imbecile filth vermin retard bastard".split()
 #: Value of the occurrences less half a one: bad at or above, good at or below.
-TOXIC_RATES = (0.7, 0.5)
-TOXIC_VOTERS = ("insult list", "learnt words", "learnt 6-byte stems", "learnt 4-byte stems", "any learnt word or stem")
+WORD_RATES = (0.7, 0.5)
+JUNK_VOTERS = (*RATIOS, "learnt words")
+TOXIC_VOTERS = ("insult list", "learnt words", "learnt 6-byte stems", "learnt 4-byte stems")
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#$%&*@^~=+<>{}[]\\_|"]] = True
@@ -166,9 +168,12 @@ class Features:
 
 
 class WordLists(NamedTuple):
+    """Hashed words and stems of toxic documents, and words of low-quality ones."""
+
     words: np.ndarray
     stems6: np.ndarray
     stems4: np.ndarray
+    junk: np.ndarray
 
 
 def _flags(ids: np.ndarray) -> np.ndarray:
@@ -189,24 +194,22 @@ class Voters:
         self.learnt = [_flags(x) for x in lists]
         self.has = [bool(len(x)) for x in lists]
 
+    @staticmethod
+    def _rate(f: Features, flags: np.ndarray, kind: int) -> np.ndarray:
+        n = _value(np.maximum(_per_text(flags[f.buckets[kind]], f.words.first) - 0.5, 0), f.n_words)
+        return np.where(n >= WORD_RATES[0], BAD, np.where(n <= WORD_RATES[1], GOOD, ABSTAIN))
+
+    def _learnt(self, f: Features, which: int, kind: int) -> np.ndarray:
+        return self._rate(f, self.learnt[which], kind) if self.has[which] else np.full(f.n_texts, ABSTAIN)
+
     def junk(self, f: Features) -> np.ndarray:
         bad, good = (np.array(x) for x in zip(*RATIOS.values()))
         votes = np.where(f.ratios >= bad, BAD, np.where(f.ratios <= good, GOOD, ABSTAIN))
         votes[f.empty] = BAD
-        return votes
+        return np.column_stack((votes, self._learnt(f, 3, 0)))
 
     def toxic(self, f: Features) -> np.ndarray:
-        def rate(flags: np.ndarray, b: int) -> np.ndarray:
-            return _value(np.maximum(_per_text(flags[f.buckets[b]], f.words.first) - 0.5, 0), f.n_words)
-
-        def vote(x: np.ndarray) -> np.ndarray:
-            return np.where(x >= TOXIC_RATES[0], BAD, np.where(x <= TOXIC_RATES[1], GOOD, ABSTAIN))
-
-        rates = [rate(self.insults, 0), rate(self.learnt[0], 0), rate(self.learnt[1], 2), rate(self.learnt[2], 1)]
-        votes = [vote(rates[0])]
-        votes += [vote(r) if has else np.zeros(f.n_texts, int) for r, has in zip(rates[1:], self.has)]
-        votes.append(vote(np.max(rates, axis=0)))
-        return np.stack(votes, axis=1)
+        return np.stack([self._rate(f, self.insults, 0), *(self._learnt(f, which, kind) for which, kind in ((0, 0), (1, 2), (2, 1)))], axis=1)
 
 
 class LabelModel(NamedTuple):
@@ -255,10 +258,10 @@ class Scorer(NamedTuple):
     weights: np.ndarray
     bias: float
 
-    def score(self, f: Features) -> np.ndarray:
+    def score(self, f: Features, flags: np.ndarray) -> np.ndarray:
+        """``flags``: the features as a table, made once per task."""
         out = np.full(f.n_texts, self.bias)
         if len(self.features):
-            flags = _flags(self.features)
             d, feats, x = f.known(flags)
             np.add.at(out, d, self.weights[np.searchsorted(self.features, feats)] * x)
             levels = f.ratio_levels()
@@ -306,13 +309,14 @@ def train(features: list[np.ndarray], values: list[np.ndarray], p: np.ndarray, z
     return Scorer(chosen.astype(np.int32), w, float(bias))
 
 
-def choose_words(features: list[np.ndarray], values: list[np.ndarray], p: np.ndarray) -> WordLists:
-    """Words and stems that are frequent in toxic texts and rare in others."""
+def choose_words(features: list[np.ndarray], values: list[np.ndarray], p: np.ndarray) -> list[np.ndarray]:
+    """Words, 6-byte and 4-byte stems that are frequent in bad texts and rare in others."""
+    if not len(features):
+        return [np.zeros(0, np.int32)] * 3
     rows, feats, x = np.repeat(np.arange(len(features)), [len(f) for f in features]), np.concatenate(features), np.concatenate(values).astype(float)
     ids, bad, good, z, n = _contrast(feats, rows, x, p)
     ids = ids[(bad >= 5 * good) & (z >= 3.8) & (n >= 6)]
-    kind = ids >> BITS
-    return WordLists(ids[kind == 0], ids[kind == 2], ids[kind == 1])
+    return [ids[ids >> BITS == kind] for kind in (0, 2, 1)]
 
 
 class Model(NamedTuple):
@@ -364,28 +368,32 @@ def _once(sketches: list[list[int]]) -> np.ndarray:
 
 
 def learn_words(docs: DataFrame, labels: DataFrame, sample: int = LABELLED_SAMPLE) -> WordLists:
-    """Words and stems that stand in toxic documents of the labelled sample only.  Copies of
-    a document count once, or all words of a much-copied one would stand out."""
-    marked = _smallest(labels.where("id is not null and toxic is not null").groupBy("id").agg(F.max("toxic").alias("toxic")), sample)
-    rows = docs.join(F.broadcast(marked), "id").select("id", "text", "toxic")
-    got = rows.select("id", "text").mapInArrow(_collect_features, "id bigint, features array<int>, vals array<float>, sketch array<bigint>").toArrow()
-    toxic = {r.id: r.toxic for r in marked.collect()}
-    got = got.sort_by("id")
-    nothing = np.zeros(0, np.int32)
-    if not got.num_rows:
-        return WordLists(nothing, nothing, nothing)
+    """Words and stems that stand in toxic, or low-quality, documents of the labelled sample
+    only.  Copies of a document count once, or all words of a much-copied one would stand out."""
+    marked = labels.where("id is not null and (toxic is not null or quality is not null)").groupBy("id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
+    marked = _smallest(marked, sample)
+    rows = docs.join(F.broadcast(marked.select("id")), "id").select("id", "text")
+    got = rows.mapInArrow(_collect_features, "id bigint, features array<int>, vals array<float>, sketch array<bigint>").toArrow().sort_by("id")
+    known = {r.id: r for r in marked.collect()}
     keep = np.flatnonzero(_once(got.column("sketch").to_pylist()))
-    p = np.array([float(toxic[x] > 0) for x in got.column("id").to_pylist()])[keep]
-    return choose_words(_lists(got, "features", keep), _lists(got, "vals", keep), p)
+    ids = got.column("id").to_pylist()
+
+    def words(bad) -> list[np.ndarray]:
+        at = [i for i in keep.tolist() if bad(known[ids[i]]) is not None]
+        return choose_words(_lists(got, "features", at), _lists(got, "vals", at), np.array([float(bad(known[ids[i]])) for i in at]))
+
+    # insults say nothing about quality and junk nothing about insults: each is learnt beside the clean rest
+    junk = words(lambda r: None if r.quality is None or r.toxic else r.quality <= 0)
+    return WordLists(*words(lambda r: None if r.toxic is None else r.toxic > 0), junk[0])
 
 
-def _lists(got: pa.Table, name: str, keep: np.ndarray) -> list[np.ndarray]:
+def _lists(got: pa.Table, name: str, keep: list[int] | np.ndarray) -> list[np.ndarray]:
     column = got.column(name).combine_chunks()
     return [column[int(i)].values.to_numpy() for i in keep]
 
 
 def fit(docs: DataFrame, labels: DataFrame, labelled_sample: int = LABELLED_SAMPLE, training_sample: int = TRAINING_SAMPLE) -> Model:
-    """``docs`` (id, text), ``labels`` (id, toxic) -> the model.
+    """``docs`` (id, text), ``labels`` (id, toxic, quality) -> the model.
 
     What comes to the driver is bounded: word lists and features of the two samples, and
     counts of vote patterns (at most 3 to the number of labellers).
@@ -393,7 +401,7 @@ def fit(docs: DataFrame, labels: DataFrame, labelled_sample: int = LABELLED_SAMP
     sc = docs.sparkSession.sparkContext
     lists = learn_words(docs, labels, labelled_sample)
     shared = sc.broadcast(lists)
-    sizes = {"junk": len(RATIOS), "toxic": len(TOXIC_VOTERS)}
+    sizes = {"junk": len(JUNK_VOTERS), "toxic": len(TOXIC_VOTERS)}
 
     def vote(batches):
         voters = Voters(shared.value)
@@ -439,24 +447,30 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model.scorers)
 
     def run(batches):
+        scorers = [(shared.value[task], _flags(shared.value[task].features)) for task in ("junk", "toxic")]
         for b in _slices(batches):
             f = Features(b.column(1))
-            junk = np.where(f.empty, np.maximum(shared.value["junk"].score(f), 1.0), shared.value["junk"].score(f))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(junk, pa.float64()), pa.array(shared.value["toxic"].score(f), pa.float64())], names=["id", "junk_score", "toxic_score"])
+            junk, toxic = (scorer.score(f, flags) for scorer, flags in scorers)
+            junk[f.empty] = np.maximum(junk[f.empty], 1.0)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(junk, pa.float64()), pa.array(toxic, pa.float64())], names=["id", "junk_score", "toxic_score"])
 
     return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, junk_score double, toxic_score double")
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", toxic_col: str = "toxic", row_col: str | None = None) -> DataFrame:
+def classify(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", toxic_col: str = "toxic", quality_col: str = "quality", row_col: str | None = None
+) -> DataFrame:
     """(id, ``junk_score``, ``toxic_score``, ``keep``) of every row; with ``row_col``, that column of the row in place of the id.
 
-    Edge cases: texts without words (null, empty, blank) are junk; without
-    labels the learnt word lists are empty and their labellers abstain; null labels are
-    left out, and of repeated labels the worse counts; rows with equal ids are scored each;
-    texts of any length are scored whole; an empty table gives an empty table; other
-    columns are ignored.  No shuffle of texts.
+    Edge cases: texts without words (null, empty, blank) are junk; without labels, or
+    without one of the two label columns, the word lists learnt from them are empty and
+    their labellers abstain; null labels are left out, and of repeated labels the worse
+    counts; rows with equal ids are scored each by their text; texts of any length are
+    scored whole; an empty table gives an empty table; other columns are ignored; an id
+    that is no whole number is refused by the cast to bigint.  No shuffle of texts.
     """
     d = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    marks = labels.select(F.col(label_id).cast("bigint").alias("id"), F.col(toxic_col).alias("toxic"))
+    mark = lambda c, name: (F.col(c) if c in labels.columns else F.lit(None).cast("int")).alias(name)
+    marks = labels.select(F.col(label_id).cast("bigint").alias("id"), mark(toxic_col, "toxic"), mark(quality_col, "quality"))
     scored = score(docs.select(F.col(row_col).alias("id"), F.col(text_col).alias("text")) if row_col else d, fit(d, marks))
     return scored.select(F.col("id").alias(row_col or id_col), "junk_score", "toxic_score", ((F.col("junk_score") <= 0) & (F.col("toxic_score") <= 0)).alias("keep"))

@@ -272,6 +272,28 @@ def test_label_model_finds_accuracies():
     assert ((model.posterior(patterns)[inverse] > 0.5) == hidden).mean() > 0.91
 
 
+def test_label_model_against_plain_em():
+    """The same steps written out per pattern and labeller, without arrays."""
+    rng = random.Random(2)
+    patterns = sorted({tuple(rng.choice([0, 0, 1, 2, 2]) for _ in range(4)) for _ in range(40)})
+    counts = [rng.randint(1, 200) for _ in patterns]
+    p = []
+    for v in patterns:
+        bad, good = v.count(quality.BAD), v.count(quality.GOOD)
+        p.append(0.95 if bad >= 2 or bad == 1 and not good else 0.3 if bad == 1 else 0.02)
+    for _ in range(25):
+        prior = min(max(sum(a * n for a, n in zip(p, counts)) / sum(counts), 1e-4), 1 - 1e-4)
+        table = {}
+        for c in (0, 1):
+            for k in range(4):
+                got = [0.1 + sum((a if c else 1 - a) * n for a, n, v in zip(p, counts, patterns) if v[k] == vote) for vote in range(3)]
+                table[c, k] = [g / sum(got) for g in got]
+        like = [[math.prod(table[c, k][v[k]] for k in range(4)) for c in (0, 1)] for v in patterns]
+        p = [b * prior / (b * prior + a * (1 - prior)) for a, b in like]
+    model = quality.estimate(np.array(patterns), np.array(counts, dtype=float), rounds=25)
+    assert model.prior == pytest.approx(prior, abs=1e-9) and model.posterior(np.array(patterns)) == pytest.approx(p, abs=1e-9)
+
+
 def made_documents(n=1500, seed=6):
     rng = random.Random(seed)
     rows, marks = [], []
@@ -293,8 +315,10 @@ def made_documents(n=1500, seed=6):
 def test_classifier_on_held_out_documents(spark):
     rows, marks = made_documents()
     docs = spark.createDataFrame([(i, t, "x") for i, t in rows] + [(9000, None, "x"), (9001, "", "x"), (0, rows[0][1], "x")], "doc_id bigint, text string, keep string")
-    labels = spark.createDataFrame([m for m in marks if m[0] % 16 < 8] + [(None, 1), (16, None)], "doc_id bigint, toxic int")
-    got = {r.doc_id: r.keep for r in quality.classify(docs, labels).collect()}
+    labels = spark.createDataFrame([(i, t, int(i % 8 not in (1, 2))) for i, t in marks if i % 16 < 8] + [(None, 1, 0), (16, None, None), (3, None, 0), (3, 0, 1)], "doc_id bigint, toxic int, quality int")
+    scored = quality.classify(docs, labels).collect()
+    got = {r.doc_id: r.keep for r in scored}
+    assert len({(r.junk_score, r.toxic_score) for r in scored if r.doc_id == 0}) == 1 and sum(r.doc_id == 0 for r in scored) == 2
     held = [i for i, _ in rows if i % 16 >= 8]
     wrong = [i for i in held if got[i] != (i % 8 > 2)]
     assert len(wrong) <= 0.02 * len(held) and not got[9000] and not got[9001]
