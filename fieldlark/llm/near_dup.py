@@ -265,7 +265,8 @@ def near_duplicates(
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
     wanted = (wanted.unionByName(placed.select("node")) if placed else wanted).distinct()
     wanted = cut(reps.join(wanted, "node").select(F.col("rep").alias("id"), "print", "node"))
-    sets = d.join(wanted, ["id", "print"]).dropDuplicates(["id", "print"]).select("node", "text", "print")
+    # candidates grow with the corpus: the same plan at every size
+    sets = d.join(wanted.hint("merge"), ["id", "print"]).dropDuplicates(["id", "print"]).select("node", "text", "print")
     sets = cut(sets.mapInArrow(_sets(size), "node bigint, grams array<bigint>"))
     links = cut(_verify(pairs, sets).where(F.col("j") >= threshold))
     counted = [links.select(F.col(end).alias("node"), F.lit(1).cast("bigint").alias("n")) for end in ("a", "b")]
