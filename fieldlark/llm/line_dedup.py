@@ -12,11 +12,11 @@ BLANKS = " \t\n\x0b\x0c\r"
 
 
 def _keys(text: Column, min_chars: int) -> Column:
-    """Per line of ``text``: the 64-bit hash of its key, null for keys too short to count."""
+    """Per line of ``text``: the 128-bit hash of its key, null for keys too short to count."""
 
     def key(line: Column) -> Column:
         k = F.btrim(line, F.lit(BLANKS))
-        return F.when(F.char_length(k) >= min_chars, F.xxhash64(k))
+        return F.when(F.char_length(k) >= min_chars, F.struct(F.xxhash64(k).alias("h"), F.xxhash64(F.lit(1), k).alias("g")))
 
     return F.transform(F.split(F.translate(text, UPPER, LOWER), "\n"), key)
 
@@ -31,20 +31,19 @@ def drop_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     Edge cases: a null or empty text is one empty line; an empty key is never
     dropped (``min_chars`` >= 1); a line repeated inside a document counts that
-    document once, as do rows that share an id; a null id is one document of its
-    own id "null"; an empty table gives an empty table; other columns are ignored.
-
-    Plan: the hashes of a document's lines (never the lines) are exploded and
-    counted with map-side aggregation, the common hashes are cut to the shared
-    folder and joined back by hash, where AQE can split a hot line, and each
-    document gets its own short list of common hashes by one join on its id.
-    Keys are compared by xxhash64.
+    document once, as do rows that share an id; rows with a null id are one document
+    together, for counting; an empty table gives an empty table; other columns are ignored.
+
+    Plan: texts are read once for the hashes of each document's lines, a narrow table in the
+    shared folder.  They are counted with map-side aggregation, the common ones joined
+    back by hash, where AQE can split a hot line, and each document gets its own short
+    list of common hashes by one join on its id.  Keys are compared by 128-bit hash.
     """
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *([F.col(row_col).alias("row")] if row_col else []))
-    keyed = base.select("id", F.explode(F.array_compact(F.array_distinct(_keys(F.col("text"), max(1, min_chars))))).alias("h"))
-    marked = keyed.select("h", F.coalesce(F.col("id").cast("string"), F.lit("null")).alias("doc"))
-    common = cut(marked.groupBy("h").agg(F.count_distinct("doc").alias("n")).where(F.col("n") >= min_docs).select("h"))
-    per_doc = keyed.join(common, "h", "left_semi").groupBy(F.col("id").alias("bad_id")).agg(F.collect_set("h").alias("bad"))
+    keyed = cut(base.select("id", F.explode(F.array_compact(F.array_distinct(_keys(F.col("text"), max(1, min_chars))))).alias("k")).select("id", "k.h", "k.g"))
+    nameless = F.coalesce(F.max(F.col("id").isNull().cast("int")), F.lit(0))
+    common = cut(keyed.groupBy("h", "g").agg((F.count_distinct("id") + nameless).alias("n")).where(F.col("n") >= min_docs).select("h", "g"))
+    per_doc = keyed.join(common, ["h", "g"], "left_semi").groupBy(F.col("id").alias("bad_id")).agg(F.collect_set(F.struct("h", "g")).alias("bad"))
     found = base.join(per_doc, F.col("id").eqNullSafe(F.col("bad_id")), "left").drop("bad_id")
     lines = F.split("text", "\n")
     flags = F.transform(_keys(F.col("text"), max(1, min_chars)), lambda h: F.coalesce(F.array_contains(F.col("bad"), h), F.lit(False)))

@@ -74,6 +74,14 @@ def test_line_dedup_counts_a_document_once(spark):
     assert got == {(1, 0), (2, 0)}
 
 
+def test_line_dedup_rows_without_id_are_one_document(spark):
+    named = spark.createDataFrame([("null", "a"), (None, "a"), (None, "a\nb"), ("x", "b")], "doc_id string, text string")
+    got = [(r.doc_id, r.text) for r in line_dedup.drop_common_lines(named, min_docs=2).collect()]
+    assert sorted(got, key=str) == sorted([("null", ""), (None, ""), (None, ""), ("x", "")], key=str)
+    got = [(r.doc_id, r.text) for r in line_dedup.drop_common_lines(named, min_docs=3).collect()]
+    assert sorted(got, key=str) == sorted([("null", "a"), (None, "a"), (None, "a\nb"), ("x", "b")], key=str)
+
+
 def test_empty_tables(spark):
     none = docs_of(spark, [])
     assert line_dedup.drop_common_lines(none).count() == 0
