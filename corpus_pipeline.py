@@ -20,54 +20,91 @@ from fieldlark.llm.quality import classify
 from fieldlark.operators.lineage import Rounds
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``docs`` has it."""
+    while name.lower() in (c.lower() for c in docs.columns):
+        name += "_"
+    return name
+
+
 def _whole(docs: DataFrame) -> DataFrame:
     """(doc_id, text, _row): every row with all its columns in one, to come along through an operator."""
     return docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row"))
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with a number of its own for every row, written once so that it stays."""
-    return Rounds(docs.sparkSession).cut(docs.withColumn("_row", F.monotonically_increasing_id()))
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a number of its own for every row, written once so that it stays, and the number's name."""
+    row = _free(docs, "_row")
+    return Rounds(docs.sparkSession).cut(docs.withColumn(row, F.monotonically_increasing_id())), row
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects as junk or toxic go."""
+    """Documents that the classifier rejects as junk or toxic go.
+
+    Texts without words (null, empty, blank) are junk and go; texts of any length are scored
+    whole; equal rows, and rows that share an id or have none, are judged each by their own
+    text; an empty table stays empty; all columns come along, whatever their names.
+    """
     scored = classify(_whole(docs), table(spark, sf_dir, "labels"), row_col="_row")
     return scored.where("keep").select("_row.*")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines found in ten or more documents go; so do documents of which nothing but blanks is left."""
+    """Lines found in ten or more documents go; so do documents that lost a line and of which nothing but blanks is left.
+
+    A null text stays null, an empty one empty; ``n_chars`` is counted anew where a line
+    went; rows that share an id count as one document for a line, rows without an id as one
+    together, and each keeps its own text; an empty table stays empty; all other columns
+    come along, whatever their names.
+    """
+    bare = _free(docs, "_no_text")
     others = [c for c in docs.columns if c != "text"]
-    kept = drop_common_lines(docs.select("doc_id", "text", F.struct(*others, F.col("text").isNull().alias("_no_text")).alias("_row")), row_col="_row")
+    kept = drop_common_lines(docs.select("doc_id", "text", F.struct(*others, F.col("text").isNull().alias(bare)).alias("_row")), row_col="_row")
     changed = F.col("n_dropped") > 0
     out = kept.where(~changed | (F.btrim(F.col("text"), F.lit(" \t\n\x0b\x0c\r")) != ""))
-    new = {"text": F.when(~F.col("_row._no_text"), F.col("text")), "n_chars": F.when(changed, F.char_length("text").cast("bigint")).otherwise(F.col("_row.n_chars"))}
-    return out.select(*[new.get(c, F.col(f"_row.{c}")).alias(c) for c in docs.columns])
+    new = {"text": F.when(~F.col(f"_row.{bare}"), F.col("text")), "n_chars": F.when(changed, F.char_length("text").cast("bigint")).otherwise(F.col("_row.n_chars"))}
+    return out.select(*[new.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the least id stays, one without an id only where none has one."""
-    keyed = _keyed(docs)
-    classes, _ = near_duplicates(keyed, id_col="_row")
+    """Of each group of near-duplicates the document with the least id stays, one without an id only where none has one.
+
+    Texts without words are no copies of each other and all stay; of equal rows one stays;
+    rows that share an id are judged each by their own text; an empty table stays empty; all
+    columns come along, whatever their names.
+    """
+    keyed, row = _keyed(docs)
+    classes, _ = near_duplicates(keyed, id_col=row)
     # classes of one row need no judging but are judged alike
-    named = classes.select("_row", "class_id").join(keyed.select("_row", "doc_id"), "_row")
-    first = named.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row")).alias("least"))
-    return keyed.join(first.select("least._row"), "_row", "left_semi").select(*docs.columns)
+    named = classes.select(row, "class_id").join(keyed.select(row, "doc_id"), row)
+    first = named.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col(row).alias("row"))).alias("least"))
+    return keyed.join(first.select(F.col("least.row").alias(row)), row, "left_semi").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents contaminated with benchmark passages go."""
+    """Documents contaminated with benchmark passages go.
+
+    Texts without words have no hits and stay; texts of any length are searched whole; equal
+    rows, and rows that share an id or have none, are judged each by their own text; an
+    empty benchmark takes nothing, an empty table stays empty; all columns come along,
+    whatever their names.
+    """
     found = find_contamination(_whole(docs), table(spark, sf_dir, "benchmark"), id_col="_row")
     return found.where(~contaminated()).select("_row.*")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per document that the mix takes, with its copies."""
-    keyed = _keyed(docs)
+    """One row per document that the mix takes, with its copies.
+
+    Adds ``size``, ``source_size``, ``target``, ``copies`` and ``taken``; columns of these names
+    that the documents have give way to them.  Texts without words are never taken; a null
+    source is a source of its own; equal rows are documents of their own; an empty table
+    stays empty; all other columns come along.
+    """
+    keyed, row = _keyed(docs)
     extra = ["size", "source_size", "target", "copies", "taken"]
-    mixed = mix_sources(keyed, row_col="_row").where("copies > 0").select("_row", *extra)
-    return keyed.select("_row", *[c for c in docs.columns if c not in extra]).join(mixed, "_row").drop("_row")
+    mixed = mix_sources(keyed, row_col=row).where("copies > 0").select(row, *extra)
+    return keyed.select(row, *[c for c in docs.columns if c.lower() not in extra]).join(mixed, row).drop(row)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
