@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -126,12 +128,15 @@ def centers_of(assigned: DataFrame, k: int, x: str = "x") -> np.ndarray:
     return out
 
 
+def own_distance(centers: np.ndarray, x: str = "x") -> Column:
+    """Squared distance to the centre of the row's ``cluster``."""
+    all_ = F.array(*[F.array(*[F.lit(float(a)) for a in c]) for c in centers])
+    return F.aggregate(F.zip_with(x, F.get(all_, F.col("cluster")), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
+
+
 def inertia(assigned: DataFrame, centers: np.ndarray, x: str = "x") -> float:
     """Sum of squared distances to the assigned centres."""
-    all_ = F.array(*[F.array(*[F.lit(float(a)) for a in c]) for c in centers])
-    own = F.get(all_, F.col("cluster"))
-    d2 = F.aggregate(F.zip_with(x, own, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
-    return assigned.agg(F.sum(d2)).first()[0] or 0.0
+    return assigned.agg(F.sum(own_distance(centers, x))).first()[0] or 0.0
 
 
 def plus_plus(vectors: DataFrame, k: int, seed: int, idx: str = "idx", x: str = "x") -> np.ndarray:
@@ -179,15 +184,15 @@ def latent_clusters(assigned: DataFrame, centers: np.ndarray, idx: str = "idx")
     return c.join(m, "cluster_id", "left").select("cluster_id", "center", F.coalesce("size", F.lit(0)).alias("size"), F.coalesce("indices", none).alias("indices"))
 
 
-def optimal_k(vectors: DataFrame, k_range: tuple[int, int] = (2, 10), **kw) -> tuple[int, list[float]]:
-    """The k after which inertia falls most in relation to the inertia before."""
+def optimal_k(vectors: DataFrame, k_range: tuple[int, int] = (2, 10), starts: Callable[[int], np.ndarray] | None = None, **kw) -> tuple[int, list[float]]:
+    """The k after which inertia falls most in relation to the inertia before; ``starts`` gives the first centres for a k."""
     n = vectors.count()
     lo, hi = max(1, k_range[0]), min(n, k_range[1])
     if lo > hi:
         return lo, []
     curve = []
     for k in range(lo, hi + 1):
-        assigned, centers = k_means(vectors, k, **kw)
+        assigned, centers = k_means(vectors, k, starts(k) if starts else None, **kw)
         curve.append(inertia(assigned, centers))
     if len(curve) < 2:
         return lo, curve

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldlark.config import ServerConfig
 from fieldlark.functions.arrays import clip
+from fieldlark.operators.fold import fold_columns
 
 SOURCE = "geometry_fusion_ph2"
 
@@ -104,32 +105,16 @@ def hold_step(state: tuple[float, int, bool], value: float, c: ServerConfig) ->
 def persist(instant: DataFrame, c: ServerConfig = ServerConfig(), keys: tuple[str, ...] = ("i", "j")) -> DataFrame:
     """Decay, persistence and hysteresis of every cell in order of ts.
 
-    The output is 0 where the cell is not active; the state keeps the unmasked value.  A
-    fold per cell over its ticks: cells run in parallel.
+    The output is 0 where the cell is not active; the state keeps the unmasked value.  Rows
+    are sorted by cell and time and streamed through the step: cells run in parallel, no
+    cell's history is held, and the work grows in proportion to the ticks.
     """
-    seq = F.array_sort(F.collect_list(F.struct("ts", "value", "confidence")))
-    zero = F.struct(F.lit(None).cast("double").alias("ts"), F.lit(0.0).alias("f"), F.lit(0).alias("n"), F.lit(False).alias("on"), F.lit(0.0).alias("confidence"))
 
-    def step(acc: Column, x: Column) -> Column:
-        s = F.element_at(acc, -1)
-        f = c.decay * s["f"] + (1 - c.decay) * x["value"]
-        n = F.when(f >= c.enter_threshold, s["n"] + 1).otherwise(F.lit(0))
-        on = (n >= c.persistence) | (s["on"] & (f >= c.exit_threshold))
-        return F.concat(acc, F.array(F.struct(x["ts"].alias("ts"), f.alias("f"), n.alias("n"), on.alias("on"), x["confidence"].alias("confidence"))))
+    def step(state, value, confidence):
+        s = hold_step(state or (0.0, 0, False), value, c)
+        return s, (s[0], confidence, True) if s[2] else (0.0, 0.0, False)
 
-    folded = instant.groupBy(*keys).agg(F.aggregate(seq, F.array(zero), step).alias("s"))
-    rows = folded.select(*keys, F.explode("s").alias("s")).where("s.ts is not null")
-    out = lambda n: F.when(F.col("s.on"), F.col(f"s.{n}")).otherwise(F.lit(0.0))
-    return rows.select(F.col("s.ts").alias("ts"), *keys, out("f").alias("value"), out("confidence").alias("confidence"), F.col("s.on").alias("active"))
+    return fold_columns(instant, list(keys), ["ts"], ["value", "confidence"], step, "value double, confidence double, active boolean")
 
 
-def persist_streamed(instant: DataFrame, c: ServerConfig = ServerConfig(), keys: tuple[str, ...] = ("i", "j")) -> DataFrame:
-    """As ``persist`` for long replays: rows are sorted by cell and time and streamed through
-    the same step, so no cell's history is held."""
-    from fieldlark.operators.fold import fold_sorted
-
-    def step(state, row):
-        s = hold_step(state or (0.0, 0, False), row["value"], c)
-        return s, {"value": s[0] if s[2] else 0.0, "confidence": row["confidence"] if s[2] else 0.0, "active": s[2]}
-
-    return fold_sorted(instant, list(keys), ["ts"], step, "value double, confidence double, active boolean")
+persist_streamed = persist

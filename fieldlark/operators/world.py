@@ -5,37 +5,41 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Objects are broadcast up to so many rows; beyond, points and objects meet by grid bin.
-BROADCAST_OBJECTS = 10_000
+from fieldlark.operators.fold import fold_columns
+
+#: Objects are broadcast, each point looking at all of them, up to so many rows; beyond, points and objects meet by grid bin.
+BROADCAST_OBJECTS = 500
 
 
 def at_ticks(objects: DataFrame, ticks: int, dt: float, record_from: int = 1) -> DataFrame:
     """(object_id, tick, t, x, y, z, radius, intensity) after each of ``ticks`` steps.
 
     Moving objects step, and where they leave their bounds the velocity flips and the
-    position is clamped; the fold over ticks runs per object.  Oscillating ones pulse
-    in closed form, from a clock of their own that starts at 0.
+    position is clamped; objects run in parallel, a row per tick streams through the step.
+    Oscillating ones pulse in closed form, from a clock of their own that starts at 0.
     """
     if dt < 0:
         raise ValueError("dt must not be negative")
-    steps = F.sequence(F.lit(1), F.lit(ticks))
 
-    def bounce(p: Column, v: Column, lo: Column, hi: Column) -> tuple[Column, Column]:
+    def bounce(p: float, v: float, lo: float, hi: float) -> tuple[float, float]:
         q = p + v * dt
-        return F.least(F.greatest(q, lo), hi), F.when((q < lo) | (q > hi), -v).otherwise(v)
-
-    def step(acc: Column, _: Column) -> Column:
-        s = F.element_at(acc, -1)
-        x, vx = bounce(s["x"], s["vx"], F.col("x_min"), F.col("x_max"))
-        y, vy = bounce(s["y"], s["vy"], F.col("y_min"), F.col("y_max"))
-        return F.concat(acc, F.array(F.struct(x.alias("x"), y.alias("y"), vx.alias("vx"), vy.alias("vy"))))
-
-    start = F.array(F.struct(F.col("x").alias("x"), F.col("y").alias("y"), F.col("vx").alias("vx"), F.col("vy").alias("vy")))
-    path = F.when(F.col("kind") == "moving", F.aggregate(steps, start, step)).otherwise(F.transform(F.sequence(F.lit(0), F.lit(ticks)), lambda _: start[0]))
-    rows = objects.select("*", F.posexplode(path).alias("tick", "s")).where(F.col("tick") >= record_from)
+        return (hi, -v) if q > hi else (lo, -v) if q < lo else (q, v)
+
+    def step(state, kind, x, y, vx, vy, x_min, x_max, y_min, y_max):
+        if state is None:
+            state = x, y, vx, vy
+        elif kind == "moving":
+            (x, vx), (y, vy) = bounce(state[0], state[2], x_min, x_max), bounce(state[1], state[3], y_min, y_max)
+            state = x, y, vx, vy
+        return state, state[:2]
+
+    given = ["z", "radius", "intensity", "amplitude", "frequency"]
+    rows = objects.select("*", F.explode(F.sequence(F.lit(0), F.lit(ticks))).alias("tick"))
+    moved = fold_columns(rows.withColumn("given", F.struct("kind", *given)), ["object_id"], ["tick", "given"], ["kind", "x", "y", "vx", "vy", "x_min", "x_max", "y_min", "y_max"], step, "x double, y double")
+    moved = moved.where(F.col("tick") >= record_from).select("object_id", "tick", "x", "y", "given.*")
     t = F.col("tick") * F.lit(dt)
     pulse = F.greatest(F.lit(0.0), F.col("intensity") + F.col("amplitude") * F.sin(2 * 3.141592653589793 * F.col("frequency") * t))
-    return rows.select("object_id", "tick", t.alias("t"), F.col("s.x").alias("x"), F.col("s.y").alias("y"), "z", "radius", F.when(F.col("kind") == "oscillating", pulse).otherwise(F.col("intensity")).alias("intensity"))
+    return moved.select("object_id", "tick", t.alias("t"), "x", "y", "z", "radius", F.when(F.col("kind") == "oscillating", pulse).otherwise(F.col("intensity")).alias("intensity"))
 
 
 def _gaussian(d2: Column) -> Column:

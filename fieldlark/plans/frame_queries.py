@@ -320,6 +320,33 @@ def pca_encode(spark, sf):
     return _packed(spark, sf, latent.PCAEncoder(64, 4).fit(f, "amplitude").encode(F.col("amplitude")))
 
 
+_COV = f"""{FRAMES}, pc AS MATERIALIZED (SELECT a.k AS i, b.k AS j, covar_samp(a.amp, b.amp) AS c FROM l a JOIN l b ON a.link_id = b.link_id AND a.ts = b.ts GROUP BY ALL), rows_ AS MATERIALIZED (SELECT i, list(c ORDER BY j) AS c FROM pc GROUP BY i)"""
+
+
+@query(
+    f"""WITH RECURSIVE {_COV}, pw AS (SELECT 0 AS n, (SELECT list(1 / sqrt(64) ORDER BY i) FROM rows_) AS v, 0::DOUBLE AS norm UNION ALL
+SELECT n + 1, list_transform(w, lambda x: x / sqrt(list_dot_product(w, w))), sqrt(list_dot_product(w, w)) FROM (SELECT n, list(list_dot_product(c, v) ORDER BY i) AS w FROM pw, rows_ WHERE n < 2000 GROUP BY n))
+SELECT (SELECT round(sum(c), 4) FROM pc WHERE i = j) AS total_variance, round(norm, 4) AS leading_variance FROM pw WHERE n = 2000"""
+)
+def pca_spectrum(spark, sf):
+    """All variance is explained by all components; the leading one's is that of power iteration."""
+    e = latent.PCAEncoder(64, 64).fit(tables.frames(spark, sf), "amplitude")
+    v = e.explained_variance
+    return spark.createDataFrame([(round(float(v.sum()), 4), round(float(v.max()), 4))], "total_variance double, leading_variance double")
+
+
+@query("SELECT CAST(a AS INTEGER) AS a, CAST(b AS INTEGER) AS b, true AS as_explained, true AS orthonormal FROM (SELECT unnest(range(4)) AS a), (SELECT unnest(range(4)) AS b)")
+def pca_projections(spark, sf):
+    """Projections are uncorrelated, vary as explained, and the components are orthonormal."""
+    f = tables.frames(spark, sf)
+    e = latent.PCAEncoder(64, 4).fit(f, "amplitude")
+    z = f.select(F.posexplode(e.encode(F.col("amplitude"))).alias("a", "u"), e.encode(F.col("amplitude")).alias("z"))
+    c = z.select("a", "u", F.posexplode("z").alias("b", "w")).groupBy("a", "b").agg(F.covar_samp("u", "w").alias("c"), F.abs(F.avg("u")).alias("m"))
+    explained, unit = (F.array(*[F.lit(float(x)) for x in v]) for v in (e.explained_variance, np.abs(e.components.T @ e.components - np.eye(4)).max(axis=0)))
+    want = F.when(F.col("a") == F.col("b"), F.get(explained, F.col("a"))).otherwise(0.0)
+    return c.select("a", "b", ((F.abs(F.col("c") - want) < 1e-8) & (F.col("m") < 1e-8)).alias("as_explained"), (F.get(unit, F.col("a")) < 1e-9).alias("orthonormal"))
+
+
 def _vectors(spark, sf):
     return tables.read(spark, sf, "embeddings").select(F.col("vec_id").alias("idx"), F.col("embedding").cast("array<double>").alias("x"))
 
@@ -348,22 +375,46 @@ def kmeans_step(spark, sf):
     """One Lloyd round: sizes, and inertia against the moved centres."""
     assigned, centers = cluster.k_means(_vectors(spark, sf), 4, _start(spark, sf), max_iter=1)
     clusters = cluster.latent_clusters(assigned, centers)
-    moved = F.array(*[F.array(*[F.lit(float(v)) for v in c]) for c in centers])
-    d2 = F.aggregate(F.zip_with("x", F.get(moved, F.col("cluster")), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
-    per = assigned.groupBy(F.col("cluster").alias("cluster_id")).agg(F.sum(d2).alias("inertia"))
+    per = assigned.groupBy(F.col("cluster").alias("cluster_id")).agg(F.sum(cluster.own_distance(centers)).alias("inertia"))
     return rounded(clusters.join(per, "cluster_id").select("cluster_id", "size", "inertia"), "inertia")
 
 
-@query()
+def _lloyd_sql(ks: str, rounds: int) -> str:
+    """Rounds from the first k vectors: centres cs of every k and round."""
+    near = f"list_transform(cs, lambda q: {_D.format(a='e', b='q')})"
+    return f"""{_V}, s0 AS (SELECT list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e, row_number() OVER (ORDER BY vec_id) AS n FROM embeddings), ks AS (SELECT unnest({ks}) AS k),
+lloyd AS (SELECT CAST(k AS INTEGER) AS k, 0 AS it, list(e ORDER BY n) AS cs FROM s0 JOIN ks ON n <= k GROUP BY k UNION ALL
+SELECT k, it, list(m ORDER BY cluster) FROM (SELECT k, it + 1 AS it, cluster, list(m ORDER BY d) AS m FROM (SELECT k, it, cluster, d, avg(x) AS m FROM
+(SELECT k, it, list_position(ds, list_min(ds)) - 1 AS cluster, unnest(range(len(e))) AS d, unnest(e) AS x FROM (SELECT k, it, e, {near} AS ds FROM lloyd, v WHERE it < {rounds}))
+GROUP BY k, it, cluster, d) GROUP BY k, it, cluster) GROUP BY k, it),
+won AS (SELECT k, idx, e, list_position(ds, list_min(ds)) - 1 AS cluster FROM (SELECT k, idx, e, {near} AS ds FROM lloyd, v WHERE it = {rounds - 1})),
+cost AS (SELECT won.k, idx, cluster, {_D.format(a='e', b='cs[cluster + 1]')} AS d2 FROM won JOIN lloyd ON won.k = lloyd.k AND it = {rounds})"""
+
+
+@query(f"WITH RECURSIVE {_lloyd_sql('[4]', 20)} SELECT CAST(cluster AS INTEGER) AS cluster_id, count(*) AS size, {r('sum(d2)')} AS inertia FROM cost GROUP BY cluster")
 def kmeans(spark, sf):
-    assigned, centers = cluster.k_means(_vectors(spark, sf), 4, max_iter=20, seed=1)
-    return cluster.latent_clusters(assigned, centers).select("cluster_id", "size")
+    """Up to 20 rounds from the first four vectors."""
+    assigned, centers = cluster.k_means(_vectors(spark, sf), 4, _start(spark, sf), max_iter=20)
+    clusters = cluster.latent_clusters(assigned, centers)
+    per = assigned.groupBy(F.col("cluster").alias("cluster_id")).agg(F.sum(cluster.own_distance(centers)).alias("inertia"))
+    return rounded(clusters.join(per, "cluster_id").select("cluster_id", "size", "inertia"), "inertia")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_lloyd_sql('[2, 3, 4]', 5)}, i AS (SELECT k, sum(d2) AS inertia FROM cost GROUP BY k), f AS (SELECT k, lag(inertia) OVER (ORDER BY k) AS before, inertia FROM i)
+SELECT k, {r('inertia')} AS inertia, (SELECT arg_max(k, (before - inertia) / before) FROM f WHERE before IS NOT NULL) AS chosen FROM i"""
+)
 def kmeans_elbow(spark, sf):
-    k, curve = cluster.optimal_k(_vectors(spark, sf), (2, 4), max_iter=5, seed=1)
-    return spark.createDataFrame([(i + 2, float(c), k) for i, c in enumerate(curve)], "k int, inertia double, chosen int")
+    start = np.array([list(row.x) for row in _vectors(spark, sf).orderBy("idx").limit(4).collect()])
+    k, curve = cluster.optimal_k(_vectors(spark, sf), (2, 4), max_iter=5, starts=lambda n: start[:n])
+    return rounded(spark.createDataFrame([(i + 2, float(c), k) for i, c in enumerate(curve)], "k int, inertia double, chosen int"), "inertia")
+
+
+@query()
+def kmeans_plus_plus(spark, sf):
+    """Rounds from a start drawn by hash, which SQL does not have."""
+    assigned, centers = cluster.k_means(_vectors(spark, sf), 4, max_iter=20, seed=1)
+    return cluster.latent_clusters(assigned, centers).select("cluster_id", "size")
 
 
 _SNR = "10 * log10(greatest((avg(amp) * avg(amp) + 1e-8) / (var_pop(amp) + 1e-8), 1e-8))"
@@ -377,8 +428,8 @@ def snr_estimate(spark, sf):
 _UW = """CASE WHEN d IS NULL OR abs(d) < pi() THEN 0.0 ELSE ((d + pi()) - floor((d + pi()) / (2 * pi())) * (2 * pi()) - pi()) - d END"""
 
 
-@query(
-    f"""WITH {FRAMES}, n AS (SELECT *, row_number() {T} AS rn FROM l),
+#: Conditioned frames (x, a row per subcarrier) and their health (h).
+_CONDITIONED = f"""n AS (SELECT *, row_number() {T} AS rn FROM l),
 d0 AS (SELECT *, phase - lag(phase) {S} AS d FROM n), u0 AS (SELECT * EXCLUDE (d), phase + sum({_UW}) {S} AS u FROM d0),
 t AS (SELECT *, CASE WHEN rn = 1 THEN round((u - phase) / (2 * pi())) ELSE round_even((lag(phase) {T} - phase) / (2 * pi()), 0) END AS turn FROM u0),
 al AS (SELECT link_id, ts, k, amp, phase + 2 * pi() * sum(turn) {T} AS p FROM t),
@@ -389,7 +440,11 @@ o AS (SELECT *, sz >= 1e-8 AND abs(z - mz) > 3.5 * sz AS oz, sp >= 1e-8 AND abs(
 x AS (SELECT *, CASE WHEN oz THEN mz ELSE z END AS ca, CASE WHEN op THEN mp ELSE pc END AS cp FROM o),
 y AS (SELECT *, coalesce(cp - lag(cp) {S}, 0) AS dp FROM x),
 g AS (SELECT link_id, ts, {_SNR} AS snr, stddev_pop(ca) AS sa, stddev_pop(dp) AS sd, 0.5 * (avg(CAST(oz AS INTEGER)) + avg(CAST(op AS INTEGER))) AS ro, any_value(off) AS off FROM y GROUP BY link_id, ts),
-h AS (SELECT *, least(greatest(0.55 * least(greatest((snr + 10) / 30, 0), 1) + 0.2 * (1 - least(sa / 4, 1)) + 0.2 * (1 - least(sd / 4, 1)) + 0.05 * (1 - ro), 0), 1) AS score FROM g)
+h AS (SELECT *, least(greatest(0.55 * least(greatest((snr + 10) / 30, 0), 1) + 0.2 * (1 - least(sa / 4, 1)) + 0.2 * (1 - least(sd / 4, 1)) + 0.05 * (1 - ro), 0), 1) AS score FROM g)"""
+
+
+@query(
+    f"""WITH {FRAMES}, {_CONDITIONED}
 SELECT link_id, ts, {r('snr')} AS snr_db, {r('sa')} AS amplitude_std, {r('sd')} AS phase_std, {r('ro')} AS outlier_ratio, {r('score')} AS health_score,
 CASE WHEN score >= 0.75 THEN 'NOMINAL' WHEN score >= 0.45 THEN 'DEGRADED' ELSE 'DISCONNECTED' END AS status, {r('off')} AS phase_offset FROM h"""
 )
@@ -402,7 +457,30 @@ def condition_links(spark, sf):
     return rounded(out.select("link_id", "ts", "snr_db", "amplitude_std", "phase_std", "outlier_ratio", "health_score", "status", "phase_offset"), *names)
 
 
-@query()
+def _mean_gap(a: str, b: str) -> str:
+    return f"list_avg(list_transform(list_zip({a}, {b}), lambda z: abs(z[1] - z[2])))"
+
+
+def _blend(a: str, b: str) -> str:
+    return f"list_transform(list_zip({a}, {b}), lambda z: (1 - 0.03::DOUBLE) * z[1] + 0.03::DOUBLE * z[2])"
+
+
+@query(
+    f"""WITH RECURSIVE {FRAMES}, {_CONDITIONED},
+fr AS MATERIALIZED (SELECT link_id, ts, list(ca ORDER BY k) AS ca, list(cp ORDER BY k) AS cp, any_value(off) AS off, avg(amp) AS raw, row_number() OVER (PARTITION BY link_id ORDER BY ts) AS rn FROM x GROUP BY link_id, ts),
+bs AS (SELECT link_id, rn, ca AS ba, cp AS bp, off AS bo, raw AS bm, 0::DOUBLE AS da, 0::DOUBLE AS dp, 0::DOUBLE AS d_off, 0::DOUBLE AS dm FROM fr WHERE rn = 1
+UNION ALL SELECT f.link_id, f.rn, {_blend('ba', 'ca')}, {_blend('bp', 'cp')}, (1 - 0.03::DOUBLE) * bo + 0.03::DOUBLE * off, (1 - 0.03::DOUBLE) * bm + 0.03::DOUBLE * raw, {_mean_gap('ca', 'ba')}, {_mean_gap('cp', 'bp')}, abs(off - bo), abs(raw - bm)
+FROM bs JOIN fr f ON f.link_id = bs.link_id AND f.rn = bs.rn + 1),
+tw AS (SELECT link_id, ts, rn, {_mean_gap('ca', 'la')} AS ad, {_mean_gap('cp', 'lp')} AS pd FROM (SELECT *, lag(ca) OVER w AS la, lag(cp) OVER w AS lp FROM fr WINDOW w AS (PARTITION BY link_id ORDER BY rn))),
+mv AS (SELECT link_id, ts, rn, coalesce(avg(ad) OVER w, 0) AS change, coalesce(avg(pd) OVER w, 0) AS velocity FROM tw WINDOW w AS (PARTITION BY link_id ORDER BY rn ROWS BETWEEN 8 PRECEDING AND CURRENT ROW)),
+rw AS MATERIALIZED (SELECT mv.*, 0.45 * (0.6 * da + 0.4 * dp) + 0.55 * (0.7 * d_off + 0.3 * dm) AS drift_norm, 0.7 * d_off + 0.3 * dm AS drift_common,
+0.35 * velocity + 0.30 * change + 0.10 * (0.45 * (0.6 * da + 0.4 * dp) + 0.55 * (0.7 * d_off + 0.3 * dm)) + 0.25 * (0.7 * d_off + 0.3 * dm) AS raw FROM mv JOIN bs ON mv.link_id = bs.link_id AND mv.rn = bs.rn),
+me AS (SELECT link_id, rn, 0::DOUBLE AS value, raw AS base, raw AS prev, 0::DOUBLE AS floor FROM rw WHERE rn = 1
+UNION ALL SELECT r.link_id, r.rn, 0.65 * greatest(0, r.raw - base) + 0.35 * greatest(0, abs(r.raw - prev) - floor), 0.95::DOUBLE * base + 0.05::DOUBLE * r.raw, r.raw, 0.95::DOUBLE * floor + 0.05::DOUBLE * abs(r.raw - prev)
+FROM me JOIN rw r ON r.link_id = me.link_id AND r.rn = me.rn + 1)
+SELECT rw.link_id, rw.ts, {r('drift_norm')} AS drift_norm, {r('drift_common')} AS drift_common, {r('value')} AS value, {r('least(greatest(score * (1 - 0.5 * ro), 0), 1)')} AS confidence, {r('least(greatest(1 - velocity, 0), 1)')} AS stability
+FROM rw JOIN me ON rw.link_id = me.link_id AND rw.rn = me.rn JOIN h ON rw.link_id = h.link_id AND rw.ts = h.ts"""
+)
 def sense_links(spark, sf):
     """Drift and measurement of every frame."""
     from fieldlark.operators import sensing

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldlark.config import ServerConfig
 from fieldlark.operators import cluster, fusion, message, sensing, synthetic, tracking, world
+from fieldlark.operators.lineage import Rounds
 from fieldlark.sources import tables
 
 
@@ -25,9 +26,10 @@ def room_messages(spark: SparkSession, ticks: int, c: ServerConfig = ServerConfi
     """(ts, message): frames to state messages."""
     links, cells = tables.default_links(spark, c), tables.grid(spark, c)
     frames = room_frames(spark, ticks, c) if frames is None else frames
-    sensed = sensing.sense_links(frames, clip_z=c.clip_z, drift_alpha=c.drift_alpha, window=c.window_size).persist()
+    cut = Rounds(spark).cut  # what several parts of the message read is written once
+    sensed = cut(sensing.sense_links(frames, clip_z=c.clip_z, drift_alpha=c.drift_alpha, window=c.window_size))
     evidence = sensing.evidence_from(sensed)
-    field = fusion.persist(fusion.fuse(links, cells, evidence, c), c).persist()
+    field = cut(fusion.persist(fusion.fuse(links, cells, evidence, c), c))
     active = fusion.link_weights(fusion.gate(links, evidence, c))
     found = cluster.find_regions_per_tick(field.withColumn("value", F.col("value") * F.col("confidence")), c.cluster_threshold, c.cluster_min_size)
     shown = F.struct("centroid_row", "centroid_col", "size", "total_intensity")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fieldlark.config import ServerConfig
 from fieldlark.functions import predicates as V
 from fieldlark.operators import cluster, fusion, grid, message, synthetic, tracking, world
-from fieldlark.operators.fold import fold_sorted
+from fieldlark.operators.fold import fold_columns
 from fieldlark.plans.frame_queries import FRAMES, r, rounded
 from fieldlark.sources import tables
 
@@ -169,6 +169,16 @@ def subsample_voxels(spark, sf):
     return grid.subsample(tables.voxels(spark, sf), 1000)
 
 
+@query(f"WITH {VOX} SELECT least(count(*), 1000) AS n, true AS distinct_voxels, true AS from_the_table FROM v")
+def subsample_is_sound(spark, sf):
+    """A subsample has the size asked for, no voxel twice and no voxel of its own."""
+    v = tables.voxels(spark, sf)
+    s = grid.subsample(v, 1000)
+    n = F.count(F.lit(1))
+    met = s.join(v.select("i", "j", "k", F.col("value").alias("v")), ["i", "j", "k"], "left")
+    return met.agg(n.alias("n"), (F.count_distinct("i", "j", "k") == n).alias("distinct_voxels"), F.bool_and(F.col("value").eqNullSafe(F.col("v"))).alias("from_the_table"))
+
+
 @query(f"WITH {VOX}, s AS (SELECT i, j, k, value / 2 AS s FROM v WHERE k < 3) SELECT i, j, k, {r('v.value * 0.9::DOUBLE + 0.5::DOUBLE * coalesce(s, 0)')} AS value FROM v LEFT JOIN s USING (i, j, k)")
 def decay_and_accumulate(spark, sf):
     v = tables.voxels(spark, sf)
@@ -258,6 +268,18 @@ def noisy_frames(spark, sf):
     return rounded(synthetic.generate(links, world.path_disturbance(links, _objects(spark)), DT, sigma_amp=c.amplitude_noise, sigma_phase=c.phase_noise, seed=42), "amp", "phase")
 
 
+@query("SELECT 'link_' || CAST(n AS VARCHAR) AS link_id, true AS spread_of_phase, true AS mean_of_phase, true AS amplitudes_not_negative FROM (SELECT unnest(range(3)) AS n)")
+def noise_has_its_law(spark, sf):
+    """Noisy phases stray from clean ones by the deviation asked for, without a bias."""
+    links = tables.default_links(spark)
+    make = lambda **kw: synthetic.generate(links, world.path_disturbance(links, _objects(spark)), DT, **kw)
+    clean = make().select("link_id", "ts", "k", F.col("phase").alias("p"))
+    c = ServerConfig()
+    off = make(sigma_amp=c.amplitude_noise, sigma_phase=c.phase_noise, seed=42).join(clean, ["link_id", "ts", "k"]).withColumn("d", F.col("phase") - F.col("p"))
+    sigma = F.lit(c.phase_noise)
+    return off.groupBy("link_id").agg((F.abs(F.stddev_samp("d") / sigma - 1) < 0.05).alias("spread_of_phase"), (F.abs(F.avg("d")) < 0.05 * sigma).alias("mean_of_phase"), F.bool_and(F.col("amp") >= 0).alias("amplitudes_not_negative"))
+
+
 # fusion
 
 _FLOOR = "cells AS MATERIALIZED (SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, -5 + (i + 0.5) * 0.25::DOUBLE AS x, -5 + (j + 0.5) * 0.25::DOUBLE AS y FROM (SELECT unnest(range(40)) AS i) a, (SELECT unnest(range(40)) AS j) b)"
@@ -373,7 +395,16 @@ def count_regions(spark, sf):
     return cluster.count_regions(g, _threshold(g))
 
 
-@query()
+_PER_TICK = f"""{_FUSED}, {_HOLD}, pa AS MATERIALIZED (SELECT ts, i, j, f AS value, i * 1000 + j AS id FROM st WHERE rn > 0 AND act AND f > 0.05),
+pe AS MATERIALIZED (SELECT x.ts, x.id AS a, y.id AS b FROM (SELECT ts, id, unnest([id - 1000, id - 1, id + 1, id + 1000]) AS n FROM pa) x JOIN pa y ON x.ts = y.ts AND x.n = y.id),
+pr AS (SELECT ts, id, id AS label FROM pa UNION SELECT pe.ts, pe.b, pr.label FROM pr JOIN pe ON pe.ts = pr.ts AND pe.a = pr.id WHERE pr.label < pe.b),
+pl AS (SELECT ts, id, min(label) AS label FROM pr GROUP BY ts, id),
+pg AS MATERIALIZED (SELECT pa.ts, label, count(*) AS size, sum(value) AS total_intensity, sum(i * value) / sum(value) AS centroid_row, sum(j * value) / sum(value) AS centroid_col FROM pa JOIN pl ON pa.ts = pl.ts AND pa.id = pl.id GROUP BY pa.ts, label HAVING count(*) >= 4)"""
+
+
+@query(
+    f"""WITH RECURSIVE {_PER_TICK} SELECT ts, CAST(row_number() OVER (PARTITION BY ts ORDER BY size DESC, label) AS INTEGER) AS rank, size, {r('total_intensity')} AS total_intensity, {r('centroid_row')} AS centroid_row, {r('centroid_col')} AS centroid_col FROM pg"""
+)
 def regions_per_tick(spark, sf):
     f = fusion.persist(fusion.fuse(tables.default_links(spark), tables.grid(spark), evidence(spark, sf)))
     return rounded(cluster.find_regions_per_tick(f, 0.05, 4), "centroid_row", "centroid_col", "total_intensity")
@@ -390,12 +421,12 @@ UNION ALL SELECT link_id, seq, rn, ema, CASE WHEN ema >= 40 THEN n + 1 ELSE 0 EN
 SELECT link_id, seq, {r('ema')} AS ema, CAST(n AS INTEGER) AS above FROM e"""
 )
 def exponential_average(spark, sf):
-    def step(state, row):
-        ema = 0.9 * (state[0] if state else 0.0) + 0.1 * row["value"]
+    def step(state, value):
+        ema = 0.9 * (state[0] if state else 0.0) + 0.1 * value
         n = (state[1] if state else 0) + 1 if ema >= 40 else 0
-        return (ema, n), {"ema": ema, "above": n}
+        return (ema, n), (ema, n)
 
-    out = fold_sorted(tables.series(spark, sf).select("link_id", "seq", "value"), ["link_id"], ["seq"], step, "ema double, above int")
+    out = fold_columns(tables.series(spark, sf), ["link_id"], ["seq"], ["value"], step, "ema double, above int")
     return rounded(out, "ema")
 
 
@@ -424,6 +455,17 @@ def _tracked(spark, sf) -> DataFrame:
     return tracking.track_rooms(rows.withColumn("room", F.lit("room")), (c.field_resolution, c.field_resolution), (c.room_x_min, c.room_y_min))
 
 
+@query(
+    f"""WITH RECURSIVE {_PER_TICK}, cd AS (SELECT ts, round(-5 + 0.25 * ({r('centroid_row')}), 5) AS x, round(-5 + 0.25 * ({r('centroid_col')}), 5) AS y, round(greatest(0.3, least(2.0, sqrt(size) * 0.125)), 5) AS radius, round(least(1.0, ({r('total_intensity')}) / greatest(size, 1)), 5) AS activity FROM pg)
+SELECT ts, x + 0.0 AS x, y + 0.0 AS y, radius, activity, true AS sound FROM cd"""
+)
+def track_positions(spark, sf):
+    """Where the tracker's entities are: every region of a tick is exactly one entity of that tick."""
+    e = _tracked(spark, sf).select("ts", F.col("entities.id").alias("ids"), F.explode("entities").alias("e"))
+    sound = (F.size(F.array_distinct("ids")) == F.size("ids")) & F.col("e.stability").between(0, 1) & (F.col("e.frames_tracked") >= 1) & (F.col("e.last_change") <= F.col("ts"))
+    return e.select("ts", *[F.round(f"e.{n}", 5).alias(n) for n in ("x", "y", "radius", "activity")], sound.alias("sound"))
+
+
 @query()
 def track_entities(spark, sf):
     e = _tracked(spark, sf).select("ts", F.explode("entities").alias("e")).select("ts", "e.*")
@@ -448,4 +490,25 @@ def state_messages(spark, sf):
     return room_messages(spark, ticks=12)
 
 
-
+_DOC = "struct<timestamp:double,entities:array<struct<id:bigint,x:double>>,global:struct<total_activity:double,novelty:double,env_drift:double>,system:struct<fps:double,sensor_count:int,csi_health:string>,field:struct<width:int,height:int,data:array<double>,confidence_data:array<double>,min_value:double,max_value:double>,intermediate:struct<cluster_count:int,clusters:array<struct<size:bigint>>,links:map<string,struct<health:struct<health_score:double,status:string>>>>>"
+
+
+@query("SELECT round(n * 0.05::DOUBLE, 6) AS ts, 40 AS width, 40 AS height, true AS field_is_whole, true AS limits_hold, 3 AS sensors, true AS health_agrees, true AS metrics_in_range, true AS an_entity_per_cluster FROM (SELECT unnest(range(1, 13)) AS n)")
+def state_messages_are_sound(spark, sf):
+    """The documents read back: what the parts of a message say of each other."""
+    d = F.from_json("message", _DOC)
+    m = QUERIES["state_messages"](spark, sf).select("ts", d.alias("d")).select("ts", "d.*")
+    data, cells = F.col("field.data"), F.col("field.width") * F.col("field.height")
+    scores = F.transform(F.map_values("intermediate.links"), lambda x: x["health"]["health_score"])
+    mean = F.aggregate(scores, F.lit(0.0), lambda a, x: a + x) / F.size(scores)
+    status = F.when(mean >= 0.75, "NOMINAL").when(mean >= 0.45, "DEGRADED").otherwise("DISCONNECTED")
+    ranges = F.lit(True)
+    for name in ("total_activity", "novelty", "env_drift"):
+        ranges = ranges & F.col(f"global.{name}").between(0, 1)
+    return m.select(
+        F.round("ts", 6).alias("ts"), "field.width", "field.height",
+        ((F.size(data) == cells) & (F.size("field.confidence_data") == cells) & (F.col("timestamp") == F.col("ts"))).alias("field_is_whole"),
+        ((F.array_min(data) == F.col("field.min_value")) & (F.array_max(data) == F.col("field.max_value")) & (F.round(F.array_max(data), 9) == F.round("global.total_activity", 9))).alias("limits_hold"),
+        F.size("intermediate.links").alias("sensors"), (status == F.col("system.csi_health")).alias("health_agrees"), ranges.alias("metrics_in_range"),
+        ((F.size("entities") == F.col("intermediate.cluster_count")) & (F.size("intermediate.clusters") == F.col("intermediate.cluster_count"))).alias("an_entity_per_cluster"),
+    )
