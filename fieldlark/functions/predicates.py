@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from fieldlark.config import DISTURBANCE
 
 INF = float("inf")
 
@@ -76,6 +79,29 @@ def require_columns(df: DataFrame, **kinds: str) -> DataFrame:
     return df
 
 
+def dimensions(df: DataFrame, name: str) -> int:
+    """How deep arrays are nested in a column."""
+    kind, n = df.schema[name].dataType, 0
+    while isinstance(kind, T.ArrayType):
+        kind, n = kind.elementType, n + 1
+    return n
+
+
+def is_of_type(df: DataFrame, name: str, *kinds: str) -> bool:
+    """Whether a column has one of the types."""
+    return df.schema[name].dataType.simpleString() in kinds
+
+
+def require_objects(objects: DataFrame) -> DataFrame:
+    """What takes part as a disturbance has its columns and types."""
+    return require_columns(objects, **{f.name: f.dataType.simpleString() for f in DISTURBANCE.fields})
+
+
+def require_grid(cells: DataFrame, axes: str = "xyz") -> DataFrame:
+    """What can be filled as a grid has an index and a centre along every axis."""
+    return require_columns(cells, **dict.fromkeys("ijk"[: len(axes)], "int"), **dict.fromkeys(axes, "double"))
+
+
 def frame_faults() -> dict[str, Column]:
     return {
         "link_id is empty": ~text_non_empty(F.col("link_id")),
@@ -87,6 +113,15 @@ def frame_faults() -> dict[str, Column]:
     }
 
 
+def legacy_frame_faults() -> dict[str, Column]:
+    """The old form: shapes only, members of arrays are not looked at."""
+    return {
+        "timestamp is not finite": ~F.coalesce(finite(F.col("timestamp")), F.lit(False)),
+        "amplitude is empty": ~F.coalesce(non_empty(F.col("amplitude")), F.lit(False)),
+        "amplitude and phase differ in length": ~F.coalesce(same_shape(F.col("amplitude"), F.col("phase")), F.lit(False)),
+    }
+
+
 def quality_faults(q: str = "quality") -> dict[str, Column]:
     c = lambda n: F.col(f"{q}.{n}")
     out = {"snr is not finite": ~F.coalesce(finite(c("snr")), F.lit(False))}
@@ -189,3 +224,12 @@ def as_float(value: str = "value", vector: str = "vector") -> Column:
 
 def as_array(value: str = "value", vector: str = "vector") -> Column:
     return F.coalesce(F.col(vector), F.array(value))
+
+
+def is_scalar(vector: str = "vector") -> Column:
+    return F.col(vector).isNull()
+
+
+def measured_dim(vector: str = "vector") -> Column:
+    """Numbers in a measurement; a scalar has one."""
+    return F.when(is_scalar(vector), F.lit(1)).otherwise(F.size(vector))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fieldlark.config import ServerConfig
 from fieldlark.functions.arrays import clip
 from fieldlark.operators.fold import fold_columns
+from fieldlark.operators.lineage import Rounds
 
 SOURCE = "geometry_fusion_ph2"
 
@@ -39,6 +40,39 @@ def kernels(links: DataFrame, cells: DataFrame, resolution: float) -> DataFrame:
     return r.withColumn("k", F.col("k") / F.max("k").over(Window.partitionBy("link_id")))
 
 
+class KernelCache:
+    """Kernels by link id, each computed once and written to the shared folder.
+
+    As in a running system, a link that comes again with another geometry keeps its kernel;
+    ``forget`` drops it.  What is held on the driver is the ids of links.
+    """
+
+    def __init__(self, cells: DataFrame, resolution: float):
+        self.cells, self.resolution, self.computed = cells, resolution, 0
+        self._tables = Rounds(cells.sparkSession)
+        self._known: set[str] = set()
+
+    def get(self, links: DataFrame) -> DataFrame:
+        """(link_id, i, j, k) of ``links``."""
+        asked = {r.link_id for r in links.select("link_id").distinct().collect()}
+        new = sorted(asked - self._known)
+        if new:
+            self._tables.add("kernels", kernels(links.where(F.col("link_id").isin(new)), self.cells, self.resolution))
+            self._known |= set(new)
+            self.computed += 1
+        return self._tables.read("kernels").where(F.col("link_id").isin(sorted(asked)))
+
+    def forget(self) -> None:
+        self._tables.forget(0)
+        self._known = set()
+
+
+def metadata(gated: DataFrame) -> DataFrame:
+    """(ts, source, frame_count, link_ids): the links that gave a fused field, in order."""
+    ids = F.array_sort(F.collect_list(F.when(F.col("strength") > 0, F.col("link_id"))))
+    return gated.groupBy("ts").agg(ids.alias("link_ids")).select("ts", F.lit(SOURCE).alias("source"), F.lit(1).alias("frame_count"), "link_ids")
+
+
 def gate(links: DataFrame, evidence: DataFrame, c: ServerConfig) -> DataFrame:
     """(ts, link_id, strength, health, confidence): evidence with its strength.
 

@@ -5,14 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldlark.functions.predicates import require_objects
 from fieldlark.operators.fold import fold_columns
 
 #: Objects are broadcast, each point looking at all of them, up to so many rows; beyond, points and objects meet by grid bin.
 BROADCAST_OBJECTS = 500
 
 
-def at_ticks(objects: DataFrame, ticks: int, dt: float, record_from: int = 1) -> DataFrame:
-    """(object_id, tick, t, x, y, z, radius, intensity) after each of ``ticks`` steps.
+def add_objects(objects: DataFrame, more: DataFrame) -> DataFrame:
+    """The world with ``more`` disturbances; rows that are none are refused."""
+    return objects.unionByName(require_objects(more))
+
+
+def remove_object(objects: DataFrame, object_id: str) -> DataFrame:
+    return objects.where(F.col("object_id") != object_id)
+
+
+def at_ticks(objects: DataFrame, ticks: int, dt: float, record_from: int = 1, start: int = 0, with_velocity: bool = False) -> DataFrame:
+    """(object_id, tick, t, x, y, z, radius, intensity[, vx, vy]) after each of ``ticks`` steps from tick ``start`` on.
 
     Moving objects step, and where they leave their bounds the velocity flips and the
     position is clamped; objects run in parallel, a row per tick streams through the step.
@@ -31,15 +41,15 @@ def at_ticks(objects: DataFrame, ticks: int, dt: float, record_from: int = 1) ->
         elif kind == "moving":
             (x, vx), (y, vy) = bounce(state[0], state[2], x_min, x_max), bounce(state[1], state[3], y_min, y_max)
             state = x, y, vx, vy
-        return state, state[:2]
+        return state, state
 
     given = ["z", "radius", "intensity", "amplitude", "frequency"]
-    rows = objects.select("*", F.explode(F.sequence(F.lit(0), F.lit(ticks))).alias("tick"))
-    moved = fold_columns(rows.withColumn("given", F.struct("kind", *given)), ["object_id"], ["tick", "given"], ["kind", "x", "y", "vx", "vy", "x_min", "x_max", "y_min", "y_max"], step, "x double, y double")
-    moved = moved.where(F.col("tick") >= record_from).select("object_id", "tick", "x", "y", "given.*")
+    rows = objects.select("*", F.explode(F.sequence(F.lit(start), F.lit(start + ticks))).alias("tick"))
+    moved = fold_columns(rows.withColumn("given", F.struct("kind", *given)), ["object_id"], ["tick", "given"], ["kind", "x", "y", "vx", "vy", "x_min", "x_max", "y_min", "y_max"], step, "x double, y double, vx double, vy double")
+    moved = moved.where(F.col("tick") >= start + record_from).select("object_id", "tick", "x", "y", "vx", "vy", "given.*")
     t = F.col("tick") * F.lit(dt)
     pulse = F.greatest(F.lit(0.0), F.col("intensity") + F.col("amplitude") * F.sin(2 * 3.141592653589793 * F.col("frequency") * t))
-    return moved.select("object_id", "tick", t.alias("t"), "x", "y", "z", "radius", F.when(F.col("kind") == "oscillating", pulse).otherwise(F.col("intensity")).alias("intensity"))
+    return moved.select("object_id", "tick", t.alias("t"), "x", "y", "z", "radius", F.when(F.col("kind") == "oscillating", pulse).otherwise(F.col("intensity")).alias("intensity"), *(["vx", "vy"] if with_velocity else []))
 
 
 def _gaussian(d2: Column) -> Column:

@@ -22,8 +22,19 @@ def room_frames(spark: SparkSession, ticks: int, c: ServerConfig = ServerConfig(
     return packed.select("link_id", "ts", F.col("amp").alias("amplitude"), "phase")
 
 
-def room_messages(spark: SparkSession, ticks: int, c: ServerConfig = ServerConfig(), frames: DataFrame | None = None) -> DataFrame:
-    """(ts, message): frames to state messages."""
+def _paced(every: DataFrame, walls: DataFrame | None, c: ServerConfig) -> DataFrame:
+    if walls is None:
+        return every.select("ts", F.lit(c.target_fps).alias("fps"), F.lit(0.0).alias("latency_ms"))
+    rate = message.frame_rate(walls.withColumn("room", F.lit("room"))).select("ts", "fps", "latency_ms")
+    return every.join(rate, "ts", "left").select("ts", F.coalesce("fps", F.lit(0.0)).alias("fps"), F.coalesce("latency_ms", F.lit(0.0)).alias("latency_ms"))
+
+
+def room_messages(spark: SparkSession, ticks: int, c: ServerConfig = ServerConfig(), frames: DataFrame | None = None, walls: DataFrame | None = None) -> DataFrame:
+    """(ts, message): frames to state messages.
+
+    ``walls``: (ts, wall_us, latency_ms), when each tick was taken and how long that took; the
+    rate is that of the second before.  Without it ticks have the rate aimed at.
+    """
     links, cells = tables.default_links(spark, c), tables.grid(spark, c)
     frames = room_frames(spark, ticks, c) if frames is None else frames
     cut = Rounds(spark).cut  # what several parts of the message read is written once
@@ -38,10 +49,11 @@ def room_messages(spark: SparkSession, ticks: int, c: ServerConfig = ServerConfi
     none = F.expr("cast(array() as array<struct<centroid_row:double,centroid_col:double,size:bigint,total_intensity:double>>)")
     clusters = every.join(ranked, "ts", "left").withColumn("clusters", F.coalesce("clusters", none)).withColumn("room", F.lit("room"))
     step = c.field_resolution
-    entities = tracking.track_rooms(clusters, (step, step), (c.room_x_min, c.room_y_min), c.match_threshold, c.stability_scale).drop("room")
+    entities = tracking.track_rooms(clusters, (step, step), (c.room_x_min, c.room_y_min), c.match_threshold, c.stability_scale)
+    entities = entities.select("ts", F.transform("entities", lambda e: e.dropFields("frames_tracked")).alias("entities"))
     drifts = sensed.select("ts", "link_id", F.col("drift")["drift_common"].alias("drift_common"))
     return message.state_messages(
-        every.select("ts", F.lit(c.target_fps).alias("fps"), F.lit(0.0).alias("latency_ms")),
+        _paced(every, walls, c),
         message.global_metrics(field, drifts),
         message.system_health(sensed, every),
         message.field_documents(field, active, c),

@@ -7,7 +7,9 @@ rows of a micro-batch are put in order of time before they are folded.
 
 from __future__ import annotations
 
+import json
 import pickle
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -78,27 +80,52 @@ def track_stream(fields: DataFrame, scale: tuple[float, float], offset: tuple[fl
 
 class Publisher:
     """Sink of state messages: every batch goes to all clients, a callable each; a client that
-    fails is dropped.  The transport itself is the caller's."""
+    fails is dropped, as is one that has said nothing for ``timeout`` seconds.  The transport
+    itself is the caller's, and so is the clock."""
 
-    def __init__(self, clients: list[Callable[[str], None]] | None = None, single: bool = False):
-        self.clients: list[Callable[[str], None]] = list(clients or [])
-        self.single = single
+    def __init__(self, clients: list[Callable[[str], None]] | None = None, single: bool = False, timeout: float | None = None, clock: Callable[[], float] = time.monotonic):
+        self.single, self.timeout, self.clock = single, timeout, clock
+        self.clients: list[Callable[[str], None]] = []
+        self.heard: dict[int, float] = {}
         self.latest: str | None = None
+        self.published = 0
+        for client in clients or []:
+            self.connect(client)
 
     def connect(self, client: Callable[[str], None]) -> None:
         self.clients = [client] if self.single else [*self.clients, client]
+        self.heard[id(client)] = self.clock()
 
-    def receive(self, text: str) -> str | None:
+    def disconnect(self, client: Callable[[str], None]) -> None:
+        self.clients = [c for c in self.clients if c is not client]
+        self.heard.pop(id(client), None)
+
+    def receive(self, text: str, client: Callable[[str], None] | None = None) -> str | None:
+        """The answer to what a client sends."""
+        if client is not None:
+            self.heard[id(client)] = self.clock()
         return "pong" if text == "ping" else None
 
+    def drop_silent(self) -> None:
+        if self.timeout is not None:
+            for client in list(self.clients):
+                if self.clock() - self.heard[id(client)] > self.timeout:
+                    self.disconnect(client)
+
+    def status(self) -> dict:
+        """The last message as it was sent, and who listens."""
+        return {"clients": len(self.clients), "published": self.published, "state": None if self.latest is None else json.loads(self.latest)}
+
     def publish(self, batch: DataFrame, batch_id: int) -> None:
         for row in batch.orderBy("ts").select("message").toLocalIterator():
             self.latest = row.message
+            self.published += 1
+            self.drop_silent()
             for client in list(self.clients):
                 try:
                     client(row.message)
                 except ConnectionError:
-                    self.clients.remove(client)
+                    self.disconnect(client)
 
 
 def frames_from_files(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:

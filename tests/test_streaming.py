@@ -54,3 +54,17 @@ def test_publisher(spark):
     one = streaming.Publisher([got.append], single=True)
     one.connect(print)
     assert one.clients == [print]
+
+
+def test_publisher_drops_silent_clients_and_tells_its_status(spark):
+    now, got = [0.0], []
+    p = streaming.Publisher(timeout=30, clock=lambda: now[0])
+    first, second = (lambda m: got.append(("first", m))), (lambda m: got.append(("second", m)))
+    p.connect(first)
+    p.connect(second)
+    assert p.status() == {"clients": 2, "published": 0, "state": None}
+    now[0] = 20.0
+    assert p.receive("ping", first) == "pong" and p.receive("hello", first) is None
+    now[0] = 40.0
+    p.publish(spark.createDataFrame([(1.0, '{"a": 1}')], "ts double, message string"), 0)
+    assert got == [("first", '{"a": 1}')] and p.status() == {"clients": 1, "published": 1, "state": {"a": 1}}
