@@ -5,13 +5,12 @@ by a number written at the start of a stage, never by doc_id, which may be null
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldlark.llm.common import shared_dir, table
+from fieldlark.llm.common import table
 from fieldlark.llm.decontaminate import contaminated, find_contamination
 from fieldlark.llm.line_dedup import drop_common_lines
 from fieldlark.llm.mixing import mix_sources
@@ -121,9 +120,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is written as Parquet and read again."""
-    docs = table(spark, sf_dir, "documents")
-    home = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{home}/{k}")
-        docs = spark.read.parquet(f"{home}/{k}")
+    tables, docs = Rounds(spark), table(spark, sf_dir, "documents")
+    for _, stage in STAGES:
+        read, docs = docs, tables.cut(stage(spark, docs, sf_dir))
+        tables.drop(read)
     return docs
