@@ -54,33 +54,40 @@ class Counter:
         self.memory: dict[str, int] = {}
 
     def part(self, text: str) -> int:
+        """Matches come by their end, the longest first, which is the one with the earliest start."""
         n = len(text)
-        matches: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
-        single = bytearray(n + 1)
+        best, count, unknown = [0.0] * (n + 1), [0] * (n + 1), bytearray(n + 1)
+        end, top, pieces, single = 0, 0.0, 0, True
         for last, (length, score) in self.machine.iter(text):
-            matches[last + 1].append((last + 1 - length, score))
+            while end <= last:  # the end before is complete
+                if not single:
+                    top, pieces = self._unknown(text, end, top, pieces, best, count, unknown)
+                best[end], count[end] = top, pieces
+                end, top, pieces, single = end + 1, None, 0, False
+            start = end - length
+            s = best[start] + score
+            if top is None or s > top:
+                top, pieces = s, count[start] + 1
             if length == 1:
-                single[last] = 1
-        best = [0.0] * (n + 1)
-        count = [0] * (n + 1)
-        unknown = bytearray(n + 1)
-        for end in range(1, n + 1):
-            top, pieces, odd, found = 0.0, 0, 0, False
-            for start, score in sorted(matches[end]):
-                s = best[start] + score
-                if not found or s > top:
-                    top, pieces, odd, found = s, count[start] + 1, 0, True
-            if not single[end - 1]:
-                s = best[end - 1] + self.unknown
-                if not found or s > top:
-                    start = end - 1
-                    if self.bytes:
-                        cost = len(text[start].encode())
-                    else:
-                        cost = 0 if unknown[start] else 1
-                    top, pieces, odd = s, count[start] + cost, 1
-            best[end], count[end], unknown[end] = top, pieces, odd
-        return count[n]
+                single = True
+        while True:
+            if not single:
+                top, pieces = self._unknown(text, end, top, pieces, best, count, unknown)
+            best[end], count[end] = top, pieces
+            if end == n:
+                return pieces
+            end, top, pieces, single = end + 1, None, 0, False
+
+    def _unknown(self, text: str, end: int, top: float | None, pieces: int, best: list[float], count: list[int], unknown: bytearray) -> tuple[float, int]:
+        """The best of an end whose last character is no piece: that of its matches, or the unknown character."""
+        start = end - 1
+        s = best[start] + self.unknown
+        if top is not None and s <= top:
+            return top, pieces
+        unknown[end] = 1
+        if self.bytes:
+            return s, count[start] + len(text[start].encode())
+        return s, count[start] + (0 if unknown[start] else 1)
 
     def count(self, text: str | None) -> int:
         if not text:

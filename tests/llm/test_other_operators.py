@@ -126,6 +126,38 @@ def test_token_counts_match_the_library(spark):
     rows = spark.createDataFrame([(i, x, 7) for i, x in enumerate(texts)] + [(999, None, 7)], "doc_id bigint, text string, n_tokens int")
     got = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(rows, v).collect()}
     assert [got[i] for i in range(len(texts))] == want and got[999] == 0
+    assert token_counts.count_tokens(rows.limit(0), v).count() == 0
+
+
+def counted_plainly(vocabulary, part):
+    """All segmentations of a part end by end, as the tie rules are stated."""
+    scores = dict(vocabulary.pieces)
+    least = min(scores.values()) - 10
+    best = [(0.0, 0, False)]
+    for end in range(1, len(part) + 1):
+        found = None
+        for start in range(end):
+            piece = part[start:end]
+            if piece in scores and (found is None or best[start][0] + scores[piece] > found[0]):
+                found = (best[start][0] + scores[piece], best[start][1] + 1, False)
+        if part[end - 1] not in scores:
+            s, n, odd = best[end - 1]
+            if found is None or s + least > found[0]:
+                found = (s + least, n + (len(part[end - 1].encode()) if vocabulary.byte_fallback else 0 if odd else 1), True)
+        best.append(found)
+    return best[-1][1]
+
+
+@pytest.mark.parametrize("fallback", [False, True])
+def test_token_counts_against_all_segmentations(fallback):
+    rng = random.Random(14)
+    for _ in range(60):
+        pieces = {"".join(rng.choice("abé▁") for _ in range(rng.randint(1, 4))) for _ in range(12)}
+        v = token_counts.Vocabulary([(p, rng.choice([-1.0, -2.0, -2.5, -3.0])) for p in sorted(pieces)], fallback)
+        c = token_counts.Counter(v)
+        for _ in range(20):
+            part = "▁" + "".join(rng.choice("abézß日") for _ in range(rng.randint(0, 12)))
+            assert c.part(part) == counted_plainly(v, part)
 
 
 def test_token_ties_and_unknowns():

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldlark.llm import decontaminate, line_dedup, mixing, near_dup, substring_dedup
+from fieldlark.llm.common import uniform
 
 DOC = "doc_id bigint, text string, source string, id string, words int, grp int"
 FOLD = {i: i + 32 for i in range(65, 91)}
@@ -174,6 +175,36 @@ def test_mixing_targets_and_sizes(spark):
     assert Counter((r.doc_id, r.taken) for r in again) == Counter((r.doc_id, r.taken) for r in got)
 
 
+def test_mixing_draws_in_pareto_order(spark):
+    """Copies against the definition: whole copies, then the odds of a uniform number over the inclusion odds, in order."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(["w"] * (rng.choice([1, 2, 4, 900]) if i % 50 == 0 else rng.randint(1, 60))), f"s{i % 7 % 3}") for i in range(2500)] + [(9000 + i, "w w", "tiny") for i in range(3)]
+    df = docs_of(spark, rows)
+    got = {r.doc_id: r for r in mixing.mix_sources(df).collect()}
+    u = {r.doc_id: r.u for r in df.select("doc_id", uniform(F.col("doc_id"), mixing.word_count(F.col("text")), seed=7).alias("u")).collect()}
+    size = {i: len(t.split()) for i, t, _ in rows}
+    for source in ("s0", "s1", "s2", "tiny"):
+        mine = [i for i, _, s in rows if s == source]
+        target, lo, hi = got[mine[0]].target, 0.0, 10.0
+        for _ in range(200):  # expected copies are min(3, c * root of size), their words the target
+            c = (lo + hi) / 2
+            lo, hi = (c, hi) if sum(min(3, c * size[i] ** 0.5) * size[i] for i in mine) < target else (lo, c)
+        e = {i: min(3.0, hi * size[i] ** 0.5) for i in mine}
+        whole = {i: int(e[i] + 1e-9) for i in mine}
+        room = target - sum(whole[i] * size[i] for i in mine)
+        p = {i: max(e[i] - whole[i], 0.0) for i in mine}
+        ranked = sorted((u[i] / (1 - u[i]) / (p[i] / (1 - p[i])), i) for i in mine if p[i] > 1e-9)
+        drawn, run = set(), 0
+        for _, i in ranked:
+            if run + size[i] / 2 > room:
+                break
+            drawn.add(i)
+            run += size[i]
+        want = {i: whole[i] + (i in drawn) for i in mine}
+        assert sum(got[i].copies != want[i] for i in mine) <= 1  # a draw on the edge of the last place
+        assert [i for i in mine if got[i].copies not in (whole[i], whole[i] + 1)] == []
+
+
 def test_mixing_without_words(spark):
     assert [r.taken for r in mixing.mix_sources(docs_of(spark, [(1, None), (2, "  ")])).collect()] == [0, 0]
 
