@@ -65,19 +65,19 @@ def find_regions(field: DataFrame, threshold: float = 0.0, min_size: int = 1, co
     return regions(label_regions(field, threshold, connectivity, keys), min_size, keys)
 
 
-def find_regions_per_tick(field: DataFrame, threshold: float = 0.0, min_size: int = 1, connectivity: int = 4) -> DataFrame:
-    """Regions of many small fields (ts, i, j, value): one tick's active cells at a time in Python.
+def find_regions_per_tick(field: DataFrame, threshold: float = 0.0, min_size: int = 1, connectivity: int = 4, by: tuple[str, ...] = ("ts",)) -> DataFrame:
+    """Regions of many small fields (by, i, j, value): one tick's active cells at a time in Python.
 
     A tick is one floor grid, which is its bound; large single grids take ``find_regions``.
     """
     out = "rank int, centroid_row double, centroid_col double, size bigint, total_intensity double"
-    active = field.where(F.col("value") > threshold).groupBy("ts").agg(F.array_sort(F.collect_list(F.struct("i", "j", "value"))).alias("cells"))
+    active = field.where(F.col("value") > threshold).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("i", "j", "value"))).alias("cells"))
 
     def step(_, row):
         return None, {"found": tick_regions(row["cells"], min_size, connectivity)}
 
-    found = fold_sorted(active, ["ts"], [], step, f"found array<struct<{out.replace(' ', ':').replace(',:', ',')}>>")
-    return found.select("ts", F.explode("found").alias("r")).select("ts", "r.*")
+    found = fold_sorted(active, list(by), [], step, f"found array<struct<{out.replace(' ', ':').replace(',:', ',')}>>")
+    return found.select(*by, F.explode("found").alias("r")).select(*by, "r.*")
 
 
 def tick_regions(cells: list[dict], min_size: int, connectivity: int) -> list[dict]:

@@ -11,6 +11,7 @@ from fieldlark.operators.fold import fold_columns
 from fieldlark.operators.lineage import Rounds
 
 SOURCE = "geometry_fusion_ph2"
+TICK = ("ts",)
 
 
 def kernels(links: DataFrame, cells: DataFrame, resolution: float) -> DataFrame:
@@ -67,43 +68,45 @@ class KernelCache:
         self._known = set()
 
 
-def metadata(gated: DataFrame) -> DataFrame:
-    """(ts, source, frame_count, link_ids): the links that gave a fused field, in order."""
+def metadata(gated: DataFrame, by: tuple[str, ...] = TICK) -> DataFrame:
+    """(by, source, frame_count, link_ids): the links that gave a fused field, in order."""
     ids = F.array_sort(F.collect_list(F.when(F.col("strength") > 0, F.col("link_id"))))
-    return gated.groupBy("ts").agg(ids.alias("link_ids")).select("ts", F.lit(SOURCE).alias("source"), F.lit(1).alias("frame_count"), "link_ids")
+    return gated.groupBy(*by).agg(ids.alias("link_ids")).select(*by, F.lit(SOURCE).alias("source"), F.lit(1).alias("frame_count"), "link_ids")
 
 
-def gate(links: DataFrame, evidence: DataFrame, c: ServerConfig) -> DataFrame:
-    """(ts, link_id, strength, health, confidence): evidence with its strength.
+def gate(links: DataFrame, evidence: DataFrame, c: ServerConfig, by: tuple[str, ...] = TICK) -> DataFrame:
+    """(by, link_id, strength, health, confidence): evidence with its strength.
 
     Links without evidence are left out; unhealthy or idle ones have strength 0.
     """
     e = evidence.join(F.broadcast(links.select("link_id")), "link_id", "left_semi")
     above = F.col("activity") - c.min_activity
     strength = F.when((F.col("health_score") < c.min_health) | (above <= 0), F.lit(0.0)).otherwise(above * F.col("health_score") * F.col("confidence"))
-    return e.select("ts", "link_id", strength.alias("strength"), "health_score", "confidence")
+    return e.select(*by, "link_id", strength.alias("strength"), "health_score", "confidence")
 
 
-def link_weights(gated: DataFrame) -> DataFrame:
-    """(ts, link_weights, active_links): the strength of every link with evidence, and those above 0."""
+def link_weights(gated: DataFrame, by: tuple[str, ...] = TICK) -> DataFrame:
+    """(by, link_weights, active_links): the strength of every link with evidence, and those above 0."""
     entries = F.array_sort(F.collect_list(F.struct("link_id", "strength")))
-    return gated.groupBy("ts").agg(F.map_from_entries(entries).alias("link_weights"), F.array_sort(F.collect_list(F.when(F.col("strength") > 0, F.col("link_id")))).alias("active_links"))
+    return gated.groupBy(*by).agg(F.map_from_entries(entries).alias("link_weights"), F.array_sort(F.collect_list(F.when(F.col("strength") > 0, F.col("link_id")))).alias("active_links"))
 
 
-def fuse(links: DataFrame, cells: DataFrame, evidence: DataFrame, c: ServerConfig = ServerConfig(), kernel: DataFrame | None = None) -> DataFrame:
-    """(ts, i, j, value, confidence, n_active) of each tick on its own, without persistence.
+def fuse(links: DataFrame, cells: DataFrame, evidence: DataFrame, c: ServerConfig = ServerConfig(), kernel: DataFrame | None = None, by: tuple[str, ...] = TICK) -> DataFrame:
+    """(by, i, j, value, confidence, n_active) of each tick on its own, without persistence.
+
+    ``by`` names a tick: its time, and the room where there are many with the same links.
 
     One join of active evidence with the kernels and one group-by per cell carry both the
     shape and the confidence moments.
     """
     kernel = kernels(links, cells, c.field_resolution) if kernel is None else kernel
-    g = gate(links, evidence, c)
-    ticks = evidence.select("ts").distinct()
-    per = g.where("strength > 0").groupBy("ts").agg(F.count(F.lit(1)).alias("n"), F.sum("strength").alias("total"), F.avg("strength").alias("mean"))
-    live = g.where("strength > 0").join(per, "ts").withColumn("w", F.col("strength") / F.greatest(F.col("total"), F.lit(1e-9)))
+    g = gate(links, evidence, c, by)
+    ticks = evidence.select(*by).distinct()
+    per = g.where("strength > 0").groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum("strength").alias("total"), F.avg("strength").alias("mean"))
+    live = g.where("strength > 0").join(per, list(by)).withColumn("w", F.col("strength") / F.greatest(F.col("total"), F.lit(1e-9)))
     full = kernel.groupBy("i", "j").agg(F.sum("k").alias("reference"))
     k, w, h = F.col("k"), F.col("w"), F.col("health_score")
-    cell = live.join(kernel, "link_id").groupBy("ts", "i", "j").agg(
+    cell = live.join(kernel, "link_id").groupBy(*by, "i", "j").agg(
         F.sum(w * k).alias("linear"),
         F.exp(F.sum(w * F.log(F.least(F.greatest(k, F.lit(1e-9)), F.lit(1.0))))).alias("geometric"),
         F.sum(w * k * k).alias("square"),
@@ -116,16 +119,16 @@ def fuse(links: DataFrame, cells: DataFrame, evidence: DataFrame, c: ServerConfi
     shape = (1 - mix) * F.col("linear") + mix * F.col("geometric")
     shape = F.when(n >= 2, F.pow(clip(shape, 0, 1), 1 + c.sharpening * (n - 1))).otherwise(shape)
     cell = cell.withColumn("raw", shape * F.col("mean"))
-    cell = cell.withColumn("value", clip(F.col("raw") / F.greatest(F.lit(1.0), F.max("raw").over(Window.partitionBy("ts"))), 0, 1))
+    cell = cell.withColumn("value", clip(F.col("raw") / F.greatest(F.lit(1.0), F.max("raw").over(Window.partitionBy(*by))), 0, 1))
     spread = F.sqrt(F.greatest(F.col("square") - F.col("linear") * F.col("linear"), F.lit(0.0)))
     conflict = F.when(n >= 2, clip(spread / F.greatest(F.col("linear"), F.lit(1e-9)), 0, 1)).otherwise(F.lit(0.0))
     cell = cell.join(F.broadcast(full), ["i", "j"])
     coverage = clip(F.col("kh") / F.greatest(F.col("reference"), F.lit(1e-9)), 0, 1)
     health = F.col("khc") / F.greatest(F.col("kh"), F.lit(1e-9))
-    cell = cell.select("ts", "i", "j", "value", clip(coverage * health * (1 - 0.5 * conflict), 0, 1).alias("confidence"), "n")
+    cell = cell.select(*by, "i", "j", "value", clip(coverage * health * (1 - 0.5 * conflict), 0, 1).alias("confidence"), "n")
     every = ticks.crossJoin(F.broadcast(cells.select("i", "j")))
     zero = F.lit(0.0)
-    return every.join(cell, ["ts", "i", "j"], "left").select("ts", "i", "j", F.coalesce("value", zero).alias("value"), F.coalesce("confidence", zero).alias("confidence"), F.coalesce("n", F.lit(0)).cast("int").alias("n_active"))
+    return every.join(cell, [*by, "i", "j"], "left").select(*by, "i", "j", F.coalesce("value", zero).alias("value"), F.coalesce("confidence", zero).alias("confidence"), F.coalesce("n", F.lit(0)).cast("int").alias("n_active"))
 
 
 def hold_step(state: tuple[float, int, bool], value: float, c: ServerConfig) -> tuple[float, int, bool]:

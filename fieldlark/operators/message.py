@@ -9,23 +9,26 @@ from fieldlark.config import SPEED_OF_LIGHT, ServerConfig
 from fieldlark.functions.arrays import clip, health_status
 
 
-def field_change(field: DataFrame) -> DataFrame:
-    """(ts, novelty): mean absolute change of the field since the tick before; before the first it was 0."""
-    before = F.lag("value", 1, 0.0).over(Window.partitionBy("i", "j").orderBy("ts"))
-    return field.withColumn("d", F.abs(F.col("value") - before)).groupBy("ts").agg(clip(F.avg("d"), 0, 1).alias("novelty"))
+TICK = ("ts",)
 
 
-def global_metrics(field: DataFrame, drifts: DataFrame) -> DataFrame:
-    """(ts, total_activity, novelty, env_drift) from the field and (ts, link_id, drift_common)."""
-    peak = field.groupBy("ts").agg(clip(F.max("value"), 0, 1).alias("total_activity"))
-    env = drifts.groupBy("ts").agg(clip(F.tanh(F.avg("drift_common")), 0, 1).alias("env_drift"))
-    return peak.join(field_change(field), "ts").join(env, "ts", "left").withColumn("env_drift", F.coalesce("env_drift", F.lit(0.0)))
+def field_change(field: DataFrame, by: tuple[str, ...] = TICK) -> DataFrame:
+    """(by, novelty): mean absolute change of the field since the tick before; before the first it was 0."""
+    before = F.lag("value", 1, 0.0).over(Window.partitionBy(*[b for b in by if b != "ts"], "i", "j").orderBy("ts"))
+    return field.withColumn("d", F.abs(F.col("value") - before)).groupBy(*by).agg(clip(F.avg("d"), 0, 1).alias("novelty"))
 
 
-def system_health(health: DataFrame, ticks: DataFrame) -> DataFrame:
-    """(ts, csi_health) from the mean health of links; DISCONNECTED without any."""
-    h = health.groupBy("ts").agg(F.avg("health_score").alias("h"))
-    return ticks.join(h, "ts", "left").select("ts", F.coalesce(health_status(F.col("h")), F.lit("DISCONNECTED")).alias("csi_health"))
+def global_metrics(field: DataFrame, drifts: DataFrame, by: tuple[str, ...] = TICK) -> DataFrame:
+    """(by, total_activity, novelty, env_drift) from the field and (by, link_id, drift_common)."""
+    peak = field.groupBy(*by).agg(clip(F.max("value"), 0, 1).alias("total_activity"))
+    env = drifts.groupBy(*by).agg(clip(F.tanh(F.avg("drift_common")), 0, 1).alias("env_drift"))
+    return peak.join(field_change(field, by), list(by)).join(env, list(by), "left").withColumn("env_drift", F.coalesce("env_drift", F.lit(0.0)))
+
+
+def system_health(health: DataFrame, ticks: DataFrame, by: tuple[str, ...] = TICK) -> DataFrame:
+    """(by, csi_health) from the mean health of links; DISCONNECTED without any."""
+    h = health.groupBy(*by).agg(F.avg("health_score").alias("h"))
+    return ticks.join(h, list(by), "left").select(*by, F.coalesce(health_status(F.col("h")), F.lit("DISCONNECTED")).alias("csi_health"))
 
 
 def frame_rate(ticks: DataFrame, wall_us: str = "wall_us", span_us: int = 1_000_000) -> DataFrame:
@@ -38,27 +41,27 @@ def _point(c: str) -> Column:
     return F.array(F.col(f"{c}.x"), F.col(f"{c}.y"), F.col(f"{c}.z"))
 
 
-def link_documents(links: DataFrame, sensed: DataFrame) -> DataFrame:
-    """(ts, links): map of link to geometry, health, measurement and drift."""
+def link_documents(links: DataFrame, sensed: DataFrame, by: tuple[str, ...] = TICK) -> DataFrame:
+    """(by, links): map of link to geometry, health, measurement and drift."""
     geometry = F.struct(_point("tx").alias("tx_xyz"), _point("rx").alias("rx_xyz"), "frequency_hz", (F.lit(SPEED_OF_LIGHT) / F.col("frequency_hz")).alias("wavelength_m"))
     rows = sensed.join(F.broadcast(links.select("link_id", geometry.alias("geometry"))), "link_id")
     health = F.struct("link_id", "snr_db", "amplitude_std", "phase_std", "outlier_ratio", "health_score", "status")
     measurement = F.struct("value", F.col("quality.confidence").alias("confidence"), F.col("quality.snr").alias("snr_db"), F.col("measure_meta").alias("meta"))
     doc = F.struct("geometry", health.alias("health"), measurement.alias("measurement"), "drift")
-    return rows.groupBy("ts").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("link_id", F.to_json(doc).alias("doc"))))).alias("links"))
+    return rows.groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("link_id", F.to_json(doc).alias("doc"))))).alias("links"))
 
 
-def field_documents(field: DataFrame, active: DataFrame, c: ServerConfig = ServerConfig()) -> DataFrame:
-    """(ts, field): the grid flattened row by row, with limits, confidence and active links."""
+def field_documents(field: DataFrame, active: DataFrame, c: ServerConfig = ServerConfig(), by: tuple[str, ...] = TICK) -> DataFrame:
+    """(by, field): the grid flattened row by row, with limits, confidence and active links."""
     cells = F.array_sort(F.collect_list(F.struct("i", "j", "value", "confidence")))
-    g = field.groupBy("ts").agg(cells.alias("c"), F.min("value").alias("min_value"), F.max("value").alias("max_value"), (F.max("i") + 1).alias("width"), (F.max("j") + 1).alias("height"))
-    g = g.join(active.select("ts", "active_links"), "ts", "left")
+    g = field.groupBy(*by).agg(cells.alias("c"), F.min("value").alias("min_value"), F.max("value").alias("max_value"), (F.max("i") + 1).alias("width"), (F.max("j") + 1).alias("height"))
+    g = g.join(active.select(*by, "active_links"), list(by), "left")
     doc = F.struct(
         F.lit("floor").alias("type"), "width", "height", F.lit(c.field_resolution).alias("resolution_m"), F.struct(F.lit(c.room_x_min).alias("x"), F.lit(c.room_y_min).alias("y")).alias("origin"),
         F.lit("geometry_fusion").alias("projection"), "min_value", "max_value", F.transform("c", lambda x: x["value"]).alias("data"), F.transform("c", lambda x: x["confidence"]).alias("confidence_data"),
         F.coalesce("active_links", F.expr("cast(array() as array<string>)")).alias("active_links"),
     )
-    return g.select("ts", doc.alias("field"))
+    return g.select(*by, doc.alias("field"))
 
 
 def empty_field(c: ServerConfig = ServerConfig()) -> Column:
@@ -67,15 +70,15 @@ def empty_field(c: ServerConfig = ServerConfig()) -> Column:
     return F.struct(F.lit("floor").alias("type"), F.lit(0).alias("width"), F.lit(0).alias("height"), F.lit(c.field_resolution).alias("resolution_m"), F.struct(F.lit(c.room_x_min).alias("x"), F.lit(c.room_y_min).alias("y")).alias("origin"), F.lit("geometry_fusion").alias("projection"), F.lit(0.0).alias("min_value"), F.lit(0.0).alias("max_value"), none.alias("data"), none.alias("confidence_data"))
 
 
-def state_messages(ticks: DataFrame, metrics: DataFrame, health: DataFrame, fields: DataFrame, clusters: DataFrame, entities: DataFrame, links: DataFrame, sensors: int) -> DataFrame:
-    """(ts, message): one JSON document per tick.
+def state_messages(ticks: DataFrame, metrics: DataFrame, health: DataFrame, fields: DataFrame, clusters: DataFrame, entities: DataFrame, links: DataFrame, sensors: int, by: tuple[str, ...] = TICK) -> DataFrame:
+    """(by, message): one JSON document per tick.
 
     ``ticks``: (ts, fps, latency_ms); ``clusters``: (ts, clusters); ``entities``: (ts, entities);
     ``links``: (ts, links as map of JSON texts).
     """
     rows = ticks
     for part in (metrics, health, fields, clusters, entities, links):
-        rows = rows.join(part, "ts", "left")
+        rows = rows.join(part, list(by), "left")
     documents = F.concat(F.lit("{"), F.array_join(F.transform(F.map_entries("links"), lambda e: F.concat(F.lit('"'), e["key"], F.lit('":'), e["value"])), ","), F.lit("}"))
     head = F.to_json(
         F.struct(
@@ -86,4 +89,4 @@ def state_messages(ticks: DataFrame, metrics: DataFrame, health: DataFrame, fiel
     )
     # the documents of links are JSON already: they close the last object by hand
     body = rows.withColumn("head", head)
-    return body.select("ts", F.concat(F.substring("head", F.lit(1), F.length("head") - 2), F.lit(',"links":'), F.coalesce(documents, F.lit("{}")), F.lit("}}")).alias("message"))
+    return body.select(*by, F.concat(F.substring("head", F.lit(1), F.length("head") - 2), F.lit(',"links":'), F.coalesce(documents, F.lit("{}")), F.lit("}}")).alias("message"))

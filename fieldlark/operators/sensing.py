@@ -114,13 +114,14 @@ def sense(state: tuple | None, row: dict, clip_z: float = 3.5, drift_alpha: floa
     return (aligned, baseline, held), out | {"amplitude": frame["amplitude"].tolist(), "phase": frame["phase"].tolist()}
 
 
-def sense_links(frames: DataFrame, **settings) -> DataFrame:
-    """(link_id, ts) with health, drift, measurement and conditioned arrays of every frame, links in parallel."""
-    return fold_sorted(frames.select("link_id", "ts", "amplitude", "phase"), ["link_id"], ["ts"], lambda s, r: sense(s, r, **settings), SENSED)
+def sense_links(frames: DataFrame, keys: tuple[str, ...] = ("link_id",), **settings) -> DataFrame:
+    """(keys, ts) with health, drift, measurement and conditioned arrays of every frame, links in
+    parallel; ``keys`` name a link, its room first where there are many."""
+    return fold_sorted(frames.select(*keys, "ts", "amplitude", "phase"), list(keys), ["ts"], lambda s, r: sense(s, r, **settings), SENSED)
 
 
-def evidence_from(sensed: DataFrame) -> DataFrame:
-    """(ts, link_id, activity, health_score, confidence): activity is tanh(20 * value)."""
+def evidence_from(sensed: DataFrame, by: tuple[str, ...] = ("ts",)) -> DataFrame:
+    """(by, link_id, activity, health_score, confidence): activity is tanh(20 * value)."""
     from pyspark.sql import functions as F
 
-    return sensed.select("ts", "link_id", F.tanh(20 * F.col("value")).alias("activity"), "health_score", F.col("quality.confidence").alias("confidence"))
+    return sensed.select(*by, "link_id", F.tanh(20 * F.col("value")).alias("activity"), "health_score", F.col("quality.confidence").alias("confidence"))

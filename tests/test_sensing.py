@@ -211,3 +211,13 @@ def test_a_cluster_must_name_its_shared_folder():
         lineage.shared_folder(SimpleNamespace(sparkContext=sc, conf={}))
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         lineage.shared_folder(SimpleNamespace(sparkContext=SimpleNamespace(**{**vars(sc), "master": "local-cluster[2,2,1024]"}), conf={}))
+
+
+def test_rooms_do_not_mix(spark):
+    """A room's messages are the same alone and among others."""
+    from fieldlark.plans.pipeline import room_frames, rooms_messages
+
+    one, two = room_frames(spark, 6, seed=1), room_frames(spark, 6, seed=2)
+    both = one.withColumn("room", F.lit("a")).unionByName(two.withColumn("room", F.lit("b")))
+    got = {(r.room, r.ts): r.message for r in rooms_messages(both).collect()}
+    assert len(got) == 12 and {r.ts: r.message for r in room_messages(spark, 6, frames=two).collect()} == {t: m for (room, t), m in got.items() if room == "b"}
