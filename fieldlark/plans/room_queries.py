@@ -186,6 +186,20 @@ def decay_and_accumulate(spark, sf):
     return rounded(grid.accumulate(grid.decay(v, 0.9), sample, 0.5), "value")
 
 
+@query(f"WITH {VOX} SELECT i, j, k, CASE WHEN k < 2 AND value > 3 THEN value * 10 ELSE value END AS value FROM v UNION ALL SELECT 99, 0, 0, 7.0::DOUBLE")
+def set_values(spark, sf):
+    """Cells replaced, and one put in that the sparse volume did not have."""
+    v = tables.voxels(spark, sf)
+    new = v.where("k < 2 and value > 3").withColumn("value", F.col("value") * 10)
+    return grid.set_values(v, new.unionByName(spark.createDataFrame([(99, 0, 0, 7.0)], "i int, j int, k int, value double")))
+
+
+@query(f"WITH {VOX} SELECT count(*) AS n, 0.0::DOUBLE AS largest FROM v")
+def clear_voxels(spark, sf):
+    c = grid.clear(tables.voxels(spark, sf))
+    return c.agg(F.count(F.lit(1)).alias("n"), F.max(F.abs("value")).alias("largest"))
+
+
 @query(f"WITH {VOX}, {GRID} SELECT min(value) AS vmin, max(value) AS vmax FROM (SELECT value FROM v UNION ALL SELECT value FROM g)")
 def shared_colour_limits(spark, sf):
     return grid.limits(tables.voxels(spark, sf), tables.grid2d(spark, sf))
@@ -347,11 +361,11 @@ def fuse_with_persistence_streamed(spark, sf):
     return rounded(out.select("ts", "i", "j", "value", "active"), "value")
 
 
-@query(f"WITH {_FUSED}, d AS (SELECT ts, value, abs(value - coalesce(lag(value) OVER (PARTITION BY i, j ORDER BY ts), 0)) AS d FROM fl) SELECT ts, {r('least(greatest(max(value), 0), 1)')} AS total_activity, {r('least(avg(d), 1)')} AS novelty FROM d GROUP BY ts")
+@query(f"WITH {_FUSED}, d AS (SELECT ts, value, abs(value - coalesce(lag(value) OVER (PARTITION BY i, j ORDER BY ts), 0)) AS d FROM fl) SELECT ts, {r('least(greatest(max(value), 0), 1)')} AS total_activity, {r('least(avg(d), 1)')} AS novelty, (SELECT {r('least(greatest(tanh(avg(activity)), 0), 1)')} FROM ev WHERE ev.ts = d.ts) AS env_drift FROM d GROUP BY ts")
 def global_metrics(spark, sf):
     f = fusion.fuse(tables.default_links(spark), tables.grid(spark), evidence(spark, sf))
     drifts = evidence(spark, sf).select("ts", "link_id", F.col("activity").alias("drift_common"))
-    return rounded(message.global_metrics(f, drifts).select("ts", "total_activity", "novelty"), "total_activity", "novelty")
+    return rounded(message.global_metrics(f, drifts), "total_activity", "novelty", "env_drift")
 
 
 @query(f"WITH {_EVID} SELECT ts, CASE WHEN avg(health_score) >= 0.75 THEN 'NOMINAL' WHEN avg(health_score) >= 0.45 THEN 'DEGRADED' ELSE 'DISCONNECTED' END AS csi_health FROM ev GROUP BY ts")
