@@ -54,11 +54,11 @@ class Rounds:
         self.live: list[tuple[str, DataFrame]] = []
         _written[self.home] = spark
 
-    def cut(self, df: DataFrame, parts: int | None = None) -> DataFrame:
-        """``df`` written and read again; ``parts`` is for tables that are small by their meaning."""
+    def cut(self, df: DataFrame) -> DataFrame:
+        """``df`` written and read again."""
         self.n += 1
         path = f"{self.home}/{self.n}"
-        (df.coalesce(parts) if parts else df).write.parquet(path)
+        df.write.parquet(path)
         self.live.append((path, self.spark.read.schema(df.schema).parquet(path)))
         return self.live[-1][1]
 
