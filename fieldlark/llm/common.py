@@ -16,9 +16,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame, parts: int | None = None) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the folder of ``spark.checkpoint.dir`` and read back: lineage and partitioning end here."""
-    return Rounds(df.sparkSession).cut(df, parts)
+    return Rounds(df.sparkSession).cut(df)
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -96,7 +96,7 @@ def mix_sources(
     g = g.withColumn("c", (F.col("target") - F.col("full")) / F.col("open")).where((F.col("c") >= 0) & (F.col("c") * F.col("rate") <= cap * (1 + 1e-12)))
     solved = g.groupBy(F.col("source").alias("of")).agg(F.max_by("c", "size").alias("c"))
     targets = targets.select(F.col("source").alias("of"), "source_size", "target")
-    per_source = cut(targets.join(solved.withColumnRenamed("of", "of2"), F.col("of").eqNullSafe(F.col("of2")), "left").drop("of2"), 2)
+    per_source = cut(targets.join(solved.withColumnRenamed("of", "of2"), F.col("of").eqNullSafe(F.col("of2")), "left").drop("of2"))
     few = per_source.count() <= BROADCAST_SOURCES
 
     rows = _per_source(sized, per_source, few)
@@ -116,7 +116,7 @@ def mix_sources(
     sums = sums.withColumn("room", F.col("target") - F.sum("sure").over(Window.partitionBy("source")))
     sums = sums.withColumn("upto", F.sum("w").over(ordered)).withColumn("room", F.col("room") - F.col("upto") + F.col("w"))
     # the first bucket that does not fit whole
-    ends = cut(sums.where(F.col("room") < F.col("w")).groupBy(F.col("source").alias("of")).agg(F.min(F.struct("bucket", "room")).alias("end")), 2)
+    ends = cut(sums.where(F.col("room") < F.col("w")).groupBy(F.col("source").alias("of")).agg(F.min(F.struct("bucket", "room")).alias("end")))
     rows = _per_source(rows, ends, few)
     after = F.col("end").isNotNull() & (F.col("bucket") >= F.col("end.bucket"))
     clear = rows.withColumn("extra", (F.col("may") & ~after).cast("int"))
