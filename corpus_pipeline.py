@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldlark.llm.common import table
@@ -26,9 +26,14 @@ def _free(docs: DataFrame, name: str) -> str:
     return name
 
 
+def _columns(docs: DataFrame, but: tuple[str, ...] = ()) -> list[Column]:
+    """The columns of ``docs`` by their plain names, dots and all."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns if c.lower() not in but]
+
+
 def _whole(docs: DataFrame) -> DataFrame:
     """(doc_id, text, _row): every row with all its columns in one, to come along through an operator."""
-    return docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row"))
+    return docs.select("doc_id", "text", F.struct(*_columns(docs)).alias("_row"))
 
 
 def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
@@ -57,12 +62,11 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     come along, whatever their names.
     """
     bare = _free(docs, "_no_text")
-    others = [c for c in docs.columns if c != "text"]
-    kept = drop_common_lines(docs.select("doc_id", "text", F.struct(*others, F.col("text").isNull().alias(bare)).alias("_row")), row_col="_row")
+    kept = drop_common_lines(docs.select("doc_id", "text", F.struct(*_columns(docs, ("text",)), F.col("text").isNull().alias(bare)).alias("_row")), row_col="_row")
     changed = F.col("n_dropped") > 0
     out = kept.where(~changed | (F.btrim(F.col("text"), F.lit(" \t\n\x0b\x0c\r")) != ""))
     new = {"text": F.when(~F.col(f"_row.{bare}"), F.col("text")), "n_chars": F.when(changed, F.char_length("text").cast("bigint")).otherwise(F.col("_row.n_chars"))}
-    return out.select(*[new.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
+    return out.select(*[new[c].alias(c) if c in new else F.col("_row").getField(c).alias(c) for c in docs.columns])
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -77,7 +81,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # classes of one row need no judging but are judged alike
     named = classes.select(row, "class_id").join(keyed.select(row, "doc_id"), row)
     first = named.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col(row).alias("row"))).alias("least"))
-    return keyed.join(first.select(F.col("least.row").alias(row)), row, "left_semi").select(*docs.columns)
+    return keyed.join(first.select(F.col("least.row").alias(row)), row, "left_semi").select(*_columns(docs))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -101,9 +105,9 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     stays empty; all other columns come along.
     """
     keyed, row = _keyed(docs)
-    extra = ["size", "source_size", "target", "copies", "taken"]
+    extra = ("size", "source_size", "target", "copies", "taken")
     mixed = mix_sources(keyed, row_col=row).where("copies > 0").select(row, *extra)
-    return keyed.select(row, *[c for c in docs.columns if c.lower() not in extra]).join(mixed, row).drop(row)
+    return keyed.select(row, *_columns(docs, extra)).join(mixed, row).drop(row)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
