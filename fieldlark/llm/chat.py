@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldlark.llm.common import returns
+
 START, END = "<|im_start|>", "<|im_end|>"
 TRAINED_ROLE = "assistant"
 #: Kinds after which nothing of the text before is left.
@@ -130,8 +132,7 @@ def format_chats(events: DataFrame) -> DataFrame:
     gathered = events.groupBy("conv").agg(F.array_sort(F.collect_list(row)).alias("log"))
     log = F.transform("log", lambda e: F.struct(e["turn"].alias("turn"), e["message"].alias("message"), e["text"].alias("text"), e["kind"].alias("kind"), e["role"].alias("role")))
     gathered = gathered.select("conv", log.alias("log"))
-    kind = gathered.schema["conv"].dataType.simpleString()
-    return gathered.mapInArrow(_render_batches, f"conv {kind}, n_turns bigint, formatted string, loss array<struct<start:bigint,end:bigint>>")
+    return gathered.mapInArrow(_render_batches, returns("n_turns bigint, formatted string, loss array<struct<start:bigint,end:bigint>>", conv=gathered.schema["conv"].dataType))
 
 
 def rows_as_events(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:

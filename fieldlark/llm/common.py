@@ -8,6 +8,7 @@ import gc
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldlark.operators.lineage import Rounds
 
@@ -21,6 +22,11 @@ def cut(df: DataFrame) -> DataFrame:
     return Rounds(df.sparkSession).cut(df)
 
 
+def returns(out: str, **kept: T.DataType) -> T.StructType:
+    """The schema of a function over Arrow batches: columns that come along, whatever their types, then those of ``out``."""
+    return T.StructType([T.StructField(n, kind) for n, kind in kept.items()] + T.StructType.fromDDL(out).fields)
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -12,6 +12,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldlark.llm.common import returns
 from fieldlark.llm.fm_index import FMIndex
 from fieldlark.operators.lineage import Rounds
 
@@ -20,7 +21,7 @@ from fieldlark.operators.lineage import Rounds
 BLOCK_WINDOWS, PIECE = 200_000, 1024
 #: Text of the documents that share one index.
 SHARD_BYTES = 8 << 20
-SCHEMA = "{id} {kind}, n_words bigint, n_hit bigint, item_ids array<string>, spans array<struct<start:int,end:int>>"
+FOUND = "n_words bigint, n_hit bigint, item_ids array<string>, spans array<struct<start:int,end:int>>"
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _FOLD = bytes(c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
@@ -151,8 +152,7 @@ def _scan(docs: DataFrame, shared: Broadcast) -> DataFrame:
                 names=["id", "n_words", "n_hit", "item_ids", "spans"],
             )
 
-    kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, SCHEMA.format(id="id", kind=kind))
+    return docs.mapInArrow(run, returns(FOUND, id=docs.schema["id"].dataType))
 
 
 def find_contamination(

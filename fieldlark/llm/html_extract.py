@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldlark.llm.common import returns
+
 #: Lines in a block of the distribution; the largest block of a page over the least one that is a surge.
 WINDOW, CONTRAST = 3, 16
 
@@ -214,5 +216,4 @@ def extract_text(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...]
             texts = [main_text(x.as_py()) for x in b.column(len(keep))]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*keep, "text", "n_chars"])
 
-    kinds = ", ".join(f"`{c}` {d.schema[c].dataType.simpleString()}" for c in keep)
-    return d.mapInArrow(run, f"{kinds}, text string, n_chars bigint")
+    return d.mapInArrow(run, returns("text string, n_chars bigint", **{c: d.schema[c].dataType for c in keep}))

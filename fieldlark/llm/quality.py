@@ -25,7 +25,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldlark.llm.common import give_back
+from fieldlark.llm.common import give_back, returns
 from fieldlark.llm.words import FOLDED, PLAIN, Words, mix, owner, windows
 
 #: Bounds of the samples: labelled documents for the word lists, documents for the scorer.
@@ -454,7 +454,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             junk[f.empty] = np.maximum(junk[f.empty], 1.0)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(junk, pa.float64()), pa.array(toxic, pa.float64())], names=["id", "junk_score", "toxic_score"])
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, junk_score double, toxic_score double")
+    return docs.mapInArrow(run, returns("junk_score double, toxic_score double", id=docs.schema["id"].dataType))
 
 
 def classify(

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldlark.llm.common import returns
+
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Pre-tokens whose counts a worker remembers.
@@ -126,5 +128,4 @@ def count_tokens(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id"
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([counter.count(t.as_py()) for t in b.column(1)], pa.int64())], names=["id", "n_tokens"])
 
-    kind = d.schema["id"].dataType.simpleString()
-    return d.mapInArrow(run, f"id {kind}, n_tokens bigint").withColumnRenamed("id", id_col)
+    return d.mapInArrow(run, returns("n_tokens bigint", id=d.schema["id"].dataType)).withColumnRenamed("id", id_col)

@@ -12,7 +12,7 @@ from fieldlark.llm.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "documents embeddings pages benchmark labels conversations".split()
-DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint, size int, _row string"
+DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint, size int, _row string, `my.own col` string"
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
@@ -49,7 +49,7 @@ def made_corpus():
             t = f"{t} {passage.upper() if i % 32 == 5 else ', '.join(passage.split())}"
         rows.append((i, t))
     rows += [(None, prose(50)), (None, rows[4][1]), (7, prose(60)), (7, rows[7][1]), (900, None), (901, ""), (902, "shared footer line"), (903, prose(20_000))]
-    return [(i, t, "en", None if k % 11 == 0 else f"s{k % 4}", len(t) if t is not None else None, 5, "mine") for k, (i, t) in enumerate(rows)], passage
+    return [(i, t, "en", None if k % 11 == 0 else f"s{k % 4}", len(t) if t is not None else None, 5, "mine", "too") for k, (i, t) in enumerate(rows)], passage
 
 
 def key(rows):
@@ -69,7 +69,7 @@ def test_pipeline_against_brute_force(spark, tmp_path):
         before, docs = docs, spark.read.parquet(f"{tmp_path}/stage{k}")
         left.append((before.collect(), docs.collect()))
         assert k == 4 or docs.columns == before.columns
-        assert {r._row for r in left[-1][1]} == {"mine"}
+        assert {(r._row, r["my.own col"]) for r in left[-1][1]} == {("mine", "too")}
     assert names == ["quality classifier", "line dedup", "n-gram Jaccard join", "benchmark decontamination", "mixing sources to target weights"]
 
     # quality: exactly the rows that the classifier keeps, by text, for rows that share an id have their own
