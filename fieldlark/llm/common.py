@@ -27,10 +27,6 @@ def returns(out: str, **kept: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(n, kind) for n, kind in kept.items()] + T.StructType.fromDDL(out).fields)
 
 
-def shuffle_parts(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def give_back() -> None:
     """Return freed memory of the driver's Python to the system, after samples were held there."""
     gc.collect()

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldlark.llm.common import shuffle_parts, text_bytes
+from fieldlark.llm.common import text_bytes
 from fieldlark.llm.words import PLAIN, Words, mix, owner, windows, within
 
 #: Bytes of text in a group (held by one task at a time) and of text whose fingerprints share a
@@ -343,22 +343,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     no whole number is refused by the cast to bigint.  Windows are compared by 128-bit hash.
 
     Plan: the texts are shuffled once, by group, and this exchange is used by all three
-    passes; one task holds one group or the block fingerprints of one part at a time.  Rows
+    passes; one task holds one group or the block fingerprints of one part, which is a
+    partition of its own.  Rows
     with a null id are not shuffled.
     """
     assert window >= 2 and window % 2 == 0
-    spark = docs.sparkSession
     total = text_bytes(docs, text_col)
     size = min(MAX_GROUP_BYTES, max(GROUP_BYTES, total // 4096))
     groups = int(max(64, -(-total // size)))
     part = min(MAX_PART_BYTES, max(PART_BYTES, total // 4096))
     parts = int(max(16, -(-total // part)))
     d = docs.where(F.col(id_col).isNotNull()).select(F.pmod(F.xxhash64(id_col), F.lit(groups)).alias("grp"), F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    tasks = max(parts, shuffle_parts(spark))
     sent = d.groupBy("grp").applyInArrow(_send(parts, window), PACKED)
-    hits = sent.repartition(tasks, "part").sortWithinPartitions("part", "kind").mapInArrow(_probe, PACKED)
+    hits = sent.repartitionById(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(_probe, PACKED)
     near = d.groupBy("grp").cogroup(hits.groupBy("grp")).applyInArrow(_extend(parts, window), PACKED)
-    later = near.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(_compare, PACKED)
+    later = near.repartitionById(parts, "part").sortWithinPartitions("part").mapInArrow(_compare, PACKED)
     out = d.groupBy("grp").cogroup(later.groupBy("grp")).applyInArrow(_remove(parts, window), KEPT)
     nameless = docs.where(F.col(id_col).isNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     return out.unionByName(nameless.mapInArrow(_keep_all, KEPT)).withColumnRenamed("id", id_col)
