@@ -4,7 +4,14 @@ _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _FOLDED = "regexp_extract_all(translate(coalesce({t}, ''), '" + _UP + "', '" + _LOW + r"'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _PLAIN = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+_PLAIN_TEXT = "regexp_replace(replace(replace(replace(replace(replace(b, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#x27;', chr(39)), '&#39;', chr(39)), '&amp;?', '&', 'g')"
+
 ORACLE_SQL = {
+    # the given pages mark their article plainly, with headings and paragraphs only
+    "op1_html_extraction": rf"""
+WITH a AS (SELECT page_id, url, string_split(regexp_replace(replace(replace(replace(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '<br>', ' '), '<b>', ''), '</b>', ''), '</?(?:h1|p)>', chr(1), 'g'), chr(1)) AS bs FROM pages),
+t AS (SELECT page_id, url, array_to_string(list_filter(list_transform(bs, lambda b: trim(regexp_replace({_PLAIN_TEXT}, '\s+', ' ', 'g'))), lambda b: b <> ''), chr(10)) AS text FROM a)
+SELECT page_id, url, coalesce(text, '') AS text, CAST(length(coalesce(text, '')) AS BIGINT) AS n_chars FROM t""",
     "op2_benchmark_decontamination": f"""
 WITH b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {_FOLDED.format(t='text')} AS w FROM benchmark),
 bw AS (SELECT DISTINCT item, n, array_to_string(w[i:i + n - 1], ' ') AS s
