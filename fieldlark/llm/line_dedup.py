@@ -48,7 +48,8 @@ def drop_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     lines = F.split("text", "\n")
     flags = F.transform(_keys(F.col("text"), max(1, min_chars)), lambda h: F.coalesce(F.array_contains(F.col("bad"), h), F.lit(False)))
     flagged = found.withColumn("flags", F.when(F.col("bad").isNotNull(), flags))
-    kept = F.array_join(F.transform(lines, lambda line, i: F.when(~F.get("flags", i), line)), "\n")
+    # pairwise, not by index: a filter on the result makes Catalyst put the flags in place of their name
+    kept = F.array_join(F.zip_with(lines, "flags", lambda line, bad: F.when(~bad, line)), "\n")
     return flagged.select(
         F.col("id").alias(id_col),
         F.when(F.col("flags").isNull(), F.col("text")).otherwise(kept).alias("text"),
