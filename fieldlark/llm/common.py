@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,7 +29,7 @@ def returns(out: str, **kept: T.DataType) -> T.StructType:
 
 
 def give_back() -> None:
-    """Return freed memory of the driver's Python to the system, after samples were held there."""
+    """Return freed memory of this Python to the system."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
@@ -36,6 +37,19 @@ def give_back() -> None:
         trim(0)
 
 
+def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function over Arrow batches that gives back its memory at the end of a task: workers are
+    used again by later stages, whose needs would come on top."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
 def text_bytes(df: DataFrame, text: str) -> int:
     """Bytes of all texts: one narrow aggregate, used to size groups."""
     return df.agg(F.sum(F.octet_length(F.col(text)).cast("bigint"))).first()[0] or 0

@@ -12,7 +12,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldlark.llm.common import returns
+from fieldlark.llm.common import released, returns
 from fieldlark.llm.fm_index import FMIndex
 from fieldlark.operators.lineage import Rounds
 
@@ -152,7 +152,7 @@ def _scan(docs: DataFrame, shared: Broadcast) -> DataFrame:
                 names=["id", "n_words", "n_hit", "item_ids", "spans"],
             )
 
-    return docs.mapInArrow(run, returns(FOUND, id=docs.schema["id"].dataType))
+    return docs.mapInArrow(released(run), returns(FOUND, id=docs.schema["id"].dataType))
 
 
 def find_contamination(

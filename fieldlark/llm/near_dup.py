@@ -12,6 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldlark.llm.common import released
 from fieldlark.llm.components import components
 from fieldlark.llm.words import FOLDED, Words, mix, owner, windows, within
 from fieldlark.operators.lineage import Rounds
@@ -238,7 +239,7 @@ def near_duplicates(
     cut = tables.cut
     # rows that share an id are told apart by the print of their text
     d = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("print"))
-    signed = cut(d.mapInArrow(_sign(size, bands, rows), "id bigint, print bigint, n int, sig binary, bands array<bigint>"))
+    signed = cut(d.mapInArrow(released(_sign(size, bands, rows)), "id bigint, print bigint, n int, sig binary, bands array<bigint>"))
     # a number for each different set, written once so that it stays
     reps = signed.where("sig is not null and id is not null").groupBy("sig").agg(F.min(F.struct("id", "print")).alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     reps = cut(reps.select("sig", F.col("rep.id").alias("rep"), F.col("rep.print").alias("print"), "n", "bands", F.monotonically_increasing_id().alias("node")))
@@ -267,7 +268,7 @@ def near_duplicates(
     wanted = cut(reps.join(wanted, "node").select(F.col("rep").alias("id"), "print", "node"))
     # candidates grow with the corpus: the same plan at every size
     sets = d.join(wanted.hint("merge"), ["id", "print"]).dropDuplicates(["id", "print"]).select("node", "text", "print")
-    sets = cut(sets.mapInArrow(_sets(size), "node bigint, grams array<bigint>"))
+    sets = cut(sets.mapInArrow(released(_sets(size)), "node bigint, grams array<bigint>"))
     links = cut(_verify(pairs, sets).where(F.col("j") >= threshold))
     counted = [links.select(F.col(end).alias("node"), F.lit(1).cast("bigint").alias("n")) for end in ("a", "b")]
     edges = links.select("a", "b")

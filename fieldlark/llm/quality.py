@@ -25,7 +25,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldlark.llm.common import give_back, returns
+from fieldlark.llm.common import give_back, released, returns
 from fieldlark.llm.words import FOLDED, PLAIN, Words, mix, owner, windows
 
 #: Bounds of the samples: labelled documents for the word lists, documents for the scorer.
@@ -373,7 +373,7 @@ def learn_words(docs: DataFrame, labels: DataFrame, sample: int = LABELLED_SAMPL
     marked = labels.where("id is not null and (toxic is not null or quality is not null)").groupBy("id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
     marked = _smallest(marked, sample)
     rows = docs.join(F.broadcast(marked.select("id")), "id").select("id", "text")
-    got = rows.mapInArrow(_collect_features, "id bigint, features array<int>, vals array<float>, sketch array<bigint>").toArrow().sort_by("id")
+    got = rows.mapInArrow(released(_collect_features), "id bigint, features array<int>, vals array<float>, sketch array<bigint>").toArrow().sort_by("id")
     known = {r.id: r for r in marked.collect()}
     keep = np.flatnonzero(_once(got.column("sketch").to_pylist()))
     ids = got.column("id").to_pylist()
@@ -400,6 +400,7 @@ def fit(docs: DataFrame, labels: DataFrame, labelled_sample: int = LABELLED_SAMP
     """
     sc = docs.sparkSession.sparkContext
     lists = learn_words(docs, labels, labelled_sample)
+    give_back()
     shared = sc.broadcast(lists)
     sizes = {"junk": len(JUNK_VOTERS), "toxic": len(TOXIC_VOTERS)}
 
@@ -409,7 +410,7 @@ def fit(docs: DataFrame, labels: DataFrame, labelled_sample: int = LABELLED_SAMP
             f = Features(b.column(0))
             yield pa.RecordBatch.from_arrays([pa.array(_encode(voters.junk(f)), pa.int64()), pa.array(_encode(voters.toxic(f)), pa.int64())], names=["junk", "toxic"])
 
-    counted = docs.select("text").mapInArrow(vote, "junk bigint, toxic bigint").groupBy("junk", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()
+    counted = docs.select("text").mapInArrow(released(vote), "junk bigint, toxic bigint").groupBy("junk", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()
     models = {}
     for task in sizes:
         tally: dict[int, int] = {}
@@ -430,7 +431,7 @@ def fit(docs: DataFrame, labels: DataFrame, labelled_sample: int = LABELLED_SAMP
                 names=["id", "features", "vals", "sketch", "junk", "toxic"],
             )
 
-    got = docs.join(F.broadcast(chosen), "id", "left_semi").select("id", "text").mapInArrow(sample, "id bigint, features array<int>, vals array<float>, sketch array<bigint>, junk bigint, toxic bigint").toArrow().sort_by("id")
+    got = docs.join(F.broadcast(chosen), "id", "left_semi").select("id", "text").mapInArrow(released(sample), "id bigint, features array<int>, vals array<float>, sketch array<bigint>, junk bigint, toxic bigint").toArrow().sort_by("id")
     scorers = {}
     keep = np.flatnonzero(_once(got.column("sketch").to_pylist()))
     features, values = _lists(got, "features", keep), _lists(got, "vals", keep)
@@ -454,7 +455,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             junk[f.empty] = np.maximum(junk[f.empty], 1.0)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(junk, pa.float64()), pa.array(toxic, pa.float64())], names=["id", "junk_score", "toxic_score"])
 
-    return docs.mapInArrow(run, returns("junk_score double, toxic_score double", id=docs.schema["id"].dataType))
+    return docs.mapInArrow(released(run), returns("junk_score double, toxic_score double", id=docs.schema["id"].dataType))
 
 
 def classify(
