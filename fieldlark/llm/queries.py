@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fieldlark.llm.chat import END, START, format_chats, parse, rows_as_events, unescape
 from fieldlark.llm.common import table
 from fieldlark.llm.decontaminate import contaminated, find_contamination
+from fieldlark.llm.filter_audit import audit_filters
 from fieldlark.llm.html_extract import extract_text
 from fieldlark.llm.line_dedup import drop_common_lines
 from fieldlark.llm.mixing import mix_sources
@@ -98,6 +99,10 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("filter")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -111,6 +116,7 @@ QUERIES = {
         op8_chat_formatting,
         op9_line_dedup,
         op10_exact_top_k,
+        op11_filter_audit,
     )
 }
 

@@ -73,4 +73,19 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS
   FROM v q, v c WHERE q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id AND len(q.e) = len(c.e)),
 r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
+    "op11_filter_audit": f"""
+WITH w AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, {_PLAIN} AS w FROM documents),
+l AS (SELECT doc_id, max(CAST(quality = 1 AS INTEGER)) AS q, max(CAST(toxic = 1 AS INTEGER)) AS t FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(q, 0) AS q, coalesce(t, 0) AS t, CAST(len(w) < 200 AS INTEGER) AS a, CAST(100 * len(list_distinct(w)) < 50 * len(w) AS INTEGER) AS b,
+  CAST(100 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > 2 * length(text) AS INTEGER) AS c, CAST(regexp_matches(text, '[#$%&*|]') AS INTEGER) AS d,
+  CAST(coalesce(w.doc_id > min(w.doc_id) OVER (PARTITION BY text), false) AS INTEGER) AS e FROM w LEFT JOIN l ON w.doc_id = l.doc_id),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT [a.x, b.x, c.x, d.x, e.x] AS o FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+g AS (SELECT part, q, t, map(['A', 'B', 'C', 'D', 'E'], [a, b, c, d, e]) AS m, a + b + c + d + e AS n_fails FROM f),
+r AS (SELECT part, q, t, n_fails, o, list_transform(o, lambda y: m[y]) AS z FROM g, o),
+s AS (SELECT part, q, t, n_fails, array_to_string(o, '') AS filter_order, z, coalesce(list_position(z, 1), 6) AS first, unnest([1, 2, 3, 4, 5]) AS step FROM r),
+k AS (SELECT part, filter_order, step, count(*) FILTER (WHERE first > step) AS kept, count(*) FILTER (WHERE first = step) AS removed,
+  count(*) FILTER (WHERE z[step] = 1 AND first < step) AS redundant, count(*) FILTER (WHERE z[step] = 1 AND n_fails = 1) AS unique_fails,
+  count(*) FILTER (WHERE first = step AND q = 1) AS good_lost, count(*) FILTER (WHERE first = step AND t = 1) AS toxic_lost FROM s GROUP BY ALL)
+SELECT *, CAST(sum(removed) OVER (PARTITION BY part, filter_order[step]) AS BIGINT) AS shapley FROM k""",
 }
