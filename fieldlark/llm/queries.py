@@ -13,6 +13,7 @@ from fieldlark.llm.html_extract import extract_text
 from fieldlark.llm.line_dedup import drop_common_lines
 from fieldlark.llm.mixing import mix_sources
 from fieldlark.llm.near_dup import near_duplicates
+from fieldlark.llm.periodic_runs import periodic_runs
 from fieldlark.llm.quality import classify
 from fieldlark.llm.sql import ORACLE_SQL
 from fieldlark.llm.substring_dedup import remove_repeats
@@ -103,6 +104,29 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("filter")
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.array_remove(F.split(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+"), "")
+    docs = table(spark, sf_dir, "documents").select("doc_id", words.alias("w"), F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
+    n, g = F.size("w").cast("bigint"), F.floor(F.col("h") / 10)
+    docs = docs.withColumn("planted", (F.col("h") % 10 == 0) & (n > 0)).withColumn("a", F.when(F.col("planted"), g % n))
+    docs = docs.withColumn("p", 1 + F.floor((n - F.col("a")) / (3 + g % 8)))
+    first = lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p"))
+    text = F.when(F.col("planted"), F.array_join(F.transform(F.sequence(F.lit(0).cast("bigint"), n - 1), lambda i: F.get("w", first(i).cast("int"))), " ")).otherwise(F.array_join("w", " "))
+    found = periodic_runs(docs.select("doc_id", text.alias("text")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r.length.alias("length"), (-r.start).alias("back"), (-r.period).alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r.start, r.length, r.period)), "\n", "")
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        (-F.col("best.back")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.period")).alias("period"),
+        F.floor(1000 * F.col("best.length") / -F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"),
+        F.sha2("text", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -117,6 +141,7 @@ QUERIES = {
         op9_line_dedup,
         op10_exact_top_k,
         op11_filter_audit,
+        op12_periodic_runs,
     )
 }
 

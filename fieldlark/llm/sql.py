@@ -88,4 +88,24 @@ k AS (SELECT part, filter_order, step, count(*) FILTER (WHERE first > step) AS k
   count(*) FILTER (WHERE z[step] = 1 AND first < step) AS redundant, count(*) FILTER (WHERE z[step] = 1 AND n_fails = 1) AS unique_fails,
   count(*) FILTER (WHERE first = step AND q = 1) AS good_lost, count(*) FILTER (WHERE first = step AND t = 1) AS toxic_lost FROM s GROUP BY ALL)
 SELECT *, CAST(sum(removed) OVER (PARTITION BY part, filter_order[step]) AS BIGINT) AS shapley FROM k""",
+    # the check sum bit by bit; a run is an island of words equal to those q further, found by phrases of six words
+    "op12_periodic_runs": f"""
+WITH c AS (SELECT doc_id, {_PLAIN} AS w, list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda d: CAST(unicode(d) AS BIGINT))),
+    lambda x, y: list_reduce(list_concat([xor(x, y)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda u, v: xor(u >> 1, 3988292384::BIGINT * (u & 1)))) AS x FROM documents),
+e AS (SELECT doc_id, w, CAST(len(w) AS BIGINT) AS n, xor(x, 4294967295::BIGINT) AS h FROM c),
+a AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN (h // 10) % n END AS a FROM e),
+p AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM a),
+d AS MATERIALIZED (SELECT doc_id, n, CASE WHEN a IS NULL THEN w ELSE list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) END AS w FROM p),
+g AS MATERIALIZED (SELECT doc_id, i - 1 AS i, hash(array_to_string(w[i:i + 5], ' ')) AS s FROM (SELECT doc_id, w, unnest(range(1, n - 4)) AS i FROM d WHERE n > 6)),
+eq AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM g x JOIN g y ON x.doc_id = y.doc_id AND x.s = y.s AND x.i < y.i),
+isl AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM eq),
+st AS (SELECT doc_id, q, min(i) AS s, max(i) + 6 + q AS e FROM isl GROUP BY doc_id, q, k HAVING max(i) + 6 - min(i) >= greatest(12 - q, q)),
+r AS MATERIALIZED (SELECT doc_id, s, e - s AS l, q FROM st WHERE NOT EXISTS (SELECT 1 FROM st t WHERE t.doc_id = st.doc_id AND t.q < st.q AND st.q % t.q = 0 AND t.s <= st.s AND t.e >= st.e)),
+t AS (SELECT doc_id, count(*) AS n_runs, arg_max({{'start': s, 'length': l, 'period': q}}, [l, -s, -q]) AS b, string_agg(concat(s, ',', l, ',', q, chr(10)), '' ORDER BY s, q) AS lines FROM r GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + l)) AS i FROM r),
+pos AS (SELECT doc_id, unnest(w) AS word, unnest(range(n)) AS i FROM d),
+k AS (SELECT pos.doc_id, string_agg(word, ' ' ORDER BY pos.i) AS kept FROM pos ANTI JOIN gone ON pos.doc_id = gone.doc_id AND pos.i = gone.i GROUP BY pos.doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, b.start AS start, b.length AS length, b.period AS period, 1000 * b.length // b.period AS exponent_milli,
+  sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM d LEFT JOIN t ON d.doc_id = t.doc_id LEFT JOIN k ON d.doc_id = k.doc_id""",
 }
