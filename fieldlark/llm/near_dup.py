@@ -39,10 +39,10 @@ def plan_bands(threshold: float, recall: float, max_hashes: int = 128) -> tuple[
     return best
 
 
-def _grams(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+def _grams(texts: pa.Array, size: int, kind=FOLDED) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all word n-grams in order of text, and the number of each text.  A text
     of fewer words, but not none, has one n-gram: all its words."""
-    w = Words(texts, FOLDED)
+    w = Words(texts, kind)
     h, n = w.hashes(), w.counts()
     ok = within(w.first, size)
     x, doc = windows(h, size)[ok], owner(w.first)[: len(ok)][ok]
@@ -100,10 +100,10 @@ def _sign(size: int, bands: int, rows: int):
     return run
 
 
-def _sets(size: int):
+def _sets(size: int, kind=FOLDED):
     def run(batches):
         for nodes, texts, _ in _slices(batches):
-            x, n = _grams(texts, size)
+            x, n = _grams(texts, size, kind)
             ends = np.cumsum(n)
             sets = [np.unique(x[e - k : e]).view(np.int64) for e, k in zip(ends, n)]
             yield pa.RecordBatch.from_arrays([nodes, pa.array(sets, pa.list_(pa.int64()))], names=["node", "grams"])
@@ -190,11 +190,11 @@ class _Blocks:
         return pa.table([pa.array(np.concatenate(c)) for c in zip(*held)], names=["a", "b", "j"])
 
 
-def _held(sets: DataFrame, placed: DataFrame) -> DataFrame:
-    """(hub, lo, hi, block, node, grams): every text once for each pair of blocks its own is in."""
+def _held(sets: DataFrame, placed: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """(hub, lo, hi, block, node, grams, more): every text once for each pair of blocks its own is in."""
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    each = sets.join(placed, "node").select("hub", "block", "node", "grams", other.alias("other"))
-    return each.select("hub", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "grams")
+    each = sets.join(placed, "node").select("hub", "block", "node", "grams", *more, other.alias("other"))
+    return each.select("hub", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "grams", *more)
 
 
 def near_duplicates(

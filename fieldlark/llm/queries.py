@@ -10,6 +10,7 @@ from fieldlark.llm.common import table
 from fieldlark.llm.decontaminate import contaminated, find_contamination
 from fieldlark.llm.filter_audit import audit_filters
 from fieldlark.llm.html_extract import extract_text
+from fieldlark.llm.hyperminhash import near_duplicate_components
 from fieldlark.llm.line_dedup import drop_common_lines
 from fieldlark.llm.mixing import mix_sources
 from fieldlark.llm.near_dup import near_duplicates
@@ -127,6 +128,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_hyperminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -142,6 +147,7 @@ QUERIES = {
         op10_exact_top_k,
         op11_filter_audit,
         op12_periodic_runs,
+        op13_hyperminhash_near_dedup,
     )
 }
 

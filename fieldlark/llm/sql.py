@@ -108,4 +108,18 @@ k AS (SELECT pos.doc_id, string_agg(word, ' ' ORDER BY pos.i) AS kept FROM pos A
 SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, b.start AS start, b.length AS length, b.period AS period, 1000 * b.length // b.period AS exponent_milli,
   sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
 FROM d LEFT JOIN t ON d.doc_id = t.doc_id LEFT JOIN k ON d.doc_id = k.doc_id""",
+    "op13_hyperminhash_near_dedup": f"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, list_transform({_PLAIN}, lambda x: translate(x, '{_UP}', '{_LOW}')) AS w FROM documents),
+g AS MATERIALIZED (SELECT DISTINCT doc_id, hash(array_to_string(w[i:i + least(3, len(w)) - 1], ' ')) AS s
+      FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(3, len(w)) + 2)) AS i FROM d WHERE len(w) > 0)),
+sig AS (SELECT doc_id, count(*) AS n, md5(string_agg(CAST(s AS VARCHAR), ',' ORDER BY s)) AS sig FROM g GROUP BY doc_id),
+rep AS MATERIALIZED (SELECT doc_id, n, min(doc_id) OVER (PARTITION BY sig) AS rep FROM sig),
+r AS MATERIALIZED (SELECT g.doc_id, g.s FROM g JOIN rep ON g.doc_id = rep.doc_id AND rep.rep = rep.doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM r a JOIN r b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS MATERIALIZED (SELECT a, b FROM shared JOIN rep x ON a = x.doc_id JOIN rep y ON b = y.doc_id WHERE 100 * i >= 85 * (x.n + y.n - i)),
+both_ AS MATERIALIZED (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT DISTINCT a AS node, a AS other FROM both_ UNION SELECT node, b FROM reach JOIN both_ ON other = a),
+root AS (SELECT node, min(other) AS root FROM reach GROUP BY node),
+c AS (SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(root.root, rep.rep, d.doc_id) AS component_id FROM d LEFT JOIN rep ON d.doc_id = rep.doc_id LEFT JOIN root ON rep.rep = root.node)
+SELECT *, doc_id = component_id AS kept FROM c""",
 }

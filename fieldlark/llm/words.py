@@ -18,9 +18,11 @@ _CHUNK = 1 << 21
 
 #: `[^\x20\x09-\x0D]+`, text unchanged
 PLAIN = (np.array([c != 32 and not 9 <= c <= 13 for c in range(256)]), np.arange(256, dtype=np.uint8))
-#: `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` after lower-casing A-Z
 _low = np.arange(256, dtype=np.uint8)
 _low[65:91] += 32
+#: `[^\x20\x09-\x0D]+` after lower-casing A-Z
+LOWER = (PLAIN[0], _low)
+#: `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` after lower-casing A-Z
 FOLDED = (np.array([c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 for c in _low]), _low)
 
 _rng = np.random.Generator(np.random.PCG64(20240607))
