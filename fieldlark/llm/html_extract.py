@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -12,14 +13,18 @@ from pyspark.sql import functions as F
 
 from fieldlark.llm.common import returns
 
-#: Lines in a block of the distribution; the largest block of a page over the least one that is a surge.
-WINDOW, CONTRAST = 3, 16
+#: Lines in a block of the distribution; a surge is a block of the largest one over CONTRAST, or of LEAST if that is less.
+WINDOW, CONTRAST, LEAST = 3, 16, 40
+#: Characters that a paragraph, heading or list item weighs besides its own.
+PROSE_BONUS = 40
+#: Characters less that a line weighs outside all marks of the article, where there is one.
+OUTSIDE = 400
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S
 )
 _ATTRIBUTE = re.compile(r"([\w:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|(?:^|\s)(hidden)(?=\s|/|$)")
-_NAME_WORD = re.compile(r"[a-z]+|\d+")
+_NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 #: Elements whose content is never text of the page.
 RAW = frozenset("script style noscript template textarea title iframe object svg math select option button canvas audio video head".split())
@@ -28,7 +33,12 @@ BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split()
 )
 #: Elements that hold a region of the page and are kept on the stack.
-REGION = frozenset("article aside body center details dialog div fieldset figure footer form header html main menu nav ol section span table td ul a".split())
+REGION = frozenset("article aside blockquote body center dd details dialog div dt fieldset figcaption figure footer form header html li main menu nav ol section span table td tr ul a".split())
+#: Elements that end where the next of their kind begins, and the elements that part them.
+IMPLIED = {"li": ("ul", "ol", "menu"), "dd": ("dl",), "dt": ("dl",), "tr": ("table",), "td": ("table", "tr")}
+#: Elements of one line; with the others here they hold prose.
+LINE = frozenset("p h1 h2 h3 h4 h5 h6".split())
+PROSE = LINE | frozenset("li blockquote dd dt pre figcaption".split())
 #: Regions that are not the article.
 APART = frozenset("nav footer aside form dialog menu header".split())
 #: Words in class, id or role that set a region apart, always or unless an ARTICLE word stands beside them.
@@ -37,39 +47,73 @@ APART_NAMES = frozenset(
 )
 WEAK_NAMES = frozenset("header head masthead top widget meta tools".split())
 ARTICLE_NAMES = frozenset("article post entry story content main body text".split())
+#: Names of reader comments, which may be most of a page.
+COMMENT_NAMES = frozenset("comment comments disqus replies respond".split())
+#: Words that do not change what a compound name means: `related-posts` is set apart, `related-work` is not.
+COMPANIONS = frozenset(
+    "left right bottom main site page global primary secondary list box block area section wrapper wrap container inner outer content item items bar link links button buttons icon icons post posts article articles story stories footer title body slot unit panel group row col column mobile desktop widgets field us now text".split()
+)
+#: A compound that begins so says what an element is beside or without, not what it is.
+BESIDE = frozenset("no not has with without is hide show".split())
 #: Regions that hold the article, from the surest kind to the least.
 ARTICLE, MAIN, NAMED = 3, 2, 1
 
 
-def _names(attributes: str) -> tuple[set[str], bool]:
-    """Words of class, id and role, and whether the element is hidden."""
+class Line(NamedTuple):
+    """A block of a page: its text, the characters of it in links, whether it is set apart, the
+    surest mark of the article around it, and whether an element of prose holds it."""
+
+    text: str
+    links: int
+    apart: bool
+    rank: int
+    prose: bool
+
+
+def _names(attributes: str) -> tuple[set[str], bool, bool]:
+    """Words of class, id and role; whether they set the element apart, and whether it is hidden."""
     words: set[str] = set()
-    hidden = False
+    apart = weak = hidden = False
     if attributes:
         for name, a, b, c, bare in _ATTRIBUTE.findall(attributes):
             name, value = (bare or name).lower(), a or b or c
             if name in ("class", "id", "role"):
-                words.update(_NAME_WORD.findall(value.lower()))
+                for token in value.split():
+                    parts = [x.lower() for x in _NAME_WORD.findall(token)]
+                    if not parts or len(parts) > 1 and parts[0] in BESIDE:
+                        continue
+                    words.update(parts)
+                    if all(x in APART_NAMES or x in WEAK_NAMES or x in COMPANIONS or len(x) == 1 or x.isdigit() for x in parts):
+                        apart |= not APART_NAMES.isdisjoint(parts)
+                        weak |= not WEAK_NAMES.isdisjoint(parts)
             elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
                 hidden = True
-    return words, hidden
+    return words, apart or weak and words.isdisjoint(ARTICLE_NAMES), hidden
+
 
+def lines_of(page: str) -> list[Line]:
+    """The page as lines, one per block.
 
-def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
-    """The page as lines, one per block: (text, characters in links, set apart, article rank)."""
-    out: list[tuple[str, int, bool, int]] = []
+    An element is set apart by its kind or its names, with all in it.  One that is so by its
+    names, or is a form, and holds most of the page's text is a wrapper of the article and
+    is not, unless it is named for comments.
+    """
+    out: list[tuple[str, int, tuple[int, ...], int, bool]] = []
     buffer: list[str] = []
-    links = 0
-    stack: list[tuple[str, bool, int, bool]] = [("", False, 0, False)]  # tag, apart, rank, in a link
+    links = regions = 0
+    line: tuple[int, ...] = ()
+    prose = False
+    wrappers: set[int] = set()
+    stack: list[tuple[str, tuple[int, ...], int, bool]] = [("", (), 0, False)]  # tag, regions set apart around it, rank, in a link
 
     def close() -> None:
-        nonlocal links
+        nonlocal links, line, prose
         if buffer:
             text = " ".join(html.unescape("".join(buffer)).split())
             if text:
-                out.append((text, links, stack[-1][1], stack[-1][2]))
+                out.append((text, links, stack[-1][1] + line, stack[-1][2], prose))
             buffer.clear()
-        links = 0
+        links, line, prose = 0, (), False
 
     at = 0
     while True:
@@ -88,6 +132,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
         tag = tag.lower()
         if tag in BLOCK:
             close()
+            prose = not slash and tag in PROSE
         elif tag in ("br", "td", "th", "img", "wbr"):
             if tag != "wbr":
                 buffer.append(" ")
@@ -105,77 +150,83 @@ def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
                 end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
                 at = end.end() if end else (len(page) if tag in ("script", "style") else at)
             continue
+        if tag in LINE:
+            _, apart, hidden = _names(attributes)
+            if apart or hidden:
+                regions += 1
+                line = (regions,)
+            continue
         if tag not in REGION or attributes.endswith("/"):
             continue
-        names, hidden = _names(attributes)
-        _, apart, rank, link = stack[-1]
+        if tag in IMPLIED:
+            for k in range(len(stack) - 1, 0, -1):
+                if stack[k][0] == tag or {stack[k][0], tag} == {"dd", "dt"}:
+                    del stack[k:]
+                    break
+                if stack[k][0] in IMPLIED[tag]:
+                    break
+        names, apart, hidden = _names(attributes)
+        _, around, rank, link = stack[-1]
         own = 0
         if tag == "article":
             own = ARTICLE
-        elif tag == "main" or names >= {"main"} and tag != "body" and not names & APART_NAMES:
+        elif tag == "main" or names >= {"main"} and tag != "body" and not apart:
             own = MAIN
-        elif tag in ("div", "section") and names & ARTICLE_NAMES and not names & APART_NAMES:
+        elif tag in ("div", "section") and names & ARTICLE_NAMES and not apart:
             own = NAMED
-        away = hidden or bool(names & APART_NAMES) or (bool(names & WEAK_NAMES) and not names & ARTICLE_NAMES)
-        if tag in ("html", "body"):
-            away = hidden
+        away = hidden or apart and tag not in ("html", "body")
         if tag in ("article", "main") and not away and not any(s[1] and s[0] not in ("form", "header", "nav", "menu") for s in stack):
-            apart = False  # a page inside one big form, or after a menu that was never closed
-        elif tag in APART and not (tag == "header" and rank >= NAMED and not away):
-            away = True
-        stack.append((tag, apart or away, max(rank, own), link or tag == "a"))
+            around = ()  # a page inside one big form, or after a menu that was never closed
+        kind = tag in APART and not (tag == "header" and rank >= NAMED and not away)
+        if kind or away:
+            regions += 1
+            around = (*around, regions)
+            if not hidden and (tag == "form" or not kind) and names.isdisjoint(COMMENT_NAMES):
+                wrappers.add(regions)
+        stack.append((tag, around, max(rank, own), link or tag == "a"))
     close()
-    return out
+    held: dict[int, int] = {}
+    for text, n, around, _, _ in out:
+        for x in wrappers.intersection(around):
+            held[x] = held.get(x, 0) + max(len(text) - n, 0)
+    total = sum(max(len(text) - n, 0) for text, n, *_ in out)
+    free = {x for x, n in held.items() if 2 * n > total}
+    return [Line(text, n, any(x not in free for x in around), rank, prose) for text, n, around, rank, prose in out]
 
 
-def line_weights(lines: list[tuple[str, int, bool, int]], window: int = WINDOW, contrast: float = CONTRAST) -> tuple[np.ndarray, np.ndarray, float]:
-    """Per line its weight and the side of the article's border it lies on, and the surge that text needs.
+def line_weights(lines: list[Line]) -> np.ndarray:
+    """Weight of every line, in characters.
 
-    A line weighs its characters outside links, one set apart as many below zero.  The surest
-    mark that holds at least as much text as the lines outside it is the article's: its lines
-    weigh all their characters, others less, by the share of text outside.  A surge is the
-    largest block over ``contrast``.  Lines of the article's mark, or of the surest one if
-    none is trusted, weigh a surge more, lest a short one be lost.
+    A line weighs its characters outside links; within the surest mark of the article on the
+    page those in links too.  Prose weighs a little more.  Lines in a less sure mark, or in none,
+    weigh less, by the square of what they lack of the surest one.
     """
-    size = np.array([len(t) for t, _, _, _ in lines], dtype=float)
-    apart = np.array([x for _, _, x, _ in lines])
-    rank = np.array([0 if x else r for _, _, x, r in lines])
-    weights = np.where(apart, -size, np.maximum(size - [n for _, n, _, _ in lines], 0))
-    side, sure = np.where(apart, -1, 0), (rank == rank.max()) & (rank > 0)
-    for mark in range(int(rank.max()), 0, -1):
-        inside = rank >= mark
-        own, others = size[inside].sum(), weights[~inside & ~apart].sum()
-        if own >= others:
-            weights = np.where(inside, size, np.where(apart, weights, weights * others / own / contrast))
-            side, sure = np.where(inside, mark, side), inside
-            break
-    surge = max(blocks(weights, side, window).max(), 0.0) / contrast
-    return weights + np.where(sure, surge, 0.0), side, surge
-
-
-def blocks(weights: np.ndarray, side: np.ndarray, window: int) -> np.ndarray:
-    """Per line the sum of weights over ``window`` lines from it on, up to the next change of side."""
-    out, same = weights.astype(float), np.ones(len(weights), dtype=bool)
-    for k in range(1, min(window, len(weights))):
-        same = same[:-1] & (side[k:] == side[: len(side) - k])
-        out[: len(out) - k] += np.where(same, weights[k:], 0.0)
-    return out
+    size, links = np.array([len(x.text) for x in lines], dtype=float), np.array([x.links for x in lines], dtype=float)
+    rank, prose = np.array([x.rank for x in lines], dtype=float), np.array([x.prose for x in lines])
+    surest = rank.max()
+    inside = (rank == surest) & (surest > 0)
+    weights = np.where(inside, size, np.maximum(size - links, 0))
+    weights += np.where(prose & (inside | (2 * links <= size)), PROSE_BONUS, 0)
+    return weights - (OUTSIDE * (1 - rank / surest) ** 2 if surest else 0)
 
 
-def surges(weights: np.ndarray, window: int, surge: float, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+def surges(weights: np.ndarray, window: int = WINDOW, contrast: float = CONTRAST) -> list[tuple[int, int]]:
     """[start, end) of the lines between each surge and the dive after it.
 
-    A surge is a line with text whose block reaches ``surge``; the dive is the first line
-    after it whose block is empty, or where the side changes.
+    A block is the text, all weight above zero, of ``window`` lines from a line on.  A surge is a
+    line with text whose block reaches the largest one over ``contrast``, or LEAST if that is
+    less; the dive is the first line after it whose block is empty.
     """
     n = len(weights)
-    side = np.zeros(n, dtype=int) if side is None else side
-    sums = blocks(weights, side, window)
+    text = np.maximum(weights, 0)
+    sums = np.concatenate(([0], np.cumsum(text)))
+    sums = sums[np.minimum(np.arange(n) + window, n)] - sums[:n]
+    surge = min(LEAST, sums.max(initial=0) / contrast)
     found, i = [], 0
     while i < n:
-        if weights[i] > 0 and sums[i] >= surge:
+        if text[i] > 0 and sums[i] >= surge:
             j = i + 1
-            while j < n and sums[j] > 0 and side[j] == side[i]:
+            while j < n and sums[j] > 1e-6:
                 j += 1
             found.append((i, j))
             i = j
@@ -185,25 +236,24 @@ def surges(weights: np.ndarray, window: int, surge: float, side: np.ndarray | No
 
 
 def main_text(page: str | None, window: int = WINDOW, contrast: float = CONTRAST) -> str:
-    """The article's blocks, one a line: all lines between surges and dives, and no others."""
-    lines = lines_of(page) if page else []
+    """The article's blocks, one a line: the lines between surges and dives that weigh no less than nothing."""
+    lines = [x for x in lines_of(page) if not x.apart] if page else []
     if not lines:
         return ""
-    weights, side, surge = line_weights(lines, window, contrast)
-    return "\n".join(t for a, b in surges(weights, window, surge, side) for t, _, _, _ in lines[a:b])
+    weights = line_weights(lines)
+    return "\n".join(lines[k].text for a, b in surges(weights, window, contrast) for k in range(a, b) if weights[k] >= 0)
 
 
 def extract_text(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """Main text of every page: the columns ``keep``, ``text``, ``n_chars``.
 
-    Markup is stripped to lines, a line per block element.  A line weighs its characters
-    outside links; one in a menu, header, footer, sidebar, notice, advert, form or reader
-    comment weighs as much below zero.  Weights are summed over sliding windows of lines,
-    surge and dive points located, and all lines between them kept: markup decides no line
-    by itself.  A surge is relative to the page's largest block, so short pages keep their
-    text.  An element that marks the article and holds at least as much text as the rest
-    makes its lines weigh more and the others less, and no block crosses its border; text
-    outside it is then kept only where it is as dense.
+    Markup is stripped to lines, a line per block element, with all that is in a menu, header,
+    footer, sidebar, notice, advert, form or reader comment.  A line weighs its characters
+    outside links.  Weights are summed over sliding windows of lines, surge and dive points
+    located, and the lines between them kept.  A surge is relative to the page's largest
+    block, so short pages keep their text, and never more than ``LEAST`` characters, so long
+    pages keep their short paragraphs; a link between paragraphs is no dive.  Elements that
+    mark the article or hold prose shift the weights of their lines and decide nothing else.
 
     Edge cases: null, empty and textless pages give an empty text; unclosed elements end
     with their parents; pages of any length are read whole; repeated pages are extracted

@@ -31,14 +31,16 @@ def test_html_without_marks_needs_a_surge():
     assert html_extract.main_text(page) == f"{text}\n{text}\nshort end"
 
 
-def test_html_surges_outweigh_a_mark():
+def test_html_marks_shift_weights():
     text = "A paragraph that is certainly long enough to count as the text of a page, with more than eighty characters."
+    long = " ".join([text] * 6)
     links = "<p><a href=x>more</a></p>" * 4
-    page = f"<body><article><p>Teaser</p></article>{links}<div><p>{text}</p><p>{text}</p></div>{links}<p>alone</p></body>"
-    assert html_extract.main_text(page) == f"Teaser\n{text}\n{text}"
-    # the next kind of mark holds the text
-    assert html_extract.main_text(f"<body><main><article><p>Teaser</p></article><p>{text}</p>{'<hr>' * 4}<p>end</p></main><p>alone</p></body>") == f"Teaser\n{text}\nend"
-    # less text outside than in the mark
+    # far denser text outside a mark weighs enough, as other text does not
+    page = f"<body><article><p>Teaser</p></article>{links}<div><p>{long}</p><p>{long}</p></div>{links}<p>alone</p></body>"
+    assert html_extract.main_text(page) == f"Teaser\n{long}\n{long}"
+    assert html_extract.main_text(f"<body><article>Tiny news item.</article><div><p>{text}</p><p>{text}</p></div></body>") == "Tiny news item."
+    # a less sure mark weighs less than the surest and more than none
+    assert html_extract.main_text(f"<body><main><article><p>Teaser</p></article><p>{text}</p></main><p>{text}</p></body>") == f"Teaser\n{text}"
     assert html_extract.main_text(f"<body><article><p>{text}</p><p>{text}</p></article><div><p>{text}</p></div></body>") == f"{text}\n{text}"
 
 
@@ -59,41 +61,72 @@ def made_page(rng):
     return "<html><head><title>T</title></head><body>" + "".join(rng.sample(junk, 4)) + tag.format("".join(inner)) + "".join(rng.sample(junk, 3)) + "<footer>All rights are reserved by those who have them.</footer></body></html>", "\n".join(texts)
 
 
-def test_html_of_made_pages(monkeypatch):
+def test_html_of_made_pages():
     rng = random.Random(21)
     pages = [made_page(rng) for _ in range(300)]
     assert [html_extract.main_text(p) for p, _ in pages] == [t for _, t in pages]
-    # the surge and dive points are what bounds the text: without them no page comes out right
-    monkeypatch.setattr(html_extract, "surges", lambda weights, *_: [(0, len(weights))])
-    assert not any(html_extract.main_text(p) == t for p, t in pages)
 
 
-def test_html_lines_are_kept_by_blocks_alone():
-    """Brute force: a line is kept if it lies in a stretch that begins with a surge, window by window."""
+def unmarked_page(rng):
+    """Paragraphs without a mark, links between them, and bare lines of navigation at a distance."""
+    linked = lambda k: f"<div><a href='/{k}'>{BLURB}</a></div>"
+    bare = "".join(f"<div>{w}</div>" for w in rng.sample(["Home", "About us", "Log in", "Top"], rng.randint(1, 2)))
+    gap = "".join(map(linked, range(3)))
+    texts, inner = [], []
+    for k in range(rng.randint(3, 9)):
+        t = rng.choice(["Yes.", BLURB, f"{BLURB} {BLURB}"]) if k else BLURB
+        texts.append(t)
+        inner.append(f"<p>{t}</p>")
+        if k == 1 or rng.random() < 0.3:  # a paragraph that is all link, between two others
+            inner.append(linked(0))
+            texts.append(BLURB)
+    if inner[-1] == linked(0):
+        inner.append("<p>Yes.</p>")
+        texts.append("Yes.")
+    return f"<body>{bare}{gap}<div>{''.join(inner)}</div>{gap}{bare}</body>", "\n".join(texts)
+
+
+def test_html_surges_and_dives_bound_the_text():
+    rng = random.Random(5)
+    pages = [unmarked_page(rng) for _ in range(100)]
+    assert [html_extract.main_text(p) for p, _ in pages] == [t for _, t in pages]
+    # one line at a time loses the links between paragraphs; without a contrast every bare line is a surge
+    assert not any(html_extract.main_text(p, window=1) == t for p, t in pages)
+    assert not any(html_extract.main_text(p, contrast=1e9) == t for p, t in pages)
+
+
+WRAPPED = ["<div class='layout has-sidebar'>{}</div>", "<div class='wrap no-sidebar'><article>{}</article></div>", "<div class='post social'>{}</div>", "<article class='post menu-review'>{}</article>", "<form class=page>{}</form>", "<section id=with-comments>{}</section>", "<div class='dialog'><div>{}</div></div>"]
+WITHIN = ["<div class='related-work'><p>{}</p></div>", "<section class='form-theory'><p>{}</p></section>", "<p class='no-ad'>{}</p>", "<ul><li class=item>{}</ul>", "<h2 id=search-methods>{}</h2>", "<blockquote>{}</blockquote>"]
+AWAY = ["<p class='advert'>BUY NOW</p>", "<ul><li class='ad'>Buy this<li class=ad-slot>and this</ul>", "<h3 class='related-posts'>More</h3>", "<div class='comment-list'><p>First!</p></div>", "<p hidden>Not seen</p>", "<div class='ad-300x250'>Ad</div>", "<div id=newsletter-signup><p>Mail</p></div>", "<div class='siteFooter'><p class=social-links>x</p></div>", "<nav class=main-nav>a</nav>", "<ol class=comments><li><p>One</p><li>Two</ol>"]
+
+
+@pytest.mark.parametrize("wrap", WRAPPED)
+def test_html_names_of_wrappers(wrap):
+    body = f"<p>{BLURB}</p>{''.join(AWAY)}<p>Yes.</p>" + "".join(w.format(f"Kept {k}") for k, w in enumerate(WITHIN))
+    want = "\n".join([BLURB, "Yes.", *(f"Kept {k}" for k in range(len(WITHIN)))])
+    assert html_extract.main_text(f"<body>{wrap.format(body)}<footer>{BLURB}</footer></body>") == want
+
+
+def test_html_comments_may_be_most_of_a_page():
+    comments = f"<div class=comments>{f'<p>{BLURB}</p>' * 30}</div>"
+    assert html_extract.main_text(f"<body><article><p>Short.</p>{comments}</article>{comments}</body>") == "Short."
+    assert html_extract.main_text(f"<body><div><p>Short.</p>{comments}</div></body>") == "Short."
+
+
+def test_html_surges_against_brute_force():
+    """A line is kept if it lies in a stretch that begins with a surge, window by window."""
     rng = random.Random(4)
     for _ in range(300):
-        n = rng.randint(1, 25)
-        lines = [("x" * rng.choice([1, 5, 30, 300]), rng.choice([0, 0, 300]), rng.random() < 0.2, rng.choice([0, 0, 2, 3])) for _ in range(n)]
-        w, side, surge = html_extract.line_weights(lines)
-
-        def block(i):
-            total = 0.0
-            for k in range(i, min(n, i + html_extract.WINDOW)):
-                if side[k] != side[i]:
-                    break
-                total += w[k]
-            return total
-
-        kept, on = [], None
+        n = rng.randint(0, 25)
+        w, window, contrast = np.array([rng.choice([-300.0, 0, 0, 1, 5, 30, 300]) for _ in range(n)]), rng.randint(1, 4), rng.choice([2, 16, 1e9])
+        block = lambda i: sum(max(x, 0) for x in w[i : i + window])
+        surge = min(html_extract.LEAST, max(map(block, range(n)), default=0) / contrast)
+        kept, on = [], False
         for i in range(n):
-            if on is not None and not (side[i] == on and block(i) > 1e-9):
-                on = None
-            if on is None and w[i] > 0 and block(i) >= surge:
-                on = side[i]
-            if on is not None:
+            on = on and block(i) > 0 or w[i] > 0 and block(i) >= surge
+            if on:
                 kept.append(i)
-        assert kept == [i for a, b in html_extract.surges(w, html_extract.WINDOW, surge, side) for i in range(a, b)]
-        assert not any(lines[i][2] for i in kept)
+        assert kept == [i for a, b in html_extract.surges(w, window, contrast) for i in range(a, b)]
 
 
 def test_html_short_pages_keep_their_text():
@@ -103,7 +136,7 @@ def test_html_short_pages_keep_their_text():
 
 
 def test_surges():
-    assert html_extract.surges(np.array([0, 0, 50, 60, 0, 10, 0, 0, 0, 90]), 3, 80) == [(2, 6), (9, 10)]
+    assert html_extract.surges(np.array([0, 0, 50, 60, 0, 10, 0, 0, 0, 90]), 3, 3) == [(2, 6), (9, 10)]
     assert html_extract.surges(np.array([]), 3, 1) == []
 
 
