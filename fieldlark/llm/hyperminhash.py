@@ -23,12 +23,10 @@ EMPTY = np.uint32(0xFFFFFFFF)
 #: Standard deviations by which an estimate may miss the threshold before a pair is given up.
 SLACK = 6.0
 #: Buckets of up to so many different texts are compared pair by pair; in larger ones all texts meet
-#: a leader first, then texts of classes that are still apart meet block by block.
+#: a leader first, then those that are not linked to it meet the others block by block.
 PAIRWISE = 16
 #: 64-bit numbers (shingles and sketch) in a block; a task holds two blocks.
 BLOCK = 2_000_000
-#: Bands whose large buckets are settled together; most are of one class when their turn comes.
-WAVES = ((0, 1), (1, 5), (5, BANDS))
 _CHUNK = 256
 
 
@@ -64,7 +62,8 @@ def estimate(one: np.ndarray, two: np.ndarray, n: np.ndarray, m: np.ndarray, man
     in_one, in_two = one != EMPTY, two != EMPTY
     used = (in_one | in_two).sum(-1)
     agree = ((one == two) & in_one).sum(-1)
-    p = chance(n, m, mantissa)  # unlike registers that agree stand to those that do not as p to 1 - p
+    sizes, at = np.unique(np.stack(np.broadcast_arrays(n, m)), axis=1, return_inverse=True)
+    p = chance(*sizes, mantissa)[at]  # unlike registers that agree stand to those that do not as p to 1 - p
     by_chance = p / (1 - p) * (in_one & in_two & (one != two)).sum(-1)
     return (agree - by_chance) / np.maximum(used, 1), used
 
@@ -136,9 +135,12 @@ class _Classes:
         self.ids, self.threshold = table.column("node").to_numpy(), threshold
         block, lists = table.column("block").to_numpy(), table.column("grams").combine_chunks()
         self.regs = _regs(table.column("regs").combine_chunks())
+        self.some = (self.regs != EMPTY).astype(np.float32)
+        self.used = self.some.sum(1)
         self.starts, self.flat = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy().view(np.uint64)  # sets are in this order
         self.n = np.diff(self.starts)
         _, self.of = np.unique(table.column("root").to_numpy(), return_inverse=True)
+        self.band = table.column("band")[0].as_py()
         lo, hi = key[1].as_py(), key[2].as_py()
         self.one, self.two = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
         self.edges: list[tuple[int, int]] = []
@@ -157,9 +159,20 @@ class _Classes:
         others = others[self.of[others] != self.of[i]]
         if not len(others):
             return
-        j, used = estimate(self.regs[others], self.regs[i][None], self.n[others], self.n[i][None])
-        ok = promising(j, used, self.threshold)
-        others = others[ok][np.argsort(-j[ok], kind="stable")]
+        own = self.regs[i]
+        same = (self.regs[others] == own) & (own != EMPTY)
+        # what chance brings only lowers an estimate, so most are told apart without it
+        used = self.used[others] + self.used[i] - self.some[others] @ self.some[i]
+        ok = np.flatnonzero(promising(same.sum(1) / np.maximum(used, 1), used, self.threshold))
+        # a pair is judged in the first of the bands it shares, in whose bucket it meets as well
+        bands = self.band * ROWS
+        met = (self.regs[others[ok], :bands] == own[:bands]).reshape(len(ok), self.band, ROWS).all(2) & same[ok, :bands].reshape(len(ok), self.band, ROWS).any(2)
+        others = others[ok[~met.any(1)]]
+        if not len(others):
+            return
+        j, used = estimate(self.regs[others], own[None], self.n[others], self.n[i][None])
+        ok = np.flatnonzero(promising(j, used, self.threshold))
+        others = others[ok[np.argsort(-j[ok], kind="stable")]]
         while len(others):
             asked, others = others[:_CHUNK], others[_CHUNK:]
             for y in asked[self._linked(i, asked)].tolist():
@@ -173,10 +186,11 @@ class _Classes:
         if len(self.one) and len(self.two):
             most = int(np.bincount(self.of[np.concatenate((self.one, self.two))]).argmax())
             head = int(np.flatnonzero(self.of == most)[0])
+            alone = self.one[0] == self.two[0]
             for i in self.one.tolist():
                 if self.of[i] != self.of[head]:
-                    self._ask(i, self.two)
-            for i in self.two.tolist():
+                    self._ask(i, self.two[(self.two > i) | (self.of[self.two] == self.of[head])] if alone else self.two)
+            for i in () if alone else self.two.tolist():
                 if self.of[i] != self.of[head]:
                     self._ask(i, self.one[self.of[self.one] == self.of[head]])
         a, b = zip(*self.edges) if self.edges else ((), ())
@@ -209,10 +223,10 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
 
     Plan: sketches are written to the shared folder; texts are shuffled once, for the sets of
     candidates.  Exact copies fall together first.  Buckets of up to ``pairwise`` texts are
-    compared pair by pair.  In larger ones every text meets the bucket's leader; what is linked
-    is contracted, and only buckets that still hold several classes are dealt into blocks, two
+    compared pair by pair.  In larger ones every text meets the bucket's leader, and what is linked
+    to it is a class; only buckets that still hold several classes are dealt into blocks, two
     of which meet in a task, where texts of different classes are compared until they are
-    joined or told apart.  So a group of near copies never makes its pairs, and no link
+    joined or told apart, each pair in the first band that it shares.  So a group of near copies never makes its pairs, and no link
     between classes is lost.  Copies and buckets are counted with map-side aggregation and
     joined from written tables, where AQE can split hot ones.  Nothing is broadcast or collected.
     """
@@ -228,10 +242,10 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     spread = cut(asked.select("node", "n", "regs").mapInArrow(released(_bands), "bucket bigint, band int, node bigint, n bigint"))
     leader = F.min(F.struct(F.xxhash64("node").alias("h"), "node", "n"))
     groups = cut(spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.sum(F.col("n") + REGISTERS // 2).alias("load"), leader.alias("leader")).where("m > 1"))
-    small = cut(spread.join(groups.where(F.col("m") <= pairwise).select("bucket"), "bucket"))
+    met = cut(spread.join(groups.select("bucket", "m", "load", F.col("leader.node").alias("leader"), F.col("leader.n").alias("nl")), "bucket"))
+    small, large = met.where(F.col("m") <= pairwise), met.where(F.col("m") > pairwise)
     one, two = small.select("bucket", F.col("node").alias("a"), F.col("n").alias("na")), small.select("bucket", F.col("node").alias("b"), F.col("n").alias("nb"))
-    large = cut(spread.join(groups.where(F.col("m") > pairwise).select("bucket", "load", "leader"), "bucket"))
-    led = large.where("node != leader.node").select(F.least("node", "leader.node").alias("a"), F.greatest("node", "leader.node").alias("b"), F.col("n").alias("na"), F.col("leader.n").alias("nb"))
+    led = large.where("node != leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"), F.col("n").alias("na"), F.col("nl").alias("nb"))
     like = F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(threshold)
     pairs = one.join(two, "bucket").where("a < b").select("a", "b", "na", "nb").unionByName(led).where(like).select("a", "b").distinct()
     for end in ("a", "b"):
@@ -239,35 +253,31 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     pairs = cut(pairs.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(released(_estimated(threshold)), "a bigint, b bigint"))
     # texts are shuffled once: for pairs, and for the large buckets, of which few come to blocks
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(large.select("node")).distinct()
-    wanted = cut(reps.select("node", F.col("rep").alias("id"), "print").join(wanted, "node"))
+    wanted = reps.select("node", F.col("rep").alias("id"), "print").join(wanted, "node")
     of = wanted.select(F.col("id").alias("of"), F.col("print").alias("of_print"), "node").hint("merge")
     sets = d.join(of, F.col("id").eqNullSafe(F.col("of")) & (F.col("print") == F.col("of_print"))).dropDuplicates(["node"]).select("node", "text", "print")
     sets = cut(sets.mapInArrow(released(_sets(size, LOWER)), "node bigint, grams array<bigint>"))
     ga, gb = sets.select(F.col("node").alias("a"), F.col("grams").alias("ga")), sets.select(F.col("node").alias("b"), F.col("grams").alias("gb"))
     both = pairs.join(gb, "b").join(ga, "a").select("a", "b", (F.size("ga") + F.size("gb")).alias("n"), F.size(F.array_intersect("ga", "gb")).alias("i"))
     links = cut(both.where(F.col("i") / (F.col("n") - F.col("i")) >= threshold).select("a", "b"))
-    roots = components(links, tables)
-    for low, high in WAVES if not large.isEmpty() else ():
-        held = large.where(F.col("band").between(low, high - 1)).join(roots, "node", "left").select("bucket", "node", "load", F.coalesce("root", "node").alias("root"))
-        held = cut(held)
-        apart = held.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("bucket")
+    # texts linked to the leader of their bucket are one class, the others start on their own
+    of_leader = links.select("a", "b", F.lit(True).alias("linked"))
+    held = large.join(of_leader, (F.least("node", "leader") == F.col("a")) & (F.greatest("node", "leader") == F.col("b")), "left")
+    held = held.select("bucket", "band", "node", "load", F.when(F.col("linked") | (F.col("node") == F.col("leader")), F.col("leader")).otherwise(F.col("node")).alias("root"))
+    held = cut(held)
+    apart = cut(held.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("bucket"))
+    if not apart.isEmpty():
         blocks = F.ceil(F.col("load") / BLOCK).cast("int")
-        placed = held.join(apart, "bucket").select("node", F.col("bucket").alias("hub"), "root", blocks.alias("blocks"))
-        placed = cut(placed.withColumn("block", F.pmod(F.xxhash64(F.lit(5), "node"), F.col("blocks")).cast("int")))
-        tables.drop(held)
-        if placed.isEmpty():
-            continue
-        told = sets.join(reps.select("node", "regs"), "node")
-        met = _held(told, placed, ("root", "regs")).groupBy("hub", "lo", "hi")
-        found = cut(met.applyInArrow(lambda key, table: _Classes(key, table, threshold).table(), "a bigint, b bigint"))
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            roots = components(links, tables)
+        placed = held.join(apart, "bucket").select("node", F.col("bucket").alias("hub"), "band", "root", blocks.alias("blocks"))
+        placed = placed.withColumn("block", F.pmod(F.xxhash64(F.lit(5), "node"), F.col("blocks")).cast("int"))
+        dealt = _held(sets.join(reps.select("node", "regs"), "node"), placed, ("band", "root", "regs")).groupBy("hub", "lo", "hi")
+        links = links.unionByName(cut(dealt.applyInArrow(lambda key, table: _Classes(key, table, threshold).table(), "a bigint, b bigint")))
+    roots = components(links, tables)
     names = reps.select("sig", "rep", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = cut(names.groupBy("root").agg(F.min("rep").alias("component_id")))
     known = cut(names.join(least, "root").select("sig", "component_id"))
     out = signed.select("id", "n", "sig").join(known, "sig", "left")
     component = F.when(F.col("sig").isNull(), F.col("id")).otherwise(F.col("component_id"))
     out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
-    tables.drop(groups, small, wanted, pairs)
+    tables.drop(groups, met, pairs, held)
     return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
