@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import types as T
@@ -79,6 +80,16 @@ class ServerConfig:
     match_threshold: float = 1.5
     stability_scale: float = 0.5
 
+    @property
+    def width(self) -> int:
+        """Cells along x, 1 at least."""
+        return max(1, math.ceil((self.room_x_max - self.room_x_min) / self.field_resolution))
+
+    @property
+    def height(self) -> int:
+        """Cells along y, 1 at least."""
+        return max(1, math.ceil((self.room_y_max - self.room_y_min) / self.field_resolution))
+
     def __post_init__(self):
         if not 0 <= self.exit_threshold <= self.enter_threshold <= 1:
             raise ValueError("thresholds must satisfy 0 <= exit <= enter <= 1")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -131,6 +132,42 @@ def fuse(links: DataFrame, cells: DataFrame, evidence: DataFrame, c: ServerConfi
     return every.join(cell, [*by, "i", "j"], "left").select(*by, "i", "j", F.coalesce("value", zero).alias("value"), F.coalesce("confidence", zero).alias("confidence"), F.coalesce("n", F.lit(0)).cast("int").alias("n_active"))
 
 
+def fuse_tick(kernel: dict[str, np.ndarray], found: list[dict], c: ServerConfig = ServerConfig()) -> tuple[np.ndarray, np.ndarray, list[tuple[str, float]]]:
+    """One tick of ``fuse``: values and confidences of all cells, and the strength of every link with evidence.
+
+    ``kernel``: an array over the cells per link; ``found``: link_id, activity, health_score, confidence.
+    """
+    known = sorted((e for e in found if e["link_id"] in kernel), key=lambda e: e["link_id"])
+    strength = [0.0 if e["health_score"] < c.min_health else max(e["activity"] - c.min_activity, 0.0) * e["health_score"] * e["confidence"] for e in known]
+    live = [(e, s) for e, s in zip(known, strength) if s > 0]
+    zero = np.zeros_like(next(iter(kernel.values())))
+    weights = [(e["link_id"], s) for e, s in zip(known, strength)]
+    if not live:
+        return zero, zero, weights
+    k = np.stack([kernel[e["link_id"]] for e, _ in live])
+    s, n = np.array([s for _, s in live]), len(live)
+    h, conf = (np.array([e[x] for e, _ in live])[:, None] for x in ("health_score", "confidence"))
+    w = (s / max(s.sum(), 1e-9))[:, None]
+    linear, square = (w * k).sum(0), (w * k * k).sum(0)
+    shape = (1 - c.log_fusion_weight) * linear + c.log_fusion_weight * np.exp((w * np.log(np.clip(k, 1e-9, 1))).sum(0))
+    conflict = zero
+    if n >= 2:
+        shape = np.clip(shape, 0, 1) ** (1 + c.sharpening * (n - 1))
+        conflict = np.clip(np.sqrt(np.maximum(square - linear * linear, 0)) / np.maximum(linear, 1e-9), 0, 1)
+    raw = shape * s.mean()
+    value = np.clip(raw / max(1.0, raw.max()), 0, 1)
+    kh, khc = (k * h).sum(0), (k * h * conf).sum(0)
+    coverage = np.clip(kh / np.maximum(sum(kernel.values()), 1e-9), 0, 1)
+    return value, np.clip(coverage * khc / np.maximum(kh, 1e-9) * (1 - 0.5 * conflict), 0, 1), weights
+
+
+def hold_tick(state: tuple[np.ndarray, np.ndarray, np.ndarray], value: np.ndarray, c: ServerConfig = ServerConfig()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``hold_step`` of all cells at once."""
+    f = c.decay * state[0] + (1 - c.decay) * value
+    count = np.where(f >= c.enter_threshold, state[1] + 1, 0)
+    return f, count, (count >= c.persistence) | (state[2] & (f >= c.exit_threshold))
+
+
 def hold_step(state: tuple[float, int, bool], value: float, c: ServerConfig) -> tuple[float, int, bool]:
     """One tick of a cell: decayed value, ticks above enter, active."""
     f = c.decay * state[0] + (1 - c.decay) * value
@@ -152,6 +189,3 @@ def persist(instant: DataFrame, c: ServerConfig = ServerConfig(), keys: tuple[st
         return s, (s[0], confidence, True) if s[2] else (0.0, 0.0, False)
 
     return fold_columns(instant, list(keys), ["ts"], ["value", "confidence"], step, "value double, confidence double, active boolean")
-
-
-persist_streamed = persist

@@ -43,27 +43,45 @@ def _point(c: str) -> Column:
 
 def link_documents(links: DataFrame, sensed: DataFrame, by: tuple[str, ...] = TICK) -> DataFrame:
     """(by, links): map of link to geometry, health, measurement and drift."""
+    rows = with_geometry(sensed, links).select(*by, "link_id", link_document().alias("doc"))
+    return rows.groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("link_id", "doc")))).alias("links"))
+
+
+def with_geometry(sensed: DataFrame, links: DataFrame) -> DataFrame:
+    """Sensed rows of known links, with their geometry; links are the dimension table of a room."""
     geometry = F.struct(_point("tx").alias("tx_xyz"), _point("rx").alias("rx_xyz"), "frequency_hz", (F.lit(SPEED_OF_LIGHT) / F.col("frequency_hz")).alias("wavelength_m"))
-    rows = sensed.join(F.broadcast(links.select("link_id", geometry.alias("geometry"))), "link_id")
+    return sensed.join(F.broadcast(links.select("link_id", geometry.alias("geometry"))), "link_id")
+
+
+def link_document() -> Column:
+    """The JSON document of a sensed row with its geometry."""
     health = F.struct("link_id", "snr_db", "amplitude_std", "phase_std", "outlier_ratio", "health_score", "status")
     measurement = F.struct("value", F.col("quality.confidence").alias("confidence"), F.col("quality.snr").alias("snr_db"), F.col("measure_meta").alias("meta"))
-    doc = F.struct("geometry", health.alias("health"), measurement.alias("measurement"), "drift")
-    return rows.groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("link_id", F.to_json(doc).alias("doc"))))).alias("links"))
+    return F.to_json(F.struct("geometry", health.alias("health"), measurement.alias("measurement"), "drift"))
+
+
+def _field(width: Column, height: Column, low: Column, high: Column, data: Column, confidence: Column, active: Column, c: ServerConfig) -> Column:
+    return F.struct(
+        F.lit("floor").alias("type"), width.alias("width"), height.alias("height"), F.lit(c.field_resolution).alias("resolution_m"), F.struct(F.lit(c.room_x_min).alias("x"), F.lit(c.room_y_min).alias("y")).alias("origin"),
+        F.lit("geometry_fusion").alias("projection"), low.alias("min_value"), high.alias("max_value"), data.alias("data"), confidence.alias("confidence_data"),
+        F.coalesce(active, F.expr("cast(array() as array<string>)")).alias("active_links"),
+    )
 
 
 def field_documents(field: DataFrame, active: DataFrame, c: ServerConfig = ServerConfig(), by: tuple[str, ...] = TICK) -> DataFrame:
     """(by, field): the grid flattened row by row, with limits, confidence and active links."""
     cells = F.array_sort(F.collect_list(F.struct("i", "j", "value", "confidence")))
-    g = field.groupBy(*by).agg(cells.alias("c"), F.min("value").alias("min_value"), F.max("value").alias("max_value"), (F.max("i") + 1).alias("width"), (F.max("j") + 1).alias("height"))
+    g = field.groupBy(*by).agg(cells.alias("c"), F.min("value").alias("low"), F.max("value").alias("high"), (F.max("i") + 1).alias("width"), (F.max("j") + 1).alias("height"))
     g = g.join(active.select(*by, "active_links"), list(by), "left")
-    doc = F.struct(
-        F.lit("floor").alias("type"), "width", "height", F.lit(c.field_resolution).alias("resolution_m"), F.struct(F.lit(c.room_x_min).alias("x"), F.lit(c.room_y_min).alias("y")).alias("origin"),
-        F.lit("geometry_fusion").alias("projection"), "min_value", "max_value", F.transform("c", lambda x: x["value"]).alias("data"), F.transform("c", lambda x: x["confidence"]).alias("confidence_data"),
-        F.coalesce("active_links", F.expr("cast(array() as array<string>)")).alias("active_links"),
-    )
+    doc = _field(F.col("width"), F.col("height"), F.col("low"), F.col("high"), F.transform("c", lambda x: x["value"]), F.transform("c", lambda x: x["confidence"]), F.col("active_links"), c)
     return g.select(*by, doc.alias("field"))
 
 
+def packed_field(c: ServerConfig = ServerConfig()) -> Column:
+    """The document of a field that is held as arrays ``data`` and ``confidence``."""
+    return _field(F.lit(c.width), F.lit(c.height), F.array_min("data"), F.array_max("data"), F.col("data"), F.col("confidence"), F.col("active_links"), c)
+
+
 def empty_field(c: ServerConfig = ServerConfig()) -> Column:
     """The field of a tick before the first fusion."""
     none = F.expr("cast(array() as array<double>)")
@@ -79,7 +97,18 @@ def state_messages(ticks: DataFrame, metrics: DataFrame, health: DataFrame, fiel
     rows = ticks
     for part in (metrics, health, fields, clusters, entities, links):
         rows = rows.join(part, list(by), "left")
-    documents = F.concat(F.lit("{"), F.array_join(F.transform(F.map_entries("links"), lambda e: F.concat(F.lit('"'), e["key"], F.lit('":'), e["value"])), ","), F.lit("}"))
+    return with_documents(rows, sensors).select(*by, "message")
+
+
+def _quoted(text: Column) -> Column:
+    """A text as a JSON string, escaped."""
+    inside = F.to_json(F.array(text))
+    return F.substring(inside, F.lit(2), F.length(inside) - 2)
+
+
+def with_documents(rows: DataFrame, sensors: int) -> DataFrame:
+    """Rows with all parts of a tick, with its document as ``message``."""
+    documents = F.concat(F.lit("{"), F.array_join(F.transform(F.map_entries("links"), lambda e: F.concat(_quoted(e["key"]), F.lit(":"), e["value"])), ","), F.lit("}"))
     head = F.to_json(
         F.struct(
             F.col("ts").alias("timestamp"), "entities", F.struct("total_activity", "novelty", "env_drift").alias("global"),
@@ -89,4 +118,4 @@ def state_messages(ticks: DataFrame, metrics: DataFrame, health: DataFrame, fiel
     )
     # the documents of links are JSON already: they close the last object by hand
     body = rows.withColumn("head", head)
-    return body.select(*by, F.concat(F.substring("head", F.lit(1), F.length("head") - 2), F.lit(',"links":'), F.coalesce(documents, F.lit("{}")), F.lit("}}")).alias("message"))
+    return body.withColumn("message", F.concat(F.substring("head", F.lit(1), F.length("head") - 2), F.lit(',"links":'), F.coalesce(documents, F.lit("{}")), F.lit("}}"))).drop("head")

@@ -10,7 +10,9 @@ import math
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from fieldlark.functions.predicates import all_finite
 from fieldlark.operators.fold import fold_sorted
 
 METHOD = "unwrap_offset_zscore_outlier_clip"
@@ -116,12 +118,22 @@ def sense(state: tuple | None, row: dict, clip_z: float = 3.5, drift_alpha: floa
 
 def sense_links(frames: DataFrame, keys: tuple[str, ...] = ("link_id",), **settings) -> DataFrame:
     """(keys, ts) with health, drift, measurement and conditioned arrays of every frame, links in
-    parallel; ``keys`` name a link, its room first where there are many."""
-    return fold_sorted(frames.select(*keys, "ts", "amplitude", "phase"), list(keys), ["ts"], lambda s, r: sense(s, r, **settings), SENSED)
+    parallel; ``keys`` name a link, its room first where there are many.
+
+    Frames that cannot be measured are left out: arrays that are null, empty, of different
+    lengths or not finite, and frames of another width than the first of their link.
+    """
+    size = F.size("amplitude")
+    whole = (size > 0) & (size == F.size("phase")) & all_finite(F.col("amplitude")) & all_finite(F.col("phase")) & F.col("ts").isNotNull()
+
+    def step(state, row):
+        if state is not None and len(state[0]) != len(row["amplitude"]):
+            return state, None
+        return sense(state, row, **settings)
+
+    return fold_sorted(frames.select(*keys, "ts", "amplitude", "phase").where(whole), list(keys), ["ts"], step, SENSED)
 
 
 def evidence_from(sensed: DataFrame, by: tuple[str, ...] = ("ts",)) -> DataFrame:
     """(by, link_id, activity, health_score, confidence): activity is tanh(20 * value)."""
-    from pyspark.sql import functions as F
-
     return sensed.select(*by, "link_id", F.tanh(20 * F.col("value")).alias("activity"), "health_score", F.col("quality.confidence").alias("confidence"))

@@ -465,8 +465,8 @@ def _blend(a: str, b: str) -> str:
     return f"list_transform(list_zip({a}, {b}), lambda z: (1 - 0.03::DOUBLE) * z[1] + 0.03::DOUBLE * z[2])"
 
 
-@query(
-    f"""WITH RECURSIVE {FRAMES}, {_CONDITIONED},
+#: Drift (rw) and measurement (me) of every conditioned frame.
+SENSED = f"""{_CONDITIONED},
 fr AS MATERIALIZED (SELECT link_id, ts, list(ca ORDER BY k) AS ca, list(cp ORDER BY k) AS cp, any_value(off) AS off, avg(amp) AS raw, row_number() OVER (PARTITION BY link_id ORDER BY ts) AS rn FROM x GROUP BY link_id, ts),
 bs AS (SELECT link_id, rn, ca AS ba, cp AS bp, off AS bo, raw AS bm, 0::DOUBLE AS da, 0::DOUBLE AS dp, 0::DOUBLE AS d_off, 0::DOUBLE AS dm FROM fr WHERE rn = 1
 UNION ALL SELECT f.link_id, f.rn, {_blend('ba', 'ca')}, {_blend('bp', 'cp')}, (1 - 0.03::DOUBLE) * bo + 0.03::DOUBLE * off, (1 - 0.03::DOUBLE) * bm + 0.03::DOUBLE * raw, {_mean_gap('ca', 'ba')}, {_mean_gap('cp', 'bp')}, abs(off - bo), abs(raw - bm)
@@ -477,7 +477,11 @@ rw AS MATERIALIZED (SELECT mv.*, 0.45 * (0.6 * da + 0.4 * dp) + 0.55 * (0.7 * d_
 0.35 * velocity + 0.30 * change + 0.10 * (0.45 * (0.6 * da + 0.4 * dp) + 0.55 * (0.7 * d_off + 0.3 * dm)) + 0.25 * (0.7 * d_off + 0.3 * dm) AS raw FROM mv JOIN bs ON mv.link_id = bs.link_id AND mv.rn = bs.rn),
 me AS (SELECT link_id, rn, 0::DOUBLE AS value, raw AS base, raw AS prev, 0::DOUBLE AS floor FROM rw WHERE rn = 1
 UNION ALL SELECT r.link_id, r.rn, 0.65 * greatest(0, r.raw - base) + 0.35 * greatest(0, abs(r.raw - prev) - floor), 0.95::DOUBLE * base + 0.05::DOUBLE * r.raw, r.raw, 0.95::DOUBLE * floor + 0.05::DOUBLE * abs(r.raw - prev)
-FROM me JOIN rw r ON r.link_id = me.link_id AND r.rn = me.rn + 1)
+FROM me JOIN rw r ON r.link_id = me.link_id AND r.rn = me.rn + 1)"""
+
+
+@query(
+    f"""WITH RECURSIVE {FRAMES}, {SENSED}
 SELECT rw.link_id, rw.ts, {r('drift_norm')} AS drift_norm, {r('drift_common')} AS drift_common, {r('value')} AS value, {r('least(greatest(score * (1 - 0.5 * ro), 0), 1)')} AS confidence, {r('least(greatest(1 - velocity, 0), 1)')} AS stability
 FROM rw JOIN me ON rw.link_id = me.link_id AND rw.rn = me.rn JOIN h ON rw.link_id = h.link_id AND rw.ts = h.ts"""
 )

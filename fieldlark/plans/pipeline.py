@@ -67,7 +67,7 @@ def rooms_messages(frames: DataFrame, c: ServerConfig = ServerConfig(), walls: D
         clusters,
         entities,
         message.link_documents(links, sensed, by),
-        sensors=3,
+        sensors=links.count(),
         by=by,
     )
 

@@ -9,7 +9,7 @@ from fieldlark.config import ServerConfig
 from fieldlark.functions import predicates as V
 from fieldlark.operators import cluster, fusion, grid, message, synthetic, tracking, world
 from fieldlark.operators.fold import fold_columns
-from fieldlark.plans.frame_queries import FRAMES, r, rounded
+from fieldlark.plans.frame_queries import FRAMES, SENSED, r, rounded
 from fieldlark.sources import tables
 
 QUERIES: dict = {}
@@ -356,9 +356,14 @@ def fuse_with_persistence(spark, sf):
 
 @query(f"WITH RECURSIVE {_FUSED}, {_HOLD} SELECT ts, i, j, {r('CASE WHEN act THEN f ELSE 0 END')} AS value, act AS active FROM st WHERE rn > 0")
 def fuse_with_persistence_streamed(spark, sf):
-    """The same fold for long replays: one state per cell, rows streamed in order."""
-    out = fusion.persist_streamed(fusion.fuse(tables.default_links(spark), tables.grid(spark), evidence(spark, sf)))
-    return rounded(out.select("ts", "i", "j", "value", "active"), "value")
+    """The same evidence as a stream into the keyed state of the room, in four arrivals."""
+    from fieldlark.streaming import room
+
+    e = evidence(spark, sf).withColumn("room", F.lit("room"))
+    ticks = room.replayed(e, lambda arriving: room.room_stream(arriving, tables.default_links(spark)))
+    cells = F.posexplode(F.arrays_zip(F.col("data").alias("value"), F.col("active").alias("active")))
+    out = ticks.select("ts", cells.alias("cell", "v")).select("ts", F.floor(F.col("cell") / 40).cast("int").alias("i"), (F.col("cell") % 40).alias("j"), "v.value", "v.active")
+    return rounded(out, "value")
 
 
 @query(f"WITH {_FUSED}, d AS (SELECT ts, value, abs(value - coalesce(lag(value) OVER (PARTITION BY i, j ORDER BY ts), 0)) AS d FROM fl) SELECT ts, {r('least(greatest(max(value), 0), 1)')} AS total_activity, {r('least(avg(d), 1)')} AS novelty, (SELECT {r('least(greatest(tanh(avg(activity)), 0), 1)')} FROM ev WHERE ev.ts = d.ts) AS env_drift FROM d GROUP BY ts")
@@ -526,3 +531,62 @@ def state_messages_are_sound(spark, sf):
         F.size("intermediate.links").alias("sensors"), (status == F.col("system.csi_health")).alias("health_agrees"), ranges.alias("metrics_in_range"),
         ((F.size("entities") == F.col("intermediate.cluster_count")) & (F.size("intermediate.clusters") == F.col("intermediate.cluster_count"))).alias("an_entity_per_cluster"),
     )
+
+
+# the whole pipeline over given frames, as a batch and as a stream
+
+_ROOM_FRAMES = """f AS MATERIALIZED (SELECT 'link_' || CAST(vec_id % 3 AS VARCHAR) AS link_id, (vec_id // 3 + 1) * 0.05::DOUBLE AS ts, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS a FROM embeddings),
+l AS MATERIALIZED (SELECT link_id, ts, CAST(k AS INTEGER) AS k, a[k + 1] + 1 AS amp, a[k + 1] * 4 AS phase FROM (SELECT link_id, ts, a, unnest(range(len(a))) AS k FROM f))"""
+_ROOM_EVID = "ev AS MATERIALIZED (SELECT rw.ts, rw.link_id, tanh(20 * value) AS activity, score AS health_score, least(greatest(score * (1 - 0.5 * ro), 0), 1) AS confidence, drift_common, value FROM rw JOIN me ON rw.link_id = me.link_id AND rw.rn = me.rn JOIN h ON rw.link_id = h.link_id AND rw.ts = h.ts)"
+_ROOM_TICKS = f"{_ROOM_FRAMES}, {SENSED}, " + _PER_TICK.replace(_EVID, _ROOM_EVID).replace("f AS value", "f * confidence AS value").replace("f > 0.05", "f * confidence > 0.05")
+_TICK_SQL = f"""WITH RECURSIVE {_ROOM_TICKS}, sw AS (SELECT ts, i, j, CASE WHEN act THEN f ELSE 0 END AS value, CASE WHEN act THEN confidence ELSE 0 END AS confidence FROM st WHERE rn > 0),
+nv AS (SELECT *, abs(value - coalesce(lag(value) OVER (PARTITION BY i, j ORDER BY ts), 0)) AS d FROM sw),
+fd AS (SELECT ts, max(value) AS top, avg(d) AS novelty, sum(value) AS total, sum(confidence) AS sure FROM nv GROUP BY ts),
+el AS (SELECT ts, avg(health_score) AS health, tanh(avg(drift_common)) AS env, sum(value) AS measured, count(*) AS n FROM ev GROUP BY ts),
+cl AS (SELECT ts, count(*) AS n, sum(total_intensity) AS intensity, max(size) AS largest FROM pg GROUP BY ts)
+SELECT round(fd.ts, 6) AS ts, 3 AS sensors, CAST(el.n AS INTEGER) AS links, {r('least(top, 1)')} AS total_activity, {r('least(novelty, 1)')} AS novelty, {r('least(env, 1)')} AS env_drift,
+CASE WHEN health >= 0.75 THEN 'NOMINAL' WHEN health >= 0.45 THEN 'DEGRADED' ELSE 'DISCONNECTED' END AS csi_health, round(total, 5) + 0.0 AS field_sum, round(sure, 3) + 0.0 AS confidence_sum, {r('top')} AS field_max, {r('measured')} AS measured,
+CAST(coalesce(cl.n, 0) AS INTEGER) AS cluster_count, CAST(coalesce(cl.n, 0) AS INTEGER) AS entities, round(coalesce(intensity, 0), 4) + 0.0 AS intensity, coalesce(largest, 0) AS largest
+FROM fd JOIN el ON fd.ts = el.ts LEFT JOIN cl ON fd.ts = cl.ts"""
+_ROOM_DOC = "struct<timestamp:double,entities:array<struct<id:bigint>>,global:struct<total_activity:double,novelty:double,env_drift:double>,system:struct<sensor_count:int,csi_health:string>,field:struct<data:array<double>,confidence_data:array<double>,max_value:double>,intermediate:struct<cluster_count:int,clusters:array<struct<size:bigint,total_intensity:double>>,links:map<string,struct<measurement:struct<value:double>>>>>"
+
+
+def _read_documents(messages: DataFrame) -> DataFrame:
+    """What the state messages of a room say, field by field."""
+    m = messages.select(F.from_json("message", _ROOM_DOC).alias("d")).select("d.*")
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    of = lambda name: F.transform("intermediate.clusters", lambda c: c[name])
+    return m.select(
+        F.round("timestamp", 6).alias("ts"), F.col("system.sensor_count").alias("sensors"), F.size("intermediate.links").alias("links"), *[F.round(f"global.{n}", 6).alias(n) for n in ("total_activity", "novelty", "env_drift")],
+        F.col("system.csi_health").alias("csi_health"), F.round(total("field.data"), 5).alias("field_sum"), F.round(total("field.confidence_data"), 3).alias("confidence_sum"), F.round("field.max_value", 6).alias("field_max"),
+        F.round(total(F.transform(F.map_values("intermediate.links"), lambda x: x["measurement"]["value"])), 6).alias("measured"),
+        F.col("intermediate.cluster_count").alias("cluster_count"), F.size("entities").alias("entities"), F.round(total(of("total_intensity")), 4).alias("intensity"), F.coalesce(F.array_max(of("size")), F.lit(0)).alias("largest"),
+    )
+
+
+@query(_TICK_SQL)
+def room_ticks(spark, sf):
+    """State messages of the frames in embeddings, by the batch plan."""
+    from fieldlark.plans.pipeline import rooms_messages
+
+    return _read_documents(rooms_messages(tables.room_frames(spark, sf)))
+
+
+@query(_TICK_SQL)
+def room_ticks_streamed(spark, sf):
+    """The same messages by the stream: keyed state of links and rooms, ticks closed by timers."""
+    from fieldlark.streaming import room
+
+    links = tables.default_links(spark)
+    return _read_documents(room.replayed(tables.room_frames(spark, sf), lambda arriving: room.message_stream(arriving, links), arrivals=2))
+
+
+@query(
+    f"WITH RECURSIVE {_ROOM_FRAMES}, {SENSED}, {_ROOM_EVID} SELECT link_id, round(ts, 6) AS ts, {r('activity')} AS activity, {r('health_score')} AS health_score, {r('confidence')} AS confidence, {r('drift_common')} AS drift_common FROM ev"
+)
+def link_evidence_streamed(spark, sf):
+    """Evidence of every frame in embeddings, from the keyed state of its link."""
+    from fieldlark.streaming import room
+
+    out = room.replayed(tables.room_frames(spark, sf), room.link_stream, arrivals=3)
+    return rounded(out.select("link_id", "ts", "activity", "health_score", "confidence", "drift_common"), "ts", "activity", "health_score", "confidence", "drift_common")

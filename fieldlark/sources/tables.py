@@ -20,6 +20,20 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def room_frames(spark: SparkSession, sf_dir: str, rooms: int = 1, dt: float = C.ServerConfig().dt) -> DataFrame:
+    """(room, link_id, ts, amplitude, phase) from embeddings: vec_id counts rooms, then the three links, then ticks.
+
+    Amplitudes are around 1, as those of a link without disturbance are.
+    """
+    n = F.col("vec_id")
+    tick = F.floor(n / (3 * rooms)) + 1
+    x = F.col("embedding").cast("array<double>")
+    return read(spark, sf_dir, "embeddings").select(
+        F.concat(F.lit("room_"), (n % rooms).cast("string")).alias("room"), F.concat(F.lit("link_"), (F.floor(n / rooms) % 3).cast("string")).alias("link_id"),
+        (tick * dt).alias("ts"), F.transform(x, lambda v: v + 1.0).alias("amplitude"), F.transform(x, lambda v: v * 4.0).alias("phase"),
+    )
+
+
 def long(frames: DataFrame) -> DataFrame:
     """(link_id, ts, k, amp, phase): a row per subcarrier."""
     both = F.arrays_zip("amplitude", "phase")
@@ -76,10 +90,7 @@ def default_objects(spark: SparkSession) -> DataFrame:
 
 def grid(spark: SparkSession, c: C.ServerConfig = C.ServerConfig()) -> DataFrame:
     """(i, j, x, y) of every cell of the floor, x and y at cell centres."""
-    import math
-
-    nx = max(1, math.ceil((c.room_x_max - c.room_x_min) / c.field_resolution))
-    ny = max(1, math.ceil((c.room_y_max - c.room_y_min) / c.field_resolution))
+    nx, ny = c.width, c.height
     n = spark.range(nx * ny)
     i, j = F.floor(F.col("id") / ny).cast("int"), (F.col("id") % ny).cast("int")
     return n.select(i.alias("i"), j.alias("j"), (c.room_x_min + (i + 0.5) * c.field_resolution).alias("x"), (c.room_y_min + (j + 0.5) * c.field_resolution).alias("y"))
