@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldlark.operators.preprocess import difference, over_time, windowed
+from fieldlark.operators.preprocess import difference, over_time, own_rows, windowed
 
 
 def energy(rows: DataFrame, x: str, axis: int = 0) -> DataFrame:
@@ -92,7 +92,10 @@ def default_window(n_frames: int) -> int:
 
 
 def rolling_activity(rows: DataFrame, x: str, frames_held: int = 10) -> DataFrame:
-    """Mean absolute change inside the last ``frames_held`` frames, per link and time; 0 for the first."""
-    steps = rows.withColumn("d", F.abs(F.col(x) - F.lag(x).over(over_time()))).groupBy("link_id", "ts").agg(F.avg("d").alias("d"))
-    w = Window.partitionBy("link_id").orderBy("ts").rowsBetween(-(frames_held - 2), 0)
-    return steps.select("link_id", "ts", F.coalesce(F.avg("d").over(w), F.lit(0.0)).alias("change"))
+    """Mean absolute change inside the last ``frames_held`` frames, per link and time; 0 for the first.
+    Blocks need a halo of ``frames_held`` frames."""
+    block = [c for c in ("_block", "_halo") if c in rows.columns]
+    steps = rows.withColumn("d", F.abs(F.col(x) - F.lag(x).over(over_time(rows)))).groupBy("link_id", "ts", *block).agg(F.avg("d").alias("d"))
+    w = Window.partitionBy("link_id", *block[:1]).orderBy("ts").rowsBetween(-(frames_held - 2), 0)
+    # the first row of a block's halo has no change of its own; it is before every window of the block
+    return own_rows(steps.select("link_id", "ts", *block, F.coalesce(F.avg("d").over(w), F.lit(0.0)).alias("change")))

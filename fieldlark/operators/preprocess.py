@@ -1,7 +1,8 @@
 """Phase and amplitude conditioning of frame sequences, on the long form (link_id, ts, k, x).
 
 The time axis is a window over (link_id, k) in order of ts, so links and subcarriers run in
-parallel; operators along subcarriers stay inside a frame.
+parallel; operators along subcarriers stay inside a frame.  Rows of frames that were dealt into
+blocks (``scan.in_blocks``) are taken block by block, so a long link runs in many tasks.
 """
 
 from __future__ import annotations
@@ -10,10 +11,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldlark.functions.arrays import wrapped_jump
+from fieldlark.operators.scan import in_blocks
 
 
-def over_time():
-    return Window.partitionBy("link_id", "k").orderBy("ts")
+def over_time(rows: DataFrame | None = None):
+    """The time axis; with the rows, within their blocks if they have some."""
+    block = ["_block"] if rows is not None and "_block" in rows.columns else []
+    return Window.partitionBy("link_id", *block, "k").orderBy("ts")
+
+
+def own_rows(rows: DataFrame) -> DataFrame:
+    """Without the rows that only lead up to a block, and its columns."""
+    return rows.where(~F.col("_halo")).drop("_pos", "_block", "_halo") if "_halo" in rows.columns else rows
 
 
 def over_subcarriers():
@@ -33,14 +42,28 @@ def unwrap(rows: DataFrame, x: str, w=None) -> DataFrame:
     return jumps.withColumn(x, F.col(x) + run).drop("_jump")
 
 
+def unwrap_in_time(rows: DataFrame, x: str) -> DataFrame:
+    """``unwrap`` along time; in blocks with a halo of one frame the jumps of a block are summed, and
+    the sums of the blocks before carried into it."""
+    if "_block" not in rows.columns:
+        return unwrap(rows, x, over_time())
+    jumps = rows.withColumn("_jump", _unwrap(x, over_time(rows))).where(~F.col("_halo"))
+    totals = jumps.groupBy("link_id", "k", "_block").agg(F.sum("_jump").alias("_sum"))
+    ahead = Window.partitionBy("link_id", "k").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carry = totals.select("link_id", "k", "_block", F.coalesce(F.sum("_sum").over(ahead), F.lit(0.0)).alias("_carry"))
+    run = F.sum("_jump").over(over_time(rows).rowsBetween(Window.unboundedPreceding, 0))
+    out = jumps.withColumn("_run", run).join(carry, ["link_id", "k", "_block"])
+    return own_rows(out.withColumn(x, F.col(x) + F.col("_run") + F.col("_carry")).drop("_jump", "_run", "_carry"))
+
+
 def difference(rows: DataFrame, x: str, order: int = 1) -> DataFrame:
-    """Differences in time of first or second order; rows without enough predecessors go."""
-    w = over_time()
+    """Differences in time of first or second order; rows without enough predecessors go.  Blocks need a halo of ``order`` frames."""
+    w = over_time(rows)
     d = F.col(x) - F.lag(x, 1).over(w)
     out = rows.withColumn(x, d)
     if order == 2:
         out = out.withColumn(x, F.col(x) - F.lag(x, 1).over(w))
-    return out.where(F.col(x).isNotNull())
+    return own_rows(out).where(F.col(x).isNotNull())
 
 
 def subtract_baseline(rows: DataFrame, x: str, baseline: DataFrame | None = None) -> DataFrame:
@@ -67,23 +90,32 @@ def check_window(w: int, stride: int) -> None:
 
 
 def windowed(rows: DataFrame, x: str, w: int, stride: int, aggregate, name: str) -> DataFrame:
-    """An aggregate over full windows of w frames, every ``stride`` frames; ``w_idx`` counts windows from 0."""
+    """An aggregate over full windows of w frames, every ``stride`` frames; ``w_idx`` counts windows
+    from 0.  Blocks need a halo of w - 1 frames."""
     check_window(w, stride)
-    frame = over_time().rowsBetween(-(w - 1), 0)
-    out = rows.select("link_id", "k", "ts", F.row_number().over(over_time()).alias("rn"), aggregate(F.col(x)).over(frame).alias(name))
-    out = out.where((F.col("rn") >= w) & ((F.col("rn") - w) % stride == 0))
-    return out.select("link_id", "k", "ts", ((F.col("rn") - w) / stride).cast("int").alias("w_idx"), name)
+    rows = rows if "_pos" in rows.columns else rows.withColumn("_pos", F.row_number().over(over_time()) - 1)
+    frame = over_time(rows).rowsBetween(-(w - 1), 0)
+    halo = ["_halo"] if "_halo" in rows.columns else []
+    out = rows.select("link_id", "k", "ts", "_pos", *halo, aggregate(F.col(x)).over(frame).alias(name))
+    return _full_windows(out, w, stride).select("link_id", "k", "ts", "w_idx", name)
+
+
+def _full_windows(rows: DataFrame, w: int, stride: int) -> DataFrame:
+    """Rows that end a full window, each ``stride`` rows, with the window's number."""
+    own = rows.where(~F.col("_halo")) if "_halo" in rows.columns else rows
+    past = F.col("_pos") - (w - 1)
+    return own.where((past >= 0) & (past % stride == 0)).withColumn("w_idx", (past / stride).cast("int"))
 
 
-def sliding_window(frames: DataFrame, w: int, stride: int) -> DataFrame:
+def sliding_window(frames: DataFrame, w: int, stride: int, block_rows: int | None = None) -> DataFrame:
     """(link_id, w_idx, ts_start, ts_end, frames): the frames of each full window, in order."""
     check_window(w, stride)
-    order = Window.partitionBy("link_id").orderBy("ts")
+    blocks = in_blocks(frames.select("link_id", "ts", "amplitude", "phase"), ["link_id"], ["ts"], w - 1, block_rows)
+    order = Window.partitionBy("link_id", "_block").orderBy("ts")
     held = F.collect_list(F.struct("ts", "amplitude", "phase")).over(order.rowsBetween(-(w - 1), 0))
-    out = frames.select("link_id", F.row_number().over(order).alias("rn"), held.alias("frames"))
-    out = out.where((F.col("rn") >= w) & ((F.col("rn") - w) % stride == 0))
+    out = _full_windows(blocks.select("link_id", "_pos", "_halo", held.alias("frames")), w, stride)
     first, last = F.element_at("frames", 1)["ts"], F.element_at("frames", -1)["ts"]
-    return out.select("link_id", ((F.col("rn") - w) / stride).cast("int").alias("w_idx"), first.alias("ts_start"), last.alias("ts_end"), "frames")
+    return out.select("link_id", "w_idx", first.alias("ts_start"), last.alias("ts_end"), "frames")
 
 
 def ragged(frames: DataFrame) -> DataFrame:

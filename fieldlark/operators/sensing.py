@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from fieldlark.functions.predicates import all_finite
 from fieldlark.operators.fold import fold_sorted
+from fieldlark.operators.scan import scan_linear
 
 METHOD = "unwrap_offset_zscore_outlier_clip"
 TWO_PI = 2 * math.pi
@@ -137,3 +138,21 @@ def sense_links(frames: DataFrame, keys: tuple[str, ...] = ("link_id",), **setti
 def evidence_from(sensed: DataFrame, by: tuple[str, ...] = ("ts",)) -> DataFrame:
     """(by, link_id, activity, health_score, confidence): activity is tanh(20 * value)."""
     return sensed.select(*by, "link_id", F.tanh(20 * F.col("value")).alias("activity"), "health_score", F.col("quality.confidence").alias("confidence"))
+
+
+def drift_scanned(conditioned: DataFrame, keys: tuple[str, ...] = ("link_id",), alpha: float = 0.03, chunks: int | None = None) -> DataFrame:
+    """(keys, ts, drift_norm, drift_common, ...) of conditioned frames, as ``drift`` gives them, over many tasks a link.
+
+    ``conditioned``: keys, ts, amplitude, phase, phase_offset, amplitude_mean_raw.  The baselines are
+    one linear recurrence on all numbers of a frame, which starts at the first frame.
+    """
+    now = F.concat("amplitude", "phase", F.array("phase_offset", "amplitude_mean_raw"))
+    rows = conditioned.select(*keys, "ts", F.size("amplitude").alias("_w"), now.alias("_now"))
+    held = scan_linear(rows, list(keys), ["ts"], F.lit(1 - alpha), F.transform("_now", lambda x: alpha * x), F.col("_now"), "_base", chunks)
+    # the distance is to the baseline before it moves, which is (base - alpha * now) / (1 - alpha)
+    gap = F.zip_with("_base", "_now", lambda b, x: F.abs(x - b) / (1 - alpha))
+    mean = lambda start: F.aggregate(F.slice("_gap", start, F.col("_w")), F.lit(0.0), lambda s, x: s + x) / F.col("_w")
+    out = held.withColumn("_gap", gap).withColumns({"amplitude_delta": mean(F.lit(1)), "phase_delta": mean(F.col("_w") + 1), "common_phase_delta": F.element_at("_gap", -2), "common_amp_delta": F.element_at("_gap", -1)})
+    out = out.withColumn("drift_common", 0.7 * F.col("common_phase_delta") + 0.3 * F.col("common_amp_delta"))
+    norm = 0.45 * (0.6 * F.col("amplitude_delta") + 0.4 * F.col("phase_delta")) + 0.55 * F.col("drift_common")
+    return out.select(*keys, "ts", norm.alias("drift_norm"), "amplitude_delta", "phase_delta", "common_phase_delta", "common_amp_delta", "drift_common")

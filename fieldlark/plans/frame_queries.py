@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldlark.functions import arrays as A
-from fieldlark.operators import cluster, features, latent, preprocess
+from fieldlark.operators import cluster, features, latent, preprocess, scan
 from fieldlark.sources import tables
 
 W, STRIDE = 10, 5
@@ -44,6 +44,11 @@ def _rows(spark, sf):
     return tables.long(tables.frames(spark, sf))
 
 
+def _timed_rows(spark, sf, before: int) -> DataFrame:
+    """Rows of frames in blocks along time."""
+    return tables.long(scan.in_blocks(tables.frames(spark, sf), ["link_id"], ["ts"], before))
+
+
 def _packed(spark, sf, value) -> DataFrame:
     out = tables.frames(spark, sf).select("link_id", "ts", F.posexplode(value).alias("k", "value"))
     return rounded(out, "value")
@@ -68,12 +73,12 @@ def unwrap_phase(spark, sf):
 
 @query(_unwrap_sql(T))
 def unwrap_phase_temporal(spark, sf):
-    return rounded(preprocess.unwrap(_rows(spark, sf), "phase", preprocess.over_time()).select("link_id", "ts", "k", F.col("phase").alias("value")), "value")
+    return rounded(preprocess.unwrap_in_time(_timed_rows(spark, sf, 1), "phase").select("link_id", "ts", "k", F.col("phase").alias("value")), "value")
 
 
 @query(_long_sql(f"phase - lag(phase) {T}", "WHERE value IS NOT NULL"))
 def difference_phase_temporal(spark, sf):
-    return rounded(preprocess.difference(_rows(spark, sf), "phase").select("link_id", "ts", "k", F.col("phase").alias("value")), "value")
+    return rounded(preprocess.difference(_timed_rows(spark, sf, 1), "phase").select("link_id", "ts", "k", F.col("phase").alias("value")), "value")
 
 
 @query(f"WITH {FRAMES} SELECT link_id, ts, k - 1 AS k, {r('value')} AS value FROM (SELECT *, phase - lag(phase) {S} AS value FROM l) WHERE value IS NOT NULL")
@@ -129,12 +134,12 @@ def pack_unpack(spark, sf):
 
 @query(_long_sql(f"amp - lag(amp) {T}", "WHERE value IS NOT NULL"))
 def first_order_difference(spark, sf):
-    return rounded(preprocess.difference(_rows(spark, sf), "amp", 1).select("link_id", "ts", "k", F.col("amp").alias("value")), "value")
+    return rounded(preprocess.difference(_timed_rows(spark, sf, 1), "amp", 1).select("link_id", "ts", "k", F.col("amp").alias("value")), "value")
 
 
 @query(_long_sql(f"(amp - lag(amp) {T}) - (lag(amp) {T} - lag(amp, 2) {T})", "WHERE value IS NOT NULL"))
 def second_order_difference(spark, sf):
-    return rounded(preprocess.difference(_rows(spark, sf), "amp", 2).select("link_id", "ts", "k", F.col("amp").alias("value")), "value")
+    return rounded(preprocess.difference(_timed_rows(spark, sf, 2), "amp", 2).select("link_id", "ts", "k", F.col("amp").alias("value")), "value")
 
 
 def _windowed_sql(expr: str, name: str) -> str:
@@ -144,7 +149,7 @@ SELECT link_id, k, ts, CAST((rn - {W}) / {STRIDE} AS INTEGER) AS w_idx, {r('v')}
 
 
 def _windowed(spark, sf, aggregate, name):
-    return rounded(preprocess.windowed(_rows(spark, sf), "amp", W, STRIDE, aggregate, name), name)
+    return rounded(preprocess.windowed(_timed_rows(spark, sf, W - 1), "amp", W, STRIDE, aggregate, name), name)
 
 
 @query(_windowed_sql("sum(amp * amp) {o}", "energy"))
@@ -260,7 +265,7 @@ def spectral_features(spark, sf):
 SELECT link_id, ts, {r('coalesce(avg(d) OVER (PARTITION BY link_id ORDER BY ts ROWS BETWEEN 8 PRECEDING AND CURRENT ROW), 0)')} AS change FROM s"""
 )
 def rolling_activity(spark, sf):
-    return rounded(features.rolling_activity(_rows(spark, sf), "amp"), "change")
+    return rounded(features.rolling_activity(_timed_rows(spark, sf, 10), "amp"), "change")
 
 
 _H = "OVER (PARTITION BY link_id, k ORDER BY ts ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING)"
@@ -492,3 +497,13 @@ def sense_links(spark, sf):
     out = sensing.sense_links(tables.frames(spark, sf))
     return rounded(out.select("link_id", "ts", F.col("drift")["drift_norm"].alias("drift_norm"), F.col("drift")["drift_common"].alias("drift_common"), "value", F.col("quality.confidence").alias("confidence"), F.col("quality.stability").alias("stability")), "drift_norm", "drift_common", "value", "confidence", "stability")
 
+
+@query(
+    f"""WITH RECURSIVE {FRAMES}, {SENSED} SELECT link_id, ts, {r('drift_norm')} AS drift_norm, {r('drift_common')} AS drift_common FROM rw"""
+)
+def drift_baselines(spark, sf):
+    """Drift of every conditioned frame, its exponential baselines found by a scan over chunks of time."""
+    from fieldlark.operators import sensing
+
+    out = sensing.drift_scanned(sensing.sense_links(tables.frames(spark, sf)))
+    return rounded(out.select("link_id", "ts", "drift_norm", "drift_common"), "drift_norm", "drift_common")

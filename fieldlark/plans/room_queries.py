@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fieldlark.config import ServerConfig
 from fieldlark.functions import predicates as V
 from fieldlark.operators import cluster, fusion, grid, message, synthetic, tracking, world
-from fieldlark.operators.fold import fold_columns
+from fieldlark.operators.scan import scan_linear
 from fieldlark.plans.frame_queries import FRAMES, SENSED, r, rounded
 from fieldlark.sources import tables
 
@@ -440,13 +440,12 @@ UNION ALL SELECT link_id, seq, rn, ema, CASE WHEN ema >= 40 THEN n + 1 ELSE 0 EN
 SELECT link_id, seq, {r('ema')} AS ema, CAST(n AS INTEGER) AS above FROM e"""
 )
 def exponential_average(spark, sf):
-    def step(state, value):
-        ema = 0.9 * (state[0] if state else 0.0) + 0.1 * value
-        n = (state[1] if state else 0) + 1 if ema >= 40 else 0
-        return (ema, n), (ema, n)
-
-    out = fold_columns(tables.series(spark, sf), ["link_id"], ["seq"], ["value"], step, "ema double, above int")
-    return rounded(out, "ema")
+    """The average, and how many rows in a row it has been at 40 or more: two linear recurrences, scanned."""
+    rows = tables.series(spark, sf).select("link_id", "seq", "value")
+    ema = scan_linear(rows, ["link_id"], ["seq"], F.lit(0.9), 0.1 * F.col("value"), F.lit(0.0), "ema")
+    high = (F.col("ema") >= 40).cast("double")
+    out = scan_linear(ema, ["link_id"], ["seq"], high, high, F.lit(0.0), "above")
+    return rounded(out.select("link_id", "seq", "ema", F.col("above").cast("int").alias("above")), "ema")
 
 
 @query(

@@ -35,9 +35,9 @@ def room_frames(spark: SparkSession, sf_dir: str, rooms: int = 1, dt: float = C.
 
 
 def long(frames: DataFrame) -> DataFrame:
-    """(link_id, ts, k, amp, phase): a row per subcarrier."""
-    both = F.arrays_zip("amplitude", "phase")
-    return frames.select("link_id", "ts", F.posexplode(both).alias("k", "v")).select("link_id", "ts", "k", F.col("v.amplitude").alias("amp"), F.col("v.phase").alias("phase"))
+    """(link_id, ts, k, amp, phase): a row per subcarrier, with the block of its frame, if it has one."""
+    both, block = F.arrays_zip("amplitude", "phase"), [c for c in ("_pos", "_block", "_halo") if c in frames.columns]
+    return frames.select("link_id", "ts", *block, F.posexplode(both).alias("k", "v")).select("link_id", "ts", *block, "k", F.col("v.amplitude").alias("amp"), F.col("v.phase").alias("phase"))
 
 
 def pack(rows: DataFrame, *values: str) -> DataFrame:
