@@ -53,7 +53,7 @@ def unwrap_in_time(rows: DataFrame, x: str) -> DataFrame:
     carry = totals.select("link_id", "k", "_block", F.coalesce(F.sum("_sum").over(ahead), F.lit(0.0)).alias("_carry"))
     run = F.sum("_jump").over(over_time(rows).rowsBetween(Window.unboundedPreceding, 0))
     out = jumps.withColumn("_run", run).join(carry, ["link_id", "k", "_block"])
-    return own_rows(out.withColumn(x, F.col(x) + F.col("_run") + F.col("_carry")).drop("_jump", "_run", "_carry"))
+    return own_rows(out.withColumn(x, F.col(x) + F.col("_run") + F.col("_carry")).select(*rows.columns))
 
 
 def difference(rows: DataFrame, x: str, order: int = 1) -> DataFrame:
