@@ -37,14 +37,18 @@ def drop_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Plan: texts are read once for the hashes of each document's lines, a narrow table in the
     shared folder.  They are counted with map-side aggregation, the common ones joined
     back by hash, where AQE can split a hot line, and each document gets its own short
-    list of common hashes by one join on its id.  Keys are compared by 128-bit hash.
+    list of common hashes by one join on the 128-bit hash of its text, so rows that share an id,
+    or have none, do not meet.  Keys are compared by 128-bit hash.
     """
-    base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *([F.col(row_col).alias("row")] if row_col else []))
-    keyed = cut(base.select("id", F.explode(F.array_compact(F.array_distinct(_keys(F.col("text"), max(1, min_chars))))).alias("k")).select("id", "k.h", "k.g"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    prints = F.struct(F.xxhash64(text).alias("h"), F.xxhash64(F.lit(1), text).alias("g"))
+    base = docs.select(F.col(id_col).alias("id"), text.alias("text"), prints.alias("print"), *([F.col(row_col).alias("row")] if row_col else []))
+    keyed = cut(base.select("id", "print", F.explode(F.array_compact(F.array_distinct(_keys(F.col("text"), max(1, min_chars))))).alias("k")).select("id", "print", "k.h", "k.g"))
     nameless = F.coalesce(F.max(F.col("id").isNull().cast("int")), F.lit(0))
     common = cut(keyed.groupBy("h", "g").agg((F.count_distinct("id") + nameless).alias("n")).where(F.col("n") >= min_docs).select("h", "g"))
-    per_doc = keyed.join(common, ["h", "g"], "left_semi").groupBy(F.col("id").alias("bad_id")).agg(F.collect_set(F.struct("h", "g")).alias("bad"))
-    found = base.join(per_doc, F.col("id").eqNullSafe(F.col("bad_id")), "left").drop("bad_id")
+    # what a text loses is its own, whatever its id and however many rows have it
+    per_text = cut(keyed.join(common, ["h", "g"], "left_semi").groupBy(F.col("print").alias("of")).agg(F.collect_set(F.struct("h", "g")).alias("bad")))
+    found = base.join(per_text, F.col("print") == F.col("of"), "left").drop("of", "print")
     lines = F.split("text", "\n")
     flags = F.transform(_keys(F.col("text"), max(1, min_chars)), lambda h: F.coalesce(F.array_contains(F.col("bad"), h), F.lit(False)))
     flagged = found.withColumn("flags", F.when(F.col("bad").isNotNull(), flags))

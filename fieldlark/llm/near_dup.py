@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldlark.llm.common import released
+from fieldlark.llm.common import released, returns
 from fieldlark.llm.components import components
 from fieldlark.llm.words import FOLDED, Words, mix, owner, windows, within
 from fieldlark.operators.lineage import Rounds
@@ -222,9 +222,10 @@ def near_duplicates(
 
     Edge cases: texts without words (null, empty, blank) are no copies of each other and
     have no links; a text of fewer words than ``size`` has one n-gram; rows with equal ids
-    and different texts are judged each by its own text; a null id gets the class of its
-    copies, if any; an empty table gives an empty table; other columns are ignored; an id
-    that is no whole number is refused by the cast to bigint.  n-grams are compared by
+    and different texts are judged each by its own text; a text whose rows
+    have no id is linked like any other, its ``copy_id`` is null, and so is the ``class_id`` of a
+    class without any id; ids of any type that can be ordered are kept as they are; an empty
+    table gives an empty table; other columns are ignored.  n-grams are compared by
     64-bit hash, whole sets by 128 bits.
 
     Plan: signatures are narrow and written to the shared folder; the texts are shuffled
@@ -238,10 +239,11 @@ def near_duplicates(
     tables = Rounds(docs.sparkSession)
     cut = tables.cut
     # rows that share an id are told apart by the print of their text
-    d = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("print"))
-    signed = cut(d.mapInArrow(released(_sign(size, bands, rows)), "id bigint, print bigint, n int, sig binary, bands array<bigint>"))
+    d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("print"))
+    signed = cut(d.mapInArrow(released(_sign(size, bands, rows)), returns("print bigint, n int, sig binary, bands array<bigint>", id=d.schema["id"].dataType)))
     # a number for each different set, written once so that it stays
-    reps = signed.where("sig is not null and id is not null").groupBy("sig").agg(F.min(F.struct("id", "print")).alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    least = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "print"))
+    reps = signed.where("sig is not null").groupBy("sig").agg(least.alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     reps = cut(reps.select("sig", F.col("rep.id").alias("rep"), F.col("rep.print").alias("print"), "n", "bands", F.monotonically_increasing_id().alias("node")))
     spread = reps.select("node", "n", F.posexplode("bands").alias("k", "v")).select(F.xxhash64("k", "v").alias("bucket"), "node", "n")
     # a bucket's leader is the least by hash, so buckets that overlap share it
@@ -267,7 +269,8 @@ def near_duplicates(
     wanted = (wanted.unionByName(placed.select("node")) if placed else wanted).distinct()
     wanted = cut(reps.join(wanted, "node").select(F.col("rep").alias("id"), "print", "node"))
     # candidates grow with the corpus: the same plan at every size
-    sets = d.join(wanted.hint("merge"), ["id", "print"]).dropDuplicates(["id", "print"]).select("node", "text", "print")
+    of = wanted.select(F.col("id").alias("of"), F.col("print").alias("of_print"), "node").hint("merge")
+    sets = d.join(of, F.col("id").eqNullSafe(F.col("of")) & (F.col("print") == F.col("of_print"))).dropDuplicates(["node"]).select("node", "text", "print")
     sets = cut(sets.mapInArrow(released(_sets(size)), "node bigint, grams array<bigint>"))
     links = cut(_verify(pairs, sets).where(F.col("j") >= threshold))
     counted = [links.select(F.col(end).alias("node"), F.lit(1).cast("bigint").alias("n")) for end in ("a", "b")]
@@ -286,11 +289,14 @@ def near_duplicates(
     names = reps.select("node", "rep")
     least = cut(roots.join(names, "node").groupBy("root").agg(F.min("rep").alias("class_id")))
     known = reps.select("sig", "rep", "node").join(roots, "node", "left").join(least, "root", "left").join(ends, "node", "left")
-    known = cut(known.select("sig", F.col("rep").alias("copy_id"), F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
+    class_id = F.when(F.col("root").isNull(), F.col("rep")).otherwise(F.col("class_id"))
+    known = cut(known.select("sig", F.col("rep").alias("copy_id"), class_id.alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
     out = signed.select("id", "sig").join(known, "sig", "left")
-    out = out.select(F.col("id").alias(id_col), F.coalesce("copy_id", "id").alias("copy_id"), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+    own = lambda c: F.when(F.col("sig").isNull(), F.col("id")).otherwise(F.col(c)).alias(c)
+    out = out.select(F.col("id").alias(id_col), own("copy_id"), own("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
     for end in ("a", "b"):
         links = links.join(names.select(F.col("node").alias(end), F.col("rep").alias(f"id_{end}")), end)
-    links = links.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), "j")
+    greatest = F.when(F.col("id_a").isNotNull() & F.col("id_b").isNotNull(), F.greatest("id_a", "id_b"))
+    links = links.select(F.least("id_a", "id_b").alias("a"), greatest.alias("b"), "j")
     tables.drop(groups, small, told, wanted, pairs)
     return out, links

@@ -356,6 +356,11 @@ def _smallest(ids: DataFrame, n: int) -> DataFrame:
     return ids.orderBy(F.xxhash64("id"), "id").limit(n)
 
 
+def _one_each(rows: DataFrame) -> DataFrame:
+    """One row per id, the text of least hash: a sample has no more rows than ids, however often one comes."""
+    return rows.groupBy("id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+
+
 def _once(sketches: list[list[int]]) -> np.ndarray:
     """Rows that are no copy of a row before: none of their min-hashes was met."""
     met: set[tuple[int, int]] = set()
@@ -372,8 +377,8 @@ def learn_words(docs: DataFrame, labels: DataFrame, sample: int = LABELLED_SAMPL
     only.  Copies of a document count once, or all words of a much-copied one would stand out."""
     marked = labels.where("id is not null and (toxic is not null or quality is not null)").groupBy("id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
     marked = _smallest(marked, sample)
-    rows = docs.join(F.broadcast(marked.select("id")), "id").select("id", "text")
-    got = rows.mapInArrow(released(_collect_features), "id bigint, features array<int>, vals array<float>, sketch array<bigint>").toArrow().sort_by("id")
+    rows = _one_each(docs.join(F.broadcast(marked.select("id")), "id"))
+    got = rows.mapInArrow(released(_collect_features), returns("features array<int>, vals array<float>, sketch array<bigint>", id=rows.schema["id"].dataType)).toArrow().sort_by("id")
     known = {r.id: r for r in marked.collect()}
     keep = np.flatnonzero(_once(got.column("sketch").to_pylist()))
     ids = got.column("id").to_pylist()
@@ -395,8 +400,9 @@ def _lists(got: pa.Table, name: str, keep: list[int] | np.ndarray) -> list[np.nd
 def fit(docs: DataFrame, labels: DataFrame, labelled_sample: int = LABELLED_SAMPLE, training_sample: int = TRAINING_SAMPLE) -> Model:
     """``docs`` (id, text), ``labels`` (id, toxic, quality) -> the model.
 
-    What comes to the driver is bounded: word lists and features of the two samples, and
-    counts of vote patterns (at most 3 to the number of labellers).
+    What comes to the driver is bounded: word lists and hashed features of the two samples, one
+    text for each of their ids, and counts of the vote patterns of each task (at most 3 to the
+    number of its labellers).
     """
     sc = docs.sparkSession.sparkContext
     lists = learn_words(docs, labels, labelled_sample)
@@ -410,12 +416,12 @@ def fit(docs: DataFrame, labels: DataFrame, labelled_sample: int = LABELLED_SAMP
             f = Features(b.column(0))
             yield pa.RecordBatch.from_arrays([pa.array(_encode(voters.junk(f)), pa.int64()), pa.array(_encode(voters.toxic(f)), pa.int64())], names=["junk", "toxic"])
 
-    counted = docs.select("text").mapInArrow(released(vote), "junk bigint, toxic bigint").groupBy("junk", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()
+    votes = docs.select("text").mapInArrow(released(vote), "junk bigint, toxic bigint")
+    each = F.explode(F.array(*[F.struct(F.lit(task).alias("task"), F.col(task).alias("code")) for task in sizes]))
+    counted = votes.select(each.alias("v")).groupBy("v.task", "v.code").agg(F.count(F.lit(1)).alias("n")).collect()
     models = {}
     for task in sizes:
-        tally: dict[int, int] = {}
-        for r in counted:
-            tally[r[task]] = tally.get(r[task], 0) + r.n
+        tally = {r.code: r.n for r in counted if r.task == task}
         codes = np.array(sorted(tally), dtype=np.int64)
         models[task] = estimate(_decode(codes, sizes[task]), np.array([tally[c] for c in codes.tolist()], dtype=float))
 
@@ -431,7 +437,8 @@ def fit(docs: DataFrame, labels: DataFrame, labelled_sample: int = LABELLED_SAMP
                 names=["id", "features", "vals", "sketch", "junk", "toxic"],
             )
 
-    got = docs.join(F.broadcast(chosen), "id", "left_semi").select("id", "text").mapInArrow(released(sample), "id bigint, features array<int>, vals array<float>, sketch array<bigint>, junk bigint, toxic bigint").toArrow().sort_by("id")
+    rows = _one_each(docs.join(F.broadcast(chosen.distinct()), "id", "left_semi"))
+    got = rows.mapInArrow(released(sample), returns("features array<int>, vals array<float>, sketch array<bigint>, junk bigint, toxic bigint", id=rows.schema["id"].dataType)).toArrow().sort_by("id")
     scorers = {}
     keep = np.flatnonzero(_once(got.column("sketch").to_pylist()))
     features, values = _lists(got, "features", keep), _lists(got, "vals", keep)
@@ -467,11 +474,11 @@ def classify(
     without one of the two label columns, the word lists learnt from them are empty and
     their labellers abstain; null labels are left out, and of repeated labels the worse
     counts; rows with equal ids are scored each by their text; texts of any length are
-    scored whole; an empty table gives an empty table; other columns are ignored; an id
-    that is no whole number is refused by the cast to bigint.  No shuffle of texts.
+    scored whole; an empty table gives an empty table; other columns are ignored; ids of any
+    type that can be ordered are kept as they are.  No shuffle of texts but those of the samples.
     """
-    d = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     mark = lambda c, name: (F.col(c) if c in labels.columns else F.lit(None).cast("int")).alias(name)
-    marks = labels.select(F.col(label_id).cast("bigint").alias("id"), mark(toxic_col, "toxic"), mark(quality_col, "quality"))
+    marks = labels.select(F.col(label_id).alias("id"), mark(toxic_col, "toxic"), mark(quality_col, "quality"))
     scored = score(docs.select(F.col(row_col).alias("id"), F.col(text_col).alias("text")) if row_col else d, fit(d, marks))
     return scored.select(F.col("id").alias(row_col or id_col), "junk_score", "toxic_score", ((F.col("junk_score") <= 0) & (F.col("toxic_score") <= 0)).alias("keep"))

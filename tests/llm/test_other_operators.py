@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from fieldlark.llm import chat, fm_index, html_extract, quality, token_counts, topk_search
 
@@ -398,6 +399,18 @@ def test_classifier_without_labels_or_rows(spark):
     assert quality.classify(docs.limit(0), none).count() == 0
 
 
+def test_classifier_of_ids_that_repeat_and_of_strings(spark):
+    """One id ten thousand times, each time with another text, is one document of the samples."""
+    rows, marks = made_documents(160)
+    docs = spark.createDataFrame([(f"d{i}", t) for i, t in rows], "doc_id string, text string")
+    labels = spark.createDataFrame([(f"d{i}", t, int(i % 8 not in (1, 2))) for i, t in marks], "doc_id string, toxic int, quality int")
+    many = spark.range(10_000).select(F.lit("d0").alias("doc_id"), F.concat(F.lit("plain words of text number "), F.col("id").cast("string")).alias("text"))
+    got = quality.classify(docs.unionByName(many), labels)
+    assert got.count() == 10_160 and got.where("doc_id = 'd0'").count() == 10_001
+    sampled = quality._one_each(many.withColumnRenamed("doc_id", "id"))
+    assert sampled.count() == 1
+
+
 def test_features_are_per_text():
     one = [quality.Features(pa.array([t])).all()[0][0].tolist() for t in ("a b c", "", "zz zz zz")]
     many = [x.tolist() for x in quality.Features(pa.array(["a b c", "", "zz zz zz"])).all()[0]]

@@ -75,6 +75,14 @@ def test_line_dedup_counts_a_document_once(spark):
     assert got == {(1, 0), (2, 0)}
 
 
+def test_line_dedup_of_one_id_many_times(spark):
+    """10^5 rows of one id, and as many of none, each with lines of its own: no row carries those of others."""
+    many = spark.range(100_000).select(F.when(F.col("id") % 2 == 0, 1).cast("bigint").alias("doc_id"), F.concat(F.lit("shared\nown "), F.col("id").cast("string")).alias("text"))
+    few = spark.range(2, 12).select(F.col("id").alias("doc_id"), F.lit("shared\nx").alias("text"))
+    got = line_dedup.drop_common_lines(many.unionByName(few)).groupBy("n_dropped", F.col("text").startswith("own ")).count().collect()
+    assert {tuple(r) for r in got} == {(1, True, 100_000), (2, False, 10)}
+
+
 def test_line_dedup_rows_without_id_are_one_document(spark):
     named = spark.createDataFrame([("null", "a"), (None, "a"), (None, "a\nb"), ("x", "b")], "doc_id string, text string")
     got = [(r.doc_id, r.text) for r in line_dedup.drop_common_lines(named, min_docs=2).collect()]
@@ -369,17 +377,34 @@ def test_near_duplicates_that_share_an_id(spark):
     """Every row is judged by its own text."""
     one, two, other = (" ".join(f"{c}{k}" for k in range(60)) for c in "xyz")
     rows = [(1, one), (1, two), (1, two), (2, one + " more"), (3, two + " more"), (4, other), (None, two), (None, other + " more"), (0, one.upper())]
-    got = near_dup.near_duplicates(docs_of(spark, rows))[0].collect()
-    want = [(1, 0, 1), (1, 1, 1), (1, 1, 1), (2, 0, 1), (3, 1, 1), (4, 4, 0), (None, 1, 1), (None, None, 0), (0, 0, 1)]
-    assert sorted([(r.doc_id, r.class_id, r.n_links) for r in got], key=str) == sorted(want, key=str)
+    got, links = near_dup.near_duplicates(docs_of(spark, rows))
+    want = [(1, 0, 1), (1, 1, 1), (1, 1, 1), (2, 0, 1), (3, 1, 1), (4, 4, 1), (None, 1, 1), (None, 4, 1), (0, 0, 1)]
+    assert sorted([(r.doc_id, r.class_id, r.n_links) for r in got.collect()], key=str) == sorted(want, key=str)
+    assert {(r.a, r.b) for r in links.collect()} == {(0, 2), (1, 3), (4, None)}
 
 
-def test_ids_that_are_no_numbers_are_refused(spark):
-    named = spark.createDataFrame([("a1", "some text")], "doc_id string, text string")
-    for run in (lambda: near_dup.near_duplicates(named)[0], lambda: substring_dedup.remove_repeats(named)):
-        with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
-            run().collect()
-    assert line_dedup.drop_common_lines(named).first().doc_id == mixing.mix_sources(named.withColumn("source", F.lit("s"))).first().doc_id == "a1"
+@pytest.mark.parametrize("pairwise", [2, 16])
+def test_near_duplicates_without_ids(spark, pairwise):
+    """Rows without an id are linked as all others are; a class of none but such has no id."""
+    rng = random.Random(6)
+    base, lone = [f"b{k}" for k in range(100)], [f"n{k}" for k in range(100)]
+    edited = lambda w, n: " ".join([*w[: (at := rng.randrange(90))], f"x{rng.random()}", *w[at + n :]])
+    rows = [(None, edited(base, 1)) for _ in range(12)] + [(7, edited(base, 1)), (5, edited(base, 1))] + [(None, edited(lone, 1)) for _ in range(6)] + [(None, None), (None, rows_text := edited(lone, 1)), (None, rows_text)]
+    numbered = [(k, t) for k, (_, t) in enumerate(rows)]
+    got = sorted(((r.class_id, r.n_links) for r in near_dup.near_duplicates(docs_of(spark, rows), pairwise=pairwise)[0].collect()), key=str)
+    plain = near_dup.near_duplicates(docs_of(spark, numbered), pairwise=pairwise)[0].collect()
+    want = sorted(((5 if r.class_id == 0 else None, r.n_links) for r in plain), key=str)
+    assert got == want and sum(c == 5 for c, _ in got) == 14
+
+
+def test_ids_of_strings(spark):
+    text = " ".join(f"w{k}" for k in range(40))
+    named = spark.createDataFrame([("b2", text), ("a1", text + " more"), ("c3", "other")], "doc_id string, text string")
+    got = {(r.doc_id, r.class_id, r.n_links) for r in near_dup.near_duplicates(named)[0].collect()}
+    assert got == {("b2", "a1", 1), ("a1", "a1", 1), ("c3", "c3", 0)}
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        substring_dedup.remove_repeats(named).collect()
+    assert line_dedup.drop_common_lines(named).where("doc_id = 'a1'").count() == mixing.mix_sources(named.withColumn("source", F.lit("s"))).where("doc_id = 'a1'").count() == 1
 
 
 def test_band_plan():
