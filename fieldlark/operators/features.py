@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldlark.operators.moments import moments, pairs
 from fieldlark.operators.preprocess import difference, over_time, own_rows, windowed
 
 
@@ -29,36 +30,18 @@ def inter_subcarrier_variance(rows: DataFrame, x: str) -> DataFrame:
     return rows.groupBy("link_id", "ts").agg(F.var_pop(x).alias("variance"))
 
 
-def pair_moments(frames: DataFrame, a: str) -> DataFrame:
-    """(link_id, k1, k2) with the moments of every pair of subcarriers, k1 <= k2.
-
-    Pairs are made inside each frame and summed before the shuffle, so what is shuffled
-    is the matrix, not the frames.
-    """
-    x = F.col(a)
-    index = F.sequence(F.lit(0), F.size(x) - 1)
-    first = frames.select("link_id", a, F.explode(index).alias("k1"))
-    second = first.select("link_id", "k1", F.get(x, F.col("k1")).alias("x"), F.posexplode(F.slice(x, F.col("k1") + 1, F.size(x))).alias("d", "y"))
-    pairs = second.select("link_id", "k1", (F.col("k1") + F.col("d")).alias("k2"), "x", "y")
-    return pairs.groupBy("link_id", "k1", "k2").agg(
-        F.count(F.lit(1)).alias("n"), F.covar_pop("x", "y").alias("cov"), F.covar_samp("x", "y").alias("cov_samp"), F.stddev_pop("x").alias("sx"), F.stddev_pop("y").alias("sy")
-    )
-
-
-def _mirror(half: DataFrame, value: str) -> DataFrame:
-    other = half.where("k1 < k2").select("link_id", F.col("k2").alias("k1"), F.col("k1").alias("k2"), value)
-    return half.select("link_id", "k1", "k2", value).unionByName(other)
-
-
 def correlation_matrix(frames: DataFrame, a: str = "amplitude") -> DataFrame:
     """Pearson correlations; NaN where a subcarrier is constant.  Needs two frames a link."""
-    m = pair_moments(frames, a).where("n >= 2")
-    r = F.when((F.col("sx") == 0) | (F.col("sy") == 0), F.lit(float("nan"))).otherwise(F.try_divide(F.col("cov"), F.col("sx") * F.col("sy")))
-    return _mirror(m.withColumn("r", r), "r")
+    m = pairs(moments(frames, a, ["link_id"]), ["link_id"]).where("n >= 2")
+    flat = (F.col("s1") <= 0) | (F.col("s2") <= 0)
+    r = F.when(flat, F.lit(float("nan"))).when(F.col("k1") == F.col("k2"), F.lit(1.0)).otherwise(F.try_divide("m2", F.sqrt("s1") * F.sqrt("s2")))
+    return m.select("link_id", "k1", "k2", r.alias("r"))
 
 
 def covariance_matrix(frames: DataFrame, a: str = "amplitude") -> DataFrame:
-    return _mirror(pair_moments(frames, a).withColumnRenamed("cov_samp", "c"), "c")
+    """Sample covariances, null for links of one frame."""
+    m = pairs(moments(frames, a, ["link_id"]), ["link_id"])
+    return m.select("link_id", "k1", "k2", F.when(F.col("n") >= 2, F.col("m2") / (F.col("n") - 1)).alias("c"))
 
 
 def mean_correlation(frames: DataFrame, a: str = "amplitude") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from fieldlark.functions.arrays import dot
 from fieldlark.operators.fold import fold_sorted
+from fieldlark.operators.moments import moments
 
 
 class Encoder(ABC):
@@ -72,19 +73,15 @@ class PCAEncoder(Encoder):
         return self.components is not None
 
     def fit(self, df: DataFrame, x: str) -> PCAEncoder:
-        """The covariance is one distributed aggregate of dim * dim numbers; only that reaches the driver."""
+        """The covariance is a matrix per task, merged pairwise; only the merged one reaches the driver."""
         d = self.input_dim
-        index = F.sequence(F.lit(0), F.lit(d - 1))
-        a = F.col(x)
-        one = df.select(a.alias("x"), F.explode(index).alias("i"))
-        pairs = one.select("i", F.get("x", F.col("i")).alias("a"), F.posexplode("x").alias("j", "b"))
-        got = pairs.groupBy("i", "j").agg(F.count(F.lit(1)).alias("n"), F.covar_samp("a", "b").alias("c"), F.avg("a").alias("m")).collect()
-        n = max((r.n for r in got), default=0)
+        found = moments(df, x, []).first()
+        n = found.n if found else 0
         if n < self.latent_dim or n < 2:
             raise ValueError("too few vectors to fit")
-        cov, mean = np.zeros((d, d)), np.zeros(d)
-        for r in got:
-            cov[r.i, r.j], mean[r.i] = r.c, r.m
+        mean, cov = np.array(found.mean), np.array(found.m2).reshape(len(found.mean), -1) / (n - 1)
+        if len(mean) != d:
+            raise ValueError(f"vectors have {len(mean)} numbers, not {d}")
         values, vectors = np.linalg.eigh((cov + cov.T) / 2)
         top = np.argsort(-values, kind="stable")[: self.latent_dim]
         w = vectors[:, top]
