@@ -5,42 +5,86 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from fieldlark.operators.components import components
 from fieldlark.operators.fold import fold_sorted
 from fieldlark.operators.lineage import Rounds
 
 NEIGHBOURS = {4: ((0, 1), (1, 0), (0, -1), (-1, 0)), 8: ((0, 1), (1, 0), (0, -1), (-1, 0), (1, 1), (1, -1), (-1, 1), (-1, -1))}
 
+#: Cells along a side of a tile, which one task labels.
+TILE = 256
 
-def label_regions(field: DataFrame, threshold: float = 0.0, connectivity: int = 4, keys: tuple[str, ...] = ()) -> DataFrame:
+
+def label_tile(i: np.ndarray, j: np.ndarray, connectivity: int) -> np.ndarray:
+    """Per cell the index of the first cell, row by row, of its region among the given cells.
+
+    Regions hook to the least root they touch and halve their paths, so the rounds grow with
+    the logarithm of the cells, not with the length of a region.
+    """
+    order = np.lexsort((j, i))
+    r, c = i[order] - i.min(), j[order] - j.min()
+    grid = np.full((r.max() + 2, c.max() + 3), -1, dtype=np.int64)
+    grid[r, c + 1] = np.arange(len(order))
+    ends = []
+    for a, b in NEIGHBOURS[connectivity]:
+        if a > 0 or (a == 0 and b > 0):
+            other = grid[r + a, c + 1 + b]
+            ends.append((np.flatnonzero(other >= 0), other[other >= 0]))
+    u, v = (np.concatenate(e) for e in zip(*ends))
+    root = np.arange(len(order))
+    while True:
+        x, y = root[u], root[v]
+        apart = x != y
+        if not apart.any():
+            break
+        u, v, x, y = u[apart], v[apart], x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(root, up := root[root]):
+            root = up
+    out = np.empty(len(order), dtype=np.int64)
+    out[order] = order[root]
+    return out
+
+
+def label_regions(field: DataFrame, threshold: float = 0.0, connectivity: int = 4, keys: tuple[str, ...] = (), tile: int = TILE) -> DataFrame:
     """(keys, i, j, value, label): cells above the threshold with the least row-major cell of their region.
 
-    Labels spread to neighbours and along their own pointers each round, so the number of
-    rounds grows with the logarithm of a region's diameter in the common case.  Rounds
-    cut their lineage at the shared checkpoint folder.
+    The grid is cut into tiles of ``tile`` by ``tile`` cells, each labelled in one task.  Labels
+    that touch across a border are the links of a graph, as large as the borders, whose
+    components join the tiles; cells are relabelled by one join.  A field within one tile
+    needs no more than that tile.  Repeated cells are not expected.
     """
     if connectivity not in NEIGHBOURS:
         raise ValueError("connectivity must be 4 or 8")
-    rounds = Rounds(field.sparkSession)
-    cells = rounds.cut(field.where(F.col("value") > threshold).select(*keys, F.struct("i", "j").alias("c"), "value"))
+    tables = Rounds(field.sparkSession)
+    cells = field.where(F.col("value") > threshold).select(*keys, F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), F.col("value").cast("double").alias("value"))
+    cell = T.StructType([T.StructField(n, T.IntegerType()) for n in ("i", "j")])
+    full = T.StructType([T.StructField(f.name, f.dataType) for f in cells.schema] + [T.StructField("label", cell)])
+
+    def label(table: pa.Table) -> pa.Table:
+        i, j = (table.column(n).to_numpy() for n in ("i", "j"))
+        first = label_tile(i, j, connectivity)
+        at = pa.StructArray.from_arrays([pa.array(i[first], pa.int32()), pa.array(j[first], pa.int32())], names=["i", "j"])
+        return pa.table([*(table.column(n) for n in full.names[:-1]), at], names=full.names)
+
+    ti, tj = F.floor(F.col("i") / tile).alias("_ti"), F.floor(F.col("j") / tile).alias("_tj")
+    local = tables.cut(cells.groupBy(*keys, ti, tj).applyInArrow(label, full))
     steps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in NEIGHBOURS[connectivity]])
-    near = cells.select(*keys, "c", F.explode(steps).alias("s"))
-    near = near.select(*keys, F.col("c").alias("to"), F.struct((F.col("c.i") + F.col("s.a")).alias("i"), (F.col("c.j") + F.col("s.b")).alias("j")).alias("c"))
-    edges = rounds.cut(near.join(cells.select(*keys, "c"), [*keys, "c"], "left_semi"))
-    labels = cells.select(*keys, "c", F.col("c").alias("label"))
-    while True:
-        met = edges.join(labels, [*keys, "c"]).groupBy(*keys, F.col("to").alias("c")).agg(F.min("label").alias("m"))
-        low = labels.join(met, [*keys, "c"], "left").select(*keys, "c", "label", F.least("label", F.coalesce("m", "label")).alias("new"))
-        jump = low.select(*keys, F.col("c").alias("new"), F.col("new").alias("root"))
-        moved = rounds.cut(low.join(jump, [*keys, "new"], "left").select(*keys, "c", "label", F.least("new", F.coalesce("root", "new")).alias("new")))
-        changed = moved.where(F.col("new") != F.col("label")).limit(1).count()
-        labels = moved.select(*keys, "c", F.col("new").alias("label"))
-        if not changed:
-            break
-    out = cells.join(labels, [*keys, "c"])
-    return out.select(*keys, F.col("c.i").alias("i"), F.col("c.j").alias("j"), "value", "label")
+    rim = lambda n: (F.pmod(F.col(n), F.lit(tile)) == 0) | (F.pmod(F.col(n), F.lit(tile)) == tile - 1)
+    name = F.struct(*keys, F.col("label.i").alias("_i"), F.col("label.j").alias("_j"))
+    edge = local.where(rim("i") | rim("j")).select(*keys, "i", "j", name.alias("a"))
+    near = edge.select(*keys, "i", "j", "a", F.explode(steps).alias("s")).select(*keys, F.col("i").alias("_fi"), F.col("j").alias("_fj"), (F.col("i") + F.col("s.a")).alias("i"), (F.col("j") + F.col("s.b")).alias("j"), "a")
+    near = near.where((F.floor(F.col("i") / tile) != F.floor(F.col("_fi") / tile)) | (F.floor(F.col("j") / tile) != F.floor(F.col("_fj") / tile)))
+    links = tables.cut(near.join(edge.select(*keys, "i", "j", F.col("a").alias("b")), [*keys, "i", "j"]).where("a < b").select("a", "b").distinct())
+    if links.isEmpty():
+        return local
+    roots = components(links, tables).select(*[F.col(f"node.{k}").alias(k) for k in keys], F.struct(F.col("node._i").alias("i"), F.col("node._j").alias("j")).alias("label"), F.struct(F.col("root._i").alias("i"), F.col("root._j").alias("j")).alias("_root"))
+    return local.join(roots, [*keys, "label"], "left").select(*keys, "i", "j", "value", F.coalesce("_root", "label").alias("label"))
 
 
 def regions(labelled: DataFrame, min_size: int = 1, keys: tuple[str, ...] = (), pixels: bool = False) -> DataFrame:
