@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -151,27 +152,99 @@ def count_regions(field: DataFrame, threshold: float = 0.0, min_size: int = 1) -
     return find_regions(field, threshold, min_size).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _distance2(x: Column, center) -> Column:
-    return F.aggregate(F.zip_with(x, F.array(*[F.lit(float(a)) for a in center]), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
+def _nearest(x: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nearest centre of every row, the lowest index on a tie, and its squared distance; a few rows at a time."""
+    near, d2 = np.empty(len(x), dtype=np.int32), np.empty(len(x))
+    step = max(1, (1 << 20) // max(1, centers.size))
+    for lo in range(0, len(x), step):
+        gap = x[lo : lo + step, None, :] - centers[None]
+        d = np.einsum("nkd,nkd->nk", gap, gap)
+        near[lo : lo + step] = d.argmin(axis=1)
+        d2[lo : lo + step] = d[np.arange(len(d)), near[lo : lo + step]]
+    return near, d2
+
+
+def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+    x = np.asarray(column.flatten().to_numpy(zero_copy_only=False), dtype=float)
+    if column.null_count or len(x) != dim * len(column):
+        raise ValueError(f"vectors must have {dim} numbers, as the centres have")
+    return x.reshape(-1, dim)
 
 
 def assign(vectors: DataFrame, centers: np.ndarray, x: str = "x") -> DataFrame:
-    """Nearest centre (the lowest index on a tie) and squared distance; centres are literals of the plan."""
-    d = F.array(*[F.struct(_distance2(F.col(x), c).alias("d"), F.lit(k).alias("k")) for k, c in enumerate(centers)])
-    best = F.array_min(d)
-    return vectors.withColumn("cluster", best["k"]).withColumn("d2", best["d"])
+    """``vectors`` with the nearest centre (``cluster``, the lowest index on a tie) and its squared
+    distance (``d2``).  Centres are broadcast: they are given by the caller, so bounded."""
+    centers = np.asarray(centers, float)
+    shared = vectors.sparkSession.sparkContext.broadcast(centers)
+    full = T.StructType([*(T.StructField(f.name, f.dataType) for f in vectors.schema), T.StructField("cluster", T.IntegerType()), T.StructField("d2", T.DoubleType())])
+    at = vectors.columns.index(x)
+
+    def run(batches):
+        for b in batches:
+            near, d2 = _nearest(_matrix(b.column(at), shared.value.shape[1]), shared.value)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(near), pa.array(d2)], names=full.names)
 
+    return vectors.mapInArrow(run, full)
 
-def centers_of(assigned: DataFrame, k: int, x: str = "x") -> np.ndarray:
-    """Means per cluster; an empty cluster is the origin.  k * dim numbers reach the driver."""
-    rows = assigned.select("cluster", F.posexplode(x).alias("d", "v")).groupBy("cluster", "d").agg(F.avg("v").alias("m")).collect()
-    dim = max((r.d for r in rows), default=-1) + 1
-    out = np.zeros((k, dim))
+
+def _sums(vectors: DataFrame, starts: dict[int, np.ndarray], x: str) -> dict[int, tuple[np.ndarray, np.ndarray, float]]:
+    """Per set of centres: members and their sums per centre, and the cost, from one pass over the vectors.
+
+    A task adds up its rows; what is shuffled is as many numbers as the centres have, per task.
+    """
+    shared = vectors.sparkSession.sparkContext.broadcast(starts)
+    dim = next(iter(starts.values())).shape[1]
+
+    def run(batches):
+        n = {name: np.zeros(len(c)) for name, c in shared.value.items()}
+        total, cost = {name: np.zeros(c.shape) for name, c in shared.value.items()}, dict.fromkeys(shared.value, 0.0)
+        for b in batches:
+            rows = _matrix(b.column(0), dim)
+            for name, c in shared.value.items():
+                near, d2 = _nearest(rows, c)
+                n[name] += np.bincount(near, minlength=len(c))
+                np.add.at(total[name], near, rows)
+                cost[name] += d2.sum()
+        for name, c in shared.value.items():
+            k = len(c)
+            values = np.concatenate((n[name][:, None], total[name]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array([name] * (k + 1), pa.int32()), pa.array(range(-1, k), pa.int32()), pa.array([[cost[name]], *values.tolist()], pa.list_(pa.float64()))], names=["of", "cluster", "v"])
+
+    parts = vectors.select(x).mapInArrow(run, "of int, cluster int, v array<double>")
+    rows = parts.select("of", "cluster", F.posexplode("v").alias("d", "v")).groupBy("of", "cluster", "d").agg(F.sum("v").alias("v")).collect()
+    out = {name: (np.zeros(len(c)), np.zeros(c.shape), 0.0) for name, c in starts.items()}
     for r in rows:
-        out[r.cluster, r.d] = r.m
+        n, total, cost = out[r.of]
+        if r.cluster < 0:
+            out[r.of] = n, total, r.v
+        elif r.d == 0:
+            n[r.cluster] = r.v
+        else:
+            total[r.cluster, r.d - 1] = r.v
     return out
 
 
+def lloyd(vectors: DataFrame, starts: dict[int, np.ndarray], max_iter: int = 100, tol: float = 1e-6, x: str = "x") -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Lloyd's rounds for several sets of centres at once: name -> (centres before the last move, centres).
+
+    Each round is one pass for all sets that still move; an empty cluster is the origin.
+    """
+    moving = {name: np.asarray(c, float) for name, c in starts.items()}
+    done = {}
+    for _ in range(max_iter):
+        found = _sums(vectors, moving, x)
+        for name, (n, total, _) in found.items():
+            before = moving[name]
+            new = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], 0.0)
+            done[name] = before, new
+            moving[name] = new
+            if np.sqrt(((new - before) ** 2).sum()) < tol:
+                del moving[name]
+        if not moving:
+            break
+    return done
+
+
 def own_distance(centers: np.ndarray, x: str = "x") -> Column:
     """Squared distance to the centre of the row's ``cluster``."""
     all_ = F.array(*[F.array(*[F.lit(float(a)) for a in c]) for c in centers])
@@ -183,40 +256,74 @@ def inertia(assigned: DataFrame, centers: np.ndarray, x: str = "x") -> float:
     return assigned.agg(F.sum(own_distance(centers, x))).first()[0] or 0.0
 
 
+def _uniform(seed: int, step: int, idx: str) -> Column:
+    return (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(step), F.col(idx)), 11).cast("double") + 0.5) / float(1 << 53)
+
+
 def plus_plus(vectors: DataFrame, k: int, seed: int, idx: str = "idx", x: str = "x") -> np.ndarray:
-    """k-means++ start: each next centre with odds in proportion to its squared distance.
+    """k-means++ start: each next centre with odds in proportion to its squared distance, a pass each.
 
     A draw is the row with the least exponential number over its distance, from hashes of
     the row's index, so only the drawn rows reach the driver.
     """
     centers: list = []
     for step in range(k):
-        u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(step), F.col(idx)), 11).cast("double") + 0.5) / float(1 << 53)
-        if not centers:
-            rows = vectors.withColumn("w", F.lit(1.0))
-        else:
-            rows = assign(vectors, np.array(centers), x).withColumnRenamed("d2", "w").where("w > 0")
-        got = rows.select(x, F.col(idx), (-F.log(u) / F.col("w")).alias("e")).orderBy("e", idx).limit(1).collect()
+        rows = vectors.withColumn("w", F.lit(1.0)) if not centers else assign(vectors, np.array(centers), x).withColumnRenamed("d2", "w").where("w > 0")
+        got = rows.select(x, F.col(idx), (-F.log(_uniform(seed, step, idx)) / F.col("w")).alias("e")).orderBy("e", idx).limit(1).collect()
         if not got:
             raise ValueError("fewer different vectors than clusters")
         centers.append(list(got[0][x]))
     return np.array(centers)
 
 
-def k_means(vectors: DataFrame, k: int, centers: np.ndarray | None = None, max_iter: int = 100, tol: float = 1e-6, seed: int = 0, idx: str = "idx", x: str = "x"):
+def oversampled(vectors: DataFrame, k: int, seed: int, idx: str = "idx", x: str = "x", rounds: int = 5, factor: float = 2.0) -> np.ndarray:
+    """k-means|| start: some ``factor`` * k candidates a round, then the best k of them.
+
+    In each of a few passes a row is drawn by hash with odds of factor * k times its share of
+    the cost.  Candidates, some rounds * factor * k, are weighed by the rows nearest to them
+    and reduced on the driver by weighted k-means++ and Lloyd's rounds.
+    """
+    first = vectors.select(x, idx, F.xxhash64(F.lit(seed), F.col(idx)).alias("h")).orderBy("h", idx).limit(1).collect()
+    if not first:
+        raise ValueError("fewer different vectors than clusters")
+    found = np.array([list(first[0][x])], dtype=float)
+    for step in range(rounds):
+        cost = _sums(vectors, {0: found}, x)[0][2]
+        if cost <= 0:
+            break
+        drawn = assign(vectors, found, x).where((F.col("d2") > 0) & (_uniform(seed, step, idx) < F.col("d2") * (factor * k / cost)))
+        new = [list(r[x]) for r in drawn.select(x, idx).orderBy(idx).collect()]
+        found = np.unique(np.concatenate((found, np.array(new, dtype=float).reshape(len(new), found.shape[1]))), axis=0)
+    if len(found) < k:  # few different vectors, or few draws: one by one
+        return plus_plus(vectors, k, seed, idx, x)
+    weight, rng = _sums(vectors, {0: found}, x)[0][0], np.random.default_rng(seed)
+    best = None
+    for _ in range(5):
+        centers = found[[rng.choice(len(found), p=weight / weight.sum())]]
+        while len(centers) < k:
+            odds = weight * _nearest(found, centers)[1]
+            centers = np.concatenate((centers, found[[rng.choice(len(found), p=odds / odds.sum() if odds.sum() > 0 else None)]]))
+        for _ in range(20):
+            near, d2 = _nearest(found, centers)
+            n = np.bincount(near, weights=weight, minlength=k)
+            total = np.zeros_like(centers)
+            np.add.at(total, near, found * weight[:, None])
+            centers = np.where(n[:, None] > 0, total / np.maximum(n, 1e-300)[:, None], centers)
+        cost = float((weight * _nearest(found, centers)[1]).sum())
+        if best is None or cost < best[0]:
+            best = cost, centers
+    return best[1]
+
+
+def k_means(vectors: DataFrame, k: int, centers: np.ndarray | None = None, max_iter: int = 100, tol: float = 1e-6, seed: int = 0, idx: str = "idx", x: str = "x", start: Callable = oversampled):
     """(assigned, centres): Lloyd's rounds over (idx, x).  The assignments returned were made
-    before the last move of the centres."""
+    before the last move of the centres.  Without centres ``start`` finds them."""
     if k < 1:
         raise ValueError("k must be positive")
-    centers = plus_plus(vectors, k, seed, idx, x) if centers is None else np.asarray(centers, float)
-    for _ in range(max_iter):
-        assigned = assign(vectors, centers, x)
-        new = centers_of(assigned, k, x)
-        shift = np.sqrt(((new - centers) ** 2).sum())
-        centers = new
-        if shift < tol:
-            break
-    return assigned, centers
+    kept = vectors.select(idx, x).persist(StorageLevel.MEMORY_AND_DISK)
+    before, centers = lloyd(kept, {k: start(kept, k, seed, idx, x) if centers is None else centers}, max_iter, tol, x)[k]
+    kept.unpersist()
+    return assign(vectors, before, x), centers
 
 
 def latent_clusters(assigned: DataFrame, centers: np.ndarray, idx: str = "idx") -> DataFrame:
@@ -229,15 +336,18 @@ def latent_clusters(assigned: DataFrame, centers: np.ndarray, idx: str = "idx")
 
 
 def optimal_k(vectors: DataFrame, k_range: tuple[int, int] = (2, 10), starts: Callable[[int], np.ndarray] | None = None, **kw) -> tuple[int, list[float]]:
-    """The k after which inertia falls most in relation to the inertia before; ``starts`` gives the first centres for a k."""
+    """The k after which inertia falls most in relation to the inertia before; ``starts`` gives the
+    first centres for a k.  All k move in the same passes."""
     n = vectors.count()
     lo, hi = max(1, k_range[0]), min(n, k_range[1])
     if lo > hi:
         return lo, []
-    curve = []
-    for k in range(lo, hi + 1):
-        assigned, centers = k_means(vectors, k, starts(k) if starts else None, **kw)
-        curve.append(inertia(assigned, centers))
+    seed, idx, x = kw.get("seed", 0), kw.get("idx", "idx"), kw.get("x", "x")
+    kept = vectors.select(idx, x).persist(StorageLevel.MEMORY_AND_DISK)
+    first = {k: np.asarray(starts(k) if starts else oversampled(kept, k, seed, idx, x), float) for k in range(lo, hi + 1)}
+    found = lloyd(kept, first, kw.get("max_iter", 100), kw.get("tol", 1e-6), x)
+    curve = [inertia(assign(kept, found[k][0], x), found[k][1], x) for k in range(lo, hi + 1)]
+    kept.unpersist()
     if len(curve) < 2:
         return lo, curve
     drops = [(a - b) / a if a > 0 else 0.0 for a, b in zip(curve, curve[1:])]

@@ -418,7 +418,7 @@ def kmeans_elbow(spark, sf):
 @query()
 def kmeans_plus_plus(spark, sf):
     """Rounds from a start drawn by hash, which SQL does not have."""
-    assigned, centers = cluster.k_means(_vectors(spark, sf), 4, max_iter=20, seed=1)
+    assigned, centers = cluster.k_means(_vectors(spark, sf), 4, max_iter=20, seed=1, start=cluster.plus_plus)
     return cluster.latent_clusters(assigned, centers).select("cluster_id", "size")
 
 
