@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldlark.functions import predicates as V
+from fieldlark.functions import variant
 from fieldlark.operators import fusion, preprocess, sensing, tracking, world
 from fieldlark.operators import records as R
+from fieldlark.operators.lineage import Rounds
+from fieldlark.operators.quarantine import split_once
 from fieldlark.plans.frame_queries import FRAMES, STRIDE, W, r, rounded
 from fieldlark.plans.room_queries import _EVID, _KERNEL, evidence
 from fieldlark.plans.update_loop import UpdateLoop
@@ -68,6 +71,10 @@ SELECT CASE WHEN link_id IS NULL THEN 'link_id is empty' WHEN (value IS NULL) <>
 WHEN unit = '' THEN 'unit is empty' WHEN confidence > 1 THEN 'confidence is outside [0, 1]' ELSE 'sound' END AS fault, count(*) AS n FROM m GROUP BY 1"""
 )
 def validate_measurements(spark, sf):
+    return _faults(_measurements(spark, sf), V.measurement_faults())
+
+
+def _measurements(spark, sf) -> DataFrame:
     e = tables.read(spark, sf, "events")
     i, x = F.col("event_id"), F.col("value")
     part = lambda c: c.cast("double")
@@ -76,7 +83,7 @@ def validate_measurements(spark, sf):
         F.when(i % 17 != 0, "link").alias("link_id"), F.lit(0.0).alias("ts"), F.when(i % 7 == 2, F.lit(float("inf"))).when(i % 7 != 1, x).alias("value"),
         F.when((i % 7).isin(1, 3), F.array(x)).alias("vector"), F.when(i % 11 == 4, "").otherwise("dB").alias("unit"), quality.alias("quality"),
     )
-    return _faults(m, V.measurement_faults())
+    return m
 
 
 @query(
@@ -276,3 +283,35 @@ def record_documents(spark, sf):
     h = f.select("link_id", F.lit("NOMINAL").alias("status"), *[F.lit(1.0).alias(n) for n in ("snr_db", "amplitude_std", "phase_std", "outlier_ratio", "health_score")])
     doc = F.from_json(R.document("link_health"), "struct<link_id:string,status:string,health_score:double>")
     return h.select("link_id", doc["status"].alias("status"), ((doc["link_id"] == F.col("link_id")) & (doc["health_score"] == 1.0)).alias("as_json"))
+
+
+@query(ORACLE_SQL["validate_measurements"])
+def quarantined_measurements(spark, sf):
+    """Faults counted while sound and faulty rows are parted, and the parts counted again."""
+    sound, faulty, counts = split_once(_measurements(spark, sf), V.measurement_faults(), Rounds(spark))
+    parts = faulty.select("fault").unionByName(sound.select(F.lit("sound").alias("fault"))).groupBy("fault").agg(F.count(F.lit(1)).alias("n"))
+    seen = spark.createDataFrame([(f, n) for f, n in counts.items() if n], "fault string, observed bigint")
+    both = parts.join(seen, "fault", "full")
+    return both.select("fault", F.when(F.col("n") == F.col("observed"), F.col("n")).alias("n"))
+
+
+_PROPS = "CASE WHEN event_id % 17 = 0 THEN substr(props, 1, len(props) - 1) WHEN event_id % 5 = 0 THEN '{\"pos\": {\"x\": ' || CAST(event_id % 100 AS VARCHAR) || '.5}, \"tags\": [\"a\", \"b' || CAST(event_id % 3 AS VARCHAR) || '\"], \"k\": \"none\"}' WHEN event_id % 23 = 0 THEN NULL ELSE props END"
+
+
+@query(
+    f"""WITH p AS (SELECT event_id, event_type, {_PROPS} AS p FROM events), v AS (SELECT event_id, event_type, CASE WHEN json_valid(p) THEN p END AS v FROM p)
+SELECT event_id, v IS NOT NULL AS parsed, CASE WHEN json_type(v, '$.k') <> 'VARCHAR' THEN CAST(v->>'$.k' AS BIGINT) END AS k, CAST(v->>'$.pos.x' AS DOUBLE) AS x, v->>'$.tags[1]' AS tag,
+CAST(coalesce(json_array_length(v, '$.tags'), 0) AS INTEGER) AS n_tags FROM v"""
+)
+def event_properties(spark, sf):
+    """The JSON properties of all events, some malformed, nested or missing, as VARIANT."""
+    i, p = F.col("event_id"), F.col("props")
+    nested = F.concat(F.lit('{"pos": {"x": '), (i % 100).cast("string"), F.lit('.5}, "tags": ["a", "b'), (i % 3).cast("string"), F.lit('"], "k": "none"}'))
+    text = F.when(i % 17 == 0, F.substring(p, F.lit(1), F.length(p) - 1)).when(i % 5 == 0, nested).when(i % 23 != 0, p)
+    rows = tables.read(spark, sf, "events").select("event_id", variant.parsed(text).alias("v"))
+    v = F.col("v")
+    tags = variant.field(v, "$.tags", "array<string>")
+    return rows.select(
+        "event_id", v.isNotNull().alias("parsed"), variant.field(v, "$.k", "bigint").alias("k"), variant.field(v, "$.pos.x", "double").alias("x"), variant.field(v, "$.tags[1]", "string").alias("tag"),
+        F.coalesce(F.size(tags), F.lit(0)).alias("n_tags"),
+    )
