@@ -55,6 +55,32 @@ def candidates(clusters: list[dict], scale: tuple[float, float], offset: tuple[f
     return out
 
 
+class FreeCandidates:
+    """Candidates of a tick in a grid of cells as wide as the reach: the nearest one nearer than
+    that lies in the nine cells around a point."""
+
+    def __init__(self, found: list[dict], reach: float):
+        self.found, self.reach, self.cells = found, reach, {}
+        for i, c in enumerate(found):
+            self.cells.setdefault(self._cell(c["x"], c["y"]), []).append(i)
+
+    def _cell(self, x: float, y: float) -> tuple[int, int]:
+        return math.floor(x / self.reach), math.floor(y / self.reach)
+
+    def nearest(self, x: float, y: float) -> tuple[float, int | None]:
+        """Distance and index of the nearest free candidate, the first on a tie; None if none is in reach."""
+        a, b = self._cell(x, y)
+        near = [i for u in (a - 1, a, a + 1) for v in (b - 1, b, b + 1) for i in self.cells.get((u, v), ())]
+        d, i = min(((math.hypot(x - self.found[i]["x"], y - self.found[i]["y"]), i) for i in near), default=(math.inf, None))
+        return (d, i) if d < self.reach else (math.inf, None)
+
+    def take(self, i: int) -> None:
+        self.cells[self._cell(self.found[i]["x"], self.found[i]["y"])].remove(i)
+
+    def left(self) -> list[int]:
+        return sorted(i for cell in self.cells.values() for i in cell)
+
+
 def track(state: tuple[int, list[dict]] | None, found: list[dict], now: float, reach: float = 1.5, stability_scale: float = 0.5) -> tuple[tuple[int, list[dict]], list[dict]]:
     """One tick of the tracker.
 
@@ -62,19 +88,18 @@ def track(state: tuple[int, list[dict]] | None, found: list[dict], now: float, r
     first on a tie); those that find none are gone, candidates left over are new.
     """
     next_id, entities = state or (1, [])
-    free, kept = list(range(len(found))), []
+    free, kept = FreeCandidates(found, reach), []
     for e in entities:
-        ranked = [(math.hypot(e["x"] - found[i]["x"], e["y"] - found[i]["y"]), i) for i in free]
-        d, i = min(ranked, default=(math.inf, -1))
-        if d >= reach:
+        d, i = free.nearest(e["x"], e["y"])
+        if i is None:
             continue
-        free.remove(i)
+        free.take(i)
         c = found[i]
         moved = d > 0.3 or abs(c["activity"] - e["activity"]) > 0.2
         kept.append(
             e | {"x": c["x"], "y": c["y"], "z": 0.0, "radius": c["radius"], "activity": c["activity"], "stability": 0.7 * max(0.0, 1 - d * stability_scale) + 0.3 * e["stability"], "last_change": now if moved else e["last_change"], "frames_tracked": e["frames_tracked"] + 1}
         )
-    for i in free:
+    for i in free.left():
         c = found[i]
         kept.append({"id": next_id, "x": c["x"], "y": c["y"], "z": 0.0, "activity": c["activity"], "stability": 0.5, "last_change": now, "radius": c["radius"], "frames_tracked": 1})
         next_id += 1
