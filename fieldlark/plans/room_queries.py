@@ -484,8 +484,28 @@ def track_positions(spark, sf):
     return e.select("ts", *[F.round(f"e.{n}", 5).alias(n) for n in ("x", "y", "radius", "activity")], sound.alias("sound"))
 
 
-@query()
+_ENTITY = "STRUCT(id BIGINT, x DOUBLE, y DOUBLE, activity DOUBLE, stability DOUBLE, last_change DOUBLE, radius DOUBLE, frames_tracked BIGINT)"
+_MATCHING = f"STRUCT(e {_ENTITY}, kept {_ENTITY}[], used BIGINT[])"
+#: Entities in their order take the nearest free candidate of the tick, one after the other; what is left is new.
+_GREEDY = f"""list_reduce(list_concat([CAST({{'e': NULL, 'kept': [], 'used': []}} AS {_MATCHING})], list_transform(es, lambda e: CAST({{'e': e, 'kept': [], 'used': []}} AS {_MATCHING}))),
+lambda m, it: list_transform([list_transform(range(1, len(c) + 1), lambda i: CASE WHEN list_contains(m.used, i) THEN 'inf'::DOUBLE ELSE sqrt(power(it.e.x - c[i].x, 2) + power(it.e.y - c[i].y, 2)) END)],
+lambda ds: CASE WHEN list_min(ds) < 1.5 THEN CAST({{'e': it.e, 'used': list_append(m.used, list_position(ds, list_min(ds))), 'kept': list_append(m.kept, list_transform([c[list_position(ds, list_min(ds))]], lambda b:
+CAST({{'id': it.e.id, 'x': b.x, 'y': b.y, 'activity': b.activity, 'stability': 0.7::DOUBLE * greatest(0, 1 - list_min(ds) * 0.5::DOUBLE) + 0.3::DOUBLE * it.e.stability,
+'last_change': CASE WHEN list_min(ds) > 0.3 OR abs(b.activity - it.e.activity) > 0.2 THEN ts ELSE it.e.last_change END, 'radius': b.radius, 'frames_tracked': it.e.frames_tracked + 1}} AS {_ENTITY}))[1])}} AS {_MATCHING}) ELSE m END)[1])"""
+
+
+@query(
+    f"""WITH RECURSIVE {_PER_TICK}, cd AS (SELECT ts, row_number() OVER (PARTITION BY ts ORDER BY size DESC, label) AS rk, -5 + 0.25::DOUBLE * ({r('centroid_row')}) AS x, -5 + 0.25::DOUBLE * ({r('centroid_col')}) AS y,
+greatest(0.3::DOUBLE, least(2.0::DOUBLE, sqrt(size) * 0.125::DOUBLE)) AS radius, least(1.0::DOUBLE, ({r('total_intensity')}) / greatest(size, 1)) AS activity FROM pg),
+tk AS MATERIALIZED (SELECT ts, row_number() OVER (ORDER BY ts) AS rn, list({{'x': x, 'y': y, 'radius': radius, 'activity': activity}} ORDER BY rk) AS c FROM cd GROUP BY ts),
+tr AS (SELECT CAST(0 AS BIGINT) AS rn, CAST(0 AS DOUBLE) AS ts, CAST(1 AS BIGINT) AS next_id, CAST([] AS {_ENTITY}[]) AS es UNION ALL
+SELECT rn, ts, next_id + len(fresh), list_concat(m.kept, list_transform(fresh, lambda i, k: CAST({{'id': next_id + k - 1, 'x': c[i].x, 'y': c[i].y, 'activity': c[i].activity, 'stability': 0.5, 'last_change': ts, 'radius': c[i].radius, 'frames_tracked': 1}} AS {_ENTITY})))
+FROM (SELECT *, list_filter(range(1, len(c) + 1), lambda i: NOT list_contains(m.used, i)) AS fresh FROM (SELECT rn, ts, next_id, c, {_GREEDY} AS m FROM (SELECT tk.rn, tk.ts, tr.next_id, tk.c, tr.es FROM tr JOIN tk ON tk.rn = tr.rn + 1))))
+SELECT ts, e.id AS id, {r('e.x')} AS x, {r('e.y')} AS y, 0.0::DOUBLE AS z, {r('e.activity')} AS activity, {r('e.stability')} AS stability, e.last_change AS last_change, {r('e.radius')} AS radius, e.frames_tracked AS frames_tracked
+FROM (SELECT ts, unnest(es) AS e FROM tr WHERE rn > 0)"""
+)
 def track_entities(spark, sf):
+    """Ids, ages and matches of the tracker, tick by tick."""
     e = _tracked(spark, sf).select("ts", F.explode("entities").alias("e")).select("ts", "e.*")
     return rounded(e, "x", "y", "activity", "stability", "radius")
 
