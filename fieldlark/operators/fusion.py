@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldlark.config import ServerConfig
 from fieldlark.functions.arrays import clip
-from fieldlark.operators.fold import fold_columns
 from fieldlark.operators.lineage import Rounds
 
 SOURCE = "geometry_fusion_ph2"
@@ -176,16 +177,89 @@ def hold_step(state: tuple[float, int, bool], value: float, c: ServerConfig) ->
     return f, count, active
 
 
+#: Strips of cells, each stepped as arrays in one task.
+STRIPS = 8
+
+
+class _Strip:
+    """The cells of a strip, by their place in its arrays; a cell that comes first at a tick starts then."""
+
+    def __init__(self):
+        self.at: dict[tuple[int, int], int] = {}
+        self.state = np.zeros(0), np.zeros(0, dtype=int), np.zeros(0, dtype=bool)
+        self.last: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+
+    def places(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        if self.last is not None and np.array_equal(self.last[0], i) and np.array_equal(self.last[1], j):
+            return self.last[2]
+        places = np.array([self.at.setdefault(c, len(self.at)) for c in zip(i.tolist(), j.tolist())])
+        more = len(self.at) - len(self.state[0])
+        self.state = tuple(np.concatenate((x, np.zeros(more, dtype=x.dtype))) for x in self.state)
+        self.last = i, j, places
+        return places
+
+    def step(self, i: np.ndarray, j: np.ndarray, value: np.ndarray, c: ServerConfig) -> tuple[np.ndarray, np.ndarray]:
+        places = self.places(i, j)
+        new = hold_tick(tuple(x[places] for x in self.state), value, c)
+        for x, y in zip(self.state, new):
+            x[places] = y
+        return new[0], new[2]
+
+
 def persist(instant: DataFrame, c: ServerConfig = ServerConfig(), keys: tuple[str, ...] = ("i", "j")) -> DataFrame:
-    """Decay, persistence and hysteresis of every cell in order of ts.
+    """Decay, persistence and hysteresis of every cell in order of ts; at most one row a cell and tick.
 
     The output is 0 where the cell is not active; the state keeps the unmasked value.  Rows
-    are sorted by cell and time and streamed through the step: cells run in parallel, no
-    cell's history is held, and the work grows in proportion to the ticks.
+    are sorted by strip of cells and time and a tick of a strip is one step on arrays: strips
+    run in parallel, no cell's history is held, and the work grows in proportion to the ticks.
     """
-
-    def step(state, value, confidence):
-        s = hold_step(state or (0.0, 0, False), value, c)
-        return s, (s[0], confidence, True) if s[2] else (0.0, 0.0, False)
-
-    return fold_columns(instant, list(keys), ["ts"], ["value", "confidence"], step, "value double, confidence double, active boolean")
+    rooms = [k for k in keys if k not in ("i", "j")]
+    strip = F.pmod(F.xxhash64("i", "j"), F.lit(STRIPS)).cast("int").alias("_strip")
+    rows = instant.select(*rooms, "ts", F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), "value", "confidence", strip)
+    full = T.StructType([*(T.StructField(f.name, f.dataType) for f in rows.schema if f.name not in ("_strip",)), T.StructField("active", T.BooleanType())])
+    grouped = ["_strip", *rooms]
+
+    def run(batches):
+        key, held = None, None
+        for batch in _whole_ticks(batches, [*grouped, "ts"]):
+            columns = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in ("i", "j", "value", "confidence")}
+            shown, sure, on = np.zeros(batch.num_rows), np.zeros(batch.num_rows), np.zeros(batch.num_rows, dtype=bool)
+            for lo, hi in _runs(batch, [*grouped, "ts"]):
+                now = tuple(batch.column(n)[lo].as_py() for n in grouped)
+                if now != key:
+                    key, held = now, _Strip()
+                f, active = held.step(columns["i"][lo:hi], columns["j"][lo:hi], columns["value"][lo:hi], c)
+                shown[lo:hi], on[lo:hi] = np.where(active, f, 0.0), active
+                sure[lo:hi] = np.where(active, columns["confidence"][lo:hi], 0.0)
+            kept = [batch.column(n) for n in [*rooms, "ts", "i", "j"]]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(shown), pa.array(sure), pa.array(on)], names=full.names)
+
+    order = [*grouped, "ts", "i", "j"]
+    return rows.repartition(*grouped).sortWithinPartitions(*order).mapInArrow(run, full)
+
+
+def _runs(batch: pa.RecordBatch, names: list[str]) -> list[tuple[int, int]]:
+    """[start, end) of the rows that agree in ``names``, one after the other."""
+    new = np.zeros(batch.num_rows, dtype=bool)
+    new[:1] = True
+    for n in names:
+        at = batch.column(n).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        new[1:] |= at[1:] != at[:-1]
+    starts = np.flatnonzero(new).tolist()
+    return list(zip(starts, [*starts[1:], batch.num_rows]))
+
+
+def _whole_ticks(batches, names: list[str]):
+    """Batches cut between ticks: the last one of a batch waits for the rest of it."""
+    rest = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if rest is not None:
+            batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+        last = _runs(batch, names)[-1][0]
+        if last:
+            yield batch.slice(0, last)
+        rest = batch.slice(last)
+    if rest is not None:
+        yield rest

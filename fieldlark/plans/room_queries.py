@@ -565,7 +565,7 @@ el AS (SELECT ts, avg(health_score) AS health, tanh(avg(drift_common)) AS env, s
 cl AS (SELECT ts, count(*) AS n, sum(total_intensity) AS intensity, max(size) AS largest FROM pg GROUP BY ts)
 SELECT round(fd.ts, 6) AS ts, 3 AS sensors, CAST(el.n AS INTEGER) AS links, {r('least(top, 1)')} AS total_activity, {r('least(novelty, 1)')} AS novelty, {r('least(env, 1)')} AS env_drift,
 CASE WHEN health >= 0.75 THEN 'NOMINAL' WHEN health >= 0.45 THEN 'DEGRADED' ELSE 'DISCONNECTED' END AS csi_health, round(total, 5) + 0.0 AS field_sum, round(sure, 3) + 0.0 AS confidence_sum, {r('top')} AS field_max, {r('measured')} AS measured,
-CAST(coalesce(cl.n, 0) AS INTEGER) AS cluster_count, CAST(coalesce(cl.n, 0) AS INTEGER) AS entities, round(coalesce(intensity, 0), 4) + 0.0 AS intensity, coalesce(largest, 0) AS largest
+CAST(coalesce(cl.n, 0) AS INTEGER) AS cluster_count, CAST(coalesce(cl.n, 0) AS INTEGER) AS entities, round(coalesce(intensity, 0), 3) + 0.0 AS intensity, coalesce(largest, 0) AS largest
 FROM fd JOIN el ON fd.ts = el.ts LEFT JOIN cl ON fd.ts = cl.ts"""
 _ROOM_DOC = "struct<timestamp:double,entities:array<struct<id:bigint>>,global:struct<total_activity:double,novelty:double,env_drift:double>,system:struct<sensor_count:int,csi_health:string>,field:struct<data:array<double>,confidence_data:array<double>,max_value:double>,intermediate:struct<cluster_count:int,clusters:array<struct<size:bigint,total_intensity:double>>,links:map<string,struct<measurement:struct<value:double>>>>>"
 
@@ -579,7 +579,7 @@ def _read_documents(messages: DataFrame) -> DataFrame:
         F.round("timestamp", 6).alias("ts"), F.col("system.sensor_count").alias("sensors"), F.size("intermediate.links").alias("links"), *[F.round(f"global.{n}", 6).alias(n) for n in ("total_activity", "novelty", "env_drift")],
         F.col("system.csi_health").alias("csi_health"), F.round(total("field.data"), 5).alias("field_sum"), F.round(total("field.confidence_data"), 3).alias("confidence_sum"), F.round("field.max_value", 6).alias("field_max"),
         F.round(total(F.transform(F.map_values("intermediate.links"), lambda x: x["measurement"]["value"])), 6).alias("measured"),
-        F.col("intermediate.cluster_count").alias("cluster_count"), F.size("entities").alias("entities"), F.round(total(of("total_intensity")), 4).alias("intensity"), F.coalesce(F.array_max(of("size")), F.lit(0)).alias("largest"),
+        F.col("intermediate.cluster_count").alias("cluster_count"), F.size("entities").alias("entities"), F.round(total(of("total_intensity")), 3).alias("intensity"), F.coalesce(F.array_max(of("size")), F.lit(0)).alias("largest"),
     )
 
 
