@@ -389,6 +389,7 @@ def learn_words(docs: DataFrame, labels: DataFrame, sample: int = LABELLED_SAMPL
 
     # insults say nothing about quality and junk nothing about insults: each is learnt beside the clean rest
     junk = words(lambda r: None if r.quality is None or r.toxic else r.quality <= 0)
+    give_back()
     return WordLists(*words(lambda r: None if r.toxic is None else r.toxic > 0), junk[0])
 
 
@@ -445,6 +446,7 @@ def fit(docs: DataFrame, labels: DataFrame, labelled_sample: int = LABELLED_SAMP
     for task in sizes:
         codes = np.array(got.column(task).to_pylist(), dtype=np.int64)[keep]
         scorers[task] = train(features, values, models[task].posterior(_decode(codes, sizes[task])))
+        give_back()
     del got, features, values
     give_back()
     return Model(lists, models, scorers)
