@@ -40,6 +40,12 @@ def rounded(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.round(n, 6) for n in names})
 
 
+def half_away(x, digits: int):
+    """``x`` to some digits as SQL's round on doubles does it: the product with a power of ten to the
+    nearest whole number.  ``F.round`` goes by the shortest decimal, which settles ties otherwise."""
+    return F.round(x * 10.0**digits) / 10.0**digits
+
+
 def _rows(spark, sf):
     return tables.long(tables.frames(spark, sf))
 

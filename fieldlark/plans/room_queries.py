@@ -9,7 +9,7 @@ from fieldlark.config import ServerConfig
 from fieldlark.functions import predicates as V
 from fieldlark.operators import cluster, fusion, grid, message, synthetic, tracking, world
 from fieldlark.operators.scan import scan_linear
-from fieldlark.plans.frame_queries import FRAMES, SENSED, r, rounded
+from fieldlark.plans.frame_queries import FRAMES, SENSED, half_away, r, rounded
 from fieldlark.sources import tables
 
 QUERIES: dict = {}
@@ -481,7 +481,7 @@ def track_positions(spark, sf):
     """Where the tracker's entities are: every region of a tick is exactly one entity of that tick."""
     e = _tracked(spark, sf).select("ts", F.col("entities.id").alias("ids"), F.explode("entities").alias("e"))
     sound = (F.size(F.array_distinct("ids")) == F.size("ids")) & F.col("e.stability").between(0, 1) & (F.col("e.frames_tracked") >= 1) & (F.col("e.last_change") <= F.col("ts"))
-    return e.select("ts", *[F.round(f"e.{n}", 5).alias(n) for n in ("x", "y", "radius", "activity")], sound.alias("sound"))
+    return e.select("ts", *[half_away(F.col(f"e.{n}"), 5).alias(n) for n in ("x", "y", "radius", "activity")], sound.alias("sound"))
 
 
 _ENTITY = "STRUCT(id BIGINT, x DOUBLE, y DOUBLE, activity DOUBLE, stability DOUBLE, last_change DOUBLE, radius DOUBLE, frames_tracked BIGINT)"
@@ -507,7 +507,7 @@ FROM (SELECT ts, unnest(es) AS e FROM tr WHERE rn > 0)"""
 def track_entities(spark, sf):
     """Ids, ages and matches of the tracker, tick by tick."""
     e = _tracked(spark, sf).select("ts", F.explode("entities").alias("e")).select("ts", "e.*")
-    return rounded(e, "x", "y", "activity", "stability", "radius")
+    return e.withColumns({n: half_away(F.col(n), 6) for n in ("x", "y", "activity", "stability", "radius")})
 
 
 @query(f"WITH d AS (SELECT event_id, value AS x, value / 2 AS y, value / 3 AS z FROM events) SELECT event_id, {r('sqrt((x - 3) * (x - 3) + (y - 4) * (y - 4))')} AS d2, {r('sqrt((x - 3) * (x - 3) + (y - 4) * (y - 4) + (z - 5) * (z - 5))')} AS d3, {r('x + 0.5 * 2')} AS px, {r('y - 0.5 * 2')} AS py FROM d")
