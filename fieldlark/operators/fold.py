@@ -13,6 +13,12 @@ def _schema(df: DataFrame, names: list[str], out: str) -> T.StructType:
     return T.StructType([f for f in df.schema if f.name in names] + T._parse_datatype_string(out).fields)
 
 
+def dealt(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` by ``by`` in a fixed number of partitions: small rows that each become many must not be
+    brought together by their size before."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 def fold_sorted(df: DataFrame, keys: list[str], order: list[str], step: Callable, out: str) -> DataFrame:
     """Run ``step(state, row) -> (state, output)`` over the rows of each key in order.
 

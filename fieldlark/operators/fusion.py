@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldlark.config import ServerConfig
-from fieldlark.functions.arrays import clip
+from fieldlark.operators.fold import dealt
 from fieldlark.operators.lineage import Rounds
 
 SOURCE = "geometry_fusion_ph2"
@@ -82,9 +82,12 @@ def gate(links: DataFrame, evidence: DataFrame, c: ServerConfig, by: tuple[str,
     Links without evidence are left out; unhealthy or idle ones have strength 0.
     """
     e = evidence.join(F.broadcast(links.select("link_id")), "link_id", "left_semi")
+    return e.select(*by, "link_id", _strength(c).alias("strength"), "health_score", "confidence")
+
+
+def _strength(c: ServerConfig) -> Column:
     above = F.col("activity") - c.min_activity
-    strength = F.when((F.col("health_score") < c.min_health) | (above <= 0), F.lit(0.0)).otherwise(above * F.col("health_score") * F.col("confidence"))
-    return e.select(*by, "link_id", strength.alias("strength"), "health_score", "confidence")
+    return F.when((F.col("health_score") < c.min_health) | (above <= 0), F.lit(0.0)).otherwise(above * F.col("health_score") * F.col("confidence"))
 
 
 def link_weights(gated: DataFrame, by: tuple[str, ...] = TICK) -> DataFrame:
@@ -93,44 +96,87 @@ def link_weights(gated: DataFrame, by: tuple[str, ...] = TICK) -> DataFrame:
     return gated.groupBy(*by).agg(F.map_from_entries(entries).alias("link_weights"), F.array_sort(F.collect_list(F.when(F.col("strength") > 0, F.col("link_id")))).alias("active_links"))
 
 
+def kernel_arrays(kernel: DataFrame, cells: list[tuple[int, int]]) -> dict[str, np.ndarray]:
+    """Kernels by link, an array over ``cells`` (in their order) each: as many numbers as links times cells."""
+    at = {c: n for n, c in enumerate(cells)}
+    packed = kernel.groupBy("link_id").agg(F.collect_list(F.struct("i", "j", "k")).alias("cells"))
+    out = {}
+    for r in packed.collect():
+        k = np.full(len(cells), np.nan)
+        for x in r.cells:
+            if (x.i, x.j) in at:
+                k[at[x.i, x.j]] = x.k
+        if np.isnan(k).any() or len(r.cells) > len({(x.i, x.j) for x in r.cells}):
+            raise ValueError(f"the kernel of link {r.link_id} must have one number for every cell")
+        out[r.link_id] = k
+    return out
+
+
+#: Cells of a batch that a task fuses or steps before it hands them on.
+BATCH_CELLS = 1 << 16
+
+
 def fuse(links: DataFrame, cells: DataFrame, evidence: DataFrame, c: ServerConfig = ServerConfig(), kernel: DataFrame | None = None, by: tuple[str, ...] = TICK) -> DataFrame:
     """(by, i, j, value, confidence, n_active) of each tick on its own, without persistence.
 
     ``by`` names a tick: its time, and the room where there are many with the same links.
 
-    One join of active evidence with the kernels and one group-by per cell carry both the
-    shape and the confidence moments.
+    Evidence is shuffled by tick; a task takes one tick after the other and makes all its cells
+    from the kernels, which every task has as arrays.  No cell is shuffled.
     """
     kernel = kernels(links, cells, c.field_resolution) if kernel is None else kernel
-    g = gate(links, evidence, c, by)
-    ticks = evidence.select(*by).distinct()
-    per = g.where("strength > 0").groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum("strength").alias("total"), F.avg("strength").alias("mean"))
-    live = g.where("strength > 0").join(per, list(by)).withColumn("w", F.col("strength") / F.greatest(F.col("total"), F.lit(1e-9)))
-    full = kernel.groupBy("i", "j").agg(F.sum("k").alias("reference"))
-    k, w, h = F.col("k"), F.col("w"), F.col("health_score")
-    cell = live.join(kernel, "link_id").groupBy(*by, "i", "j").agg(
-        F.sum(w * k).alias("linear"),
-        F.exp(F.sum(w * F.log(F.least(F.greatest(k, F.lit(1e-9)), F.lit(1.0))))).alias("geometric"),
-        F.sum(w * k * k).alias("square"),
-        F.sum(k * h).alias("kh"),
-        F.sum(k * h * F.col("confidence")).alias("khc"),
-        F.first("n").alias("n"),
-        F.first("mean").alias("mean"),
-    )
-    n, mix = F.col("n"), c.log_fusion_weight
-    shape = (1 - mix) * F.col("linear") + mix * F.col("geometric")
-    shape = F.when(n >= 2, F.pow(clip(shape, 0, 1), 1 + c.sharpening * (n - 1))).otherwise(shape)
-    cell = cell.withColumn("raw", shape * F.col("mean"))
-    cell = cell.withColumn("value", clip(F.col("raw") / F.greatest(F.lit(1.0), F.max("raw").over(Window.partitionBy(*by))), 0, 1))
-    spread = F.sqrt(F.greatest(F.col("square") - F.col("linear") * F.col("linear"), F.lit(0.0)))
-    conflict = F.when(n >= 2, clip(spread / F.greatest(F.col("linear"), F.lit(1e-9)), 0, 1)).otherwise(F.lit(0.0))
-    cell = cell.join(F.broadcast(full), ["i", "j"])
-    coverage = clip(F.col("kh") / F.greatest(F.col("reference"), F.lit(1e-9)), 0, 1)
-    health = F.col("khc") / F.greatest(F.col("kh"), F.lit(1e-9))
-    cell = cell.select(*by, "i", "j", "value", clip(coverage * health * (1 - 0.5 * conflict), 0, 1).alias("confidence"), "n")
-    every = ticks.crossJoin(F.broadcast(cells.select("i", "j")))
-    zero = F.lit(0.0)
-    return every.join(cell, [*by, "i", "j"], "left").select(*by, "i", "j", F.coalesce("value", zero).alias("value"), F.coalesce("confidence", zero).alias("confidence"), F.coalesce("n", F.lit(0)).cast("int").alias("n_active"))
+    floor = sorted((r.i, r.j) for r in cells.select("i", "j").collect())
+    arrays = kernel_arrays(kernel, floor)
+    i, j = (np.array([x[n] for x in floor], dtype=np.int32) for n in (0, 1))
+    known = evidence.join(F.broadcast(links.select("link_id").distinct().withColumn("_known", F.lit(True))), "link_id", "left")
+    live = (_strength(c) > 0) & F.col("_known")
+    for name in by:
+        live = live & F.col(name).isNotNull()
+    found = F.struct("link_id", _strength(c).cast("double").alias("strength"), F.col("health_score").cast("double").alias("health_score"), F.col("confidence").cast("double").alias("confidence"))
+    ticks = dealt(known, *by).groupBy(*by).agg(F.array_sort(F.collect_list(F.when(live, found))).alias("live"))
+    full = T.StructType([*(T.StructField(f.name, f.dataType) for f in ticks.schema if f.name in by), *(T.StructField(n, T.IntegerType()) for n in ("i", "j")), *(T.StructField(n, T.DoubleType()) for n in ("value", "confidence")), T.StructField("n_active", T.IntegerType())])
+
+    def run(batches):
+        reference, zero = sum(arrays.values()), np.zeros(len(floor))
+        step = max(1, BATCH_CELLS // max(1, len(floor)))
+        for batch in batches:
+            for lo in range(0, batch.num_rows, step):
+                part = batch.slice(lo, step)
+                made = []
+                for live in part.column(part.num_columns - 1).to_pylist():
+                    seen = [e for e in live if e["link_id"] in arrays]
+                    made.append((*_mix(arrays, seen, np.array([e["strength"] for e in live]), reference, c), len(live)) if seen else (zero, zero, 0))
+                n = part.num_rows
+                of = pa.array(np.repeat(np.arange(n), len(floor)))
+                value, sure = (pa.array(np.concatenate([m[x] for m in made])) for x in (0, 1))
+                active = pa.array(np.repeat(np.array([m[2] for m in made], dtype=np.int32), len(floor)))
+                yield pa.RecordBatch.from_arrays([*(part.column(x).take(of) for x in range(len(by))), pa.array(np.tile(i, n)), pa.array(np.tile(j, n)), value, sure, active], names=full.names)
+
+    return ticks.select(*by, "live").mapInArrow(run, full)
+
+
+def _bounded(x: np.ndarray) -> np.ndarray:
+    """Between 0 and 1; what is not a number is above all numbers, as in SQL."""
+    return np.fmin(np.maximum(x, 0.0), 1.0)
+
+
+def _mix(kernel: dict[str, np.ndarray], live: list[dict], strength: np.ndarray, reference: np.ndarray, c: ServerConfig) -> tuple[np.ndarray, np.ndarray]:
+    """Values and confidences of all cells from the evidence of links with a kernel; ``strength`` is that of all live links."""
+    k = np.stack([kernel[e["link_id"]] for e in live])
+    n = len(strength)
+    s, h, conf = (np.array([e[x] for e in live])[:, None] for x in ("strength", "health_score", "confidence"))
+    w = s / max(strength.sum(), 1e-9)
+    linear, square = (w * k).sum(0), (w * k * k).sum(0)
+    shape = (1 - c.log_fusion_weight) * linear + c.log_fusion_weight * np.exp((w * np.log(np.clip(k, 1e-9, 1))).sum(0))
+    conflict = np.zeros_like(linear)
+    if n >= 2:
+        shape = _bounded(shape) ** (1 + c.sharpening * (n - 1))
+        conflict = _bounded(np.sqrt(np.maximum(square - linear * linear, 0)) / np.maximum(linear, 1e-9))
+    raw = shape * strength.mean()
+    value = _bounded(raw / np.maximum(1.0, raw.max()))
+    kh, khc = (k * h).sum(0), (k * h * conf).sum(0)
+    coverage = _bounded(kh / np.maximum(reference, 1e-9))
+    return value, _bounded(coverage * khc / np.maximum(kh, 1e-9) * (1 - 0.5 * conflict))
 
 
 def fuse_tick(kernel: dict[str, np.ndarray], found: list[dict], c: ServerConfig = ServerConfig()) -> tuple[np.ndarray, np.ndarray, list[tuple[str, float]]]:
@@ -140,26 +186,12 @@ def fuse_tick(kernel: dict[str, np.ndarray], found: list[dict], c: ServerConfig
     """
     known = sorted((e for e in found if e["link_id"] in kernel), key=lambda e: e["link_id"])
     strength = [0.0 if e["health_score"] < c.min_health else max(e["activity"] - c.min_activity, 0.0) * e["health_score"] * e["confidence"] for e in known]
-    live = [(e, s) for e, s in zip(known, strength) if s > 0]
-    zero = np.zeros_like(next(iter(kernel.values())))
+    live = [e | {"strength": s} for e, s in zip(known, strength) if s > 0]
     weights = [(e["link_id"], s) for e, s in zip(known, strength)]
     if not live:
+        zero = np.zeros_like(next(iter(kernel.values())))
         return zero, zero, weights
-    k = np.stack([kernel[e["link_id"]] for e, _ in live])
-    s, n = np.array([s for _, s in live]), len(live)
-    h, conf = (np.array([e[x] for e, _ in live])[:, None] for x in ("health_score", "confidence"))
-    w = (s / max(s.sum(), 1e-9))[:, None]
-    linear, square = (w * k).sum(0), (w * k * k).sum(0)
-    shape = (1 - c.log_fusion_weight) * linear + c.log_fusion_weight * np.exp((w * np.log(np.clip(k, 1e-9, 1))).sum(0))
-    conflict = zero
-    if n >= 2:
-        shape = np.clip(shape, 0, 1) ** (1 + c.sharpening * (n - 1))
-        conflict = np.clip(np.sqrt(np.maximum(square - linear * linear, 0)) / np.maximum(linear, 1e-9), 0, 1)
-    raw = shape * s.mean()
-    value = np.clip(raw / max(1.0, raw.max()), 0, 1)
-    kh, khc = (k * h).sum(0), (k * h * conf).sum(0)
-    coverage = np.clip(kh / np.maximum(sum(kernel.values()), 1e-9), 0, 1)
-    return value, np.clip(coverage * khc / np.maximum(kh, 1e-9) * (1 - 0.5 * conflict), 0, 1), weights
+    return *_mix(kernel, live, np.array([e["strength"] for e in live]), sum(kernel.values()), c), weights
 
 
 def hold_tick(state: tuple[np.ndarray, np.ndarray, np.ndarray], value: np.ndarray, c: ServerConfig = ServerConfig()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -178,7 +210,7 @@ def hold_step(state: tuple[float, int, bool], value: float, c: ServerConfig) ->
 
 
 #: Strips of cells, each stepped as arrays in one task.
-STRIPS = 8
+STRIPS = 32
 
 
 class _Strip:
@@ -209,57 +241,53 @@ class _Strip:
 def persist(instant: DataFrame, c: ServerConfig = ServerConfig(), keys: tuple[str, ...] = ("i", "j")) -> DataFrame:
     """Decay, persistence and hysteresis of every cell in order of ts; at most one row a cell and tick.
 
-    The output is 0 where the cell is not active; the state keeps the unmasked value.  Rows
-    are sorted by strip of cells and time and a tick of a strip is one step on arrays: strips
-    run in parallel, no cell's history is held, and the work grows in proportion to the ticks.
+    The output is 0 where the cell is not active; the state keeps the unmasked value.  What a task
+    has of a tick is packed by strip of cells before the shuffle, pieces are sorted by strip and
+    time, and each is one step on arrays: strips run in parallel, no cell's history is held, and the
+    work grows in proportion to the ticks.
     """
     rooms = [k for k in keys if k not in ("i", "j")]
-    strip = F.pmod(F.xxhash64("i", "j"), F.lit(STRIPS)).cast("int").alias("_strip")
-    rows = instant.select(*rooms, "ts", F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), "value", "confidence", strip)
-    full = T.StructType([*(T.StructField(f.name, f.dataType) for f in rows.schema if f.name not in ("_strip",)), T.StructField("active", T.BooleanType())])
+    rows = instant.select(*rooms, "ts", F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), F.col("value").cast("double").alias("value"), F.col("confidence").cast("double").alias("confidence"))
+    tick = [T.StructField(f.name, f.dataType) for f in rows.schema if f.name in (*rooms, "ts")]
+    cell = [("i", T.IntegerType()), ("j", T.IntegerType()), ("value", T.DoubleType()), ("confidence", T.DoubleType())]
+    packed = T.StructType([*tick, T.StructField("_strip", T.IntegerType()), *(T.StructField(n, T.ArrayType(t)) for n, t in cell)])
+    full = T.StructType([*tick, *(T.StructField(n, t) for n, t in cell), T.StructField("active", T.BooleanType())])
     grouped = ["_strip", *rooms]
 
+    def pack(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            strip = (batch.column("i").to_numpy().astype(np.int64) * 31 + batch.column("j").to_numpy()) % STRIPS
+            codes = [batch.column(f.name).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False) for f in tick]
+            order = np.lexsort((strip, *codes))
+            new = np.zeros(len(order), dtype=bool)
+            new[0] = True
+            for x in (strip, *codes):
+                new[1:] |= x[order][1:] != x[order][:-1]
+            starts = np.flatnonzero(new)
+            at, cuts = pa.array(order), pa.array(np.append(starts, len(order)), pa.int32())
+            first = pa.array(order[starts])
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(f.name).take(first) for f in tick), pa.array(strip[order[starts]], pa.int32()), *(pa.ListArray.from_arrays(cuts, batch.column(n).take(at)) for n, _ in cell)], names=packed.names
+            )
+
     def run(batches):
         key, held = None, None
-        for batch in _whole_ticks(batches, [*grouped, "ts"]):
-            columns = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in ("i", "j", "value", "confidence")}
-            shown, sure, on = np.zeros(batch.num_rows), np.zeros(batch.num_rows), np.zeros(batch.num_rows, dtype=bool)
-            for lo, hi in _runs(batch, [*grouped, "ts"]):
-                now = tuple(batch.column(n)[lo].as_py() for n in grouped)
-                if now != key:
-                    key, held = now, _Strip()
-                f, active = held.step(columns["i"][lo:hi], columns["j"][lo:hi], columns["value"][lo:hi], c)
-                shown[lo:hi], on[lo:hi] = np.where(active, f, 0.0), active
-                sure[lo:hi] = np.where(active, columns["confidence"][lo:hi], 0.0)
-            kept = [batch.column(n) for n in [*rooms, "ts", "i", "j"]]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(shown), pa.array(sure), pa.array(on)], names=full.names)
-
-    order = [*grouped, "ts", "i", "j"]
-    return rows.repartition(*grouped).sortWithinPartitions(*order).mapInArrow(run, full)
-
-
-def _runs(batch: pa.RecordBatch, names: list[str]) -> list[tuple[int, int]]:
-    """[start, end) of the rows that agree in ``names``, one after the other."""
-    new = np.zeros(batch.num_rows, dtype=bool)
-    new[:1] = True
-    for n in names:
-        at = batch.column(n).dictionary_encode().indices.to_numpy(zero_copy_only=False)
-        new[1:] |= at[1:] != at[:-1]
-    starts = np.flatnonzero(new).tolist()
-    return list(zip(starts, [*starts[1:], batch.num_rows]))
-
-
-def _whole_ticks(batches, names: list[str]):
-    """Batches cut between ticks: the last one of a batch waits for the rest of it."""
-    rest = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        if rest is not None:
-            batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
-        last = _runs(batch, names)[-1][0]
-        if last:
-            yield batch.slice(0, last)
-        rest = batch.slice(last)
-    if rest is not None:
-        yield rest
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 1000):
+                batch = whole.slice(lo, 1000)
+                lengths = batch.column("i").value_lengths().to_numpy()
+                ends = np.cumsum(lengths)
+                i, j, value, sure = (batch.column(n).flatten().to_numpy(zero_copy_only=False) for n, _ in cell)
+                shown, on = np.zeros(len(i)), np.zeros(len(i), dtype=bool)
+                for now, a, b in zip(zip(*(batch.column(n).to_pylist() for n in grouped)), ends - lengths, ends):
+                    if now != key:
+                        key, held = now, _Strip()
+                    f, on[a:b] = held.step(i[a:b], j[a:b], value[a:b], c)
+                    shown[a:b] = np.where(on[a:b], f, 0.0)
+                of = pa.array(np.repeat(np.arange(batch.num_rows), lengths))
+                columns = [pa.array(i), pa.array(j), pa.array(shown), pa.array(np.where(on, sure, 0.0)), pa.array(on)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(f.name).take(of) for f in tick), *columns], names=full.names)
+
+    return dealt(rows.mapInArrow(pack, packed), *grouped).sortWithinPartitions(*grouped, "ts").mapInArrow(run, full)

@@ -274,9 +274,8 @@ def link_stream(frames: DataFrame, c: ServerConfig = ServerConfig(), late: str =
 
 def kernel_arrays(links: DataFrame, c: ServerConfig = ServerConfig()) -> dict[str, np.ndarray]:
     """Kernels of the links of a room, an array over its cells each: as many numbers as links times cells."""
-    rows = fusion.kernels(links, tables.grid(links.sparkSession, c), c.field_resolution)
-    packed = rows.groupBy("link_id").agg(F.array_sort(F.collect_list(F.struct("i", "j", "k"))).alias("cells")).select("link_id", F.col("cells.k").alias("k"))
-    return {r.link_id: np.array(r.k) for r in packed.collect()}
+    cells = tables.grid(links.sparkSession, c)
+    return fusion.kernel_arrays(fusion.kernels(links, cells, c.field_resolution), [(i, j) for i in range(c.width) for j in range(c.height)])
 
 
 def room_stream(evidence: DataFrame, links: DataFrame, c: ServerConfig = ServerConfig(), late: str = "2 seconds", forget: float | None = None) -> DataFrame:
