@@ -7,22 +7,24 @@ from pyspark.sql import functions as F
 
 from fieldlark.config import SPEED_OF_LIGHT, ServerConfig
 from fieldlark.functions.arrays import clip, health_status
+from fieldlark.operators.fold import dealt
 
 
 TICK = ("ts",)
 
 
 def field_change(field: DataFrame, by: tuple[str, ...] = TICK) -> DataFrame:
-    """(by, novelty): mean absolute change of the field since the tick before; before the first it was 0."""
-    before = F.lag("value", 1, 0.0).over(Window.partitionBy(*[b for b in by if b != "ts"], "i", "j").orderBy("ts"))
-    return field.withColumn("d", F.abs(F.col("value") - before)).groupBy(*by).agg(clip(F.avg("d"), 0, 1).alias("novelty"))
+    """(by, novelty, peak): mean absolute change of the field since the tick before, which was 0 before the first, and its maximum."""
+    cell = [b for b in by if b != "ts"] + ["i", "j"]
+    before = F.lag("value", 1, 0.0).over(Window.partitionBy(*cell).orderBy("ts"))
+    return dealt(field, *cell).withColumn("d", F.abs(F.col("value") - before)).groupBy(*by).agg(clip(F.avg("d"), 0, 1).alias("novelty"), F.max("value").alias("peak"))
 
 
 def global_metrics(field: DataFrame, drifts: DataFrame, by: tuple[str, ...] = TICK) -> DataFrame:
-    """(by, total_activity, novelty, env_drift) from the field and (by, link_id, drift_common)."""
-    peak = field.groupBy(*by).agg(clip(F.max("value"), 0, 1).alias("total_activity"))
+    """(by, total_activity, novelty, env_drift) from the field and (by, link_id, drift_common), in one pass over the field."""
     env = drifts.groupBy(*by).agg(clip(F.tanh(F.avg("drift_common")), 0, 1).alias("env_drift"))
-    return peak.join(field_change(field, by), list(by)).join(env, list(by), "left").withColumn("env_drift", F.coalesce("env_drift", F.lit(0.0)))
+    moved = field_change(field, by).select(*by, clip(F.col("peak"), 0, 1).alias("total_activity"), "novelty")
+    return moved.join(env, list(by), "left").withColumn("env_drift", F.coalesce("env_drift", F.lit(0.0)))
 
 
 def system_health(health: DataFrame, ticks: DataFrame, by: tuple[str, ...] = TICK) -> DataFrame:
