@@ -33,6 +33,8 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 EPOCH = 1000.0
 #: A row of no room that only moves the watermark.
 HEARTBEAT = ""
+#: Rows that are read, and ticks that are handed on, at a time.
+PART = 256
 
 MEASURED = (
     "snr_db double, amplitude_std double, phase_std double, outlier_ratio double, health_score double, status string, drift map<string,double>, value double, "
@@ -59,17 +61,23 @@ def _at(ts: float) -> pd.Timestamp:
 class InOrder(StatefulProcessor):
     """Keeps the rows of a key by their time until the watermark has passed it, then takes them in order.
 
-    ``fields``: what is kept of a row.  One timer is set at a time, for the earliest row.  A key
+    ``fields``: what is kept of a row.  Rows wait in pages of ``span`` seconds, as each read or write
+    of state is a call to the store.  Pages are read one at a time and output is handed on in
+    small parts, so memory does not grow with what has arrived.  One timer is set at a time, for the earliest row.  A key
     that has no row for more than ``forget`` seconds begins anew, and its state goes once the
     watermark has passed that time.
     """
 
     fields = ""
     forget: float | None = None
+    span = 1.0
+
+    def page(self, ts: float) -> int:
+        return math.floor(ts / self.span)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "ts double", f"rows array<struct<{self.fields}>>")
+        self.waiting = handle.getMapState("waiting", "page bigint", f"rows array<struct<ts:double,{self.fields}>>")
         self.seen = handle.getValueState("seen", "ts double")
         self.open(handle)
 
@@ -93,39 +101,64 @@ class InOrder(StatefulProcessor):
         raise NotImplementedError
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        found: dict[float, list] = {}
+        first = None
         for part in rows:
-            for r in part.to_dict("records"):
-                kept = self.row(r)
-                if kept is not None:
-                    found.setdefault(float(r["ts"]), []).append(kept)
-        if found:
-            for ts, new in found.items():
-                held = self.waiting.getValue((ts,))
-                self.waiting.updateValue((ts,), ([*(list(held[0]) if held else []), *new],))
-            self.handle.registerTimer(_ms(min(found)))
+            for lo in range(0, len(part), PART):
+                found: dict[int, list] = {}
+                for r in part.iloc[lo : lo + PART].to_dict("records"):
+                    kept = self.row(r)
+                    if kept is not None:
+                        ts = float(r["ts"])
+                        found.setdefault(self.page(ts), []).append((ts, *kept))
+                        first = ts if first is None else min(first, ts)
+                for page, new in found.items():
+                    held = self.waiting.getValue((page,))
+                    self.waiting.updateValue((page,), ([*(map(tuple, held[0]) if held else ()), *new],))
+        if first is not None:
+            self.handle.registerTimer(_ms(first))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs()
-        times = sorted(k[0] for k in self.waiting.keys())
-        out = []
-        ready = [ts for ts in times if _ms(ts) <= passed]
-        if ready:
-            state, last = self.load(), self.seen.get()
-            last = last[0] if last is not None else ready[0]
-            for ts in ready:
+        # an expired timer may still lie before its page's rows: pages whose first time has not passed are not read
+        pages = sorted(k[0] for k in self.waiting.keys())
+        state = last = next_ = None
+        taken = False
+        for page in pages:
+            if next_ is not None or _ms(page * self.span) > passed:
+                next_ = next_ if next_ is not None else page * self.span
+                break
+            rows = [tuple(r) for r in self.waiting.getValue((page,))[0]]
+            ready, wait = [r for r in rows if _ms(r[0]) <= passed], [r for r in rows if _ms(r[0]) > passed]
+            if ready and not taken:
+                state, last, taken = self.load(), self.seen.get(), True
+                last = last[0] if last is not None else min(r[0] for r in ready)
+            times: dict[float, list] = {}
+            for r in ready:
+                times.setdefault(r[0], []).append(r[1:])
+            out = []
+            for ts in sorted(times):
                 if self.forget is not None and ts - last > self.forget:
                     state = None
                 last = ts
-                state, made = self.take(state, key, ts, list(self.waiting.getValue((ts,))[0]))
+                state, made = self.take(state, key, ts, times[ts])
                 out += made
-                self.waiting.removeKey((ts,))
+                if len(out) >= PART:
+                    yield pd.DataFrame(out)
+                    out = []
+            if out:
+                yield pd.DataFrame(out)
+            if wait:
+                next_ = min(r[0] for r in wait)
+                if ready:
+                    self.waiting.updateValue((page,), (wait,))
+            else:
+                self.waiting.removeKey((page,))
+        if taken:
             self.store(state)
             self.seen.update((last,))
-        left = [ts for ts in times if _ms(ts) > passed]
-        if left:
-            self.handle.registerTimer(_ms(left[0]))
+        if next_ is not None:
+            self.handle.registerTimer(_ms(next_))
         elif self.forget is not None and self.seen.exists():
             end = _ms(self.seen.get()[0] + self.forget)
             if end > passed:
@@ -133,8 +166,6 @@ class InOrder(StatefulProcessor):
             else:
                 self.seen.clear()
                 self.store(None)
-        if out:
-            yield pd.DataFrame(out)
 
     def close(self) -> None:
         pass
