@@ -46,7 +46,7 @@ def fold_sorted(df: DataFrame, keys: list[str], order: list[str], step: Callable
                     rows.append({n: row[n] for n in carried} | result)
             yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, full)
+    return dealt(df, *keys).sortWithinPartitions(*keys, *order).mapInArrow(run, full)
 
 
 def fold_columns(df: DataFrame, keys: list[str], order: list[str], values: list[str], step: Callable, out: str) -> DataFrame:
